@@ -244,7 +244,7 @@ def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     for t, features in zip(texts, measures(texts, ("features",))[0], strict=True):
         used = np.flatnonzero(features)
         value = np.sqrt(features[used] / (features[:DIMS].sum() + SMOOTH)) @ weights[used] + weights[-1]
-        out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if t and not t.isspace() else 0.0)
+        out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if t and t.strip(" \t\n\r\v\f") else 0.0)
     return np.array(out)
 
 
