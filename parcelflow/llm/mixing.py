@@ -8,9 +8,8 @@
    of each size come near their share; a random offset (a hash of seed and source) is added to the prefix sum of expected
    copies, and a document is emitted once for each whole number that its stretch of the sum crosses.
 
-The prefix sum has two levels. Documents are counted by (source, size, first two hex digits of the hash); a running sum
-over those counts gives where each such bin begins, and ranks are taken within bins only. A source with a third of all
-rows is so spread over its bins.
+The prefix sum has three levels: over the sizes of a source, over the first two hex digits of the hash within a size,
+and over the rows of such a bin. Only counts meet by source; a source with a third of all rows is spread over its bins.
 
 Defined results. A null text has size 0. Null sources form one source, the last. A source without words has the target
 0 and gives no copies; an empty table gives no rows. Rows that repeat are ranked one after the other. Columns other than
@@ -56,32 +55,37 @@ def _offset(seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(2**32)
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """Each row of docs as the struct row, with size, source_size, target and copies."""
+def mixed(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The carried columns of each row of docs as the struct row, with size, source_size, target and copies."""
     source = F.col("source").cast("string")
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select(F.struct("*").alias("row"), source.isNull().cast("int").alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), word_count(F.col("text").cast("string")).alias("size"), order.alias("order")).withColumn("digits", F.substring("order", 1, 2))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*carried).alias("row"), source.isNull().cast("int").alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), word_count(text).alias("size"), order.alias("order"), F.xxhash64(text).alias("tie")).withColumn("digits", F.substring("order", 1, 2))
     counted = rows.groupBy(*_BIN).agg(F.count("*").alias("held"))
-    of_source = counted.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("held")).alias("source_size"))
-    before = Window.partitionBy(*_KEY).orderBy("size", "digits").rowsBetween(Window.unboundedPreceding, -1)
-    begun = counted.withColumn("begin", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held").join(targets(of_source, weights, most), _KEY)
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*_BIN).orderBy("order", F.xxhash64(F.col("row").getField("text")))))
+    of_size = counted.groupBy(*_KEY, "size").agg(F.sum("held").alias("of_size"))
+    of_source = of_size.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("of_size")).alias("source_size"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    smaller = F.coalesce(F.sum("of_size").over(upto(Window.partitionBy(*_KEY).orderBy("size"))), F.lit(0))
+    sizes = of_size.withColumn("smaller", smaller).drop("of_size").join(targets(of_source, weights, most), _KEY)
+    earlier = F.coalesce(F.sum("held").over(upto(Window.partitionBy(*_KEY, "size").orderBy("digits"))), F.lit(0))
+    begun = counted.withColumn("earlier", earlier).drop("held").join(sizes, [*_KEY, "size"]).withColumn("begin", F.col("smaller") + F.col("earlier"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*_BIN).orderBy("order", "tie")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    upto = F.col("begin") + F.col("place")
+    here = F.col("begin") + F.col("place")
     crossed = lambda n: F.floor(n.cast("double") * F.col("rate") + F.col("offset"))
     joined = placed.join(begun, _BIN).withColumn("rate", rate).withColumn("offset", _offset(seed))
-    return joined.select("row", "size", "source_size", "target", (crossed(upto) - crossed(upto - 1)).alias("copies"))
+    return joined.select("row", "size", "source_size", "target", (crossed(here) - crossed(here - 1)).alias("copies"))
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies of each row of docs."""
-    found = mixed(docs.select("doc_id", "text", "source"), weights, most, seed)
+    found = mixed(docs, ["doc_id"], weights, most, seed)
     return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with their columns."""
-    taken = mixed(docs, weights, most, seed).where("copies > 0")
+    taken = mixed(docs, docs.columns, weights, most, seed).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
