@@ -196,6 +196,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of the rows whose vec_id is divisible by every."""
     rows = cut(usable(vectors))
     queries = rows.where(F.col("id") % every == 0)
+    one = lambda n: F.col("id") * 0 + n  # noqa: E731  a literal would turn the joins by bucket into products
     bucket = (F.col("at").cast("long") * 2**32 + F.col("axis")).alias("bucket")
     hashed = rows.mapInArrow(_axis_batches, "id long, vector array<double>, axes array<int>").select("id", "vector", "axes", F.posexplode("axes").alias("at", "axis")).select("id", "vector", "axes", bucket)
     probing = queries.mapInArrow(_probe_batches, "id long, vector array<double>, probes array<int>")
@@ -203,13 +204,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asked = probing.select("id", "vector", "probes", F.posexplode("probes").alias("at", "axis")).withColumn("at", F.floor(F.col("at") / many)).select("id", "vector", "probes", bucket)
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     middle = rows.agg(F.percentile_approx(length, 0.5)).first()[0]
-    long = rows.where(length > LONG * (middle or 0.0)).select("id", "vector", F.lit(-1).cast("long").alias("bucket"))
-    everyone = queries.withColumn("bucket", F.lit(-1).cast("long"))
+    long = rows.where(length > LONG * (middle or 0.0)).select("id", "vector", one(-1).alias("bucket"))
+    everyone = queries.withColumn("bucket", one(-1))
     found = cut(_best(_in_blocks(hashed, asked, k, True).unionByName(_in_blocks(long, everyone, k, False)), k))
     filled = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = cut(queries.join(filled, "id", "left_anti"))
     if not short.isEmpty():
-        whole = rows.withColumn("bucket", F.lit(-2).cast("long"))
-        rest = _in_blocks(whole, short.withColumn("bucket", F.lit(-2).cast("long")), k, False)
+        whole = rows.withColumn("bucket", one(-2))
+        rest = _in_blocks(whole, short.withColumn("bucket", one(-2)), k, False)
         found = _best(found.drop("rank").unionByName(rest), k)
     return found.select("query_id", "rank", "vec_id", "score")
