@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,27 +80,43 @@ class WordEncoder:
             found[w] = (found.get(stem) or self.known[stem]) + self.marks[w[-1]]
         found.update(zip(other, self._encode_any(other), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, split, out, missing = self.known.get, [], [], set()
-        for text in texts:
-            words = None if _ODD_SPACE.search(text) else text.split()
-            ids = words and list(map(known, words))
-            if ids and None in ids:
-                missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
-            split.append((text, words, ids))
-        found: dict[str, bytes] = {}
-        if missing:
-            self._learn(missing, found)
-        for text, words, ids in split:
-            if words is None:
-                out.append(self._encode_any([text])[0])
-            elif ids and None in ids:
-                out.append(b"".join([found[w] if x is None else x for w, x in zip(words, ids, strict=True)]))
-            else:
-                out.append(b"".join(ids or ()))
-        if len(self.known) < REMEMBERED_WORDS:
-            self.known.update((w, b) for w, b in found.items() if len(w) <= REMEMBERED_CHARS)
-        return out
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words; new ones are learnt together."""
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            found = {"": b""}
+            self._learn({words[i] for i in at} - {""}, found)
+            for i in at:
+                ids[i] = found[words[i]]
+            if len(self.known) < REMEMBERED_WORDS:
+                self.known.update((w, b) for w, b in found.items() if len(w) <= REMEMBERED_CHARS)
+        return ids
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each text's followed by end_id, and how many each text has.
+
+        Each distinct word of the texts is looked up once; its ids are then copied to all its places.
+        """
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, _ODD_SPACE.pattern)).as_py():
+            raw = self._encode_any(texts.to_pylist())
+            ends = np.array([end_id], dtype="<u4").tobytes()
+            return np.frombuffer(b"".join(x + ends for x in raw), "<u4"), np.array([len(x) // 4 + 1 for x in raw], np.int64)
+        lists = pc.utf8_split_whitespace(texts)
+        held = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = lists.flatten().dictionary_encode()
+        ids = self._look_up(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids.append(np.array([end_id], dtype="<u4").tobytes())
+        sizes = np.array(list(map(len, ids)), np.int64) // 4
+        first, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        # The end id stands after each text's words as a word of its own.
+        place = np.insert(distinct.indices.to_numpy().astype(np.int64), np.cumsum(held), len(ids) - 1)
+        many = sizes[place]
+        upto = np.cumsum(many)
+        at = np.repeat(first[place] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)
+        last = upto[np.cumsum(held + 1) - 1]
+        return flat[at], np.diff(last, prepend=0)
 
 
 @cache
@@ -120,24 +137,20 @@ def slices(texts: pa.Array, most_chars: int = 2_000_000):
         yield first, len(texts)
 
 
-def _list_column(raw: list[bytes]) -> pa.Array:
-    offsets = np.zeros(len(raw) + 1, dtype=np.int32)
-    np.cumsum([len(b) // 4 for b in raw], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+def _list_column(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype("<i4")))
 
 
 def _encode_partition(path: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches):
         encoder, before = word_encoder(path), 0
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for a, b in slices(batch.column(1), 4_000_000):
+                ids, counts = encoder.encode(batch.column(1).slice(a, b - a), end_id)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), pa.array(starts), _list_column(ids)], names=["doc_id", "n_tokens", "offset", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), pa.array(starts), _list_column(ids, counts)], names=["doc_id", "n_tokens", "offset", "ids"])
 
     return run
 
