@@ -66,7 +66,7 @@ def _weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float], flo
 def headers(text: Column) -> Column:
     """The sentences of a text that hold a cue word."""
     cut = F.split(F.regexp_replace(text, r"([.!?]) +([A-Z])", "$1\n$2"), "\n")
-    return F.filter(F.transform(cut, F.trim), lambda s: s.rlike(CUE))
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s.rlike(CUE))
 
 
 def directory(path: Column) -> Column:
