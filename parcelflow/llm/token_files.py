@@ -28,6 +28,8 @@ from .common import shared_dir
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Ids of words are remembered up to so many words, of at most so many characters, in each Python worker.
 REMEMBERED_WORDS, REMEMBERED_CHARS = 800_000, 48
+#: Up to so many files, their starts (16 bytes each) are broadcast.
+BROADCAST_PARTS = 1 << 20
 
 
 class WordEncoder:
@@ -171,6 +173,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("held"))  # one row for each file
     base = parts.select(F.col("part").alias("base_part"), (F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("base"))
+    if parts.count() <= BROADCAST_PARTS:
+        base = F.broadcast(base)  # else the ids would be shuffled for one number a file
     return files.join(base, files.part == base.base_part).withColumn("start", F.col("base") + F.col("offset")).drop("base", "base_part")
 
 
