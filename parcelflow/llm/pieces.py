@@ -154,7 +154,7 @@ class PieceEncoder:
                 out.append(feed)
             if not line:
                 continue
-            if "  " in line or SPACE in line[1:] or line[0] == " " or line[-1] == " ":
+            if "  " in line or SPACE in line[1:] or line[0] == " " or line[-1] == " " or line.startswith(SPACE + " "):
                 units = self._units.findall(line.replace(" ", SPACE))
             else:
                 units = line.replace(" ", " " + SPACE).split(" ")
