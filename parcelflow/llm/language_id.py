@@ -30,6 +30,8 @@ from .token_files import slices
 DIMS = 1 << 13
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
 SLACK, FAR = 0.25, 0.05
+#: Vectors of so many texts are held at once.
+AT_ONCE = 128
 #: Texts are counted in pieces of so many characters.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -111,9 +113,10 @@ class Centroids:
 
 def _vector_batches(batches):
     for batch in batches:
-        for a, b in slices(batch.column(1)):
+        for a, b in slices(batch.column(1), 500_000, AT_ONCE):
             logs, n = _logs(batch.column(1).slice(a, b - a).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in logs], pa.binary())], names=["lang", "n", "logs"])
+            held = [np.flatnonzero(x).astype(np.int32) for x in logs]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([h.tobytes() for h in held], pa.binary()), pa.array([x[h].tobytes() for x, h in zip(logs, held, strict=True)], pa.binary())], names=["lang", "n", "at", "logs"])
 
 
 def _clusters(x: np.ndarray, many: int) -> np.ndarray:
@@ -140,12 +143,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Centroids:
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
     drawn = rows.where((F.pmod("draw", F.lit(1 << 20)) + 0.5) / float(1 << 20) < share)
-    taught = drawn.select("lang", "text").mapInArrow(_vector_batches, "lang string, n long, logs binary").where("n > 0").toPandas().sort_values(["lang", "n", "logs"])
+    taught = drawn.select("lang", "text").mapInArrow(_vector_batches, "lang string, n long, at binary, logs binary").where("n > 0").toPandas().sort_values(["lang", "n", "at", "logs"])
     if not len(taught):
         return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros(0))
-    logs = np.frombuffer(b"".join(taught["logs"]), np.float32).reshape(len(taught), DIMS)
-    idf = np.log((1 + len(logs)) / (1 + (logs > 0).sum(0))).astype(np.float32) + 1
-    x, lang = _unit(logs * idf), taught["lang"].to_numpy()
+    x, lang, rows_with = np.zeros((len(taught), DIMS), np.float32), taught["lang"].to_numpy(), np.zeros(DIMS)
+    for i, (at, logs) in enumerate(zip(taught["at"], taught["logs"], strict=True)):
+        at = np.frombuffer(at, np.int32)
+        x[i, at] = np.frombuffer(logs, np.float32)
+        rows_with[at] += 1
+    idf = np.log((1 + len(x)) / (1 + rows_with)).astype(np.float32) + 1
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     langs, centroids, least = [], [], []
     for name in sorted(set(lang.tolist())):
         own = x[lang == name]
@@ -168,11 +176,9 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1), 500_000):
-                for c in range(a, b, 256):
-                    d = min(b, c + 256)
-                    langs, scores, rejected = shared.value.predict(batch.column(1).slice(c, d - c).to_pylist())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(c, d - c), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+            for a, b in slices(batch.column(1), 500_000, AT_ONCE):
+                langs, scores, rejected = shared.value.predict(batch.column(1).slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -200,8 +206,8 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
         out: list[bool] = []
         values = [None if t is None or t != t else t for t in text.tolist()]
-        for first in range(0, len(values), 256):
-            out += shared.value.predict(values[first : first + 256])[2]
+        for first in range(0, len(values), AT_ONCE):
+            out += shared.value.predict(values[first : first + AT_ONCE])[2]
         return pd.Series(out, dtype=bool)
 
     return docs.where(~rejected(F.col("text").cast("string")))

@@ -24,7 +24,7 @@ from .token_files import slices
 
 SPACE = "▁"
 #: Ids of units and checked pairs are remembered up to so many, units of at most so many characters, in each worker.
-REMEMBERED_UNITS, REMEMBERED_CHARS, REMEMBERED_PAIRS = 800_000, 48, 1_000_000
+REMEMBERED_UNITS, REMEMBERED_CHARS, REMEMBERED_PAIRS = 300_000, 48, 300_000
 
 
 class PieceEncoder:

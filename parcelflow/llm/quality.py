@@ -29,6 +29,8 @@ SAMPLE, STEPS = 6000, 300
 #: Features are shares of a text so many characters longer, so very short texts lean on the constant.
 SMOOTH = 300
 LEAST = 0.3
+#: Features of so many texts are held at once.
+AT_ONCE = 128
 #: Texts are looked at in pieces of about so many bytes that end at white space.
 PIECE = 1 << 20
 
@@ -167,13 +169,6 @@ def estimate(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     return dict(zip(patterns.tolist(), clean.tolist(), strict=True))
 
 
-def vectors(features: np.ndarray) -> np.ndarray:
-    """Rows of counts as unit-scaled shares with a constant."""
-    size = features[:, :DIMS].sum(1, keepdims=True) + SMOOTH
-    shares = np.sqrt(features / size)
-    return np.concatenate([shares, np.ones((len(features), 1))], 1)
-
-
 def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights of a logistic scorer of soft labels, by gradient descent with momentum."""
     w, speed, weight = np.zeros(x.shape[1]), np.zeros(x.shape[1]), weight / weight.sum()
@@ -200,7 +195,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     def picked(batches):
         for batch in batches:
-            for a, b in slices(batch.column(0)):
+            for a, b in slices(batch.column(0), 1_000_000, AT_ONCE):
                 texts, draw = batch.column(0).slice(a, b - a).to_pylist(), (batch.column(1).slice(a, b - a).to_numpy() % (1 << 20) + 0.5) / float(1 << 20)
                 sums, features = measures(texts)
                 patterns = pattern_of(votes(sums)).tolist()
@@ -209,20 +204,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([patterns[i] for i in use], pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary()), pa.array([features[i, h].astype(np.int64).tobytes() for i, h in zip(use, held, strict=True)], pa.binary())], names=["pattern", "at", "counts"])
 
     taught = drawn.mapInArrow(picked, "pattern long, at binary, counts binary").toPandas().sort_values(["pattern", "at", "counts"])
-    features = np.zeros((len(taught), DIMS + 1), np.float32)
-    for i, (at, n) in enumerate(zip(taught["at"], taught["counts"], strict=True)):
-        features[i, np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
+    at = [np.frombuffer(x, np.int32) for x in taught["at"]]
+    # Few of the hashed columns occur: only those are held.
+    used = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
+    x = np.ones((len(taught), len(used) + 1))
+    for i, (columns, n) in enumerate(zip(at, taught["counts"], strict=True)):
+        n = np.frombuffer(n, np.int64)
+        x[i, :-1] = 0
+        x[i, np.searchsorted(used, columns)] = np.sqrt(n / (n[columns < DIMS].sum() + SMOOTH))
     y = np.array([posterior[p] for p in taught["pattern"].tolist()])
     weight = np.array([1 / share[p] for p in taught["pattern"].tolist()])
     # A rare side isn't lost: it weighs a quarter of the other at least.
     junk = y < 0.5
     if junk.any() and not junk.all():
         weight[junk] *= max(1.0, 0.25 * weight[~junk].sum() / weight[junk].sum())
-    used = np.flatnonzero(features.any(0))
-    x = vectors(features)
-    w = np.zeros(x.shape[1])
-    columns = np.concatenate([used, [x.shape[1] - 1]])
-    w[columns] = _train(x[:, columns], y, weight)
+    w = np.zeros(DIMS + 2)
+    if len(x):
+        w[np.concatenate([used, [DIMS + 1]])] = _train(x, y, weight)
     return w
 
 
@@ -232,7 +230,7 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1), 1_000_000):
+            for a, b in slices(batch.column(1), 1_000_000, AT_ONCE):
                 score = score_texts(batch.column(1).slice(a, b - a).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score, pa.float64()), pa.array(score >= LEAST, pa.bool_())], names=["doc_id", "score", "kept"])
 
@@ -264,8 +262,8 @@ def keep_clean(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         import pandas as pd
 
         values, out = [None if t is None or t != t else t for t in text.tolist()], []
-        for first in range(0, len(values), 512):
-            out.append(score_texts(values[first : first + 512], shared.value) >= LEAST)
+        for first in range(0, len(values), AT_ONCE):
+            out.append(score_texts(values[first : first + AT_ONCE], shared.value) >= LEAST)
         return pd.Series(np.concatenate(out) if out else [], dtype=bool)
 
     return docs.where(clean(F.col("text").cast("string")))

@@ -126,12 +126,12 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def slices(texts: pa.Array, most_chars: int = 2_000_000):
-    """(first, end) of runs of texts that hold about most_chars bytes at most."""
+def slices(texts: pa.Array, most_chars: int = 2_000_000, most_texts: int = 1 << 30):
+    """(first, end) of runs of texts that hold about most_chars bytes, and most_texts texts, at most."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype="<i8" if pa.types.is_large_string(texts.type) else "<i4")[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0)
     first, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > first and held + n > most_chars:
+        if i > first and (held + n > most_chars or i - first >= most_texts):
             yield first, i
             first, held = i, 0
         held += n
