@@ -119,10 +119,12 @@ def tx_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", labels.record(F.expr(_LABEL)).alias("r")).select("id", "r.*")
 
 
-@query(over("shipments", sql="""SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE '123456789' || CAST(10 + id % 90 AS STRING) END AS barcode, CAST(44 + id % 9 AS STRING) || '20' || CAST(700000 + id AS STRING) AS phones FROM shipments"""))
+@query(over("shipments", sql="""SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE '123456789' || CAST(10 + id % 90 AS STRING) END AS barcode,
+ '+9715' || lpad(CAST(id % 1000000 AS STRING), 8, '6') || ',' || CAST(44 + id % 9 AS STRING) || lpad(CAST(id % 1000000 AS STRING), 7, '7') || ',4165550100' AS phones FROM shipments"""))
 def tx_barcode_phones(spark: SparkSession, d: str) -> DataFrame:
     bars = F.when(col("id") % 4 != 0, F.concat(F.lit("*12345678* *123456789"), (10 + col("id") % 90).cast("string"), F.lit("*"))).otherwise("none")
-    text = F.concat(F.lit("TEL: +"), (44 + col("id") % 9).cast("string"), F.lit(" (20) "), (700000 + col("id")).cast("string"), F.lit("\nPH 12-34\n"))
+    number = lambda n, digit: F.lpad((col("id") % 1_000_000).cast("string"), n, digit)
+    text = F.concat(F.lit("TEL: +971-5"), number(8, "6"), F.lit("\nPH 12-34 12345678901234567\n"), (44 + col("id") % 9).cast("string"), F.lit("-"), number(7, "7"), F.lit(" or (416) 555-0100"))
     return views.shipments(spark, d).select("id", labels.barcode(bars).alias("barcode"), F.array_join(labels.phones(text), ",").alias("phones"))
 
 
