@@ -50,7 +50,7 @@ LONG_STATES = (
 )
 CITY_STATES = ("SINGAPORE", "MONACO", "HONG KONG")
 METADATA = (
-    r"(?is)\s*\b(?:ACTW\s*S?\s*GT|SHIP\s*DWT|SHIP\s*DATE|DATE\s*:|TRK#|SHP\s*WT|SHP#|DWT\b|REF\s*:|REF\s*CODE|CONTACT\s*:?|DIMS\b|CAD\s*:|B?ILL\s*SENDER|EIN\s*/\s*VAT|"
+    r"(?im)[^\S\n]*\b(?:ACTW\s*S?\s*GT|SHIP\s*DWT|SHIP\s*DATE|DATE\s*:|TRK#|SHP\s*WT|SHP#|DWT\b|REF\s*:|REF\s*CODE|CONTACT\s*:?|DIMS\b|CAD\s*:|B?ILL\s*SENDER|EIN\s*/\s*VAT|"
     r"DESC\d*\s*:|PIECES\b|WAYBILL\b|TRACKING\s*#|FORM\b|FED\s*E?X\.?\s*$|EXPRESS\.?\s*$|\d+(?:\.\d+)?\s*(?:KG|LB)\s+\d+\s*OF\s*\d+).*$"
 )
 NAME_METADATA = r"(?is)\b(?:ACTW\s*S?\s*GT|SHIP\s*DATE|TRK#|SHP#|REF\s*:|CONTACT\s*:?).*$"
@@ -58,7 +58,9 @@ TITLE, PERSON = r"(?i)^(?:Mr\.|Ms\.|Mrs\.|DR\.)\s*", r"(?i)^(?:Mr|Ms|Mrs|Miss|Dr
 ENDING_PHONE = r"[\s\-()]*\+?\d[\d\s\-()]{6,}\d\s*$"
 NUMBERS_ONLY = r"^[\d+\-\s().]+$"
 
-_ANY_COUNTRY = "(?i)" + "|".join(COUNTRY_PATTERNS)
+_LOCALITY = "|".join(["(?i:" + "|".join(COUNTRY_PATTERNS) + ")", CITY_STATE_POSTAL, *(p for p, _ in POSTAL_CODES)])
+_LONG_STATE = r"(?i)\s+(" + "|".join(sorted(LONG_STATES, key=len, reverse=True)) + ")$"
+_COUNTRY_NAMES = [c.upper() for c in dict.fromkeys(COUNTRY_PATTERNS.values())]
 
 
 def strip(c: Column) -> Column:
@@ -74,30 +76,25 @@ def first(lines: Column) -> Column:
     return F.try_element_at(lines, F.lit(1))
 
 
-def until(lines: Column, ends) -> Column:
-    """The lines before the first for which ends holds."""
-    at = F.array_position(F.transform(lines, lambda x: F.coalesce(ends(x), F.lit(False))), F.lit(True)).cast("int")
-    return F.when(at == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))))
-
-
 def after(lines: Column, n: Column) -> Column:
     """The lines that follow the first n."""
     return F.slice(lines, n.cast("int") + 1, F.greatest(F.size(lines) - n.cast("int"), F.lit(0)))
 
 
-def without_metadata(line: Column) -> Column:
-    return strip(F.regexp_replace(line, METADATA, ""))
-
-
-def lines_after(text: Column, start: str, stop: str, most: int) -> Column:
-    """The lines that follow the first match of start, to the first line that matches stop, cut at label words; null if there is none.
+def block_after(text: Column, start: str, end: str) -> Column:
+    """The text from the first match of start to the first line that matches end; null if it is blank.
 
     Blank lines don't end a block: extracted text has them between any two rows.
     """
     tail = F.try_element_at(F.split(text, start, 2), F.lit(2))
-    held = F.filter(F.transform(F.split(tail, "\n"), strip), lambda x: x != "")
-    cut = F.filter(F.transform(until(held, lambda x: x.rlike(stop)), without_metadata), lambda x: x != "")
-    return F.when(F.size(cut) > 0, F.slice(cut, 1, most))
+    block = F.split(tail, rf"(?im)^\s*(?:{end})", 2)[0]
+    return F.when(block.rlike(r"\S"), block)
+
+
+def lines_of(block: Column, most: Column) -> Column:
+    """The first lines of a block that aren't blank, cut at label words."""
+    tidy = strip(F.regexp_replace(F.regexp_replace(block, METADATA, ""), r"\s*\n\s*", "\n"))
+    return F.when(tidy != "", F.slice(F.split(tidy, "\n"), F.lit(1), most))
 
 
 def country(block: Column) -> Column:
@@ -112,10 +109,7 @@ def coded_country(lines: Column) -> Column:
 
 
 def is_locality(line: Column) -> Column:
-    hit = line.rlike(_ANY_COUNTRY) | line.rlike(CITY_STATE_POSTAL)
-    for pattern, _ in POSTAL_CODES:
-        hit |= line.rlike(pattern)
-    return hit
+    return line.rlike(_LOCALITY)
 
 
 def person_or_company(line: Column) -> Column:
@@ -146,47 +140,54 @@ def fixed_form(lines: Column) -> Column:
     return F.coalesce(F.when(dashed.isNotNull(), made(part(3), part(1), part(2))), F.when(beside.isNotNull(), made(F.regexp_extract(beside, POSTAL_CITY, 1), place(beside), F.lit(None).cast("string"))))
 
 
-def _city_above(lines: Column, i: Column) -> Column:
-    """The nearest line above line i that can be a city."""
-    fits = lambda x: ~(is_locality(x) | x.rlike(STREETS) | x.rlike(NUMBERS_ONLY) | x.rlike(FORM_LABELS)) & (x != "")
-    return F.try_element_at(F.filter(F.slice(lines, F.lit(1), i), fits), F.lit(-1))
+def postal_hits(lines: Column, form: Column) -> Column:
+    """code, before and behind (what stands beside it) and i for each line that matches the postal format."""
+    pattern = F.coalesce(*(F.when(form == k, F.lit(p)) for k, (p, _) in enumerate(POSTAL_CODES)))
+    hit = lambda x, i: F.struct(F.regexp_substr(x, pattern).alias("code"), F.split(x, pattern, 2).alias("sides"), i.alias("i"))
+    return F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(x, pattern), hit(x, i))), lambda h: h.isNotNull())
+
 
+def beside_postal(hits: Column, form: Column, lines: Column, local: Column) -> Column:
+    """postal, words before the code, the text behind it, and the nearest line above that can be a city, of each hit.
 
-def postal_candidates(lines: Column, form: Column) -> Column:
-    """postal, city, state and sure for each line that matches the postal format: sure if a state, country or city-state stands beside it.
+    local: whether each of the lines is a locality.
+    """
+    half = F.coalesce(*(F.when(form == k, F.lit(n)) for k, (_, n) in enumerate(POSTAL_CODES)))
+    city = F.transform(F.arrays_zip(lines.alias("line"), local.alias("local")), lambda z: F.when(~(z["local"] | z["line"].rlike(STREETS) | z["line"].rlike(NUMBERS_ONLY) | z["line"].rlike(FORM_LABELS)), z["line"]))
+
+    def parts(h: Column) -> Column:
+        bare = F.regexp_replace(h["code"], r"\s+", "")
+        code = F.when(half == 0, F.regexp_extract(bare, r"\d{4,6}", 0)).otherwise(F.concat_ws(" ", F.left(bare, F.length(bare) - half), F.right(bare, half)))
+        before = F.regexp_replace(h["sides"][0], r"^[ ,.]+|[ ,.]+$", "")
+        words = F.filter(F.split(before, r"[,\s]+"), lambda w: w != "")
+        above = F.when(~before.rlike(r"[^,\s][,\s]+[^,\s]"), F.try_element_at(F.array_compact(F.slice(city, F.lit(1), h["i"])), F.lit(-1)))
+        return F.struct(code.alias("postal"), words.alias("words"), F.regexp_replace(h["sides"][1], r"^[ ,.-]+|[ ,.-]+$", "").alias("behind"), above.alias("above"))
+
+    return F.transform(hits, parts)
+
+
+def postal_candidates(parts: Column) -> Column:
+    """postal, city, state and sure of each hit: sure if a state, country or city-state stands beside the code.
 
     What stands before the code is city and state; a lone word there is the state, and the city a line above. A city may
     also follow the code.
     """
-    pattern = F.coalesce(*(F.when(form == k, F.lit(p)) for k, (p, _) in enumerate(POSTAL_CODES)))
-    half = F.coalesce(*(F.when(form == k, F.lit(n)) for k, (_, n) in enumerate(POSTAL_CODES)))
-    long_state = r"(?i)\s+(" + "|".join(sorted(LONG_STATES, key=len, reverse=True)) + ")$"
     none = F.lit(None).cast("string")
-    countries = [c.upper() for c in dict.fromkeys(COUNTRY_PATTERNS.values())]
-
-    def candidate(line: Column, i: Column) -> Column:
-        hit = F.regexp_replace(F.regexp_substr(line, pattern), r"\s+", "")
-        code = F.when(half == 0, F.regexp_extract(hit, r"\d{4,6}", 0)).otherwise(F.concat_ws(" ", F.left(hit, F.length(hit) - half), F.right(hit, half)))
-        parts = F.split(line, pattern, 2)
-        before = F.regexp_replace(parts[0], r"^[ ,.]+|[ ,.]+$", "")
-        behind = F.regexp_replace(parts[1], r"^[ ,.-]+|[ ,.-]+$", "")
-        words = F.filter(F.split(before, r"[,\s]+"), lambda w: w != "")
-        n, head, last = F.size(words), F.upper(F.try_element_at(words, F.lit(1))), F.try_element_at(words, F.lit(-1))
-        city_behind = (n == 0) & (before == "") & behind.rlike(r"^[A-Za-z][A-Za-z\s]{1,40}$") & ~behind.rlike(STREETS) & ~behind.rlike(FORM_LABELS) & ~F.rlike(behind, pattern)
-        above = _city_above(lines, i)
-        named, lone_state = F.regexp_replace(above, long_state, ""), F.when(~head.isin(countries), last)
-        found = lambda city, state, sure: F.struct(code.alias("postal"), city.alias("city"), state.alias("state"), sure.alias("sure"))
+
+    def candidate(p: Column) -> Column:
+        n, head, last = F.size(p["words"]), F.upper(F.try_element_at(p["words"], F.lit(1))), F.try_element_at(p["words"], F.lit(-1))
+        city_behind = (n == 0) & p["behind"].rlike(r"^[A-Za-z][A-Za-z\s]{1,40}$") & ~p["behind"].rlike(STREETS) & ~p["behind"].rlike(FORM_LABELS)
+        long_state = F.nullif(F.initcap(F.regexp_extract(p["above"], _LONG_STATE, 1)), F.lit(""))
+        found = lambda city, state, sure: F.struct(p["postal"].alias("postal"), city.alias("city"), state.alias("state"), sure.alias("sure"))
         return (
-            F.when(city_behind, found(title(behind), none, F.lit(True)))
-            .when((n >= 2) & head.isin(*CITY_STATES), found(F.try_element_at(words, F.lit(1)), none, F.lit(True)))
-            .when(n >= 2, found(F.array_join(F.slice(words, F.lit(1), n - 1), " "), last, F.upper(last).isin(*STATE_WORDS)))
-            .when((n == 1) & head.isin(*CITY_STATES) & head.isin(countries), found(last, none, F.lit(True)))
-            .when(n == 1, found(named, F.coalesce(F.nullif(F.initcap(F.regexp_extract(above, long_state, 1)), F.lit("")), lone_state), head.isin(countries)))
+            F.when(city_behind, found(title(p["behind"]), none, F.lit(True)))
+            .when((n >= 1) & head.isin(*CITY_STATES) & ((n > 1) | head.isin(_COUNTRY_NAMES)), found(F.try_element_at(p["words"], F.lit(1)), none, F.lit(True)))
+            .when(n >= 2, found(F.array_join(F.slice(p["words"], F.lit(1), n - 1), " "), last, F.upper(last).isin(*STATE_WORDS)))
+            .when(n == 1, found(F.regexp_replace(p["above"], _LONG_STATE, ""), F.coalesce(long_state, F.when(~head.isin(_COUNTRY_NAMES), last)), head.isin(_COUNTRY_NAMES)))
             .otherwise(found(none, none, F.lit(False)))
         )
 
-    held = F.transform(lines, lambda x, i: F.when(F.rlike(x, pattern), candidate(x, i)))
-    return F.filter(held, lambda x: x.isNotNull())
+    return F.transform(parts, candidate)
 
 
 def surest(candidates: Column) -> Column:

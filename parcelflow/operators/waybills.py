@@ -17,73 +17,86 @@ SCORED = (
     "carrier", "carrier_tracking_number", "actual_weight", "contents",
 )
 # The blocks of each layout as (start, end, most lines), in the order in which they are tried.
-_ORIGIN = (r"(?i)ORIGIN\s*ID[:\s]*\S*\s*", r"(?i)^(?:SHIP\s*DATE|TO\s+[A-Z]|TRK#|REF\s*:)", 7)
-_TO_END = r"(?i)^(?:ACTWGT|TRK#|DIMS\b|DESC\d|FROM\s|REF\s*:)"
-_TO = ((r"(?i)(?:^|\n)TO\s+", _TO_END, 8), (r"(?i)(?:^|\n)TO(?=[A-Z]{2,})", _TO_END, 8))
-_FROM_COLON = ((r"(?i)From\s*:\s*", r"(?i)^(?:To|Receiver)\s*:", 8), (r"(?i)Shipper\s*:\s*", r"(?i)^Receiver\s*:", 8))
-_TO_COLON = (
-    (r"(?i)(?:^|\n)To\s*:\s*", r"(?i)^(?:Origin\s*:|HKGO|SINO|CVGH)", 7),
-    (r"(?i)Receiver\s*:\s*", r"(?i)^(?:Shipper\s*:|WAYBILL|TRK#|TRACKING|SINO|HKGO|CVGH|Product\s*Details|Payer\s*Details|Shipment\s*Details)", 9),
-)
-_SHIP_TO = (r"(?i)SHIP\s*TO:\s*", r"(?i)^(?:BILLING|Reference\s*No|TRACKING\s*#)", 8)
-_SENDER_ENDS, _WEIGHT_LINE = r"(?i)SHIP\s*TO:", r"(?i)^[0-9.]+\s*(KG|LB|OF)"
-
-
-def _top_block(text: Column) -> Column:
-    """Lines above SHIP TO, at most ten."""
-    held = F.filter(F.transform(F.split(F.split(text, _SENDER_ENDS, 2)[0], "\n"), a.strip), lambda x: (x != "") & ~x.rlike(_WEIGHT_LINE))
-    cut = F.filter(F.transform(held, a.without_metadata), lambda x: x != "")
-    return F.when(text.rlike(_SENDER_ENDS) & (F.size(cut) > 0), F.slice(cut, 1, 10))
-
-
-def _blocks(text: Column, layout: Column) -> dict[str, Column]:
-    some = lambda forms: F.coalesce(*(a.lines_after(text, *form) for form in forms))
-    long_enough = lambda lines: F.when(F.length(F.array_join(lines, "\n")) > 5, lines)
-    origin = a.lines_after(text, *_ORIGIN)
-    origin = F.when(a.first(origin).rlike(r"^\d{6,14}$"), a.after(origin, F.lit(1))).otherwise(origin)
-    shipper = F.coalesce(long_enough(a.lines_after(text, *_FROM_COLON[0])), a.lines_after(text, *_FROM_COLON[1]))
-    ship_to = a.lines_after(text, *_SHIP_TO)
-    return {
-        "from_lines": F.when(layout == "FedEx", origin).when(layout == "DHL", shipper).when(layout == "UPS", _top_block(text)).otherwise(F.coalesce(shipper, origin, _top_block(text))),
-        "to_lines": F.when(layout == "FedEx", some(_TO)).when(layout == "DHL", some(_TO_COLON)).when(layout == "UPS", ship_to).otherwise(F.coalesce(some(_TO_COLON), some(_TO), ship_to)),
-    }
+_TO_END = r"ACTWGT|TRK#|DIMS\b|DESC\d|FROM\s|REF\s*:"
+_FROM = {
+    "ORIGIN": (r"(?i)ORIGIN\s*ID[:\s]*\S*\s*", r"SHIP\s*DATE|TO\s+[A-Z]|TRK#|REF\s*:", 7),
+    "From": (r"(?i)From\s*:\s*", r"(?:To|Receiver)\s*:", 8),
+    "Shipper": (r"(?i)Shipper\s*:\s*", r"Receiver\s*:", 8),
+}
+_TO = {
+    "TO": (r"(?i)(?:^|\n)TO\s+", _TO_END, 8),
+    "TO joined": (r"(?i)(?:^|\n)TO(?=[A-Z]{2,})", _TO_END, 8),
+    "To": (r"(?i)(?:^|\n)To\s*:\s*", r"Origin\s*:|HKGO|SINO|CVGH", 7),
+    "Receiver": (r"(?i)Receiver\s*:\s*", r"Shipper\s*:|WAYBILL|TRK#|TRACKING|SINO|HKGO|CVGH|Product\s*Details|Payer\s*Details|Shipment\s*Details", 9),
+    "SHIP TO": (r"(?i)SHIP\s*TO:\s*", r"BILLING|Reference\s*No|TRACKING\s*#", 8),
+}
+_STEPS = ("block", "lines", "own", "at", "skip", "form", "named", "local", "fixed", "hits", "parts", "found", "place", "kept")
+_SENDER_ENDS, _WEIGHT_LINE = r"(?i)SHIP\s*TO:", r"(?im)^\s*[0-9.]+\s*(KG|LB|OF).*$"
+_TRIED = {
+    "FedEx": (("ORIGIN",), ("TO", "TO joined")),
+    "DHL": (("From", "Shipper"), ("To", "Receiver")),
+    "UPS": (("top",), ("SHIP TO",)),
+    None: (("From", "Shipper", "ORIGIN", "top"), ("To", "Receiver", "TO", "TO joined", "SHIP TO")),
+}
+
+
+def _block(text: Column, kind: str) -> Column:
+    """block and most (lines) of a kind; null if there is none."""
+    if kind == "top":  # all above SHIP TO
+        block, most = F.when(text.rlike(_SENDER_ENDS), F.regexp_replace(F.split(text, _SENDER_ENDS, 2)[0], _WEIGHT_LINE, "")), 10
+    else:
+        start, end, most = (_FROM | _TO)[kind]
+        block = a.block_after(text, start, end)
+    if kind == "ORIGIN":  # an account number may come first
+        block = F.regexp_replace(block, r"^\s*\d{6,14}\s*\n", "")
+    wanted = F.length(a.strip(block)) > (5 if kind == "From" else 0)
+    return F.when(wanted, F.struct(block.alias("block"), F.lit(most).alias("most")))
+
+
+def _blocks(text: Column, layout: Column, side: int) -> Column:
+    tried = {name: F.coalesce(*(_block(text, k) for k in kinds[side])) for name, kinds in _TRIED.items()}
+    return F.when(layout == "FedEx", tried["FedEx"]).when(layout == "DHL", tried["DHL"]).when(layout == "UPS", tried["UPS"]).otherwise(tried[None])
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
-    """side_name, side_rest (lines after the name, repeats of it left out) and, for the receiver, receiver_attention."""
-    own = F.filter(f"{side}_lines", lambda x: (F.length(x) > 1) & ~x.rlike(r"(?i)^Contact\s*:"))
-    df = df.withColumn(f"{side}_own", own)
-    at = F.array_position(F.transform(f"{side}_own", a.starts_block), F.lit(True))
-    line = F.when(at > 0, F.try_element_at(f"{side}_own", at.cast("int")))
-    df = df.withColumns({f"{side}_name": F.nullif(a.person_or_company(line), F.lit("")), f"{side}_rest": a.after(F.col(f"{side}_own"), at)})
-    repeats = F.array_position(F.transform(f"{side}_rest", lambda x: F.upper(F.regexp_replace(x, a.TITLE, "")).eqNullSafe(F.upper(f"{side}_name"))), F.lit(False))
-    rest = F.col(f"{side}_rest")
-    df = df.withColumn(f"{side}_rest", a.after(rest, F.when(repeats == 0, F.size(rest)).otherwise(repeats - 1)))
-    if side != "to":
-        return df
-    person = F.when(F.col("to_name").isNotNull() & a.first(F.col("to_rest")).rlike(a.PERSON), a.first(F.col("to_rest")))
-    return df.withColumn("receiver_attention", person).withColumn("to_rest", a.after(F.col("to_rest"), F.when(F.col("receiver_attention").isNotNull(), 1).otherwise(0)))
+    """side_own (lines that count), side_name, side_skip (lines before the address) and, for the receiver, receiver_attention."""
+    df = df.withColumn(f"{side}_own", F.filter(f"{side}_lines", lambda x: (F.length(x) > 1) & ~x.rlike(r"(?i)^Contact\s*:")))
+    own, name = F.col(f"{side}_own"), F.col(f"{side}_name")
+    df = df.withColumn(f"{side}_at", F.array_position(F.transform(own, a.starts_block), F.lit(True)).cast("int"))
+    at = F.col(f"{side}_at")
+    df = df.withColumn(f"{side}_name", F.nullif(a.person_or_company(F.when(at > 0, F.try_element_at(own, at))), F.lit("")))
+    differs = F.array_position(F.transform(a.after(own, at), lambda x: F.upper(F.regexp_replace(x, a.TITLE, "")).eqNullSafe(F.upper(name))), F.lit(False)).cast("int")
+    df = df.withColumn(f"{side}_skip", F.when(differs == 0, F.size(own)).otherwise(at + differs - 1))
+    if side == "to":  # a person under the name
+        following = F.try_element_at(own, F.col("to_skip") + 1)
+        df = df.withColumn("receiver_attention", F.when(name.isNotNull() & following.rlike(a.PERSON), following))
+        df = df.withColumn("to_skip", F.col("to_skip") + F.when(F.col("receiver_attention").isNotNull(), 1).otherwise(0))
+    return df
 
 
 def _placed(df: DataFrame, side: str) -> DataFrame:
     """side_country, side_postal, side_city, side_state and side_address."""
-    lines, block = F.col(f"{side}_lines"), F.array_join(f"{side}_lines", "\n")
+    c = lambda name: F.col(f"{side}_{name}")
+    lines, own, block = c("lines"), c("own"), F.array_join(c("lines"), "\n")
     coded = F.when(F.col("layout") == "FedEx", a.coded_country(lines))
-    df = df.withColumns({f"{side}_form": a.postal_format(lines), f"{side}_country": F.coalesce(a.country(block), coded)})
-    df = df.withColumn(f"{side}_at", F.coalesce(a.fixed_form(lines), a.surest(a.postal_candidates(lines, F.col(f"{side}_form")))))
-    at, own = F.col(f"{side}_at"), F.col(f"{side}_own")
+    df = df.withColumns({f"{side}_form": a.postal_format(own), f"{side}_named": a.country(block), f"{side}_local": F.transform(own, a.is_locality)})
+    df = df.withColumns({f"{side}_fixed": a.fixed_form(own), f"{side}_hits": a.postal_hits(own, c("form"))})
+    df = df.withColumn(f"{side}_parts", a.beside_postal(c("hits"), c("form"), own, c("local")))
+    df = df.withColumn(f"{side}_found", a.postal_candidates(c("parts")))
+    df = df.withColumn(f"{side}_place", F.coalesce(c("fixed"), a.surest(c("found"))))
+    place = c("place")
     hong_kong = F.array_position(F.transform(own, lambda x: x.rlike(r"(?i)HONG\s*KONG")), F.lit(True)).cast("int")
-    above = F.regexp_replace(F.when(hong_kong > 1, F.try_element_at(own, hong_kong - 1)), r"[\-\s]+$", "")
-    city = F.coalesce(F.nullif(at["city"], F.lit("")), F.when((a.country(block) == "Hong Kong") & ~above.rlike(a.STREETS), F.nullif(above, F.lit(""))))
-    df = df.withColumn(f"{side}_city", a.title(city))
-    kept = F.slice(a.until(F.slice(f"{side}_rest", 1, 8), a.is_locality), 1, 5)
-    kept = F.filter(kept, lambda x: ~F.coalesce(a.letters(x) == a.letters(F.col(f"{side}_city")), F.lit(False)))
-    postal = F.when(at["postal"].rlike(r"^[A-Z]\d[A-Z]"), F.regexp_replace(at["postal"], r"\s+", "")).otherwise(at["postal"])
+    above = F.when(c("named") == "Hong Kong", F.regexp_replace(F.when(hong_kong > 1, F.try_element_at(own, hong_kong - 1)), r"[\-\s]+$", ""))
+    df = df.withColumn(f"{side}_city", a.title(F.coalesce(F.nullif(place["city"], F.lit("")), F.when(~above.rlike(a.STREETS), F.nullif(above, F.lit(""))))))
+    ends = F.array_position(F.slice(c("local"), c("skip") + 1, F.lit(8)), F.lit(True)).cast("int")
+    kept = F.slice(own, c("skip") + 1, F.when(ends > 0, F.least(ends - 1, F.lit(5))).otherwise(5))
+    df = df.withColumn(f"{side}_kept", F.filter(kept, lambda x: ~F.coalesce(a.letters(x) == a.letters(c("city")), F.lit(False))))
     return df.withColumns(
         {
-            f"{side}_address": F.nullif(F.array_join(kept, ", "), F.lit("")),
-            f"{side}_postal": postal,
-            f"{side}_state": F.coalesce(a.short_state(at["state"]), labels.found(block, a.STATES)),
+            f"{side}_country": F.coalesce(c("named"), coded),
+            f"{side}_address": F.nullif(F.array_join(c("kept"), ", "), F.lit("")),
+            f"{side}_postal": F.when(place["postal"].rlike(r"^[A-Z]\d[A-Z]"), F.regexp_replace(place["postal"], r"\s+", "")).otherwise(place["postal"]),
+            f"{side}_state": F.coalesce(a.short_state(place["state"]), labels.found(block, a.STATES)),
         }
     )
 
@@ -103,14 +116,16 @@ def _contacts(layout: Column) -> dict[str, Column]:
 def records(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with the fields of their text, field_score and warnings. A null or empty text gives the blank record."""
     df = documents.withColumn("body", F.coalesce(labels.before_legal(F.col(text)), F.lit(""))).withColumn("layout", labels.layout(F.col("body")))
-    df = df.withColumns({**_blocks(F.col("body"), F.col("layout")), "phones": labels.phones(F.col("body"))})
-    for side in ("from", "to"):
+    df = df.withColumn("phones", labels.phones(F.col("body")))
+    for k, side in enumerate(("from", "to")):
+        df = df.withColumn(f"{side}_block", _blocks(F.col("body"), F.col("layout"), k))
+        df = df.withColumn(f"{side}_lines", a.lines_of(F.col(f"{side}_block.block"), F.col(f"{side}_block.most")))
         df = _placed(_named(df, side), side)
     body, layout = F.col("body"), F.col("layout")
     df = df.withColumns({**labels.fields(body, layout, F.col("phones")), **_contacts(layout)})
     lacking = [F.when(is_blank(F.col(c)), f"{what} not detected") for c, what in (("carrier_tracking_number", "Tracking number"), ("to_name", "Receiver name"), ("to_country", "Destination country"))]
     df = df.withColumns({"field_score": field_score([F.col(c) for c in SCORED]), "warnings": F.array_compact(F.array(*lacking))})
-    return df.drop("body", "layout", "phones", *(f"{s}_{c}" for s in ("from", "to") for c in ("lines", "own", "rest", "form", "at")))
+    return df.drop("body", "layout", "phones", *(f"{s}_{c}" for s in ("from", "to") for c in _STEPS))
 
 
 def fill_gaps(primary: DataFrame, fallback: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
