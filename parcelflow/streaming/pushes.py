@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.carriers import STATUSES_A, STATUSES_B, map_status
 from ..operators.events import RANKS
 
 PUSH = "number string, events array<struct<seq: long, ts: string, status: string, location: string>>"
@@ -54,3 +55,31 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events by hour and status, late ones within the watermark included."""
     timed = events.withColumn("at", F.to_timestamp("ts")).withWatermark("at", late)
     return timed.groupBy(F.window("at", "1 hour").alias("hour"), "status").agg(F.count("*").alias("events"))
+
+
+# The payloads of the two vendors.
+_A = "data struct<tracking_number: string, delivery_status: string, origin_info: struct<trackinfo: array<struct<checkpoint_date: string, tracking_detail: string, location: string>>>>"
+_B = (
+    "event string, data struct<number: string, track_info: struct<latest_status: struct<status: string>,"
+    " tracking: struct<providers: array<struct<events: array<struct<time_iso: string, description: string, location: string>>>>>>>"
+)
+MOST = 20
+
+
+def payloads(lines: DataFrame, vendor: str) -> DataFrame:
+    """number, current (canonical status) and events (oldest first, at most MOST) of vendor A's or B's JSON lines.
+
+    Works on streams and tables. Lines without a number, and B's that aren't updates, go; events may be missing.
+    """
+    read = F.from_json("value", _A if vendor == "A" else _B)
+    pushed = lines.select(read.alias("p"))
+    if vendor == "A":
+        number, latest, told = F.col("p.data.tracking_number"), map_status(F.col("p.data.delivery_status"), STATUSES_A), F.col("p.data.origin_info.trackinfo")
+        names = ("checkpoint_date", "tracking_detail", "location")
+    else:
+        pushed = pushed.where("p.event = 'TRACKING_UPDATED'")
+        number, latest = F.col("p.data.number"), map_status(F.col("p.data.track_info.latest_status.status"), STATUSES_B)
+        told, names = F.try_element_at("p.data.track_info.tracking.providers", F.lit(1))["events"], ("time_iso", "description", "location")
+    event = lambda e: F.struct(e[names[0]].alias("ts"), F.trim(e[names[1]]).alias("status"), F.trim(F.coalesce(e[names[2]], F.lit(""))).alias("location"))
+    events = F.slice(F.transform(F.reverse(F.coalesce(told, F.array())), event), 1, MOST)
+    return pushed.where(number != "").select(number.alias("number"), latest.alias("current"), events.alias("events"))

@@ -5,8 +5,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from parcelflow.functions import carriers, labels, validation, values
-from parcelflow.operators import changes, layout
+from parcelflow.functions import carriers, labels, messages, validation, values
+from parcelflow.operators import changes, layout, waybills
 from parcelflow.sources import uploads
 from parcelflow.streaming import pushes
 
@@ -88,3 +88,47 @@ def test_pushes_sent_again_change_nothing(spark, tmp_path):
     q.awaitTermination(120)
     last = spark.table("states").orderBy(F.desc("n_events")).first()
     assert (last.tracking_status, last.status, last.n_events) == ("Information Received", "Delivered", 4)
+
+
+WAYBILLS = [
+    (1, "EXPRESS WORLDWIDE\nShipper : SENDER ONE\n\nSENDER ONE\nUNIT 1\nCHENNAI-TN-600018\nIndia\nReceiver : RECEIVER ONE Contact: 1\nMs. Some Person\n2 TEST AVE\nSINGAPORE SG 768161\nWAYBILL 00 0000 0001\n13.50 KG\n9/3 1/2"),
+    (2, "TRK# 0000 0000 0001\nORIGIN ID:MAAA 0000000001\n7010353043\n12 LONG ROAD\nSHIP DATE: 02JAN00\nTOSWETHA K 16136971929\nUNIT 5\nOTTAWA ONTARIO K1G 4B5\n(CA)\nFROM X"),
+    (3, "nothing *37294289760* EXP 971566902667"),
+    (4, None),
+    (5, " \n "),
+    (6, "x" * 100_000),
+]
+
+
+def test_waybills_of_odd_layouts(spark):
+    found = {r.id: r for r in waybills.records(spark.createDataFrame(WAYBILLS, "id int, text string")).collect()}
+    one, two, three = found[1], found[2], found[3]
+    assert (one.from_name, one.from_address, one.from_city, one.from_state, one.from_postal, one.from_country) == ("SENDER ONE", "UNIT 1", "Chennai", "TN", "600018", "India")
+    assert (one.to_name, one.receiver_attention, one.to_address, one.to_city, one.to_state, one.to_postal, one.to_country) == ("RECEIVER ONE", "Ms. Some Person", "2 TEST AVE", "Singapore", None, "768161", "Singapore")
+    assert (one.carrier_tracking_number, one.actual_weight, one.pieces) == ("0000000001", 13.5, 2)
+    assert (two.from_name, two.from_address) == (None, "12 LONG ROAD")
+    assert (two.to_name, two.to_city, two.to_state, two.to_postal, two.to_country, two.to_contact) == ("SWETHA K", "Ottawa", "ON", "K1G4B5", "Canada", None)
+    assert (three.carrier, three.carrier_tracking_number) == ("Aramex", "37294289760")
+    for k in (4, 5, 6):
+        assert found[k].field_score == 0.0 and found[k].pieces == 1 and len(found[k].warnings) == 3
+
+
+def test_texts_for_people(spark):
+    assert one(spark, "string", "Abc", messages.password_errors) == ["Must be at least 10 characters", "Must contain a number", "Must contain a symbol"]
+    assert one(spark, "string", '```json\n{"a": 1}\n```', messages.without_fence) == '{"a": 1}\n'
+    assert one(spark, "double", 1200.5, lambda c: messages.value_cell(c, F.lit(None).cast("string"))) == "INR 1,200.5"
+    assert one(spark, "double", 5.0, lambda c: messages.weight_cell(F.lit(None).cast("double"), c, F.lit(""))) == "5 kg"
+    assert one(spark, "double", None, lambda c: messages.weight_cell(c, c, F.lit("kg"))) == "—"
+    assert one(spark, "timestamp", datetime.datetime(2024, 1, 1), lambda c: messages.expired(c, F.lit("2024-04-01").cast("timestamp"))) is True
+
+
+def test_gaps_alone_are_filled(spark):
+    a = spark.createDataFrame([(1, "", 2.0), (2, "x", None)], "id int, name string, w double")
+    b = spark.createDataFrame([(1, "n", 9.0)], "id int, name string, w double")
+    assert sorted(tuple(r) for r in waybills.fill_gaps(a, b, "id", ("name", "w")).collect()) == [(1, "n", 2.0), (2, "x", None)]
+
+
+def test_payloads_without_events_or_number(spark):
+    lines = ['{"data": {"tracking_number": "N1", "delivery_status": "transit"}}', '{"data": {"delivery_status": "transit"}}', "nonsense", None]
+    got = pushes.payloads(spark.createDataFrame([(x,) for x in lines], "value string"), "A").collect()
+    assert [(r.number, r.current, r.events) for r in got] == [("N1", "In Transit", [])]
