@@ -18,6 +18,9 @@ from parcelflow.llm.near_duplicates import keep_one_of_each
 from parcelflow.llm.pieces import piece_digest
 from parcelflow.llm.quality import keep_clean
 
+#: The similarity in percent from which the pipeline takes documents for near duplicates; operator 2's own is 85.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -30,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one_of_each(docs)
+    """One document of each group of near duplicates: shingles of five words, a similarity of 0.8 or more."""
+    return keep_one_of_each(docs, NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

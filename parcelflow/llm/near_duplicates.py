@@ -2,17 +2,18 @@
 
 1. Each document's set of five-word shingles is hashed to 64 bits; documents with equal sets form one class, and only
    the class's smallest doc_id goes on.
-2. A class gets HASHES minima of b = 16 bits. Its signature is cut into CHUNKS chunks. Two signatures that differ in at
-   most RADIUS = 2 * CHUNKS - 1 minima have, by the pigeonhole principle, a chunk with at most one error. So each chunk
-   gives a key for every position that may be wrong (the position left out), and equal keys find all such pairs.
-3. Pairs that share a key are held against RADIUS. A key with many members isn't unfolded into all pairs: blocks of it
-   meet in tasks, which return only a spanning forest of the pairs within RADIUS.
+2. A class gets HASHES minima of b = 16 bits. Its signature is cut into chunks. Two signatures that differ in at most
+   radius = 2 * chunks - 1 minima have, by the pigeonhole principle, a chunk with at most one error. So each chunk gives
+   a key for every position that may be wrong (the position left out), and equal keys find all such pairs.
+3. Pairs that share a key are held against the radius. A key with many members isn't unfolded into all pairs: blocks of it
+   meet in tasks, which return only a spanning forest of the pairs within it.
 4. Classes linked that way form clusters. Each cluster's full shingle sets meet once (large clusters in pairs of
    blocks), and only pairs that pass on the full sets link documents. Components of these links are the result.
 
-At the similarity of 0.85 a minimum differs with probability 0.15, so more than 23 of 64 differ with probability 6e-6;
-that is the share of links that the signatures can lose, and a document with several links loses its component more
-rarely still. Shingles are compared by 64-bit hash.
+The number of chunks follows from the similarity asked for, so that a pair just at it differs in more minima than the
+radius with probability LOST at most: at 0.85, where a minimum differs with probability 0.15, 12 chunks and more than 23
+of 64 with 8.8e-6; at 0.80, 15 chunks and more than 29 with 1.2e-6. That is the share of links that the signatures can
+lose, and a document with several links loses its component more rarely still. Shingles are compared by 64-bit hash.
 
 Defined results. Null and empty texts, and texts without words, have an empty set and stand alone. Fewer than five
 words form one shingle. Rows with a null doc_id get a null component and kept = true. Rows that repeat a doc_id count
@@ -22,6 +23,7 @@ as one document that has each of their texts. Columns besides doc_id and text ar
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 
 import numpy as np
@@ -33,8 +35,9 @@ from .common import cut
 from .components import components, grouped
 from .token_files import slices
 
-HASHES, CHUNKS = 64, 12
-RADIUS = 2 * CHUNKS - 1
+HASHES = 64
+#: The share of links at the similarity asked for that signatures may lose; and the least similarity in percent.
+LOST, LEAST_PERCENT = 1e-5, 80
 #: Keys with up to so many members give all their pairs; beyond, blocks of so many meet.
 SMALL_KEY, KEY_BLOCK = 16, 2048
 #: Clusters are checked in blocks of so many classes.
@@ -154,8 +157,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_print binary, signature binary")
 
 
-def _chunks() -> list[tuple[int, int]]:
-    edges = [round(k * HASHES / CHUNKS) for k in range(CHUNKS + 1)]
+@cache
+def chunks_for(percent: int) -> int:
+    """The least number of chunks whose radius loses LOST of the pairs at the similarity of percent, or fewer."""
+    wrong = 1 - percent / 100
+    beyond = lambda least: sum(math.comb(HASHES, k) * wrong**k * (1 - wrong) ** (HASHES - k) for k in range(least, HASHES + 1))
+    return next(n for n in range(1, HASHES // 2 + 1) if beyond(2 * n) <= LOST)
+
+
+def _chunks(many: int) -> list[tuple[int, int]]:
+    edges = [round(k * HASHES / many) for k in range(many + 1)]
     return list(zip(edges, edges[1:], strict=False))
 
 
@@ -163,29 +174,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES)
 
 
-def _key_batches(batches):
-    """The keys of each signature: a chunk, the position in it that may be wrong, and the other minima."""
-    with np.errstate(over="ignore"):
+def _key_batches(chunks: int):
+    def run(batches):
+        """The keys of each signature: a chunk, the position in it that may be wrong, and the other minima."""
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                marks = _matrix(batch.column(1)).astype(np.uint64)
+                keys = []
+                for c, (a, b) in enumerate(_chunks(chunks)):
+                    for wrong in range(a, b):
+                        key = np.full(len(marks), 1 + c * HASHES + wrong, np.uint64)
+                        for k in range(a, b):
+                            if k != wrong:
+                                key = _mix(key * _BASE + marks[:, k])
+                        keys.append(key)
+                flat = np.stack(keys, 1).astype(np.int64, copy=False).ravel() if len(marks) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * HASHES), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
+
+    return run
+
+
+def _near_batches(radius: int):
+    def run(batches):
+        """Pairs whose signatures differ in at most radius minima."""
         for batch in batches:
-            marks = _matrix(batch.column(1)).astype(np.uint64)
-            keys = []
-            for c, (a, b) in enumerate(_chunks()):
-                for wrong in range(a, b):
-                    key = np.full(len(marks), 1 + c * HASHES + wrong, np.uint64)
-                    for k in range(a, b):
-                        if k != wrong:
-                            key = _mix(key * _BASE + marks[:, k])
-                    keys.append(key)
-            flat = np.stack(keys, 1).astype(np.int64, copy=False).ravel() if len(marks) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * HASHES), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
-
-
-def _near_batches(batches):
-    """Pairs whose signatures differ in at most RADIUS minima."""
-    for batch in batches:
-        near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1) <= RADIUS
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+            near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1) <= radius
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 class _Forest:
@@ -205,18 +222,21 @@ class _Forest:
         return x != y
 
 
-def _key_forest(frame):
-    """A spanning forest of the pairs within RADIUS of one key's members (or of two blocks of them)."""
-    import pandas as pd
+def _key_forest(radius: int):
+    def run(frame):
+        """A spanning forest of the pairs within radius of one key's members (or of two blocks of them)."""
+        import pandas as pd
+
+        frame = frame.drop_duplicates("id").sort_values("id")
+        ids, marks = frame["id"].to_numpy(), np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), HASHES)
+        forest, kept = _Forest(len(ids)), []
+        for i in range(len(ids) - 1):
+            for j in (np.flatnonzero((marks[i + 1 :] != marks[i]).sum(1) <= radius) + i + 1).tolist():
+                if forest.join(i, j):
+                    kept.append((ids[i], ids[j]))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
-    frame = frame.drop_duplicates("id").sort_values("id")
-    ids, marks = frame["id"].to_numpy(), np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), HASHES)
-    forest, kept = _Forest(len(ids)), []
-    for i in range(len(ids) - 1):
-        for j in (np.flatnonzero((marks[i + 1 :] != marks[i]).sum(1) <= RADIUS) + i + 1).tolist():
-            if forest.join(i, j):
-                kept.append((ids[i], ids[j]))
-    return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+    return run
 
 
 def block_pairs(rows: DataFrame, keys: list[str], size, block: int) -> DataFrame:
@@ -225,9 +245,10 @@ def block_pairs(rows: DataFrame, keys: list[str], size, block: int) -> DataFrame
     return blocks.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("own", "other", "blocks")
 
 
-def signature_links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of classes(id, signature) within RADIUS."""
-    keyed = classes.select("id", "signature").mapInArrow(_key_batches, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+def signature_links(classes: DataFrame, chunks: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of classes(id, signature) within the radius of chunks."""
+    radius = 2 * chunks - 1
+    keyed = classes.select("id", "signature").mapInArrow(_key_batches(chunks), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1 and a < b"))
     many = cut(keyed.join(shared.where("n > 2").select("key", "n"), "key").select("key", "n", "id"))
     small = many.where(F.col("n") <= SMALL_KEY).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("ids").distinct()
@@ -235,9 +256,9 @@ def signature_links(classes: DataFrame) -> DataFrame:
     pairs = shared.where("n = 2").select("a", "b").union(unfolded).distinct()
     marks = classes.select("id", "signature")
     both = pairs.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("mark_a")), "a").join(marks.select(F.col("id").alias("b"), F.col("signature").alias("mark_b")), "b")
-    near = both.select("a", "b", "mark_a", "mark_b").mapInArrow(_near_batches, "a long, b long")
+    near = both.select("a", "b", "mark_a", "mark_b").mapInArrow(_near_batches(radius), "a long, b long")
     large = block_pairs(many.where(F.col("n") > SMALL_KEY), ["key"], F.col("n"), KEY_BLOCK).join(marks, "id")
-    return near.union(large.groupBy("key", "b1", "b2").applyInPandas(_key_forest, "a long, b long"))
+    return near.union(large.groupBy("key", "b1", "b2").applyInPandas(_key_forest(radius), "a long, b long"))
 
 
 def _set_batches(batches):
@@ -292,12 +313,12 @@ def _cluster_links(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
-    if percent < 85:
-        raise ValueError("RADIUS is chosen for a similarity of 0.85 or more")
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"chunks are for a similarity of {LEAST_PERCENT} to 100 percent")
     found = cut(sketches(docs))
     known = found.where("doc_id is not null and set_print is not null")
     classes = cut(known.groupBy("set_print").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")))
-    clusters = components(signature_links(classes)).select("id", F.col("component").alias("cluster"))
+    clusters = components(signature_links(classes, chunks_for(percent))).select("id", F.col("component").alias("cluster"))
     members = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(clusters, "id").select("cluster", "id", "text").mapInArrow(_set_batches, "cluster long, id long, shingles binary")
     sized = members.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
     meeting = block_pairs(sized, ["cluster"], F.col("members"), CLUSTER_BLOCK).select("cluster", "b1", "b2", "id", "shingles")
