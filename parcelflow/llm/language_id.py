@@ -4,10 +4,14 @@
    one space): logarithmic counts times idf, scaled to length 1.
 2. The classifier is fitted on a bounded sample of labelled rows: about SAMPLE rows of each language, drawn by a hash of
    doc_id and text. idf comes from the sample; each language's vectors are clustered into up to CENTROIDS centroids by
-   spherical k-means. This bound holds at every size; a language with fewer rows is fitted on all of them.
+   spherical k-means. A centroid that has less than FEW of its language's rows is left out: a row or two under a wrong
+   label would teach another language. This bound holds at every size; a language with fewer rows is fitted on all of
+   them.
 3. A text gets the language of the centroid with the largest cosine, its score. A text is rejected if it has no letter,
-   or if that cosine is less than the language's threshold: SLACK times the least cosine of the sample's own rows, FAR
-   at most, so that very short texts of a known language stay and other scripts go.
+   or if that cosine is less than the language's limit for texts of so many letters: SLACK times the LOW quantile of the
+   cosines that the language's own sample has there. Sampled rows count whole and cut to each length of CUTS, so that
+   every band of lengths has rows, very short texts of a known language stay, and other scripts, languages that weren't
+   taught and random letters go.
 
 Every whole text is classified; long ones are counted in pieces that overlap by two characters.
 
@@ -29,7 +33,9 @@ from .token_files import slices
 
 DIMS = 1 << 13
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
-SLACK, FAR = 0.25, 0.05
+SLACK, LOW, FEW = 0.5, 0.05, 0.02
+#: Bands of lengths begin at so many letters; sampled rows are cut to so many characters to fill them.
+BANDS, CUTS = (8, 16, 32, 64, 128, 256, 512), (6, 12, 24, 48, 96, 192, 384)
 #: Vectors of so many texts are held at once.
 AT_ONCE = 128
 #: Texts are counted in pieces of so many characters.
@@ -84,13 +90,17 @@ def _logs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.log1p(np.stack([c for c, _ in found]).astype(np.float32)), np.array([n for _, n in found])
 
 
+def _band(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(BANDS, n, "right")
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 @dataclass
 class Centroids:
-    """A fitted classifier: idf, and for each centroid its language, direction and least cosine."""
+    """A fitted classifier: idf, and for each centroid its language, direction and least cosine in each band."""
 
     idf: np.ndarray
     langs: list[str]
@@ -102,7 +112,7 @@ class Centroids:
         langs, scores, rejected = [], [], []
         cosine = _unit(logs * self.idf) @ self.rows.T if len(self.langs) else np.zeros((len(texts), 1))
         best = cosine.argmax(1)
-        limits = self.least[best] if len(self.langs) else np.ones(len(texts))
+        limits = self.least[best, _band(n)] if len(self.langs) else np.ones(len(texts))
         for k, letters_held, score, limit in zip(best.tolist(), n.tolist(), cosine.max(1).tolist(), limits.tolist(), strict=True):
             known = letters_held > 0 and len(self.langs) > 0
             langs.append(self.langs[k] if known else UNKNOWN)
@@ -112,15 +122,29 @@ class Centroids:
 
 
 def _vector_batches(batches):
+    """The vectors of whole rows, and those of rows cut to each length of CUTS."""
     for batch in batches:
         for a, b in slices(batch.column(1), 500_000, AT_ONCE):
-            logs, n = _logs(batch.column(1).slice(a, b - a).to_pylist())
-            held = [np.flatnonzero(x).astype(np.int32) for x in logs]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([h.tobytes() for h in held], pa.binary()), pa.array([x[h].tobytes() for x, h in zip(logs, held, strict=True)], pa.binary())], names=["lang", "n", "at", "logs"])
+            langs, texts = (batch.column(k).slice(a, b - a).to_pylist() for k in (0, 1))
+            for length in (None, *CUTS):
+                use = [k for k, t in enumerate(texts) if length is None or len(t) > length]
+                if use:
+                    logs, n = _logs([texts[k][:length] for k in use])
+                    held = [np.flatnonzero(x).astype(np.int32) for x in logs]
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in use], pa.string()), pa.array([length is not None] * len(use), pa.bool_()), pa.array(n, pa.int64()), pa.array([h.tobytes() for h in held], pa.binary()), pa.array([x[h].tobytes() for x, h in zip(logs, held, strict=True)], pa.binary())], names=["lang", "cut", "n", "at", "logs"])
+
+
+def _limits(n: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least cosine of each band; a band without rows has that of the next shorter one, or else 0."""
+    limits, band = np.zeros(len(BANDS) + 1), _band(n)
+    for k in range(len(limits)):
+        own = cosines[band == k]
+        limits[k] = SLACK * np.quantile(own, LOW) if len(own) else limits[max(0, k - 1)]
+    return limits
 
 
 def _clusters(x: np.ndarray, many: int) -> np.ndarray:
-    """Unit centroids of the unit rows of x, from the row farthest from those chosen."""
+    """Unit centroids of the unit rows of x, from the row farthest from those chosen; none for a few odd rows."""
     chosen = _unit(x.mean(0, keepdims=True))
     seeds = [int((x @ chosen[0]).argmax())]
     for _ in range(min(many, len(x)) - 1):
@@ -130,7 +154,8 @@ def _clusters(x: np.ndarray, many: int) -> np.ndarray:
         of = (x @ middle.T).argmax(1)
         middle = np.stack([x[of == k].mean(0) if (of == k).any() else middle[k] for k in range(len(middle))])
         middle = _unit(middle)
-    return middle
+    held = np.bincount((x @ middle.T).argmax(1), minlength=len(middle))
+    return middle[held >= min(FEW * len(x), held.max())]
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Centroids:
@@ -138,14 +163,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Centroids:
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("draw")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not sizes:
-        return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros(0))
+        return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros((0, len(BANDS) + 1)))
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
     drawn = rows.where((F.pmod("draw", F.lit(1 << 20)) + 0.5) / float(1 << 20) < share)
-    taught = drawn.select("lang", "text").mapInArrow(_vector_batches, "lang string, n long, at binary, logs binary").where("n > 0").toPandas().sort_values(["lang", "n", "at", "logs"])
+    vectors = drawn.select("lang", "text").mapInArrow(_vector_batches, "lang string, cut boolean, n long, at binary, logs binary").where("n > 0").toPandas().sort_values(["lang", "n", "at", "logs"])
+    taught = vectors[~vectors["cut"].astype(bool)]
     if not len(taught):
-        return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros(0))
+        return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros((0, len(BANDS) + 1)))
     x, lang, rows_with = np.zeros((len(taught), DIMS), np.float32), taught["lang"].to_numpy(), np.zeros(DIMS)
     for i, (at, logs) in enumerate(zip(taught["at"], taught["logs"], strict=True)):
         at = np.frombuffer(at, np.int32)
@@ -158,11 +184,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Centroids:
     for name in sorted(set(lang.tolist())):
         own = x[lang == name]
         middle = _clusters(own, CENTROIDS)
-        near = (own @ middle.T).max(1)
-        limit = min(FAR, SLACK * near.min())
+        rows = vectors[vectors["lang"] == name]
+        near = []
+        for at, logs in zip(rows["at"], rows["logs"], strict=True):
+            at = np.frombuffer(at, np.int32)
+            row = np.frombuffer(logs, np.float32) * idf[at]
+            near.append((middle[:, at] @ row).max() / np.linalg.norm(row))
         langs += [name] * len(middle)
         centroids.append(middle)
-        least += [limit] * len(middle)
+        least += [_limits(rows["n"].to_numpy(), np.array(near))] * len(middle)
     return Centroids(idf, langs, np.concatenate(centroids).astype(np.float32), np.array(least))
 
 
