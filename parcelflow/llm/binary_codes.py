@@ -2,33 +2,44 @@
 
 1. A vector becomes a code of 64 bits: bit i is set where component i is above zero (components beyond 64 are folded by
    exclusive or, so the code always has 64 bits).
-2. Codes are dealt into blocks of BLOCK rows and queries into blocks of QUERY_BLOCK; each pair of blocks meets in one
-   task, so no task holds more than a block of each.
-3. A block is indexed by each of SEGMENTS segments of 16 bits. A query looks up its segments, then those with one bit
-   changed, then two and so on. After radius r, every code within SEGMENTS * (r + 1) - 1 bits has been seen, because in
-   one segment at least it differs by r or less; the query is done once its kth verified distance is within that.
-4. The best k of all blocks are the result: exact, with ties to the smaller vec_id.
+2. Codes are cut into segments, about 64 / log2(rows) of them, and keyed by each segment's value. A query unfolds its
+   segments into all values that differ in r bits, for r = 0, 1, 2 and so on; an equi-join by key finds the codes. A code
+   is taken where it first shows: at the least radius and, of those, the first segment. So no pair comes twice.
+3. After radius r every code within segments * (r + 1) - 1 bits has been seen, because in one segment at least it differs
+   by r or less. Queries whose kth verified distance is within that are done and leave; the rest go on to r + 1.
+
+Of equal codes only the k + 1 smallest ids can be among the k nearest of any query, so only those are indexed, and equal
+queries are searched once; both follow from the order by distance and vec_id and lose nothing. Values that occur are a
+table of 2 ** 18 bits at most where segments have up to 16 bits, and probes for other values aren't sent.
 
 Defined results. Vectors that are null, empty or hold a null or NaN give no code and take no part, nor do rows without
 vec_id. A query is never its own candidate. Of rows that repeat a vec_id the greatest vector counts. A table with k
-candidates or fewer gives all. Other columns are ignored.
+candidates or fewer gives all. Very long vectors are folded like others. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
+
+BITS = 64
+#: Segments at least and at most, and the widest one whose values are listed.
+FEWEST, MOST, LISTED = 3, 8, 16
+
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
-BLOCK, QUERY_BLOCK = 32_768, 512
+def segments(rows: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment for so many rows."""
+    many = min(MOST, max(FEWEST, round(BITS / math.log2(max(2, rows)))))
+    edges = [round(k * BITS / many) for k in range(many + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def codes(vectors: DataFrame) -> DataFrame:
@@ -40,78 +51,92 @@ def codes(vectors: DataFrame) -> DataFrame:
 
 
 @cache
-def _flips(radius: int) -> np.ndarray:
-    """All values of WIDTH bits with so many bits set."""
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)], dtype=np.int64)
-
-
-class BlockIndex:
-    def __init__(self, ids: np.ndarray, code: np.ndarray):
-        self.ids, self.code = ids, code
-        values = [(code >> np.uint64(WIDTH * s)).astype(np.int64) & ((1 << WIDTH) - 1) for s in range(SEGMENTS)]
-        self.order = [np.argsort(v, kind="stable") for v in values]
-        self.begin = [np.searchsorted(v[o], np.arange((1 << WIDTH) + 1)) for v, o in zip(values, self.order, strict=True)]
-
-    def _looked_up(self, segment: int, value: int, radius: int) -> np.ndarray:
-        """Rows whose segment differs from value in radius bits."""
-        keys = _flips(radius) ^ value
-        first, held = self.begin[segment][keys], self.begin[segment][keys + 1] - self.begin[segment][keys]
-        full = held > 0
-        first, held = first[full], held[full]
-        if not len(held):
-            return np.zeros(0, np.int64)
-        jump = np.ones(held.sum(), np.int64)
-        jump[0] = first[0]
-        jump[np.cumsum(held)[:-1]] = first[1:] - first[:-1] - held[:-1] + 1
-        return self.order[segment][np.cumsum(jump)]
-
-    def search(self, q_id: int, q: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest, ties to smaller ids."""
-        seen = np.zeros(len(self.ids), bool)
-        rows, far = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(WIDTH + 1):
-            fresh = np.concatenate([self._looked_up(s, q >> (WIDTH * s) & ((1 << WIDTH) - 1), radius) for s in range(SEGMENTS)])
-            fresh = np.unique(fresh[~seen[fresh]])
-            seen[fresh] = True
-            fresh = fresh[self.ids[fresh] != q_id]
-            rows = np.concatenate([rows, fresh])
-            far = np.concatenate([far, np.bitwise_count(self.code[fresh] ^ np.uint64(q)).astype(np.int64)])
-            if len(rows) > k:  # those beyond the kth distance can't come back
-                near = far <= np.partition(far, k - 1)[k - 1]
-                rows, far = rows[near], far[near]
-            if len(rows) >= k and far.max() <= SEGMENTS * (radius + 1) - 1:
-                break
-        order = np.lexsort((self.ids[rows], far))[:k]
-        return self.ids[rows][order], far[order]
-
-
-def _meet(k: int):
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64),) * 3]
-        if len(rows) and len(asked):
-            index = BlockIndex(rows.column("id").to_numpy(), rows.column("code").to_numpy().view(np.uint64))
-            for q_id, q in zip(asked.column("id").to_pylist(), asked.column("code").to_numpy().view(np.uint64).tolist(), strict=True):
-                ids, far = index.search(q_id, q, k)
-                found.append((np.full(len(ids), q_id), ids, far))
-        query, ids, far = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "distance": pa.array(far, pa.int64())})
+def _flips(width: int, radius: int) -> np.ndarray:
+    """All values of so many bits with radius bits set."""
+    return np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], dtype=np.int64)
+
+
+def _probe_batches(cuts: list[tuple[int, int]], radius: int, listed: list[np.ndarray] | None):
+    def run(batches):
+        """code and the keys whose segment differs from its own in radius bits, if such values occur."""
+        for batch in batches:
+            for code in batch.column(0).to_pylist():
+                for number, (first, width) in enumerate(cuts):
+                    values = _flips(width, radius) ^ ((code >> first) & ((1 << width) - 1))
+                    if listed is not None:
+                        values = values[listed[number][values]]
+                    for at in range(0, len(values), 1 << 16):
+                        keys = (values[at : at + (1 << 16)] << 4) | number
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), code)), pa.array(keys)], names=["q", "key"])
 
     return run
 
 
+def _joined(batches):
+    """Batches of a useful size."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= 1 << 16:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _value(code: str, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _first_shown(cuts: list[tuple[int, int]], radius: int) -> Column:
+    """Whether a pair of codes q and code shows at this radius and segment first."""
+    number, fits = F.col("key").bitwiseAND(F.lit(15)), F.lit(True)
+    for k, (first, width) in enumerate(cuts):
+        apart = F.bit_count(_value("q", first, width).bitwiseXOR(_value("code", first, width)))
+        fits &= F.when(F.lit(k) < number, apart > radius).otherwise(apart >= radius)
+    return fits
+
+
 def nearest_codes(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest codes of the rows whose vec_id is divisible by every."""
-    rows = cut(codes(vectors))
-    asked = F.col("id") % every == 0
-    n, n_asked = rows.agg(F.count("*"), F.count_if(asked)).first()
-    row_blocks, asked_blocks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
-    deal = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
-    each_of = lambda n: F.explode(F.expr(f"sequence(0, {n - 1})"))
-    keys = ["row_block", "asked_block"]
-    left = rows.select("id", "code", deal(row_blocks).alias("row_block"), each_of(asked_blocks).alias("asked_block"))
-    right = rows.where(asked).select("id", "code", deal(asked_blocks).alias("asked_block"), each_of(row_blocks).alias("row_block"))
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(k), "query_id long, vec_id long, distance long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
+    every_row = cut(codes(vectors))
+    place = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    rows = every_row.withColumn("place", place).where(F.col("place") <= k + 1).select("id", "code")
+    n = every_row.count()
+    cuts, need = segments(n), min(k + 1, n)
+    keys = F.array(*(F.shiftleft(_value("code", first, width), 4).bitwiseOR(F.lit(s)) for s, (first, width) in enumerate(cuts)))
+    index = cut(rows.select("id", "code", F.explode(keys).alias("key")))
+    listed = None
+    if max(width for _, width in cuts) <= LISTED:
+        listed = [np.zeros(1 << width, bool) for _, width in cuts]
+        for r in index.select("key").distinct().collect():  # at most segments * 2 ** width values
+            listed[r.key & 15][r.key >> 4] = True
+    queries = every_row.where(F.col("id") % every == 0)
+    asked = cut(queries.select(F.col("code").alias("q")).distinct())
+    done, best, best_schema = [], None, "q long, id long, distance int"
+    for radius in range(max(width for _, width in cuts) + 1):
+        probed = asked.repartition("q").mapInArrow(lambda b, radius=radius: _joined(_probe_batches(cuts, radius, listed)(b)), "q long, key long")
+        found = index.join(probed, "key").where(_first_shown(cuts, radius)).select("q", "id", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        both = found if best is None else best.select("q", "id", "distance").union(found)
+        ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= need)
+        last, best = best, cut(ranked)
+        far = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        covered = far.where((F.col("n") >= need) & (F.col("far") <= len(cuts) * (radius + 1) - 1)).select("q")
+        done.append(cut(best.join(covered, "q", "left_semi").select("q", "id", "distance")))
+        before, asked = asked, cut(asked.join(covered, "q", "left_anti"))
+        rest = cut(best.join(asked, "q", "left_semi"))
+        forget(before, best, *([last] if last is not None else []))
+        best = rest
+        if asked.isEmpty():
+            break
+    nearest = done[0]
+    for more in done[1:]:
+        nearest = nearest.union(more)
+    nearest = nearest.union(best.select("q", "id", "distance"))  # those of tables without enough rows
+    own = nearest.select("q", F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
+    pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(own, "q").where("query_id <> vec_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 

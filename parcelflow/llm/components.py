@@ -7,27 +7,49 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(id, up) of each row of parents(id, up), with up the root of its tree; parents is forgotten.
+
+    Each pass takes four steps at once, so a tree of depth d needs log4(d) passes.
+    """
+    while True:
+        hop = lambda k: parents.select(F.col("id").alias(f"id{k}"), F.col("up").alias(f"up{k}"))
+        far = parents.join(hop(1), F.col("up") == F.col("id1")).join(hop(2), F.col("up1") == F.col("id2")).join(hop(3), F.col("up2") == F.col("id3"))
+        jumped = cut(far.select("id", F.col("up3").alias("up"), (F.col("up2") != F.col("up3")).alias("moving")))
+        forget(parents)
+        if jumped.where("moving").isEmpty():
+            return jumped
+        parents = jumped
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all ends of edges(a, b): component is the smallest id that can be reached.
 
-    Each round replaces every label by the smallest label beside it and rewrites the edges to labels, so the edges
-    shrink until none is left. Labels and edges stay distributed; each round is kept in the shared folder.
+    Each round hangs every id under the smallest id beside it, follows the trees that arise to their roots, and rewrites
+    the edges to roots. Every id that is no root then is gone. A root that got no child has a neighbour that went under
+    a smaller id, so it goes itself in the round after: two rounds halve the ids at least, whatever the shape, and a
+    chain in order of its ids takes one round. Labels and edges stay distributed; each round is kept in the shared
+    folder and the one before deleted.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while labels is None or not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        step = cut(both.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("least")).select("old", F.least("old", "least").alias("new")))
+        roots = _roots(cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("up"))))
         if labels is None:
-            labels = step.select(F.col("old").alias("id"), F.col("new").alias("component"))
+            labels = cut(roots.select("id", F.col("up").alias("component")))
         else:
-            labels = cut(labels.join(step, labels.component == step.old, "left").select("id", F.coalesce("new", "component").alias("component")))
-        a, b = (step.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new")) for c in ("a", "b"))
-        moved = edges.join(a, "a").join(b, "b").where("a_new <> b_new")
-        edges = cut(moved.select(F.least("a_new", "b_new").alias("a"), F.greatest("a_new", "b_new").alias("b")).distinct())
+            old, at = labels, roots.select(F.col("id").alias("at"), "up")
+            labels = cut(old.join(at, F.col("component") == F.col("at"), "left").select("id", F.coalesce("up", "component").alias("component")))
+            forget(old)
+        a, b = (roots.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in ("a", "b"))
+        moved, old = edges.join(a, "a").join(b, "b").where("a_up <> b_up"), edges
+        edges = cut(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+        forget(old, roots)
+    forget(edges)
     return labels
 
 

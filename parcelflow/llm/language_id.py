@@ -13,11 +13,11 @@
    every band of lengths has rows, very short texts of a known language stay, and other scripts, languages that weren't
    taught and random letters go.
 
-Every whole text is classified; long ones are counted in pieces that overlap by two characters.
+Every whole text is classified; long ones are counted in pieces that join exactly.
 
 Defined results. Null texts and texts without letters get ``und``, score 0, rejected. Rows without lang don't teach.
 Without any labelled row every text is ``und`` and rejected. Ties go to the first language by name. Rows that repeat get
-a result each; columns other than doc_id, text and lang are ignored.
+a result each; columns other than doc_id, text and lang are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .token_files import slices
 
 DIMS = 1 << 13
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 8
+#: All languages' sampled rows together, at most; with more languages each has fewer.
+MOST_SAMPLED = 40_000
 SLACK, LOW, FEW = 0.5, 0.05, 0.02
 #: Bands of lengths begin at so many letters; sampled rows are cut to so many characters to fill them.
 BANDS, CUTS = (8, 16, 32, 64, 128, 256, 512), (6, 12, 24, 48, 96, 192, 384)
@@ -43,9 +45,8 @@ PIECE = 1 << 20
 UNKNOWN = "und"
 
 
-def letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text; runs of other characters than letters count as one space."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Which code points of lower-cased text are letters."""
     low = points < 128
     letter = np.where(low, (points >= 97) & (points <= 122), points >= 0xAA)
     if not low.all():
@@ -53,35 +54,40 @@ def letters(text: str) -> np.ndarray:
         other = odd[[not chr(c).isalpha() for c in odd.tolist()]]
         if len(other):
             letter &= ~np.isin(points, other)
-    held = np.where(letter, points, 32)
-    keep = letter.copy()
-    keep[0] = True
-    keep[1:] |= letter[:-1]
-    return held[keep]
+    return letter
 
 
-def _counted(points: np.ndarray, counts: np.ndarray) -> None:
+def _counted(points: np.ndarray, known: int, counts: np.ndarray) -> None:
+    """Add the 2- and 3-grams of points that don't lie within its first known ones."""
     p = points.astype(np.uint64) + np.uint64(1)
     two = p[:-1] * np.uint64(0x9E3779B97F4A7C15) + p[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     three = two[:-1] * np.uint64(0xFF51AFD7ED558CCD) + p[2:] * np.uint64(0x165667B19E3779F9)
     shift = np.uint64(64 - (DIMS.bit_length() - 1))
-    for h in (two, three):
+    for h, size in ((two, 2), (three, 3)):
+        h = h[max(0, known - size + 1) :]
         counts += np.bincount(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64), minlength=DIMS)
 
 
 def counts_of(text: str | None) -> tuple[np.ndarray, int]:
-    """n-gram counts, and the number of letters."""
-    counts, n = np.zeros(DIMS, np.int64), 0
-    if text:
-        before = np.full(1, 32, np.uint32)
-        with np.errstate(over="ignore"):
-            for first in range(0, len(text), PIECE):
-                points = letters(text[first : first + PIECE])
-                n += int((points != 32).sum())
-                joined = np.concatenate([before, points, [32] if first + PIECE >= len(text) else []]).astype(np.uint32)
-                if len(joined) > 2:
-                    _counted(joined, counts)
-                before = joined[-2:]
+    """n-gram counts, and the number of letters.
+
+    The n-grams are those of a space, the lower-cased letters with one space for each run of other characters, and a
+    space. Long texts are counted in pieces; each knows the last two points before it and whether they end in a letter.
+    """
+    counts, n, text = np.zeros(DIMS, np.int64), 0, (text or "").lower()
+    before, ends_in_letter = np.full(1, 32, np.uint32), False
+    with np.errstate(over="ignore"):
+        for first in range(0, len(text), PIECE):
+            points = np.frombuffer(text[first : first + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
+            letter = _letters(points)
+            n += int(letter.sum())
+            keep = letter | np.concatenate([[ends_in_letter], letter[:-1]])
+            ends_in_letter = bool(letter[-1])
+            last = [32] if ends_in_letter and first + PIECE >= len(text) else []
+            joined = np.concatenate([before, np.where(letter, points, 32)[keep], last]).astype(np.uint32)
+            if len(joined) > len(before):
+                _counted(joined, len(before), counts)
+            before = joined[-2:]
     return counts, n
 
 
@@ -164,26 +170,24 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Centroids:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not sizes:
         return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros((0, len(BANDS) + 1)))
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
+    sample = min(sample, MOST_SAMPLED // len(sizes))
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n)))), F.col("lang"))
     drawn = rows.where((F.pmod("draw", F.lit(1 << 20)) + 0.5) / float(1 << 20) < share)
     vectors = drawn.select("lang", "text").mapInArrow(_vector_batches, "lang string, cut boolean, n long, at binary, logs binary").where("n > 0").toPandas().sort_values(["lang", "n", "at", "logs"])
     taught = vectors[~vectors["cut"].astype(bool)]
     if not len(taught):
         return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros((0, len(BANDS) + 1)))
-    x, lang, rows_with = np.zeros((len(taught), DIMS), np.float32), taught["lang"].to_numpy(), np.zeros(DIMS)
-    for i, (at, logs) in enumerate(zip(taught["at"], taught["logs"], strict=True)):
-        at = np.frombuffer(at, np.int32)
-        x[i, at] = np.frombuffer(logs, np.float32)
-        rows_with[at] += 1
-    idf = np.log((1 + len(x)) / (1 + rows_with)).astype(np.float32) + 1
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    rows_with = np.zeros(DIMS)
+    for at in taught["at"]:
+        rows_with[np.frombuffer(at, np.int32)] += 1
+    idf = np.log((1 + len(taught)) / (1 + rows_with)).astype(np.float32) + 1
     langs, centroids, least = [], [], []
-    for name in sorted(set(lang.tolist())):
-        own = x[lang == name]
-        middle = _clusters(own, CENTROIDS)
+    for name in sorted(set(taught["lang"])):
+        mine = taught[taught["lang"] == name]
+        x = np.zeros((len(mine), DIMS), np.float32)  # one language at a time
+        for i, (at, logs) in enumerate(zip(mine["at"], mine["logs"], strict=True)):
+            x[i, np.frombuffer(at, np.int32)] = np.frombuffer(logs, np.float32)
+        middle = _clusters(_unit(x * idf), CENTROIDS)
         rows = vectors[vectors["lang"] == name]
         near = []
         for at, logs in zip(rows["at"], rows["logs"], strict=True):

@@ -1,19 +1,21 @@
 """Operator 3: approximate nearest neighbours by cross-polytope hashing.
 
-1. A unit vector is padded to a power of two, turned by TABLES fast pseudo-rotations (three rounds of random signs and a
-   Hadamard transform) and assigned to the nearest signed axis: its bucket in each table.
-2. A query looks into the PROBES buckets whose axes are nearest to it in each table. Buckets are dealt into blocks of
-   BLOCK rows by a hash of the row, queries of a bucket into blocks as well, and each pair of blocks meets in one task.
-   A candidate that an earlier table has brought to the same query is left out there.
-3. Candidates are reranked by their exact inner product in double precision; each pair of blocks returns the best k of
-   each query, and the best k of those are the result. No bucket is capped.
-4. A query with fewer than k candidates is compared with every row, in blocks.
-
-Sums are taken over each pair alone, so equal vectors get equal scores and ties go to the smaller vec_id.
-
-On 51,282 and on 10,256 isotropic vectors of 64 dimensions, the hardest case, 0.95 and more of the true 20 nearest are
-found. Buckets follow directions; vectors over LONG times the median length are compared with every query besides, so
-that large inner products of far directions aren't missed.
+1. A unit vector is padded to a power of two and turned by fast pseudo-rotations (three rounds of random signs and a
+   Hadamard transform); each assigns it to the nearest signed axis. In each of TABLES tables the axes of a few rotations
+   together (two, and one more for each factor of STEP rows) are its bucket.
+2. A query looks into the buckets of each table in the order of how much farther their axes are than its own. How many
+   is set so that a bounded sample of SAMPLE queries, held against every row, finds AIM of its true neighbours: the
+   larger the table, the nearer they are and the smaller the share of it that is looked at. Every row is in the index.
+3. Buckets and probes are joined by key to pairs of ids; repeats from several tables are dropped before any vector is
+   fetched. Rows and queries meet in blocks then, and each block reranks its pairs by their exact inner product in double
+   precision. No bucket is capped.
+4. Buckets follow directions. Vectors whose lengths differ by factors of two have tables of their own, so large inner
+   products of far directions aren't missed; a group of SMALL vectors or fewer is one bucket that all queries look into.
+   A query with fewer than k candidates is compared with every row, in blocks.
+
+Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query, so only those are indexed. Sums
+are taken over each pair alone, so equal vectors get equal scores and ties go to the smaller vec_id. Where a sum exceeds
+double precision it is taken on scaled vectors and is infinite, with the right sign.
 
 Defined results. Vectors that are null, of another length than most, zero, or hold a null or non-finite component take
 no part, nor do rows without vec_id. Of rows that repeat a vec_id the greatest vector counts. A table with k
@@ -31,27 +33,29 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-TABLES, PROBES = 10, 12
-BLOCK, QUERY_BLOCK = 4096, 1024
-LONG = 1.5
+TABLES, STEP = 20, 1 << 24
+#: Queries of the sample, the share of their neighbours that must be found there, and probes of a table at most.
+SAMPLE, AIM, PROBES = 64, 0.94, 1024
+SMALL = 256
+BLOCK, QUERY_BLOCK = 8192, 512
 
 
 @cache
 def _signs(dims: int) -> np.ndarray:
-    return np.random.default_rng(20240301).choice([-1.0, 1.0], (TABLES, 3, dims))
+    return np.random.default_rng(20240301).choice([-1.0, 1.0], (TABLES * 4, 3, dims))
 
 
-def rotate(x: np.ndarray, table: int) -> np.ndarray:
-    """Rows of x (dims a power of two) under a table's pseudo-rotation, up to a factor."""
+def rotate(x: np.ndarray, number: int) -> np.ndarray:
+    """Rows of x (dims a power of two) under one pseudo-rotation, scaled to unit length."""
     n, dims = x.shape
-    for signs in _signs(dims)[table]:
+    for signs in _signs(dims)[number]:
         x = x * signs
         half = 1
         while half < dims:
             pairs = x.reshape(n, dims // (2 * half), 2, half)
             x = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], 2).reshape(n, dims)
             half *= 2
-    return x
+    return x / dims**1.5
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
@@ -60,25 +64,46 @@ def _padded(x: np.ndarray) -> np.ndarray:
     return np.pad(unit, ((0, 0), (0, max(2, 1 << (x.shape[1] - 1).bit_length()) - x.shape[1])))
 
 
-def axes(x: np.ndarray) -> np.ndarray:
-    """The nearest signed axis of each row in each table: the axis' number, plus dims if the sign is negative."""
+def bands(x: np.ndarray) -> np.ndarray:
+    """The nearest power of two of each row's length, whatever its size."""
+    most = np.abs(x).max(1)
+    return np.rint(np.log2(most) + np.log2(np.linalg.norm(x / most[:, None], axis=1))).astype(np.int32)
+
+
+def cells(x: np.ndarray, turns: int) -> np.ndarray:
+    """(rows, tables): the bucket of each row in each table, from the nearest signed axes of so many rotations."""
     x, found = _padded(x), []
     for t in range(TABLES):
-        y = rotate(x, t)
-        best = np.abs(y).argmax(1)
-        found.append(best + np.where(y[np.arange(len(y)), best] < 0, y.shape[1], 0))
-    return np.stack(found, 1).astype(np.int32)
+        cell = np.zeros(len(x), np.int64)
+        for k in range(turns):
+            y = rotate(x, t * turns + k)
+            best = np.abs(y).argmax(1)
+            cell = cell * (2 * y.shape[1]) + best + np.where(y[np.arange(len(y)), best] < 0, y.shape[1], 0)
+        found.append(cell)
+    return np.stack(found, 1)
 
 
-def probes(x: np.ndarray, many: int = PROBES) -> np.ndarray:
-    """(rows, tables, many): the nearest signed axes of each row in each table."""
+def probes(x: np.ndarray, turns: int, many: int) -> np.ndarray:
+    """(rows, tables, at most many): the buckets of each table from the nearest on."""
     x, found = _padded(x), []
     for t in range(TABLES):
-        y = rotate(x, t)
-        both = np.concatenate([y, -y], 1)
-        many = min(many, both.shape[1])
-        found.append(np.argpartition(-both, many - 1, axis=1)[:, :many])
-    return np.stack(found, 1).astype(np.int32)
+        worse = cell = None
+        for k in range(turns):
+            y = rotate(x, t * turns + k)
+            both = np.concatenate([y, -y], 1)
+            far = (both.max(1, keepdims=True) - both) ** 2
+            axis = np.argsort(far, axis=1, kind="stable")
+            far = np.take_along_axis(far, axis, 1)
+            if cell is None:
+                worse, cell = far[:, :many], axis[:, :many].astype(np.int64)
+                continue
+            # Of two ascending lists the (i, j)th sum has (i + 1) * (j + 1) - 1 others that are no greater.
+            i, j = np.nonzero(np.outer(np.arange(1, worse.shape[1] + 1), np.arange(1, far.shape[1] + 1)) <= many)
+            worse, cell = worse[:, i] + far[:, j], cell[:, i] * both.shape[1] + axis[:, j]
+            order = np.argsort(worse, axis=1, kind="stable")[:, :many]
+            worse, cell = np.take_along_axis(worse, order, 1), np.take_along_axis(cell, order, 1)
+        found.append(cell)
+    return np.stack(found, 1)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -91,126 +116,190 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(flat.ravel()))
 
 
-def _axis_batches(batches):
+def _band_batches(batches):
     for batch in batches:
         if len(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(axes(_matrix(batch.column(1))))], names=["id", "vector", "axes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands(_matrix(batch.column(1))))], names=["id", "vector", "band"])
 
 
-def _probe_batches(batches):
-    for batch in batches:
-        if len(batch):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(probes(_matrix(batch.column(1))))], names=["id", "vector", "probes"])
+def _keys(band, cell: np.ndarray, turns: int, dims: int) -> np.ndarray:
+    """One number for a band, a table (second axis of cell) and a bucket."""
+    size = (2 * max(2, 1 << (dims - 1).bit_length())) ** turns
+    shape = (1, TABLES) + (1,) * (cell.ndim - 2)
+    return ((np.asarray(band, np.int64).reshape((-1,) + (1,) * (cell.ndim - 1)) + 2048) * TABLES + np.arange(TABLES).reshape(shape)) * size + cell
+
+
+def _rows_keyed(large: set[int], turns: int):
+    def run(batches):
+        """id and its keys: those of its buckets, or that of its whole band if the band is small."""
+        for batch in batches:
+            if len(batch):
+                x, band = _matrix(batch.column(1)), batch.column(2).to_numpy()
+                keys = _keys(band, cells(x, turns), turns, x.shape[1])
+                lists = [k if b in large else k[:0] for k, b in zip(keys, band.tolist(), strict=True)]
+                lists = [k if len(k) else np.array([-1 - 2048 - b]) for k, b in zip(lists, band.tolist(), strict=True)]
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], names=["id", "keys"])
+
+    return run
+
+
+def _queries_keyed(large: set[int], small: set[int], turns: int, many: int):
+    def run(batches):
+        """query and the keys it looks into: so many buckets of each table of each large band, and all small bands."""
+        for batch in batches:
+            for first in range(0, len(batch), 64):
+                part = batch.slice(first, 64)
+                x = _matrix(part.column(1))
+                cell = probes(x, turns, many)
+                keys = [_keys(np.full(len(x), b), cell, turns, x.shape[1]).reshape(len(x), -1) for b in sorted(large)]
+                keys += [np.full((len(x), 1), -1 - 2048 - b) for b in sorted(small)]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(np.concatenate(keys, 1))], names=["query_id", "keys"])
+
+    return run
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of the rows of q and x, summed alike wherever a pair stands."""
-    return (q * x).sum(1)
-
-
-def best_of_block(q_ids, q, ids, x, allowed, k: int, rows_at_once: int = 128):
-    """(query, id, score) of the best k allowed candidates of each query, ties included at the end of the k."""
-    out = []
-    scale = np.abs(x).max() if len(x) else 0.0
-    for first in range(0, len(q), rows_at_once):
-        part = q[first : first + rows_at_once]
-        rough = part @ x.T
-        fit = q_ids[first : first + rows_at_once, None] != ids[None, :]
-        if allowed is not None:
-            fit &= allowed(first, first + len(part))
-        rough[~fit] = -np.inf
-        least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(part), -np.inf)
-        slack = 1e-9 * np.abs(part).sum(1) * scale
-        row, column = np.nonzero(fit & (rough >= (least - slack)[:, None]))
-        score = exact_scores(part[row], x[column])
-        order = np.lexsort((ids[column], -score, row))
-        row, column, score = row[order], column[order], score[order]
-        begin = np.searchsorted(row, np.arange(len(part)))
-        kept = np.arange(len(row)) - begin[row] < k
-        out.append((q_ids[first : first + rows_at_once][row[kept]], ids[column[kept]], score[kept]))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = (q * x).sum(1)
+        odd = ~np.isfinite(score)
+        if odd.any():
+            most = [np.abs(y[odd]).max(1) for y in (q, x)]
+            scaled = ((q[odd] / most[0][:, None]) * (x[odd] / most[1][:, None])).sum(1)
+            score[odd] = np.where(scaled == 0, 0.0, scaled * most[0] * most[1])
+    return score
+
+
+def _best_of(queries: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """Of pairs, the best k of each query."""
+    order = np.lexsort((ids, -score, queries))
+    queries, ids, score = queries[order], ids[order], score[order]
+    begin = np.flatnonzero(np.concatenate([[True], queries[1:] != queries[:-1]])[: len(queries)])
+    place = np.arange(len(queries)) - np.repeat(begin, np.diff(np.append(begin, len(queries))))
+    return queries[place < k], ids[place < k], score[place < k]
 
 
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _table(found) -> pa.Table:
-    return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+def _table(queries, ids, score) -> pa.Table:
+    return pa.table({"query_id": pa.array(queries, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())})
+
 
+def _rerank(k: int, at_once: int = 1 << 16):
+    def run(vectors: pa.Table, pairs: pa.Table) -> pa.Table:
+        """The best k of each query among the pairs of a block of rows and a block of queries."""
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(vectors) and len(pairs):
+            asked = vectors.column("asked").to_numpy()
+            ids, x = vectors.column("id").to_numpy(), _matrix(vectors.column("vector").combine_chunks())
+            order = np.argsort(ids)
+            at, q_at = order[~asked[order]], order[asked[order]]
+            queries, wanted = pairs.column("query_id").to_numpy(), pairs.column("id").to_numpy()
+            for first in range(0, len(pairs), at_once):
+                q, i = queries[first : first + at_once], wanted[first : first + at_once]
+                score = exact_scores(x[q_at[np.searchsorted(ids[q_at], q)]], x[at[np.searchsorted(ids[at], i)]])
+                held = _best_of(*(np.concatenate(c) for c in zip(held, (q, i, score), strict=True)), k)
+        return _table(*held)
 
-def _meet(k: int, hashed: bool):
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if not len(rows) or not len(asked):
-            return _table(empty)
-        ids, x = rows.column("id").to_numpy(), _matrix(rows.column("vector").combine_chunks())
-        q_ids, q = asked.column("id").to_numpy(), _matrix(asked.column("vector").combine_chunks())
-        allowed = None
-        if hashed:
-            table = int(rows.column("bucket")[0].as_py()) >> 32
-            own = np.asarray(rows.column("axes").combine_chunks().flatten()).reshape(len(x), TABLES)
-            probed = np.asarray(asked.column("probes").combine_chunks().flatten()).reshape(len(q), TABLES, -1)
+    return run
 
-            def allowed(a: int, b: int) -> np.ndarray:
-                fit = np.ones((b - a, len(x)), bool)
-                for t in range(table):
-                    hit = np.zeros((b - a, own.max() + probed.max() + 2), bool)
-                    hit[np.arange(b - a)[:, None], probed[a:b, t]] = True
-                    fit &= ~hit[:, own[:, t]]
-                return fit
 
-        return _table(best_of_block(q_ids, q, ids, x, allowed, k))
+def _compare(k: int):
+    def run(vectors: pa.Table) -> pa.Table:
+        """The best k of each query among all rows of a block."""
+        asked = vectors.column("asked").to_numpy()
+        ids, x = vectors.column("id").to_numpy(), _matrix(vectors.column("vector").combine_chunks())
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in np.flatnonzero(asked).tolist():
+            use = ~asked & (ids != ids[i])
+            out.append(_best_of(np.full(use.sum(), ids[i]), ids[use], exact_scores(x[i : i + 1], x[use]), k))
+        return _table(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
     return run
 
 
-def _in_blocks(rows: DataFrame, asked: DataFrame, k: int, hashed: bool) -> DataFrame:
-    """The best k of rows for asked within each bucket."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("row_blocks"))
-    wanted = asked.groupBy("bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("asked_blocks"))
-    both = cut(sizes.join(wanted, "bucket"))  # one row for each bucket
-    deal = lambda n: F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
-    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    left = rows.join(both, "bucket").withColumn("row_block", deal("row_blocks")).withColumn("asked_block", every("asked_blocks"))
-    right = asked.join(both, "bucket").withColumn("asked_block", deal("asked_blocks")).withColumn("row_block", every("row_blocks"))
-    keys = ["bucket", "row_block", "asked_block"]
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # else Spark takes both sides' columns for the same
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(k, hashed), _FOUND)
+def _deal(n: int):
+    return F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
+
+
+def _each_of(n: int):
+    return F.explode(F.expr(f"sequence(0, {n - 1})"))
+
+
+def _blocks(rows: DataFrame, queries: DataFrame, blocks: tuple[int, int]) -> DataFrame:
+    """row_block, query_block, asked, id and vector: each row in all query blocks, each query in all row blocks."""
+    left = rows.select(_deal(blocks[0]).alias("row_block"), "id", "vector").select("row_block", _each_of(blocks[1]).alias("query_block"), F.lit(False).alias("asked"), "id", "vector")
+    right = queries.select(_deal(blocks[1]).alias("query_block"), "id", "vector").select(_each_of(blocks[0]).alias("row_block"), "query_block", F.lit(True).alias("asked"), "id", "vector")
+    return left.union(right)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """id, vector (doubles) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("id is not null and vector is not null and size(vector) > 0")
-    sound = rows.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 1e150)) & F.exists("vector", lambda x: x != 0))
+    sound = rows.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0))
     width = sound.groupBy(F.size("vector").alias("width")).count().agg(F.max_by("width", F.struct("count", -F.col("width")))).first()[0]
     return sound.where(F.size("vector") == F.lit(width)).groupBy("id").agg(F.max("vector").alias("vector"))
 
 
+def _probes_needed(rows: DataFrame, queries: DataFrame, k: int, turns: int, small: set[int]) -> int:
+    """How many probes of each table find AIM of the k nearest of a sample of queries, held against every row."""
+    sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows
+    q_ids, q = np.array([r.id for r in sample]), np.array([r.vector for r in sample])
+
+    def scored(batches):
+        for batch in batches:
+            if len(batch):
+                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                for i in range(len(q)):
+                    queries, found, score = _best_of(np.full(len(ids), q_ids[i]), ids, exact_scores(q[i : i + 1], x), k + 1)
+                    yield pa.RecordBatch.from_pandas(_table(queries, found, score).to_pandas(), preserve_index=False)
+
+    near = _best(rows.select("id", "vector").mapInArrow(scored, _FOUND).where("query_id <> vec_id"), k)
+    true = near.join(rows.select(F.col("id").alias("vec_id"), "vector", "band"), "vec_id").select("query_id", "vector", "band").collect()  # SAMPLE * k rows
+    if not true:
+        return 1
+    of = np.searchsorted(np.sort(q_ids), [r.query_id for r in true])
+    order, cell = probes(q[np.argsort(q_ids)], turns, PROBES), cells(np.array([r.vector for r in true]), turns)
+    hit = order[of] == cell[:, :, None]
+    rank = np.where(hit.any(2), hit.argmax(2), PROBES - 1).min(1)
+    rank[[r.band in small for r in true]] = 0
+    return int(np.quantile(rank, AIM, method="higher")) + 1
+
+
+def candidates(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id and id of each pair to rerank, from rows(id, vector, band) and queries(id, vector)."""
+    sizes = {r.band: r.n for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row for each exponent
+    small = {b for b, n in sizes.items() if n <= SMALL}
+    large, turns = set(sizes) - small, 2 + int(np.log(max(1, sum(sizes.values()))) // np.log(STEP))
+    many = _probes_needed(rows, queries, k, turns, small) if large else 1
+    index = rows.select("id", "vector", "band").mapInArrow(_rows_keyed(large, turns), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    asked = queries.select("id", "vector").mapInArrow(_queries_keyed(large, small, turns, many), "query_id long, keys array<long>").select("query_id", F.explode("keys").alias("key"))
+    return index.join(asked, "key").where("id <> query_id").select("query_id", "id")
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of the rows whose vec_id is divisible by every."""
-    rows = cut(usable(vectors))
-    queries = rows.where(F.col("id") % every == 0)
-    one = lambda n: F.col("id") * 0 + n  # noqa: E731  a literal would turn the joins by bucket into products
-    bucket = (F.col("at").cast("long") * 2**32 + F.col("axis")).alias("bucket")
-    hashed = rows.mapInArrow(_axis_batches, "id long, vector array<double>, axes array<int>").select("id", "vector", "axes", F.posexplode("axes").alias("at", "axis")).select("id", "vector", "axes", bucket)
-    probing = queries.mapInArrow(_probe_batches, "id long, vector array<double>, probes array<int>")
-    many = F.size("probes") / TABLES
-    asked = probing.select("id", "vector", "probes", F.posexplode("probes").alias("at", "axis")).withColumn("at", F.floor(F.col("at") / many)).select("id", "vector", "probes", bucket)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    middle = rows.agg(F.percentile_approx(length, 0.5)).first()[0]
-    long = rows.where(length > LONG * (middle or 0.0)).select("id", "vector", one(-1).alias("bucket"))
-    everyone = queries.withColumn("bucket", one(-1))
-    found = cut(_best(_in_blocks(hashed, asked, k, True).unionByName(_in_blocks(long, everyone, k, False)), k))
-    filled = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    all_rows = cut(usable(vectors))
+    queries = all_rows.where(F.col("id") % every == 0)
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    rows = cut(all_rows.withColumn("place", place).where(F.col("place") <= k + 1).select("id", "vector").mapInArrow(_band_batches, "id long, vector array<double>, band int"))
+    n, n_asked = rows.count(), queries.count()
+    blocks = (max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERY_BLOCK)))
+    keys = ["row_block", "query_block"]
+    pairs = candidates(rows, queries, k).select("query_id", "id", _deal(blocks[0]).alias("row_block"), F.expr(f"cast(pmod(xxhash64(query_id, 7), {blocks[1]}) as int)").alias("query_block"))
+    once = pairs.repartition(*keys).distinct().select(*(F.col(c).alias(c) for c in [*keys, "query_id", "id"]))
+    found = _blocks(rows, queries, blocks).groupBy(*keys).cogroup(once.groupBy(*keys)).applyInArrow(_rerank(k), _FOUND)
+    best = cut(_best(found, k))
+    filled = best.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1))
     short = cut(queries.join(filled, "id", "left_anti"))
     if not short.isEmpty():
-        whole = rows.withColumn("bucket", one(-2))
-        rest = _in_blocks(whole, short.withColumn("bucket", one(-2)), k, False)
-        found = _best(found.drop("rank").unionByName(rest), k)
-    return found.select("query_id", "rank", "vec_id", "score")
+        whole = _blocks(rows, short, (blocks[0], max(1, -(-short.count() // QUERY_BLOCK)))).groupBy(*keys).applyInArrow(_compare(k), _FOUND)
+        best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "score", "rank").unionByName(_best(whole, k))
+    return best.select("query_id", "rank", "vec_id", "score")

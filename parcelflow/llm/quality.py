@@ -4,13 +4,14 @@
 2. Expectation-maximisation estimates how often each labeller votes and is right, for clean and junk texts, and the share
    of clean texts. It works on the counts of vote patterns over all documents: at most 2 ** LABELLERS rows, whatever the
    corpus holds. A labeller is taken to be right more often than not, so the two classes can't change places.
-3. The posterior of each pattern is a soft label. A linear scorer over hashed features (trigrams of character classes,
-   and whether a word repeats the one before) learns it from a bounded sample of about SAMPLE rows, half of them drawn
-   from patterns that are more likely junk. The bound is the same at every size.
+3. The posterior of each pattern is a soft label. A linear scorer over hashed features (words, pairs of words, trigrams of
+   character classes, and how often a word repeats the one before) learns it from a bounded sample of about SAMPLE rows,
+   half of them drawn from patterns that are more likely junk. The bound is the same at every size.
 4. Every document is scored by the linear scorer; those with a score of LEAST or more are kept.
 
-Defined results. A null text, or one without words, has the score 0 and isn't kept. Rows that repeat get a result each;
-columns other than doc_id and text are ignored. An empty table gives no rows.
+Defined results. A null text, or one without words, has the score 0 and isn't kept. Very long texts are measured whole, in
+pieces that join exactly. Without a row that has words to learn from every other score is 0.5. Rows that repeat get a result each; columns
+other than doc_id and text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from .near_duplicates import word_hashes
 from .token_files import slices
 
 LABELLERS, SEEN = 9, 11
-DIMS = 1 << 12
+#: Hashed features: trigrams of character classes, and words and pairs of words, which weigh less.
+SHAPE_DIMS, WORD_DIMS, WORD_WEIGHT = 1 << 12, 1 << 12, 0.5
+DIMS = SHAPE_DIMS + WORD_DIMS + 2
 SAMPLE, STEPS = 6000, 300
 #: Features are shares of a text so many characters longer, so very short texts lean on the constant.
 SMOOTH = 300
@@ -41,23 +44,13 @@ for _marks, _kind in ((b" \t\n\r\v\f", 0), (range(97, 123), 1), (range(65, 91),
         _KINDS[_b] = _kind
 
 
-def _pieces(raw: bytes):
-    at = 0
-    while at < len(raw):
-        end = min(len(raw), at + PIECE)
-        while end < len(raw) and raw[end] not in b" \t\n\r\v\f":
-            end += 1
-        yield raw[at:end]
-        at = end
-
-
 class _Measured:
     """Bytes of texts one after the other, and what is seen in them."""
 
     def __init__(self, raws: list[bytes]):
-        ends = np.cumsum([len(r) + 1 for r in raws])
+        ends = np.cumsum([len(r) + 1 for r in raws]) + 1
         self.begin, self.end = ends - [len(r) + 1 for r in raws], ends - 1
-        joined = b"\n".join(raws) + b"\n"
+        joined = b"\n" + b"\n".join(raws) + b"\n"
         self.kinds = _KINDS[np.frombuffer(joined, np.uint8)]
         with np.errstate(over="ignore"):
             self.words, self.first = word_hashes(joined)
@@ -70,8 +63,12 @@ class _Measured:
     def _per_word(self, flags: np.ndarray) -> np.ndarray:
         return np.bincount(self.of[flags], minlength=len(self.begin))
 
+    def _same_text(self, back: int) -> np.ndarray:
+        """Whether the word so many back is of the same text."""
+        return np.concatenate([np.zeros(min(back, len(self.words)), bool), self.of[back:] == self.of[:-back]])
+
     def _same(self, back: int) -> np.ndarray:
-        return np.concatenate([np.zeros(min(back, len(self.words)), bool), (self.words[back:] == self.words[:-back]) & (self.of[back:] == self.of[:-back])])
+        return self._same_text(back) & np.concatenate([np.zeros(min(back, len(self.words)), bool), self.words[back:] == self.words[:-back]])
 
     def again(self) -> np.ndarray:
         return self._per_word(self._same(1))
@@ -89,23 +86,56 @@ class _Measured:
         return np.stack([words, self.again(), self.end - self.begin, self._per_text(symbol), self._per_text(upper), self._per_text(lower), self._per_word(symbol[last]), self._per_text(kinds == 8), self._per_word(loud), self._per_word(close), self._per_word(kinds[last] == 4)], 1).astype(float)
 
     def features(self) -> np.ndarray:
-        """Hashed feature counts of each text: character class trigrams, and words that repeat the one before."""
-        kinds = self.kinds.astype(np.int16)
-        code = np.zeros(len(kinds), np.int16)
-        code[1:-1] = (kinds[:-2] * 16 + kinds[1:-1]) * 16 + kinds[2:]
-        counts = [np.bincount(code[a:b], minlength=DIMS) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)]
-        return np.concatenate([np.stack(counts), self.again()[:, None]], 1)
+        """Hashed feature counts of each text: words, pairs of words, and trigrams of character classes."""
+        n, kinds = len(self.begin), self.kinds.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            follow = self._same_text(1)
+            pairs = _mixed(self.words[:-1] * np.uint64(3) + self.words[1:])[follow[1:]]
+            shapes = np.zeros(len(kinds), np.uint64)
+            shapes[1:-1] = _mixed((kinds[:-2] * np.uint64(16) + kinds[1:-1]) * np.uint64(16) + kinds[2:] + np.uint64(1 << 40))
+        words = np.bincount(self.of * WORD_DIMS + _bucket(self.words, WORD_DIMS), minlength=n * WORD_DIMS).reshape(n, -1)
+        words += np.bincount(self.of[1:][follow[1:]] * WORD_DIMS + _bucket(pairs, WORD_DIMS), minlength=n * WORD_DIMS).reshape(n, -1)
+        shape = _bucket(shapes, SHAPE_DIMS)
+        held = [np.bincount(shape[a:b], minlength=SHAPE_DIMS) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)]
+        return np.concatenate([np.stack(held), words, self.again()[:, None]], 1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def _bucket(hashes: np.ndarray, dims: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (dims.bit_length() - 1))).astype(np.int64)
+
+
+def _shares(features: np.ndarray) -> np.ndarray:
+    """The scorer's inputs of feature counts: roots of shares of the text, and 1."""
+    shapes, words, again = features[..., :SHAPE_DIMS], features[..., SHAPE_DIMS:-1], features[..., -1:]
+    size, many = shapes.sum(-1, keepdims=True) + SMOOTH, words.sum(-1, keepdims=True) + SMOOTH
+    return np.concatenate([np.sqrt(shapes / size), WORD_WEIGHT * np.sqrt(words / many), np.sqrt(again / size), np.ones(again.shape)], -1)
 
 
 def measures(texts: list[str | None], what: tuple[str, ...] = ("sums", "features")) -> list[np.ndarray]:
-    """What is asked for of each whole text; long texts are measured piece by piece."""
+    """What is asked for of each whole text.
+
+    A long text is measured piece by piece. All that is measured looks back by three words at most, so a piece is
+    measured with the three words before it, and those alone are taken off again: the sum is that of the whole.
+    """
     raws = [(t or "").encode("utf-8", "replace") for t in texts]
     short = _Measured([r if len(r) <= PIECE else b"" for r in raws])
     found = [getattr(short, w)() for w in what]
     for i, r in enumerate(raws):
-        for piece in _pieces(r) if len(r) > PIECE else ():
+        at, starts = 0, []
+        while len(r) > PIECE and at < len(r):
+            end = min(len(r), at + PIECE)
+            while end < len(r) and r[end] not in b" \t\n\r\v\f":
+                end += 1
+            back = starts[0] if starts else at
+            piece, known = _Measured([r[back:end]]), _Measured([r[back:at]])
             for out, w in zip(found, what, strict=True):
-                out[i] += getattr(_Measured([piece]), w)()[0]
+                out[i] += getattr(piece, w)()[0] - getattr(known, w)()[0]
+            starts, at = (back + piece.first - 1).tolist()[-3:], end
     return found
 
 
@@ -169,12 +199,16 @@ def estimate(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     return dict(zip(patterns.tolist(), clean.tolist(), strict=True))
 
 
-def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of a logistic scorer of soft labels, by gradient descent with momentum."""
-    w, speed, weight = np.zeros(x.shape[1]), np.zeros(x.shape[1]), weight / weight.sum()
+def _train(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a logistic scorer of soft labels from sparse rows, by gradient descent with momentum."""
+    w, speed, weight = np.zeros(DIMS), np.zeros(DIMS), weight / weight.sum()
+    begin = np.cumsum([0, *map(len, at)])[:-1]
+    column, value = np.concatenate(at), np.concatenate(values)
+    row = np.repeat(np.arange(len(at)), [len(x) for x in at])
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        speed = 0.9 * speed - 2.0 * (x.T @ (weight * (p - y)) + 1e-5 * w)
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[column] * value, begin), -30, 30)))
+        slope = np.bincount(column, weights=value * (weight * (p - y))[row], minlength=DIMS)
+        speed = 0.9 * speed - 2.0 * (slope + 1e-5 * w)
         w = w + speed
     return w
 
@@ -187,7 +221,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     posterior = estimate(counts)
     total = {side: sum(n for p, n in counts.items() if (posterior[p] < 0.5) == side) for side in (True, False)}
     if not counts:
-        return np.zeros(DIMS + 2)
+        return np.zeros(DIMS)
     # Which patterns count as junk is known before a text is read again; the share drawn is by side.
     share = {p: min(1.0, sample / 2 / total[posterior[p] < 0.5]) for p in counts}
     at_most = max(share.values())
@@ -200,33 +234,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
                 sums, features = measures(texts)
                 patterns = pattern_of(votes(sums)).tolist()
                 use = [i for i, (p, u) in enumerate(zip(patterns, draw.tolist(), strict=True)) if sums[i, 0] > 0 and u < share.get(p, 0.0)]
-                held = [np.flatnonzero(features[i]) for i in use]
-                yield pa.RecordBatch.from_arrays([pa.array([patterns[i] for i in use], pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary()), pa.array([features[i, h].astype(np.int64).tobytes() for i, h in zip(use, held, strict=True)], pa.binary())], names=["pattern", "at", "counts"])
+                shares = _shares(features[use]).astype(np.float32)
+                held = [np.flatnonzero(x) for x in shares]
+                yield pa.RecordBatch.from_arrays([pa.array([patterns[i] for i in use], pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary()), pa.array([x[h].tobytes() for x, h in zip(shares, held, strict=True)], pa.binary())], names=["pattern", "at", "values"])
 
-    taught = drawn.mapInArrow(picked, "pattern long, at binary, counts binary").toPandas().sort_values(["pattern", "at", "counts"])
-    at = [np.frombuffer(x, np.int32) for x in taught["at"]]
-    # Few of the hashed columns occur: only those are held.
-    used = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
-    x = np.ones((len(taught), len(used) + 1))
-    for i, (columns, n) in enumerate(zip(at, taught["counts"], strict=True)):
-        n = np.frombuffer(n, np.int64)
-        x[i, :-1] = 0
-        x[i, np.searchsorted(used, columns)] = np.sqrt(n / (n[columns < DIMS].sum() + SMOOTH))
+    taught = drawn.mapInArrow(picked, "pattern long, at binary, values binary").toPandas().sort_values(["pattern", "at", "values"])
     y = np.array([posterior[p] for p in taught["pattern"].tolist()])
     weight = np.array([1 / share[p] for p in taught["pattern"].tolist()])
     # A rare side isn't lost: it weighs a quarter of the other at least.
     junk = y < 0.5
     if junk.any() and not junk.all():
         weight[junk] *= max(1.0, 0.25 * weight[~junk].sum() / weight[junk].sum())
-    w = np.zeros(DIMS + 2)
-    if len(x):
-        w[np.concatenate([used, [DIMS + 1]])] = _train(x, y, weight)
-    return w
+    at = [np.frombuffer(x, np.int32) for x in taught["at"]]
+    values = [np.frombuffer(x, np.float32) for x in taught["values"]]
+    return _train(at, values, y, weight) if at else np.zeros(DIMS)
 
 
 def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, score and kept of each row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # DIMS + 2 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # DIMS numbers
 
     def run(batches):
         for batch in batches:
@@ -238,12 +264,9 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    out = []
-    for t, features in zip(texts, measures(texts, ("features",))[0], strict=True):
-        used = np.flatnonzero(features)
-        value = np.sqrt(features[used] / (features[:DIMS].sum() + SMOOTH)) @ weights[used] + weights[-1]
-        out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if t and t.strip(" \t\n\r\v\f") else 0.0)
-    return np.array(out)
+    value = _shares(measures(texts, ("features",))[0]) @ weights if texts else np.zeros(0)
+    worded = np.array([bool(t and t.strip(" \t\n\r\v\f")) for t in texts], bool)
+    return np.where(worded, 1 / (1 + np.exp(-np.clip(value, -30, 30))), 0.0)
 
 
 def quality_report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -5,7 +5,8 @@ Whole texts are encoded with the tokenizers library, ordered by doc_id and writt
 encoded (format v2), row groups have a chosen size, and the column and page indexes let a reader skip pages by doc_id.
 
 Defined results. A null text counts as empty and holds the end id only. A null doc_id comes first. Rows that repeat
-are each written. Columns other than doc_id and text are ignored, whatever their names. An empty table gives an
+are each written; those that share a doc_id stand in the order of their texts' hashes and texts, whatever the input's
+order. Very long texts are encoded whole and lie in one list. Columns other than doc_id and text are ignored, whatever their names. An empty table gives an
 empty file set.
 """
 
@@ -158,8 +159,9 @@ def _encode_partition(path: str, end_id: int):
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
-    """Encode docs(doc_id, text) and write the files, in ascending doc_id order over the parts."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    """Encode docs(doc_id, text) and write the files, in ascending doc_id order over the parts, ties by the text's hash and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     encoded = ordered.mapInArrow(_encode_partition(tokenizer, end_id), "doc_id long, n_tokens long, offset long, ids array<int>")
     writer = encoded.withColumn("part", F.spark_partition_id()).write.mode("errorifexists")
     options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
@@ -178,6 +180,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.join(base, files.part == base.base_part).withColumn("start", F.col("base") + F.col("offset")).drop("base", "base_part")
 
 
+def read_tokens(spark: SparkSession, path: str, first: int, last: int, columns: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+    """The chosen columns of the documents with first <= doc_id <= last: row groups and pages of others are skipped."""
+    return spark.read.parquet(path).where(F.col("doc_id").between(first, last)).select(*columns)
+
+
 def _crc_batches(batches):
     for batch in batches:
         ids, raw = batch.column("ids"), []
