@@ -5,7 +5,8 @@ joined text gives. So an encoder can take the longest matching piece (found by a
 against the piece before it, and step back when nothing fits; a bitfield of failed positions keeps that linear.
 
 Defined results. A null text counts as empty and gives the begin and end ids alone. Characters outside the vocabulary
-become their UTF-8 byte pieces. Rows that repeat give a result each, columns besides doc_id and text are ignored.
+become their UTF-8 byte pieces. Very long texts are encoded whole. Rows that repeat give a result each, an empty table
+gives none, columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -194,30 +195,29 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of ids."""
+    """doc_id, ids and the text that ids stand for."""
 
     def run(batches):
         library = piece_encoder(model).library
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([library.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            texts = [library.decode(x or []) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.encode("utf-8", "surrogatepass") for t in texts]).cast(pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
-def piece_digest(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded again in one pass over the texts."""
+def _digest_batches(batches):
+    for batch in batches:
+        lists = batch.column(1)
+        raw = memoryview(np.asarray(lists.values).astype("<i4", copy=False).tobytes())
+        at = (4 * np.asarray(lists.offsets).astype(np.int64)).tolist()
+        ids = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+        decoded = [hashlib.sha256(t.as_buffer() or b"").hexdigest() for t in batch.column(2)]
+        counts = pa.array(np.diff(at) // 4, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.string()), pa.array(decoded, pa.string()), lists], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
-    def run(batches):
-        encoder = piece_encoder(model)
-        begin, end = _ends(encoder)
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                counts, ids, decoded = [], [], []
-                for text in batch.column(1).slice(a, b - a).to_pylist():
-                    raw = begin + encoder.encode(text or "") + end
-                    counts.append(len(raw) // 4)
-                    ids.append(hashlib.sha256(raw).hexdigest())
-                    decoded.append(hashlib.sha256(encoder.decode(raw).encode("utf-8", "surrogatepass")).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def piece_digest(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each whole text, encoded and decoded again."""
+    coded = decode_pieces(encode_pieces(docs, model), model)
+    return coded.mapInArrow(_digest_batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")

@@ -1,17 +1,19 @@
 """Operators against brute force, libraries and SQL, on the tables and on rows with every oddity."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from parcelflow.llm import binary_codes, chats, language_id, licenses, mixing, near_duplicates, neighbours, pieces, quality, queries, token_files
+from parcelflow.llm import binary_codes, chats, language_id, license_texts, licenses, mixing, near_duplicates, neighbours, pieces, quality, queries, token_files
 
 from ..compare import connection, rows, same
 
@@ -58,6 +60,34 @@ def test_token_files_are_the_library_s_ids(spark, sf_dir):
     assert token_files.token_file_digest(no_docs(spark), WORDS).count() == 0
 
 
+def test_token_files_don_t_depend_on_the_input_s_order(spark):
+    made = [(1, f"word {k % 5} of one document " * (k % 7)) for k in range(60)] + [(None, "x"), (None, None), (2, "é")]
+    found = [sorted(map(tuple, token_files.token_file_digest(spark.createDataFrame(m, "doc_id long, text string").repartition(n), WORDS).collect()), key=str) for m, n in ((made, 1), (made[::-1], 3))]
+    assert found[0] == found[1]
+
+
+def test_token_files_can_be_read_selectively(spark, sf_dir, tmp_path):
+    import pyarrow.parquet as pq
+
+    out = str(tmp_path / "tokens")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    token_files.write_token_files(docs, out, WORDS, row_group_bytes=1 << 16, page_bytes=1 << 12)
+    groups = []
+    for file in sorted(tmp_path.glob("tokens/*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        groups.append(meta.num_row_groups)
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(k).path_in_schema: meta.row_group(g).column(k) for k in range(meta.num_columns)}
+            ids = next(c for name, c in columns.items() if name.startswith("ids."))
+            assert ids.has_dictionary_page and ids.has_offset_index and all(columns[c].has_column_index and columns[c].has_offset_index for c in ("doc_id", "n_tokens", "offset"))
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+    assert max(groups) > 1
+    some = token_files.read_tokens(spark, out, 10, 30, ("doc_id", "n_tokens"))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,10)" in plan and "LessThanOrEqual(doc_id,30)" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert {r.doc_id for r in some.collect()} == {r.doc_id for r in docs.where("doc_id between 10 and 30").collect()}
+
+
 # 2: near duplicates
 
 
@@ -101,7 +131,9 @@ def test_near_duplicates_are_those_of_brute_force(spark, sf_dir):
 def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates.near_duplicates(no_docs(spark)).count() == 0
     kept = near_duplicates.keep_one_of_each(odd_docs(spark))
-    assert kept.columns == odd_docs(spark).columns and kept.count() == 11
+    assert kept.columns == odd_docs(spark).columns
+    # Of the two equal rows of document 1 and its other text one is left; rows without words stay.
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, None, 4, 5, 6, 7, 8], key=str)
 
 
 # 3: nearest neighbours
@@ -122,6 +154,23 @@ def test_neighbours_reach_the_recall(spark, sf_dir):
     assert set(found.query_id) == set(ids[ids % 20 == 0]) and hits >= 0.9 * len(found)
 
 
+def test_the_share_of_candidates_falls_as_the_table_grows(spark, sf_dir):
+    share = []
+    for d in (sf_dir, f"{sf_dir}/../sf0.1"):
+        rows = neighbours.usable(spark.read.parquet(f"{d}/embeddings.parquet")).mapInArrow(neighbours._band_batches, "id long, vector array<double>, band int").cache()
+        queries = rows.where("id % 20 = 0")
+        share.append(neighbours.candidates(rows, queries, 20).distinct().count() / (queries.count() * rows.count()))
+    assert share[1] < 0.85 * share[0] < 0.5
+
+
+def test_equal_and_huge_vectors(spark):
+    v = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, [1e200 * (i + 1), -1e200, 0.0]) for i in range(3)] + [(103, [1e308, 1e308, 0.0])]
+    found = neighbours.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>"), 5).collect()
+    of = lambda q: [(r.vec_id, r.score) for r in sorted(found) if r.query_id == q]
+    assert of(100) == [(101, float("inf")), (102, float("inf")), (0, -1e200), (1, -1e200), (2, -1e200)]
+    assert [i for i, _ in of(0)] == [103, 102, 1, 2, 3] and [i for i, _ in of(20)] == [103, 102, 0, 1, 2]
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-9.0, 0.1]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0]), (None, [1.0, 0.0]), (20, [0.5, 0.5])]
@@ -189,15 +238,48 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language_id.language_report(unlabelled).collect()} == {"und"}
 
 
-def test_pieces_of_a_text_count_as_the_whole():
-    text = "Schöne Grüße aus Köln, " * 400
+def test_pieces_of_a_text_count_as_the_whole(monkeypatch):
+    text = "Schöne Grüße aus Köln, ΣΑΣ 12 -- ὈΔΥΣΣΕΎΣ! " * 400
     whole = language_id.counts_of(text)
-    before, language_id.PIECE = language_id.PIECE, 1000
-    try:
+    for piece in (1, 7, 1000, 1003):
+        monkeypatch.setattr(language_id, "PIECE", piece)
         cut = language_id.counts_of(text)
-    finally:
-        language_id.PIECE = before
-    assert whole[1] == cut[1] and np.abs(whole[0] - cut[0]).sum() <= 0.01 * whole[0].sum()
+        assert whole[1] == cut[1] and (whole[0] == cut[0]).all(), piece
+
+
+def naive_grams(text):
+    """Counts of the 2- and 3-grams of a space, the letters with single spaces between, and a space; by their bucket."""
+    points = [32]
+    for c in text.lower():
+        letter = "a" <= c <= "z" if ord(c) < 128 else ord(c) >= 0xAA and c.isalpha()
+        if letter or points[-1] != 32:
+            points.append(ord(c) if letter else 32)
+    if points[-1] != 32:
+        points.append(32)
+    counts, top = [0] * language_id.DIMS, 2**64
+    for k in range(len(points) - 1):
+        two = ((points[k] + 1) * 0x9E3779B97F4A7C15 + (points[k + 1] + 1) * 0xC2B2AE3D27D4EB4F) % top
+        grams = [two] + ([(two * 0xFF51AFD7ED558CCD + (points[k + 2] + 1) * 0x165667B19E3779F9) % top] if k + 2 < len(points) else [])
+        for h in grams:
+            counts[((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % top) >> (64 - 13)] += 1
+    return counts
+
+
+def test_language_is_that_of_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
+    model = language_id.fit(docs)
+    assert len(model.rows) <= language_id.CENTROIDS * len(set(model.langs)) and np.allclose(np.linalg.norm(model.rows, axis=1), 1, atol=1e-5)
+    for r in language_id.identify(docs, model).join(docs.withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i")).limit(40).collect():
+        counts = naive_grams(r.text)
+        assert counts == language_id.counts_of(r.text)[0].tolist()
+        v = [math.log1p(n) * w for n, w in zip(counts, model.idf.tolist(), strict=True)]
+        length = math.sqrt(sum(x * x for x in v))
+        cosines = [sum(x * y for x, y in zip(v, c, strict=True)) / length for c in model.rows.tolist()]
+        best = max(range(len(cosines)), key=lambda k: (cosines[k], -k))
+        letters = sum(c.isalpha() for c in r.text.lower())
+        band = sum(letters >= b for b in language_id.BANDS)
+        assert r.lang_pred == model.langs[best] and abs(r.score - min(1, max(0, cosines[best]))) < 1e-4
+        assert r.rejected == (cosines[best] < model.least[best][band]) or abs(cosines[best] - model.least[best][band]) < 1e-4
 
 
 # 7: chats
@@ -207,13 +289,23 @@ def test_masks_cover_the_speaker_s_own_words(spark):
     turns = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "?"), (1, 600, "ann", "late"), (None, 1, "ann", "alone"), (2, 0, "system", "x")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, speaker string")
     found = {(r.conv_id, r.speaker, r.part): r for r in chats.rotated(df).collect()}
-    assert set(found) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 2), (1, "bob", 2), (None, "ann", 0)}
+    assert set(found) == {(1, "ann", 0), (1, "bob", 0), (None, "ann", 0)}
     ann = found[1, "ann", 0]
-    assert ann.text == "<|user|>?<|end|><|system|>be nice<|end|><|assistant|>hi < |end|><|end|><|user:bob|><|end|><|user:bob|><|end|>" and ann.n_turns == 5
-    assert [ann.text[int(a) : int(b)] for a, b in (s.split("-") for s in ann.mask.split(","))] == ["hi < |end|><|end|>"]
+    assert ann.text == "<|user|>?<|end|><|system|>be nice<|end|><|assistant|>hi < |end|><|end|><|user:bob|><|end|><|user:bob|><|end|><|assistant|>late<|end|>" and ann.n_turns == 6
+    assert [ann.text[int(a) : int(b)] for a, b in (s.split("-") for s in ann.mask.split(","))] == ["hi < |end|><|end|>", "late<|end|>"]
     bob = found[1, "bob", 0]
     assert [bob.text[int(a) : int(b)] for a, b in (s.split("-") for s in bob.mask.split(","))] == ["<|end|>", "<|end|>"] and bob.n_masked == 14
-    assert found[1, "bob", 2].mask == "" and chats.rotated(df.limit(0)).count() == 0
+    assert chats.rotated(df.limit(0)).count() == 0
+
+
+def test_parts_are_pieces_of_one_rendering(spark):
+    long = "very long " * 50_000
+    turns = [(1, None if k % 9 == 0 else k // 3, ["ann", "bob", "cy", "system"][k % 4], [f"t{k}", "same", None][k % 3]) for k in range(60)] + [(1, 3, "ann", long)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = lambda x: sorted(map(str, x.select("conv_id", "speaker", "text", "mask").collect()))
+    parts = chats.rotated(df, 7)
+    assert parts.groupBy("speaker").count().where("count <> 9").count() == 0 and {r.n_parts for r in parts.collect()} == {9}
+    assert rows(chats.whole(parts)) == rows(chats.rotated(df))
 
 
 # 8: licenses
@@ -228,6 +320,27 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_that_are_alike(spark):
+    cases = {
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY 2.0": None,
+        "GNU General Public License, version 2": "GPL-2.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3": "LGPL-3.0", "# GNU GENERAL PUBLIC LICENSE\n#    Version 3, 29 June 2007": "GPL-3.0",
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0", "SPDX-License-Identifier: Foo-1.0": None,
+        "BSD 2-Clause License": "BSD-2-Clause", "BSD 3-Clause License": "BSD-3-Clause", "ISC License": "ISC", "Mozilla Public License Version 2.0": "MPL-2.0", "Mozilla Public License Version 1.1": "MPL-1.1", "Licensed under the Foo License.": None,
+    }
+    whole = {i: f"{i}\n\nCopyright (c) 2020 Some One\n\n{t}" for i, t in license_texts.WHOLE}
+    files = [(k, f"a{k}/x.py", t) for k, t in enumerate(cases)] + [(100 + k, f"b{k}/LICENSE", t) for k, t in enumerate(whole.values())] + [(200, "c/x.txt", "no license words " * 50_000)]
+    found = {r.id: r.license for r in licenses.scan_licenses(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert {t: found[k] for k, t in enumerate(cases)} == cases
+    assert [found[100 + k] for k in range(len(whole))] == list(whole) and found[200] is None
+
+
+def test_nothing_is_inherited_from_host_to_host(spark):
+    mit = "<p>Released under the MIT License.</p>"
+    pages = [(1, "https://one.example", mit), (2, "https://one.example/a/b", "<p>x</p>"), (3, "https://two.example", "<p>x</p>"), (4, "https://two.example/a", "y"), (5, None, mit), (6, "http://one.example/c?q=1", None)]
+    found = {r.page_id: (r.license, r.how) for r in licenses.scan_pages(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {1: ("MIT", "header"), 2: ("MIT", "inherited"), 3: (None, "none"), 4: (None, "none"), 5: ("MIT", "header"), 6: ("MIT", "inherited")}
+
+
 # 9: quality
 
 
@@ -247,15 +360,66 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality_report(no_docs(spark)).count() == 0
 
 
-def test_measures_of_pieces_add_up():
-    text = ("one two two THREE!! four | five. " * 300).strip()
+def test_measures_of_pieces_add_up(monkeypatch):
+    text = ("one two two THREE!! four | five. ßé five, two " + "x" * 90) * 60
     whole = quality.measures([text, "", None])
-    before, quality.PIECE = quality.PIECE, 1000
-    try:
+    for piece in (1, 50, 1000):
+        monkeypatch.setattr(quality, "PIECE", piece)
         cut = quality.measures([text, "", None])
-    finally:
-        quality.PIECE = before
-    assert np.abs(whole[0] - cut[0]).max() <= 40 and whole[0][0, 0] == cut[0][0, 0] == 2100 and not whole[0][1:].any()
+        assert all((a == b).all() for a, b in zip(whole, cut, strict=True)) and not whole[0][1:].any()
+    assert (quality.measures(["another", text])[1][1] == whole[1][0]).all()
+
+
+def naive_posteriors(votes, rounds=60):
+    """The same estimate by a loop over documents: votes of 0 junk, 1 nothing, 2 clean."""
+    clean = [0.1 if 0 in v else 0.95 if 2 in v else 0.5 for v in votes]
+    for _ in range(rounds):
+        share = min(0.99, max(0.01, sum(clean) / len(clean)))
+        chance = []
+        for k in range(quality.LABELLERS):
+            rows = []
+            for weight in ([1 - c for c in clean], clean):
+                seen = [0.02 + sum(w for v, w in zip(votes, weight, strict=True) if v[k] == x) for x in range(3)]
+                rows.append([x / sum(seen) for x in seen])
+            for x, wrong in ((0, rows[1][0] > rows[0][0]), (2, rows[0][2] > rows[1][2])):
+                if wrong:
+                    rows[0][x] = rows[1][x] = (rows[0][x] + rows[1][x]) / 2
+            chance.append(rows)
+        odds = [[math.prod([p] + [chance[k][c][x] for k, x in enumerate(v)]) for c, p in ((0, 1 - share), (1, share))] for v in votes]
+        clean = [b / (a + b) for a, b in odds]
+    return clean
+
+
+def test_posteriors_are_those_of_brute_force():
+    rng = random.Random(6)
+    votes = [[rng.choice([0, 1] if junk else [1, 1, 1, 0]) for _ in range(7)] + [rng.choice([1, 2] if not junk else [1, 1, 2]) for _ in range(2)] for junk in [rng.random() < 0.3 for _ in range(300)]]
+    patterns = [int(x) for x in quality.pattern_of(np.array(votes) - 1)]
+    found = quality.estimate(Counter(patterns))
+    assert all(abs(found[p] - c) < 1e-6 for p, c in zip(patterns, naive_posteriors(votes), strict=True))
+
+
+def naive_score(text, weights):
+    """The linear score with features hashed word by word and character by character."""
+    top, shapes, words = 2**64, Counter(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    mixed = lambda x: (((y := (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % top) ^ (y >> 32)) * 0x94D049BB133111EB) % top
+    hashes = [int(near_duplicates.word_hashes(w)[0][0]) for w in words]
+    kinds = [0] + [int(quality._KINDS[b]) for b in text.encode()] + [0]
+    for k in range(1, len(kinds) - 1):
+        shapes[mixed((kinds[k - 1] * 16 + kinds[k]) * 16 + kinds[k + 1] + (1 << 40)) >> 52] += 1
+    both = Counter(h >> 52 for h in hashes) + Counter(mixed((a * 3 + b) % top) >> 52 for a, b in zip(hashes, hashes[1:], strict=False))
+    again = sum(a == b for a, b in zip(hashes, hashes[1:], strict=False))
+    size, many = sum(shapes.values()) + quality.SMOOTH, sum(both.values()) + quality.SMOOTH
+    z = weights[-1] + weights[-2] * math.sqrt(again / size) + sum(weights[b] * math.sqrt(n / size) for b, n in shapes.items())
+    z += sum(weights[quality.SHAPE_DIMS + b] * quality.WORD_WEIGHT * math.sqrt(n / many) for b, n in both.items())
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_those_of_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(trim(text)) > 0").limit(60)
+    weights = quality.fit(docs)
+    texts = [r.text for r in docs.collect()]
+    found = {r.doc_id: r.score for r in quality.scores(docs, weights).collect()}
+    assert len(found) == len(texts) and all(abs(found[r.doc_id] - naive_score(r.text, weights.tolist())) < 1e-9 for r in docs.collect())
 
 
 def test_posteriors_tell_the_classes_apart():
@@ -284,10 +448,11 @@ def test_pieces_are_the_library_s(spark, sf_dir):
     assert pieces.piece_digest(no_docs(spark), MODEL).count() == 0
 
 
-def test_pieces_of_random_texts():
+def test_pieces_of_random_texts(spark):
     import sentencepiece
 
     library, encoder, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.piece_encoder(MODEL), random.Random(2)
+    assert pieces.decode_pieces(pieces.encode_pieces(spark.createDataFrame([(1, "ab  c 日"), (2, None)], "doc_id long, text string"), MODEL), MODEL).select("text").collect() == [("ab  c 日",), ("",)]
     for _ in range(1500):
         text = "".join(rng.choice("abc the  ▁\n\tßé中😀xX1.,'‍ ") for _ in range(rng.randrange(50)))
         assert struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text)) == tuple(library.encode(text))
