@@ -2,6 +2,13 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; all but the last return the columns of
 documents. Stages 1 to 3 drop rows, stage 4 repeats or drops them, stage 5 encodes.
+
+Every stage takes what any table of documents may hold, whatever came before it:
+- nulls: texts without words don't pass stage 1, nor 2; 3 keeps them; 4 draws them like others, for no words; 5 gives
+  them the begin and end ids. Rows without doc_id, source or other values are treated like others.
+- repeated rows and ids: 1, 2 and 5 treat each row by itself; 3 keeps one row of each group, also of rows equal in all.
+- ties: 3 keeps the least doc_id, then the least text hash; 4 draws by a hash.
+- very long texts are read whole; an empty table gives an empty one; more columns are carried along (5 drops them).
 """
 
 from __future__ import annotations
@@ -43,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each document of the mix."""
     return piece_digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
