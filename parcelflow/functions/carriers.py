@@ -28,6 +28,20 @@ STATUSES_B = {
     "AvailableForPickup": "Out for Delivery", "OutForDelivery": "Out for Delivery", "DeliveryFailure": "Exception", "Delivered": "Delivered", "Exception": "Exception",
 }
 
+# What the first tracking vendor calls a carrier, and the second one's numbers.
+CODES_A = {
+    "UPS": "ups", "FedEx": "fedex", "DHL": "dhl", "Aramex": "aramex", "TNT": "tnt", "DPD": "dpd", "GLS": "gls", "USPS": "usps",
+    "Canada Post": "canada-post", "Royal Mail": "royal-mail", "Australia Post": "australia-post", "Singapore Post": "singapore-post",
+    "EMS": "china-ems", "Yanwen": "yanwen", "SF Express": "sf-express", "China Post": "china-post", "Blue Dart": "bluedart",
+    "Delhivery": "delhivery", "DTDC": "dtdc", "Professional Couriers": "professional-couriers", "Xpressbees": "xpressbees",
+    "Ecom Express": "ecom-express", "India Post": "india-post", "Shadowfax": "shadowfax", "Trackon": "trackon-courier", "Ekart": "ekart",
+    "Gati": "gati", "TCI Express": "tci-express", "Safexpress": "safexpress",
+}
+NAMES_B = {
+    100002: "UPS", 100003: "FedEx", 100001: "DHL", 100006: "Aramex", 21051: "USPS", 11069: "Blue Dart", 19318: "Delhivery",
+    11020: "DTDC", 11013: "India Post", 3011: "China Post", 3014: "SF Express",
+}
+
 
 def _first(c: Column, formats) -> Column:
     out = F.lit(None).cast("string")
@@ -49,6 +63,25 @@ def guess_carrier(number: Column) -> Column:
     return _first(F.upper(F.trim(number)), GUESSES)
 
 
+def _looked_up(c: Column, table: dict) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), c)
+
+
+def code_a(carrier: Column) -> Column:
+    """The first vendor's code of a carrier; null for one that it doesn't name."""
+    return _looked_up(carrier, CODES_A)
+
+
+def code_b(carrier: Column) -> Column:
+    """The second vendor's number of a carrier."""
+    return _looked_up(carrier, {name: code for code, name in NAMES_B.items()})
+
+
+def name_b(code: Column) -> Column:
+    """The carrier of the second vendor's number."""
+    return _looked_up(code.cast("int"), NAMES_B)
+
+
 def map_status(c: Column, words: dict[str, str]) -> Column:
     """The canonical status; null and '' give the first one, unknown words stay."""
     known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))

@@ -79,6 +79,33 @@ def phones(text: Column) -> Column:
     return F.filter(bare, lambda x: F.length(F.regexp_replace(x, r"\D", "")).between(8, 15))
 
 
+def phones_at(text: Column) -> Column:
+    """As phones, each as a struct of number and at, its first character in the text (from 0).
+
+    What stands between the matches and the matches themselves make up the text, so their lengths give the places.
+    """
+    raw, between = F.regexp_extract_all(text, F.lit(PHONE), F.lit(1)), F.transform(F.split(text, PHONE, -1), F.length)
+    upto = lambda lengths, k: F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda a, x: a + x)
+    at = lambda k: upto(between, k + 1) + upto(F.transform(raw, F.length), k)
+    found = F.transform(raw, lambda x, k: F.struct(F.regexp_replace(x, r"[\s\-()]", "").alias("number"), at(k).alias("at")))
+    return F.filter(found, lambda x: F.length(F.regexp_replace(x["number"], r"\D", "")).between(8, 15))
+
+
+def dimensions(text: Column) -> Column:
+    """{"l", "w", "h", "unit"} as JSON: of "DIMS: LxWxH unit", else of "DWT: L,W,H"; null without either."""
+    first, second = r"(?i)DIMS[:\s]+(\d+)\s*[xX×]\s*(\d+)\s*[xX×]\s*(\d+)\s*(CM|IN|MM)?", r"(?i)DWT[:\s]+(\d+)\s*,\s*(\d+)\s*,\s*(\d+)"
+    side = lambda pattern, k: F.regexp_extract(text, pattern, k).cast("double")
+    unit = F.coalesce(F.nullif(F.lower(F.regexp_extract(text, first, 4)), F.lit("")), F.lit("cm"))
+    made = lambda pattern, u: F.when(text.rlike(pattern), F.to_json(F.struct(side(pattern, 1).alias("l"), side(pattern, 2).alias("w"), side(pattern, 3).alias("h"), u.alias("unit"))))
+    return F.coalesce(made(first, unit), made(second, F.lit("cm")))
+
+
+def invoice(text: Column) -> Column:
+    """What follows INV, if it has fewer than 30 characters."""
+    number = F.nullif(F.regexp_extract(text, r"(?i)INV[:/\s]+([A-Z0-9/\-.]+)", 1), F.lit(""))
+    return F.when(F.length(number) < 30, number)
+
+
 def barcode(text: Column) -> Column:
     """The longest run of 8 to 14 digits between asterisks, the first of equals."""
     runs = F.regexp_extract_all(text, F.lit(r"\*(\d{8,14})\*"), F.lit(1))

@@ -61,25 +61,41 @@ def missing_fields(number: Column, name: Column, country: Column) -> Column:
     return texts(lacks(number, "Tracking number"), lacks(name, "Receiver name"), lacks(country, "Destination country"))
 
 
-def sanity(as_of: Column, *, from_name: Column, to_name: Column, to_country: Column, to_postal: Column, to_contact: Column, actual: Column, billing: Column, pieces: Column, value: Column, ship_date: Column) -> Column:
-    """The fields with a finding and its severity, as text "field:severity", in the order of the checks."""
-    wrong = F.lit(False)
-    for country, (pattern, _) in POSTAL.items():
-        wrong = F.when(to_country == country, ~F.trim(to_postal).rlike(pattern)).otherwise(wrong)
-    digits = F.length(F.regexp_replace(to_contact, r"\D", ""))
-    odd = F.lit(False)
-    for country, (low, high) in PHONE_DIGITS.items():
-        odd = F.when(to_country == country, ~digits.between(low, high)).otherwise(odd)
-    day = parse_date(ship_date)
-    dated = F.coalesce(ship_date, F.lit("")) != ""
+def _plain(x: Column) -> Column:
+    """A number as people write it: no exponent, one decimal at least."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), r"0+$", ""), r"\.$", ".0")
+
+
+def sanity(as_of: Column, fields: dict[str, Column]) -> Column:
+    """Findings of a record as an array of (field, message, severity), in the order of the checks.
+
+    fields has those of from_/to_ name, country, postal and contact, actual_weight, billing_weight, pieces, declared_value
+    and ship_date that the record has. Severity is flag (likely wrong) or warn (unusual).
+    """
+    field = lambda name, kind="string": fields[name].cast(kind) if name in fields else F.lit(None).cast(kind)
     given = lambda c: F.coalesce(c, F.lit("")) != ""
-    return texts(
-        F.when(given(to_postal) & wrong, "to_postal:flag"),
-        F.when(given(to_contact) & odd, "to_contact:warn"),
-        F.when((actual > 1000) | (actual < 0.01), "actual_weight:flag"),
-        F.when((billing > 0) & (actual / billing > 3), "billing_weight:warn"),
-        F.when(pieces <= 0, "pieces:flag").when(pieces > 100, "pieces:warn"),
-        F.when(value <= 0, "declared_value:flag").when(value > 10_000_000, "declared_value:warn"),
-        F.when(dated & day.isNull(), "ship_date:flag").when(day > F.date_add(as_of, 14), "ship_date:warn").when(day < F.date_sub(as_of, 3650), "ship_date:warn"),
-        F.when(given(from_name) & (F.upper(F.trim(from_name)) == F.upper(F.trim(to_name))), "to_name:flag"),
-    )
+    found = lambda name, severity, *message: F.struct(F.lit(name).alias("field"), F.concat(*(m if isinstance(m, Column) else F.lit(m) for m in message)).alias("message"), F.lit(severity).alias("severity"))
+    checks = []
+    for side in ("from", "to"):
+        country, postal, odd = field(f"{side}_country"), field(f"{side}_postal"), F.lit(None)
+        for name, (pattern, shape) in POSTAL.items():
+            odd = F.when((country == name) & ~F.trim(postal).rlike(pattern), found(f"{side}_postal", "flag", '"', postal, f"\" doesn't look like a {name} postal code (expected {shape})")).otherwise(odd)
+        checks.append(F.when(given(postal), odd))
+    for side in ("from", "to"):
+        country, phone, odd = field(f"{side}_country"), field(f"{side}_contact"), F.lit(None)
+        digits = F.length(F.regexp_replace(phone, r"\D", ""))
+        for name, (low, high) in PHONE_DIGITS.items():
+            odd = F.when((country == name) & ~digits.between(low, high), found(f"{side}_contact", "warn", '"', phone, '" has ', digits.cast("string"), f" digits — unusual for a {name} phone number (expected {low}-{high})")).otherwise(odd)
+        checks.append(F.when(given(phone), odd))
+    actual, billing, value = (field(c, "double") for c in ("actual_weight", "billing_weight", "declared_value"))
+    pieces, told = field("pieces", "long"), field("ship_date")
+    day = parse_date(told)
+    checks += [
+        F.when(actual > 1000, found("actual_weight", "flag", _plain(actual), "kg is unusually heavy for a parcel — check for a misplaced decimal")).when(actual < 0.01, found("actual_weight", "flag", _plain(actual), "kg is implausibly light — check the unit/decimal")),
+        F.when((billing > 0) & (actual / billing > 3), found("billing_weight", "warn", "Billing weight (", _plain(billing), "kg) is much lower than actual weight (", _plain(actual), "kg)")),
+        F.when(pieces <= 0, found("pieces", "flag", pieces.cast("string"), " pieces isn't valid — expected a positive integer")).when(pieces > 100, found("pieces", "warn", pieces.cast("string"), " pieces is unusually high — check for a misread")),
+        F.when(value <= 0, found("declared_value", "flag", "Declared value ", _plain(value), " isn't valid — expected a positive amount")).when(value > 10_000_000, found("declared_value", "warn", "Declared value ", _plain(value), " is unusually high — check for a misplaced decimal")),
+        F.when(given(told) & day.isNull(), found("ship_date", "flag", '"', told, "\" doesn't look like a valid date")).when(day > F.date_add(as_of, 14), found("ship_date", "warn", '"', told, '" is more than 2 weeks in the future — check for a misread')).when(day < F.date_sub(as_of, 3650), found("ship_date", "warn", '"', told, '" is more than 10 years old — check for a misread (e.g. 2-digit year)')),
+        F.when(given(field("from_name")) & (F.upper(F.trim(field("from_name"))) == F.upper(F.trim(field("to_name")))), found("to_name", "flag", "Sender and receiver names are identical — likely a mis-extraction")),
+    ]
+    return F.array_compact(F.array(*checks))

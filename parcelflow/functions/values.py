@@ -87,8 +87,9 @@ def carrier_code(name: Column) -> Column:
 
 
 def shipment_number(key: Column) -> Column:
-    """A number of seven digits from a row's key, one to one for 9,000,000 keys in a row."""
-    return F.concat(F.lit("GE"), (F.lit(1_000_000) + F.pmod(key * 7_368_787 + 12_345, F.lit(9_000_000))).cast("string"))
+    """A number from a row's key (0 or more), one to one: of seven digits for the first 9,000,000 keys, then of more."""
+    seven = (F.lit(1_000_000) + F.pmod(F.pmod(key, F.lit(9_000_000)) * 7_368_787 + 12_345, F.lit(9_000_000))).cast("string")
+    return F.concat(F.lit("GE"), F.when(key >= 9_000_000, F.floor(key / 9_000_000).cast("string")).otherwise(""), seven)
 
 
 def field_score(columns: list[Column]) -> Column:

@@ -24,18 +24,23 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return joined.select(key, *(F.when(F.col("latest").isNotNull(), F.col(f"latest.{c}")).otherwise(F.col(c)).alias(c) for c in columns))
 
 
-def patch(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Non-null values of changes(key, ...) over old's: a null can't clear a field."""
-    changed = [c for c in changes.columns if c != key]
-    new = changes.select(key, F.struct(*changed).alias("new"))
+def _last(changes: DataFrame, key: str, order: str | None) -> tuple[list[str], DataFrame]:
+    """The changed columns, and for each key the last change by order (without one, the greatest) as the struct new."""
+    changed = [c for c in changes.columns if c not in (key, order)]
+    new = F.struct(*changed)
+    return changed, changes.groupBy(key).agg((F.max_by(new, order) if order else F.max(new)).alias("new"))
+
+
+def patch(old: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Non-null values of the last of changes(key, ...) over old's: a null can't clear a field."""
+    changed, new = _last(changes, key, order)
     joined = old.join(new, key, "left")
     return joined.select(*(F.coalesce(F.col(f"new.{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in old.columns))
 
 
-def overwrite(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Values of changes over old's where a change exists, nulls too; other columns stay."""
-    changed = [c for c in changes.columns if c != key]
-    new = changes.select(key, F.struct(*changed).alias("new"))
+def overwrite(old: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Values of the last of changes over old's where a change exists, nulls too; other columns stay."""
+    changed, new = _last(changes, key, order)
     joined = old.join(new, key, "left")
     return joined.select(*(F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in old.columns))
 
@@ -46,7 +51,8 @@ def drop_repeats(df: DataFrame, key: list[str], order: str = "id") -> DataFrame:
 
 
 def keep_newer(df: DataFrame, column: str, cutoff: str) -> DataFrame:
-    return df.where(F.col(column) >= F.lit(cutoff).cast("timestamp_ntz"))
+    """Rows that aren't older than the cutoff; those without a time stay."""
+    return df.where(~F.coalesce(F.col(column) < F.lit(cutoff).cast("timestamp_ntz"), F.lit(False)))
 
 
 def retention(shipments: DataFrame, today: str, months: int, warn_days: int) -> DataFrame:

@@ -28,7 +28,7 @@ def fold(events: DataFrame, order: str = "id") -> DataFrame:
     """The state of each shipment after its events in order of arrival.
 
     tracking_status is the last one; status moves only to a rank that isn't less; delivered_at is when Delivered first
-    came; changes counts the events that changed tracking_status.
+    came; changes counts the events that changed tracking_status, and last_status_change_at is when the last of them came.
     """
     arrival = Window.partitionBy("ge_tracking_number").orderBy(order)
     mapped = F.when(F.col("status") == "Information Received", F.lit("Processing")).otherwise(F.col("status"))
@@ -42,4 +42,5 @@ def fold(events: DataFrame, order: str = "id") -> DataFrame:
         F.coalesce(F.max_by("mapped", F.when(F.col("accepted"), F.col(order))), F.lit("Processing")).alias("status"),
         F.min_by("event_timestamp", F.when(F.col("status") == "Delivered", F.col(order))).alias("delivered_at"),
         F.count_if("changed").alias("changes"),
+        F.max_by("event_timestamp", F.when(F.col("changed") & F.col("status").isNotNull(), F.col(order))).alias("last_status_change_at"),
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BINS, OCCUPIED, GUTTER, THIN = 240, 0.12, 0.025, 0.05
 _SCHEMA = "doc long, page int, text string"
@@ -25,8 +26,8 @@ def bands(middle: np.ndarray, tolerance: float) -> np.ndarray:
     return out
 
 
-def gutters(x0: np.ndarray, x1: np.ndarray, band: np.ndarray, width: float) -> list[float]:
-    """Middles of the vertical gaps that few bands cross, with text on both sides."""
+def gutters(x0: np.ndarray, x1: np.ndarray, band: np.ndarray, width: float) -> list[tuple[float, float]]:
+    """The vertical gaps that few bands cross, with text on both sides; gaps with a thin column between them are one."""
     held = np.zeros(BINS)
     for b in np.unique(band):
         row = np.zeros(BINS, bool)
@@ -39,25 +40,43 @@ def gutters(x0: np.ndarray, x1: np.ndarray, band: np.ndarray, width: float) -> l
         if f and start is None:
             start = i
         elif not f and start is not None:
-            middle = (start + i) / 2 / BINS * width
-            if (i - start) / BINS >= GUTTER and (x1 <= middle).any() and (x0 >= middle).any():
-                found.append(middle)
+            low, high = start / BINS * width, i / BINS * width
+            if (i - start) / BINS >= GUTTER and (x1 <= low + 1e-6).any() and (x0 >= high - 1e-6).any():
+                if found and low - found[-1][1] < THIN * width:
+                    low = found.pop()[0]
+                found.append((low, high))
             start = None
     return found
 
 
+def fragments(x0: np.ndarray, x1: np.ndarray, band: np.ndarray, least: float) -> np.ndarray:
+    """The fragment of each word: a row's words from left to right, cut where a gap of least or more is."""
+    out, number = np.zeros(len(x0), int), 0
+    for b in np.unique(band):
+        row = np.flatnonzero(band == b)
+        row = row[np.argsort(x0[row], kind="stable")]
+        wide = np.concatenate([[True], x0[row][1:] - x1[row][:-1] >= least])
+        out[row] = number + np.cumsum(wide) - 1
+        number += int(wide.sum())
+    return out
+
+
 def page_text(words: pd.DataFrame) -> str:
-    """The words of a page in reading order: column by column, line by line."""
+    """The words of a page in reading order: column by column, line by line.
+
+    A row is cut only where its own gap is comparable to a gutter, and each fragment goes to the column of its middle: a
+    long line that runs over a gutter stays whole.
+    """
     words = words.assign(middle=(words.y0 + words.y1) / 2).sort_values(["middle", "x0"], kind="stable")
     height = float((words.y1 - words.y0).median())
     band = bands(words.middle.to_numpy(), 0.6 * height)
-    width = float(words.x1.max()) or 1.0
-    cuts = gutters(words.x0.to_numpy(), words.x1.to_numpy(), band, width)
-    column = np.searchsorted(cuts, ((words.x0 + words.x1) / 2).to_numpy())
-    for c in range(len(cuts), 0, -1):  # a thin column goes with the one before
-        own = words[column == c]
-        if len(own) and own.x1.max() - own.x0.min() < THIN * width:
-            column[column == c] = c - 1
+    x0, x1, width = words.x0.to_numpy(), words.x1.to_numpy(), float(words.x1.max()) or 1.0
+    cuts = gutters(x0, x1, band, width)
+    column = np.zeros(len(words), int)
+    if cuts:
+        of = fragments(x0, x1, band, max(0.4 * min(b - a for a, b in cuts), 0.03 * width))
+        spans = pd.DataFrame({"of": of, "x0": x0, "x1": x1}).groupby("of").agg(x0=("x0", "min"), x1=("x1", "max"))
+        column = np.searchsorted([(a + b) / 2 for a, b in cuts], ((spans.x0 + spans.x1) / 2).to_numpy(), side="right")[of]
     lines = []
     for c in sorted(set(column.tolist())):
         own = words[column == c]
@@ -66,6 +85,28 @@ def page_text(words: pd.DataFrame) -> str:
     return "\n".join(lines)
 
 
+def boxes_of_words(words: DataFrame) -> DataFrame:
+    """Boxes of a PDF reader's words(doc, page, text, x0, top, x1, bottom); blank ones go."""
+    return words.where("trim(text) <> ''").select("doc", "page", "text", "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"))
+
+
+def boxes_of_scans(words: DataFrame, least: int = 0) -> DataFrame:
+    """Boxes of a recogniser's words(doc, page, text, left, top, width, height, conf); blank and unsure ones go.
+
+    conf is text; what isn't a number counts as -1.
+    """
+    sure = F.coalesce(F.col("conf").try_cast("double").cast("int"), F.lit(-1)) >= least
+    text = F.trim(F.coalesce("text", F.lit("")))
+    return words.where(sure & (text != "")).select("doc", "page", text.alias("text"), F.col("left").alias("x0"), F.col("top").alias("y0"), (F.col("left") + F.col("width")).alias("x1"), (F.col("top") + F.col("height")).alias("y1"))
+
+
+def boxes_of_shares(words: DataFrame) -> DataFrame:
+    """Boxes of words(doc, page, text, x0, y0, x1, y1, page_width, page_height) placed by shares of the page."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    scaled = ((F.col(c) * F.col(size)).alias(c) for c, size in (("x0", "page_width"), ("y0", "page_height"), ("x1", "page_width"), ("y1", "page_height")))
+    return words.where(text != "").select("doc", "page", text.alias("text"), *scaled)
+
+
 def reading_order(words: DataFrame) -> DataFrame:
     """doc, page and text of words(doc, page, text, x0, y0, x1, y1)."""
 

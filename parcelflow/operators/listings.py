@@ -8,8 +8,12 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SORTABLE = ("created_at", "ship_date", "status", "carrier", "to_country", "declared_value")
-SEARCHED = ("ge_tracking_number", "carrier_tracking_number", "awb_number", "carrier", "status", "tracking_status", "from_city", "to_name", "to_city", "to_country", "service_type", "ship_date")
+# The columns that a page can be sorted by, and those that a search looks into.
+SORTABLE = ("created_at", "ship_date", "booking_date", "ge_tracking_number", "to_name", "status", "tracking_status")
+SEARCHED = (
+    "ge_tracking_number", "carrier_tracking_number", "awb_number", "from_name", "to_name", "from_contact", "to_contact", "contents",
+    "invoice_number", "reference_number", "sender_company", "receiver_company", "route_code",
+)
 
 
 def all_of(conditions: list[Column]) -> Column:

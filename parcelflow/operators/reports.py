@@ -8,13 +8,40 @@ from pyspark.sql import functions as F
 MOVING = ("In Transit", "Picked Up", "Out for Delivery")
 
 
-def kpis(shipments: DataFrame, first: str, end: str, today: str, status: str | None = None, carrier: str | None = None) -> DataFrame:
-    """All dashboard counts in one pass; the range [first, end) and filters don't hold for ``today``."""
+def asked(first: str, end: str, status: str | None = None, carrier: str | None = None) -> Column:
+    """Whether a row was created in [first, end) and has the status and carrier, if any are asked for."""
     at = F.col("created_at")
     inside = (at >= F.lit(first).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz"))
     for column, value in (("status", status), ("carrier", carrier)):
         if value:
             inside &= F.col(column) == value
+    return inside
+
+
+def of_day(day: str) -> Column:
+    start = F.lit(day).cast("timestamp_ntz")
+    return (F.col("created_at") >= start) & (F.col("created_at") < start + F.expr("INTERVAL 1 DAY"))
+
+
+def uploads_today(jobs: DataFrame, today: str) -> DataFrame:
+    return jobs.where(of_day(today)).agg(F.count("*").alias("uploads_today"))
+
+
+def word_confidence(words: DataFrame) -> DataFrame:
+    """doc and the mean of its words' confidences that aren't negative, 0 without any."""
+    mean = F.round(F.avg(F.when(F.col("confidence") >= 0, F.col("confidence"))), 1)
+    return words.groupBy("doc").agg(F.coalesce(mean, F.lit(0.0)).alias("confidence"))
+
+
+def block_confidence(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc and the mean of its blocks' confidences in percent: 85 if none is given, 0 if the document isn't annotated."""
+    means = blocks.groupBy("doc").agg(F.round(F.avg(F.col("confidence") * 100), 1).alias("mean"))
+    return docs.join(means, "doc", "left").select("doc", F.when(F.col("annotated"), F.coalesce("mean", F.lit(85.0))).otherwise(0.0).alias("confidence"))
+
+
+def kpis(shipments: DataFrame, first: str, end: str, today: str, status: str | None = None, carrier: str | None = None) -> DataFrame:
+    """All dashboard counts in one pass; the range [first, end) and filters don't hold for ``today``."""
+    inside = asked(first, end, status, carrier)
     counted = {
         "total": F.lit(True),
         "delivered": (F.col("status") == "Delivered") | (F.col("tracking_status") == "Delivered"),
@@ -24,13 +51,13 @@ def kpis(shipments: DataFrame, first: str, end: str, today: str, status: str | N
         "waybills": F.col("waybill_generated") == 1,
         "manual_queue": F.col("manual_tracking") == 1,
     }
-    now = (at >= F.lit(today).cast("timestamp_ntz")) & (at < F.lit(today).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+    now = of_day(today)
     return shipments.agg(*(F.count_if(inside & c).alias(k) for k, c in counted.items()), F.count_if(now).alias("today"))
 
 
 def top_groups(df: DataFrame, by: str, k: int, *, blank: bool = False) -> DataFrame:
     """The k largest groups of non-null (and, unless blank, non-empty) values; ties by value."""
-    held = F.col(by).isNotNull() if blank else F.coalesce(F.trim(by), F.lit("")) != ""
+    held = F.col(by).isNotNull() if blank else F.coalesce(F.col(by), F.lit("")) != ""
     return df.where(held).groupBy(by).agg(F.count("*").alias("count")).orderBy(F.desc("count"), by).limit(k)
 
 

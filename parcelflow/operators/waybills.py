@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses as a
 from ..functions import labels
+from ..functions.validation import missing_fields
 from ..functions.values import field_score, is_blank
 
 SCORED = (
@@ -123,8 +124,8 @@ def records(documents: DataFrame, text: str = "text") -> DataFrame:
         df = _placed(_named(df, side), side)
     body, layout = F.col("body"), F.col("layout")
     df = df.withColumns({**labels.fields(body, layout, F.col("phones")), **_contacts(layout)})
-    lacking = [F.when(is_blank(F.col(c)), f"{what} not detected") for c, what in (("carrier_tracking_number", "Tracking number"), ("to_name", "Receiver name"), ("to_country", "Destination country"))]
-    df = df.withColumns({"field_score": field_score([F.col(c) for c in SCORED]), "warnings": F.array_compact(F.array(*lacking))})
+    lacking = missing_fields(F.col("carrier_tracking_number"), F.col("to_name"), F.col("to_country"))
+    df = df.withColumns({"field_score": field_score([F.col(c) for c in SCORED]), "warnings": lacking})
     return df.drop("body", "layout", "phones", *(f"{s}_{c}" for s in ("from", "to") for c in _STEPS))
 
 

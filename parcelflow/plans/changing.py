@@ -29,23 +29,26 @@ def snk_upsert(spark: SparkSession, d: str) -> DataFrame:
     return changes.upsert(old, new, "key", "id")
 
 
-_CHANGED = "SELECT id, CASE WHEN from_city = '' THEN NULL ELSE 'Returned' END AS status, 'Mumbai' AS from_city FROM shipments WHERE status = 'In Transit'"
+#: Every third shipment is changed twice; the second change counts.
+_CHANGED = "SELECT id, CASE WHEN id % 3 = 0 THEN 'Lost' WHEN from_city = '' THEN NULL ELSE 'Returned' END AS status, 'Mumbai' AS from_city FROM shipments WHERE status = 'In Transit'"
 
 
 def _changed(shipments: DataFrame) -> DataFrame:
-    return shipments.where("status = 'In Transit'").select("id", F.when(F.col("from_city") != "", "Returned").alias("status"), F.lit("Mumbai").alias("from_city"))
+    moving = shipments.where("status = 'In Transit'")
+    first = moving.select("id", F.when(F.col("from_city") != "", "Returned").alias("status"), F.lit("Mumbai").alias("from_city"), F.lit(1).alias("nth"))
+    return first.union(moving.where("id % 3 = 0").select("id", F.lit("Lost"), F.lit("Mumbai"), F.lit(2)))
 
 
 @query(over("shipments", sql=f"SELECT s.id, coalesce(c.status, s.status) AS status, coalesce(c.from_city, s.from_city) AS from_city FROM shipments s LEFT JOIN ({_CHANGED}) c ON s.id = c.id"))
 def snk_patch_update(spark: SparkSession, d: str) -> DataFrame:
     shipments = views.shipments(spark, d).select("id", "status", "from_city")
-    return changes.patch(shipments, _changed(shipments), "id")
+    return changes.patch(shipments, _changed(shipments), "id", "nth")
 
 
 @query(over("shipments", sql=f"SELECT s.id, CASE WHEN c.id IS NULL THEN s.status ELSE c.status END AS status, CASE WHEN c.id IS NULL THEN s.from_city ELSE c.from_city END AS from_city FROM shipments s LEFT JOIN ({_CHANGED}) c ON s.id = c.id"))
 def snk_overwrite_update(spark: SparkSession, d: str) -> DataFrame:
     shipments = views.shipments(spark, d).select("id", "status", "from_city")
-    return changes.overwrite(shipments, _changed(shipments), "id")
+    return changes.overwrite(shipments, _changed(shipments), "id", "nth")
 
 
 @query(over("tracking_events", sql="SELECT id, ge_tracking_number, status, location FROM tracking_events WHERE id IN (SELECT min(id) FROM tracking_events GROUP BY ge_tracking_number, status, location)"))
@@ -54,9 +57,12 @@ def snk_dedupe_cleanup(spark: SparkSession, d: str) -> DataFrame:
     return changes.drop_repeats(events, ["ge_tracking_number", "status", "location"])
 
 
-@query(over("audit_log", sql="SELECT * FROM audit_log WHERE created_at >= TIMESTAMP '2024-01-15'"))
+_UNDATED = "CASE WHEN id % 10 = 0 THEN NULL ELSE created_at END"
+
+
+@query(over("audit_log", sql=f"SELECT id, created_at FROM (SELECT id, {_UNDATED} AS created_at FROM audit_log) WHERE NOT coalesce(created_at < TIMESTAMP '2024-01-15', false)"))
 def snk_delete_ttl(spark: SparkSession, d: str) -> DataFrame:
-    return changes.keep_newer(views.audit_log(spark, d), "created_at", "2024-01-15")
+    return changes.keep_newer(views.audit_log(spark, d).select("id", F.expr(_UNDATED).alias("created_at")), "created_at", "2024-01-15")
 
 
 @query(over("shipments", sql=f"""SELECT id, due, CASE WHEN due <= DATE '{RETENTION_NOW}' THEN 'due' WHEN due <= DATE '{RETENTION_NOW}' + 15 THEN 'warning' ELSE 'kept' END AS state
@@ -74,21 +80,6 @@ def join_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     return changes.purge(views.tracking_events(spark, d).select("id", "ge_tracking_number"), gone, "ge_tracking_number")
 
 
-@query(over("audit_log", sql="""SELECT id, '"' || CAST(id AS VARCHAR) || '","' || replace(username, '"', '""') || '","' || action || '"' AS line FROM audit_log ORDER BY id DESC LIMIT 5000"""))
-def snk_csv_audit(spark: SparkSession, d: str) -> DataFrame:
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    return views.audit_log(spark, d).orderBy(F.desc("id")).limit(5000).select("id", F.concat_ws(",", quoted("id"), quoted("username"), quoted("action")).alias("line"))
-
-
-@query(over("shipments", sql="""SELECT ge_tracking_number AS number, coalesce(nullif(carrier, ''), '-') AS carrier, coalesce(nullif(from_city, ''), 'Unknown') AS origin,
- concat_ws(', ', nullif(trim(to_city), ''), nullif(trim(to_country), '')) AS destination, substr(CAST(created_at AS STRING), 1, 10) AS day FROM shipments"""))
-def snk_visible_export(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.values import falsy_coalesce, locality
-
-    col = F.col
-    return views.shipments(spark, d).select(col("ge_tracking_number").alias("number"), falsy_coalesce(col("carrier"), F.lit("-")).alias("carrier"), falsy_coalesce(col("from_city"), F.lit("Unknown")).alias("origin"), locality(col("to_city"), col("to_country")).alias("destination"), F.substring(col("created_at").cast("string"), 1, 10).alias("day"))
-
-
 @query(over("shipments", sql="""SELECT status, count(*) AS n, string_agg(line, chr(10) ORDER BY id) FILTER (place <= 50) AS report FROM (
  SELECT id, status, ge_tracking_number || ' since ' || substr(CAST(created_at AS STRING), 1, 10) AS line, row_number() OVER (PARTITION BY status ORDER BY id) AS place FROM shipments) GROUP BY status"""))
 def fn_report_line(spark: SparkSession, d: str) -> DataFrame:

@@ -74,8 +74,14 @@ def top_page(spark: SparkSession, d: str) -> DataFrame:
     return _shown(listings.page(views.shipments(spark, d), "no such column", "desc", 3, 20), "created_at")
 
 
-@query(over("shipments", sql=f"SELECT {_COLUMNS} FROM shipments ORDER BY carrier ASC NULLS FIRST, id LIMIT 25 OFFSET 25"))
+@query(over("shipments", sql=f"SELECT {_COLUMNS}, booking_date FROM shipments ORDER BY booking_date ASC NULLS FIRST, id LIMIT 25 OFFSET 25"))
 def top_page_ascending(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(listings.page(views.shipments(spark, d), "booking_date", "asc", 2, 25), "booking_date")
+
+
+@query(over("shipments", sql=f"SELECT {_COLUMNS} FROM shipments ORDER BY created_at ASC NULLS FIRST, id LIMIT 25 OFFSET 25"))
+def flt_whitelist_sort(spark: SparkSession, d: str) -> DataFrame:
+    """A column that isn't listed doesn't sort: the page is by creation."""
     return _shown(listings.page(views.shipments(spark, d), "carrier", "asc", 2, 25))
 
 
@@ -170,9 +176,9 @@ def win_since(spark: SparkSession, d: str) -> DataFrame:
     return views.shipments(spark, d).where("status <> 'Delivered'").select("id", "status", since).orderBy("since", "id").limit(500)
 
 
-@query(over("tracking_events", sql="""SELECT ge_tracking_number, tracking_status, status, delivered_at, changes FROM (
+@query(over("tracking_events", sql="""SELECT ge_tracking_number, tracking_status, status, delivered_at, changes, last_status_change_at FROM (
  SELECT ge_tracking_number, arg_max(status, id) AS tracking_status, coalesce(arg_max(mapped, id) FILTER (rank = greatest(reached, 0)), 'Processing') AS status,
-  arg_min(event_timestamp, id) FILTER (status = 'Delivered') AS delivered_at, count(*) FILTER (changed) AS changes
+  arg_min(event_timestamp, id) FILTER (status = 'Delivered') AS delivered_at, count(*) FILTER (changed) AS changes, arg_max(event_timestamp, id) FILTER (changed AND status IS NOT NULL) AS last_status_change_at
  FROM (SELECT *, max(rank) OVER (PARTITION BY ge_tracking_number ORDER BY id ROWS UNBOUNDED PRECEDING) AS reached,
    status IS DISTINCT FROM lag(status) OVER (PARTITION BY ge_tracking_number ORDER BY id) AS changed
   FROM (SELECT *, CASE mapped WHEN 'Processing' THEN 0 WHEN 'Picked Up' THEN 1 WHEN 'In Transit' THEN 2 WHEN 'Out for Delivery' THEN 3 WHEN 'Delivered' THEN 4 WHEN 'Exception' THEN 4 WHEN 'Returned' THEN 4 END AS rank

@@ -54,21 +54,40 @@ def fn_validate_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("id", checked.alias("v")).select("id", col("v.detected_carrier").alias("detected"), F.array_join("v.errors", "; ").alias("errors"), F.array_join("v.warnings", "; ").alias("warnings"))
 
 
-@query(over("shipments", sql=f"""SELECT id, concat_ws(';', CASE WHEN NOT regexp_matches(postal, '^[0-9]{{6}}$') THEN 'to_postal:flag' END,
- CASE WHEN length(phone) NOT BETWEEN 10 AND 12 THEN 'to_contact:warn' END, CASE WHEN actual_weight > 1000 OR actual_weight < 0.01 THEN 'actual_weight:flag' END,
- CASE WHEN billing > 0 AND actual_weight / billing > 3 THEN 'billing_weight:warn' END, CASE WHEN pieces <= 0 THEN 'pieces:flag' WHEN pieces > 100 THEN 'pieces:warn' END,
- CASE WHEN declared_value <= 0 THEN 'declared_value:flag' WHEN declared_value > 10000000 THEN 'declared_value:warn' END,
- CASE WHEN day > DATE '{ORDERS_NOW}' + 14 THEN 'ship_date:warn' WHEN day < DATE '{ORDERS_NOW}' - 3650 THEN 'ship_date:warn' END,
- CASE WHEN to_name = sender THEN 'to_name:flag' END) AS findings
-FROM (SELECT *, CAST(100000 + id * 7 AS STRING) AS postal, CAST(id * 900001 AS STRING) AS phone, CAST(id % 20 AS DOUBLE) AS billing, CAST(ship_date AS DATE) AS day,
- CASE WHEN id % 31 = 0 THEN to_name ELSE 'S' END AS sender FROM shipments)"""))
+_CHECKED = {
+    "from_country": "CASE WHEN id % 2 = 0 THEN 'UK' ELSE 'Atlantis' END",
+    "from_postal": "CASE WHEN id % 3 = 0 THEN 'SW1A 1AA' WHEN id % 3 = 1 THEN 'SW' || CAST(id AS STRING) END",
+    "from_contact": "CASE WHEN id % 5 = 0 THEN NULL ELSE '+' || CAST(id AS STRING) || '-5' END",
+    "to_country": "CASE WHEN id % 4 = 0 THEN NULL ELSE 'India' END",
+    "to_postal": "CAST(100000 + id * 7 AS STRING)",
+    "to_contact": "CAST(id * 900001 AS STRING)",
+    "from_name": "CASE WHEN id % 31 = 0 THEN lower(to_name) WHEN id % 31 = 1 THEN '' ELSE 'S' END",
+    "to_name": "to_name",
+    "actual_weight": "CASE WHEN id % 50 = 0 THEN 0.001e0 WHEN id % 50 = 1 THEN 1200.5e0 ELSE actual_weight END",
+    "billing_weight": "CASE WHEN id % 6 = 0 THEN NULL ELSE CAST(id % 20 AS DOUBLE) END",
+    "pieces": "CASE WHEN id % 40 = 0 THEN -1 WHEN id % 40 = 1 THEN 101 ELSE pieces END",
+    "declared_value": "CASE WHEN id % 60 = 0 THEN 0.0e0 WHEN id % 60 = 1 THEN 10000000.5e0 ELSE declared_value END",
+    "ship_date": "CASE WHEN id % 70 = 0 THEN 'soon' WHEN id % 70 = 1 THEN '2001-12-31' ELSE ship_date END",
+}
+
+
+@query(over("shipments", sql=f"""SELECT id, concat_ws(';',
+ CASE WHEN from_country = 'UK' AND NOT regexp_matches(from_postal, '^[A-Za-z]{{1,2}}[0-9][A-Za-z0-9]?\\s?[0-9][A-Za-z]{{2}}$') THEN 'from_postal:flag:"' || from_postal || '" doesn''t look like a UK postal code (expected e.g. SW1A 1AA)' END,
+ CASE WHEN to_country = 'India' AND NOT regexp_matches(to_postal, '^[0-9]{{6}}$') THEN 'to_postal:flag:"' || to_postal || '" doesn''t look like a India postal code (expected 6 digits)' END,
+ CASE WHEN from_country = 'UK' AND length(from_digits) NOT BETWEEN 10 AND 12 THEN 'from_contact:warn:"' || from_contact || '" has ' || length(from_digits) || ' digits — unusual for a UK phone number (expected 10-12)' END,
+ CASE WHEN to_country = 'India' AND length(to_contact) NOT BETWEEN 10 AND 12 THEN 'to_contact:warn:"' || to_contact || '" has ' || length(to_contact) || ' digits — unusual for a India phone number (expected 10-12)' END,
+ CASE WHEN actual_weight > 1000 THEN 'actual_weight:flag:' || actual_weight || 'kg is unusually heavy for a parcel — check for a misplaced decimal' WHEN actual_weight < 0.01 THEN 'actual_weight:flag:' || actual_weight || 'kg is implausibly light — check the unit/decimal' END,
+ CASE WHEN billing_weight > 0 AND actual_weight / billing_weight > 3 THEN 'billing_weight:warn:Billing weight (' || billing_weight || 'kg) is much lower than actual weight (' || actual_weight || 'kg)' END,
+ CASE WHEN pieces <= 0 THEN 'pieces:flag:' || pieces || ' pieces isn''t valid — expected a positive integer' WHEN pieces > 100 THEN 'pieces:warn:' || pieces || ' pieces is unusually high — check for a misread' END,
+ CASE WHEN declared_value <= 0 THEN 'declared_value:flag:Declared value ' || declared_value || ' isn''t valid — expected a positive amount' WHEN declared_value > 10000000 THEN 'declared_value:warn:Declared value ' || declared_value || ' is unusually high — check for a misplaced decimal' END,
+ CASE WHEN ship_date = 'soon' THEN 'ship_date:flag:"soon" doesn''t look like a valid date' WHEN TRY_CAST(ship_date AS DATE) > DATE '{ORDERS_NOW}' + 14 THEN 'ship_date:warn:"' || ship_date || '" is more than 2 weeks in the future — check for a misread'
+  WHEN TRY_CAST(ship_date AS DATE) < DATE '{ORDERS_NOW}' - 3650 THEN 'ship_date:warn:"' || ship_date || '" is more than 10 years old — check for a misread (e.g. 2-digit year)' END,
+ CASE WHEN from_name <> '' AND upper(from_name) = upper(to_name) THEN 'to_name:flag:Sender and receiver names are identical — likely a mis-extraction' END) AS findings
+FROM (SELECT *, regexp_replace(from_contact, '[^0-9]', '', 'g') AS from_digits FROM (SELECT id, {", ".join(f"{e} AS {c}" for c, e in _CHECKED.items())} FROM shipments))"""))
 def fn_sanity(spark: SparkSession, d: str) -> DataFrame:
-    found = validation.sanity(
-        F.lit(ORDERS_NOW).cast("date"), from_name=F.when(col("id") % 31 == 0, F.lower("to_name")).otherwise("S"), to_name=col("to_name"), to_country=F.lit("India"),
-        to_postal=(100000 + col("id") * 7).cast("string"), to_contact=(col("id") * 900001).cast("string"), actual=col("actual_weight"),
-        billing=(col("id") % 20).cast("double"), pieces=col("pieces"), value=col("declared_value"), ship_date=col("ship_date"),
-    )
-    return views.shipments(spark, d).select("id", F.array_join(found, ";").alias("findings"))
+    rows = views.shipments(spark, d).select("id", *(F.expr(e).alias(c) for c, e in _CHECKED.items()))
+    found = validation.sanity(F.lit(ORDERS_NOW).cast("date"), {c: col(c) for c in _CHECKED})
+    return rows.select("id", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["field"], x["severity"], x["message"])), ";").alias("findings"))
 
 
 @query(over("shipments", sql="""SELECT id, TRY_CAST(nullif(regexp_extract(replace(raw, ',', ''), '^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)'), '') AS DOUBLE) AS number,

@@ -27,6 +27,16 @@ SHIPMENTS = {
     "status": "CASE o_orderstatus WHEN 'F' THEN 'Delivered' WHEN 'O' THEN 'In Transit' ELSE 'Processing' END",
     "tracking_status": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Out for Delivery' WHEN '2-HIGH' THEN 'In Transit' WHEN '3-MEDIUM' THEN 'Picked Up' WHEN '5-LOW' THEN 'Exception' END",
     "created_by": "o_custkey % 10",
+    "from_name": "CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE 'Sender ' || CAST(o_custkey % 50 AS STRING) END",
+    "from_contact": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE '9' || lpad(CAST(o_custkey AS STRING), 9, '0') END",
+    "to_contact": "CASE WHEN o_orderkey % 14 = 0 THEN '' ELSE '44' || lpad(CAST(o_orderkey AS STRING), 9, '0') END",
+    "contents": "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Car parts' WHEN 2 THEN 'Papers 100%' ELSE 'Ladies wear' END",
+    "invoice_number": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'INV-' || CAST(o_orderkey * 3 AS STRING) END",
+    "reference_number": "CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE 'R' || CAST(o_custkey AS STRING) END",
+    "sender_company": "CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'Company ' || CAST(o_custkey % 30 AS STRING) END",
+    "receiver_company": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE upper(c_mktsegment) || ' LTD' END",
+    "route_code": "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE 'RT' || CAST(o_orderkey % 100 AS STRING) END",
+    "booking_date": "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END",
     "from_city": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Chennai' END",
     "to_name": "c_name",
     "to_city": "c_mktsegment",
@@ -56,9 +66,20 @@ TRACKING_EVENTS = {
     "location": f"CASE WHEN {_K} % 5 = 0 THEN NULL ELSE 'HUB ' || CAST({_K} % 4 AS STRING) || CASE WHEN {_K} % 7 = 0 THEN ' ' ELSE '' END END",
     "provider": f"CASE WHEN {_K} % 2 = 0 THEN 'A' ELSE 'B' END",
 }
+_AUDITED = {
+    "entity": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'shipments' END",
+    "entity_id": "CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id AS STRING) END",
+    "ip_address": "CASE WHEN event_id % 4 = 0 THEN NULL ELSE '10.0.0.' || CAST(event_id % 250 AS STRING) END",
+    "device": "CASE WHEN event_id % 5 = 0 THEN 'a \"quoted\" agent' END",
+    "status": "CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END",
+    "old_value": "CASE WHEN event_id % 7 = 0 THEN props END",
+    "new_value": "props",
+    "details": "CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'n. ' || CAST(event_id AS STRING) END",
+}
 API_LOGS = {"id": "event_id", "provider": "event_type", "success": "CASE WHEN value < 50 THEN 1 ELSE 0 END", "response_ms": "value", "created_at": "ts"}
-AUDIT_LOG = {"id": "event_id", "username": "'user_' || CAST(user_id AS STRING)", "role": "CASE WHEN user_id % 5 = 0 THEN 'admin' ELSE 'employee' END", "action": "upper(event_type)", "created_at": "ts"}
+AUDIT_LOG = {"id": "event_id", "username": "'user_' || CAST(user_id AS STRING)", "role": "CASE WHEN user_id % 5 = 0 THEN 'admin' ELSE 'employee' END", "action": "upper(event_type)", "created_at": "ts", **_AUDITED}
 NOTIFICATIONS = {"id": "event_id", "user_id": "user_id", "status": f"CASE {_K} % 3 WHEN 0 THEN 'Queued' WHEN 1 THEN 'Failed' ELSE 'Sent' END", "event": "event_type", "created_at": "ts"}
+UPLOAD_JOBS = {"id": "event_id", "uploaded_by": "user_id", "created_at": "ts"}
 RECORDS = {"job": "source", "doc_id": "doc_id", "validation_status": "CASE quality WHEN 1 THEN 'Valid' WHEN 0 THEN 'Invalid' ELSE 'Pending' END"}
 
 
@@ -70,10 +91,29 @@ def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*(F.expr(e).alias(c) for c, e in columns.items()))
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("weight"), F.max("l_shipdate").alias("shipped"))
-    orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return _select(orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"), SHIPMENTS)
+#: Columns of shipments that come from lines, and from customers and nations.
+_OF_LINES, _OF_CUSTOMERS, _OF_NATIONS = ("n_lines", "weight", "shipped"), ("c_name", "c_mktsegment"), ("n_name",)
+
+
+def shipments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The shipments' columns, or those asked for; only tables that these need are joined.
+
+    An order has one customer and a customer one nation (foreign keys), so the joins left out wouldn't drop a row.
+    """
+    wanted = {c: SHIPMENTS[c] for c in columns or SHIPMENTS}
+    needs = lambda sources: any(s in e for e in wanted.values() for s in sources)
+    orders = read(spark, sf_dir, "orders")
+    if needs(_OF_CUSTOMERS) or needs(_OF_NATIONS):
+        orders = orders.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    if needs(_OF_NATIONS):
+        orders = orders.join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    if needs(_OF_LINES):
+        orders = orders.join(_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return _select(orders, wanted)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("weight"), F.max("l_shipdate").alias("shipped"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +136,10 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(read(spark, sf_dir, "events"), NOTIFICATIONS)
 
 
+def upload_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(read(spark, sf_dir, "events").where("event_type = 'signup'"), UPLOAD_JOBS)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left"), RECORDS)
 
@@ -111,6 +155,7 @@ _VIEWS = {
     "api_logs": _sql(API_LOGS, "events"),
     "audit_log": _sql(AUDIT_LOG, "events"),
     "notifications": _sql(NOTIFICATIONS, "events"),
+    "upload_jobs": _sql(UPLOAD_JOBS, "events WHERE event_type = 'signup'"),
     "records": _sql(RECORDS, "documents LEFT JOIN labels USING (doc_id)"),
 }
 

@@ -17,6 +17,7 @@ ALIASES = {
     "carrier_tracking_number": ("carrier_tracking_number", "awb", "awb_number", "tracking_number", "tracking", "trackingnumber"),
     "from_name": ("from_name", "sender", "shipper", "shippername"),
     "from_country": ("from_country", "origin_country", "origincountry"),
+    "from_city": ("from_city", "origin_city", "origincity"),
     "to_name": ("to_name", "receiver", "consignee", "recipient"),
     "to_country": ("to_country", "destination_country", "destinationcountry"),
     "to_city": ("to_city", "destination_city", "destinationcity"),
@@ -25,7 +26,23 @@ ALIASES = {
     "ship_date": ("ship_date", "shipdate", "date"),
     "contents": ("contents", "description", "desc"),
     "reference_number": ("reference_number", "reference", "ref"),
+    "invoice_number": ("invoice_number", "invoice"),
+    "sender_company": ("sender_company", "shipper_company", "from_company", "company_sender"),
+    "receiver_company": ("receiver_company", "consignee_company", "to_company", "company_receiver"),
+    "receiver_attention": ("receiver_attention", "attention", "attn", "care_of", "c_o"),
+    "customs_value": ("customs_value", "customsvalue", "value_for_customs"),
+    "carriage_value": ("carriage_value", "carriagevalue", "freight_value"),
+    "origin_code": ("origin_code", "origincode", "origin_station"),
+    "destination_code": ("destination_code", "destinationcode", "destination_station"),
+    "route_code": ("route_code", "routecode", "routing_code"),
+    "service_code": ("service_code", "servicecode"),
+    "package_length": ("package_length", "length", "pkg_length"),
+    "package_width": ("package_width", "width", "pkg_width"),
+    "package_height": ("package_height", "height", "pkg_height"),
+    "billing_type": ("billing_type", "billingtype", "payment_type"),
+    "account_number": ("account_number", "accountnumber", "carrier_account"),
 }
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -45,31 +62,48 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.select(*(first(names).alias(field) for field, names in ALIASES.items()))
 
 
-def sheet_rows(content: bytes) -> list[list[str]]:
-    """The cells of the first sheet of an xlsx file, as strings."""
+def _cells(row, shared: list[str]) -> list[str]:
+    cells: list[str] = []
+    for cell in row.iter(f"{_SHEET}c"):
+        at = 0
+        for x in cell.get("r", ""):
+            at = at * 26 + ord(x) - 64 if x.isalpha() else at
+        cells += [""] * (max(at, len(cells) + 1) - len(cells))
+        value = cell.find(f"{_SHEET}v")
+        text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if cell.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
+        cells[(at or len(cells)) - 1] = shared[int(text)] if cell.get("t") == "s" and text else text
+    return cells
+
+
+def sheets_of(content: bytes, only_first: bool = False) -> dict[str, list[list[str]]]:
+    """The cells of an xlsx file's sheets by name, as strings, in the order of the workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
+        held, shared, found = set(z.namelist()), [], {}
+        if "xl/sharedStrings.xml" in held:
             shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        name = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]
-        rows = []
-        for row in ElementTree.fromstring(z.read(name)).iter(f"{_SHEET}row"):
-            cells: list[str] = []
-            for cell in row.iter(f"{_SHEET}c"):
-                letters = "".join(x for x in cell.get("r", "") if x.isalpha())
-                at = 0
-                for x in letters:
-                    at = at * 26 + ord(x) - 64
-                cells += [""] * (max(at, len(cells) + 1) - len(cells))
-                value = cell.find(f"{_SHEET}v")
-                text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if cell.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
-                cells[(at or len(cells)) - 1] = shared[int(text)] if cell.get("t") == "s" and text else text
-            rows.append(cells)
-        return rows
+        if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= held:
+            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+            listed = [(s.get("name"), targets.get(s.get(_RELATION), "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+            files = [(n, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for n, t in listed]
+        else:  # without a workbook, by their numbers
+            files = [(n, n) for n in sorted((n for n in held if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))]
+        for name, file in files[:1] if only_first else files:
+            found[name] = [_cells(row, shared) for row in ElementTree.fromstring(z.read(file)).iter(f"{_SHEET}row")]
+        return found
+
+
+def sheet_rows(content: bytes) -> list[list[str]]:
+    """The cells of the workbook's first sheet."""
+    return next(iter(sheets_of(content, only_first=True).values()), [])
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """path, row_number and cells (a map by header) of the first sheet of each file: one task for each file."""
+    return xlsx_rows(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def xlsx_rows(files: DataFrame) -> DataFrame:
+    """As read_xlsx, of files(path, content)."""
 
     def run(frames):
         for frame in frames:
@@ -79,11 +113,16 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
                 found = [(file, i, {n: (r[k] if k < len(r) else "") for k, n in enumerate(names) if n}) for i, r in enumerate(rows[1:], 2)]
                 yield pd.DataFrame(found, columns=["path", "row_number", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row_number int, cells map<string,string>")
+    return files.select("path", "content").mapInPandas(run, "path string, row_number int, cells map<string,string>")
 
 
 def zip_members(spark: SparkSession, path: str, endings: tuple[str, ...] = (".pdf", ".png", ".jpg", ".jpeg")) -> DataFrame:
     """archive, name (without folders) and content of the wanted members of zip files."""
+    return members(spark.read.format("binaryFile").load(path).select("path", "content"), endings)
+
+
+def members(files: DataFrame, endings: tuple[str, ...]) -> DataFrame:
+    """As zip_members, of files(path, content)."""
 
     def run(frames):
         for frame in frames:
@@ -94,7 +133,7 @@ def zip_members(spark: SparkSession, path: str, endings: tuple[str, ...] = (".pd
                         if name.lower().endswith(endings):
                             yield pd.DataFrame([(file, name, z.read(member))], columns=["archive", "name", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string, content binary")
+    return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary")
 
 
 def file_kind(path) -> F.Column:

@@ -1,11 +1,14 @@
 """Tracking pushes as a stream: JSON lines to events, each event once, and the state of every shipment.
 
-State is kept by shipment: the last status, the accepted status and its rank, and the keys of events that were seen, so
-that vendors can send whole histories again. Arrival order counts, as in operators.events.fold.
+State is kept by shipment: the last status, the accepted status and its rank, and the keys of the newest KEPT events that
+were seen, so that vendors can send histories again (a push holds MOST events at most) and state stays bounded. Arrival
+order counts, as in operators.events.fold.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +20,8 @@ from ..operators.events import RANKS
 
 PUSH = "number string, events array<struct<seq: long, ts: string, status: string, location: string>>"
 _OUT = "number string, tracking_status string, status string, n_events long"
+#: Keys of events that are kept for each shipment, and events of a push that count.
+KEPT, MOST = 1000, 20
 _STATE = "tracking_status string, status string, n_events long, seen string"
 
 
@@ -42,7 +47,7 @@ def _apply(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Dat
         mapped = "Processing" if new == "Information Received" else new
         if mapped in RANKS and RANKS[mapped] >= RANKS.get(status, 0):
             status = mapped
-    state.update((tracking, status, n, "\n".join(sorted(known))))
+    state.update((tracking, status, n, "\n".join(sorted(known)[-KEPT:])))  # keys begin with the time
     yield pd.DataFrame({"number": [key[0]], "tracking_status": [tracking], "status": [status], "n_events": [n]})
 
 
@@ -51,6 +56,43 @@ def states(events: DataFrame) -> DataFrame:
     return events.groupBy("number").applyInPandasWithState(_apply, _OUT, _STATE, "update", "NoTimeout")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir; a temporary one for a local session without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='stream-')}/{uuid.uuid4().hex}"
+
+
+def follow(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet file or folder as a stream."""
+    files = spark.read.parquet(path)
+    folder, _, name = path.rpartition("/")
+    stream = spark.readStream.schema(files.schema)
+    single = [f.rpartition("/")[2] for f in files.inputFiles()] == [name]
+    return stream.option("pathGlobFilter", name).parquet(folder) if single else stream.parquet(path)
+
+
+def newest_states(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The last state of each shipment after all events(number, seq, ts, status, location) that are there now.
+
+    Each micro-batch appends the states it touched to a table; the one with most events is a shipment's last.
+    """
+    out = work_dir(spark)
+    run = states(events).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint")
+    run.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{out}/states")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema(_OUT).parquet(f"{out}/states")
+    return told.groupBy("number").agg(F.max_by(F.struct("tracking_status", "status", "n_events"), "n_events").alias("s")).select("number", "s.*")
+
+
+def hourly_totals(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """hour, status and events of all events that are there now, as micro-batches count them."""
+    out = work_dir(spark)
+    run = hourly(events).select(F.col("hour.start").alias("hour"), "status", "events").writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint")
+    run.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{out}/hours")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("hour timestamp, status string, events long").parquet(f"{out}/hours").groupBy("hour", "status").agg(F.max("events").alias("events"))
+
+
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Events by hour and status, late ones within the watermark included."""
     timed = events.withColumn("at", F.to_timestamp("ts")).withWatermark("at", late)
@@ -63,7 +105,6 @@ _B = (
     "event string, data struct<number: string, track_info: struct<latest_status: struct<status: string>,"
     " tracking: struct<providers: array<struct<events: array<struct<time_iso: string, description: string, location: string>>>>>>>"
 )
-MOST = 20
 
 
 def payloads(lines: DataFrame, vendor: str) -> DataFrame:
