@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Carriers in the order of detection, with words (upper case) and a pattern; any of them decides.
+# Carriers in the order of detection, with words (upper case) and a pattern; any of them decides.
 LAYOUTS = (
     ("FedEx", ("FEDEX", "FED EX", "FEDERAL EXPRESS", "TRK#", "ACTWGT", "ACTWG T"), None),
     ("DHL", ("EXPRESS WORLDWIDE", "DHL A\\C", "DHL A/C", "WAYBILL DOC", "WAYBILL WPX"), r"(?i)WAYBILL\s+\d{2}\s+\d{4}\s+\d{4}"),
@@ -22,6 +22,7 @@ SERVICES = {
     "UPS": {"UPS SAVER": "UPS Saver", "UPS WORLDWIDE": "UPS Worldwide", "UPS EXPRESS": "UPS Express"},
 }
 HINTS = {"BLUEDART": "BlueDart", "BLUE DART": "BlueDart", "DTDC": "DTDC"}
+#: Words that begin another label's line.
 NEXT_LABEL = r"(?i)^(Shipper|Receiver|WAYBILL|Ref\d?\s*:|Custom|Payment|Product|FRT|Duty|DHL|INCOTERM|Features|\*)"
 
 
@@ -40,26 +41,6 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def tracking(text: Column) -> Column:
-    joined = lambda p: F.when(found(text, p).isNotNull(), F.concat(*(F.regexp_extract(text, p, k) for k in (1, 2, 3))))
-    fedex = F.coalesce(joined(r"(?i)TRK\s*[#eE$sS]?\s*(\d{4})\s+(\d{4})\s+(\d{4})"), found(text, r"\b(\d{12})\b"))
-    dhl = F.coalesce(joined(r"(?i)WAYBILL\s+(\d{2})\s+(\d{4})\s+(\d{4})"), found(text, r"\b(\d{10})\b"))
-    ups = F.coalesce(F.upper(F.regexp_replace(found(text, r"(?i)TRACKING\s*#[:\s]+(1Z[A-Z0-9 ]{14,22})\b"), r"\s+", "")), F.upper(found(text, r"(?i)\b(1Z[A-Z0-9]{16})\b")))
-    return F.when(layout(text) == "FedEx", fedex).when(layout(text) == "DHL", dhl).when(layout(text) == "UPS", ups).otherwise(F.coalesce(found(text, r"(?i)\b(1Z[A-Z0-9]{16})\b"), found(text, r"\b(\d{10,14})\b")))
-
-
-def weight(text: Column) -> Column:
-    fedex = found(text, r"(?i)ACTW\s*S?\s*G?T[:\s]+([0-9]+\.?[0-9]*)\s*(?:KG|LB)")
-    ups = F.coalesce(found(text, r"(?i)SHP\s*WT[:\s]+([0-9]+\.?[0-9]*)\s*(?:KG|LB)"), found(text, r"(?m)^([0-9]+(?:\.[0-9]+)?)\s*KG\s+[0-9]+\s+OF\s+[0-9]+"))
-    other = found(text, r"(?i)([0-9]+\.[0-9]+)\s*KG\b")
-    return F.when(layout(text) == "FedEx", fedex).when(layout(text) == "UPS", ups).otherwise(other).try_cast("double")
-
-
-def declared_value(text: Column) -> Column:
-    value = F.coalesce(found(text, r"(?i)Custom\s*Val\s*:?\s*([0-9,]+\.?[0-9]*)"), found(text, r"(?i)Declared\s*Value\s*=\s*([0-9,.]+)"))
-    return F.regexp_replace(value, ",", "").try_cast("double")
-
-
 def pieces_in_pairs(text: Column) -> Column:
     """m of the first n/m with 1 <= n <= m."""
     firsts, lasts = (F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{1,2})\s*/\s*(\d{1,2})(?!\d)"), F.lit(k)) for k in (1, 2))
@@ -67,11 +48,6 @@ def pieces_in_pairs(text: Column) -> Column:
     return F.try_element_at(pairs, F.lit(1))["b"]
 
 
-def pieces(text: Column) -> Column:
-    """n/m with 1 <= n <= m, or n OF m: m."""
-    return F.coalesce(pieces_in_pairs(text), found(text, r"(?i)\b\d{1,2}\s+OF\s+(\d{1,2})\b").cast("int"))
-
-
 def phones(text: Column) -> Column:
     """Telephone numbers of 8 to 15 digits in the order of the text, without separators."""
     raw = F.regexp_extract_all(text, F.lit(PHONE), F.lit(1))
@@ -116,13 +92,6 @@ def before_legal(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)CONDITIONS\s+OF\s+CARRIAGE.*", "")
 
 
-def record(text: Column) -> Column:
-    """carrier, tracking number, weight, value, pieces and ship date of a label."""
-    body = before_legal(text)
-    date = F.coalesce(found(body, r"(?i)DATE[: ]+(\d{4}-\d{2}-\d{2})"), found(body, r"(?i)DATE[: ]+(\d{1,2} ?[A-Z]{3} ?\d{2,4})"))
-    return F.struct(layout(body).alias("carrier"), tracking(body).alias("tracking"), weight(body).alias("weight"), declared_value(body).alias("value"), pieces(body).alias("pieces"), date.alias("ship_date"))
-
-
 def contents(text: Column, layout: Column) -> Column:
     """The first two DESC lines; of DHL's layout the line after Contents, and the next one unless it is a label."""
     lines = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)DESC\d*[:\t ]+([^\n]{3,80})"), F.lit(1)), F.trim)

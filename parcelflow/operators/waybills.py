@@ -114,6 +114,13 @@ def _contacts(layout: Column) -> dict[str, Column]:
     }
 
 
+def label_fields(documents: DataFrame, text: str = "text") -> DataFrame:
+    """documents with the fields that stand outside address blocks; columns that aren't asked for aren't computed."""
+    staged = documents.withColumn("body", F.coalesce(labels.before_legal(F.col(text)), F.lit("")))
+    staged = staged.withColumns({"layout": labels.layout(F.col("body")), "phones": labels.phones(F.col("body"))})
+    return staged.withColumns(labels.fields(F.col("body"), F.col("layout"), F.col("phones"))).drop("body", "layout", "phones")
+
+
 def records(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with the fields of their text, field_score and warnings. A null or empty text gives the blank record."""
     df = documents.withColumn("body", F.coalesce(labels.before_legal(F.col(text)), F.lit(""))).withColumn("layout", labels.layout(F.col("body")))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import carriers, labels, validation, values
-from ..operators import layout, listings
+from ..operators import layout, listings, waybills
 from . import views
 from .registry import query
 from .views import ORDERS_NOW, over
@@ -134,8 +134,10 @@ _LABELLED = "SELECT id, ship_date, pieces, CAST(declared_value AS BIGINT) AS wor
 FROM ({_LABELLED.replace('CAST(declared_value AS BIGINT)', 'CAST(floor(declared_value) AS BIGINT)')})"""))
 def tx_labels(spark: SparkSession, d: str) -> DataFrame:
     """Round trip: labels of three layouts, written from the columns and read back."""
-    rows = views.shipments(spark, d).select("id", "ship_date", "pieces", F.floor("declared_value").alias("worth"), (col("id") % 90).alias("weight10"))
-    return rows.select("id", labels.record(F.expr(_LABEL)).alias("r")).select("id", "r.*")
+    rows = views.shipments(spark, d, "id", "ship_date", "pieces", "declared_value").select("id", "ship_date", "pieces", F.floor("declared_value").alias("worth"), (col("id") % 90).alias("weight10"))
+    names = {"carrier": "carrier", "carrier_tracking_number": "tracking", "actual_weight": "weight", "declared_value": "value", "pieces": "pieces", "ship_date": "ship_date"}
+    text = rows.select("id", F.expr(_LABEL).alias("text")).repartition(2 * spark.sparkContext.defaultParallelism)
+    return waybills.label_fields(text).select("id", *(col(c).alias(n) for c, n in names.items()))
 
 
 @query(over("shipments", sql="""SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE '123456789' || CAST(10 + id % 90 AS STRING) END AS barcode,

@@ -6,8 +6,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from parcelflow.functions import carriers, labels, messages, validation, values
-from parcelflow.operators import changes, layout, waybills
-from parcelflow.sources import uploads
+from parcelflow.operators import accounts, changes, choices, layout, waybills
+from parcelflow.sources import exports, uploads
 from parcelflow.streaming import pushes
 
 
@@ -43,7 +43,7 @@ def test_validation_of_blank_rows(spark):
 
 
 def test_label_pieces_and_layout(spark):
-    assert one(spark, "string", "9/3 1/2 2/5", labels.pieces) == 2
+    assert one(spark, "string", "9/3 1/2 2/5", labels.pieces_in_pairs) == 2
     assert one(spark, "string", None, labels.layout) == "Generic"
     assert one(spark, "string", "*12345678* *1234567890* *0987654321*", labels.barcode) == "1234567890"
 
@@ -132,3 +132,48 @@ def test_payloads_without_events_or_number(spark):
     lines = ['{"data": {"tracking_number": "N1", "delivery_status": "transit"}}', '{"data": {"delivery_status": "transit"}}', "nonsense", None]
     got = pushes.payloads(spark.createDataFrame([(x,) for x in lines], "value string"), "A").collect()
     assert [(r.number, r.current, r.events) for r in got] == [("N1", "In Transit", [])]
+
+
+def test_a_long_line_over_a_gutter_stays_whole(spark):
+    left = [("one", 0.0, 20.0 * k, 60.0) for k in range(12)] + [("two", 64.0, 20.0 * k, 110.0) for k in range(12)]
+    right = [("right", 300.0, 20.0 * k, 360.0) for k in range(12)]
+    long = [(t, x, 240.0, x + 50.0) for t, x in [("5", 0.0), ("YISHUN", 54.0), ("STREET", 108.0), ("1", 162.0), ("2", 216.0)]]
+    words = [(1, 1, t, x0, y, x1, y + 10.0) for t, x0, y, x1 in left + right + long]
+    page = layout.reading_order(spark.createDataFrame(words, "doc long, page int, text string, x0 double, y0 double, x1 double, y1 double")).first()
+    assert page.text.split("\n") == ["one two"] * 12 + ["5 YISHUN STREET 1 2"] + ["right"] * 12
+
+
+def test_the_first_sheet_is_the_workbook_s(spark):
+    book = exports.workbook({"b": (["x"], [("1",)]), "a": (["y"], []), **{f"s{k}": (["z"], [(str(k),)]) for k in range(9)}})
+    assert uploads.sheet_rows(book) == [["x"], ["1"]]
+    sheets = uploads.sheets_of(book)
+    assert list(sheets)[:3] == ["b", "a", "s0"] and sheets["a"] == [["note"], ["No rows"]] and sheets["s8"] == [["z"], ["8"]]
+
+
+def test_numbers_of_shipments_are_one_to_one(spark):
+    keys = spark.range(0, 27_000_000, 1_000).union(spark.range(9_000_000, 9_001_000))
+    made = keys.distinct().select(values.shipment_number(F.col("id")).alias("n"))
+    assert made.distinct().count() == made.count() and one(spark, "long", 5, values.shipment_number) == "GE" + str(1_000_000 + (5 * 7_368_787 + 12_345) % 9_000_000)
+
+
+def test_rows_without_a_time_stay_and_the_last_change_counts(spark):
+    rows = spark.createDataFrame([(1, None), (2, datetime.datetime(2020, 1, 1)), (3, datetime.datetime(2024, 1, 1))], "id int, at timestamp_ntz")
+    assert sorted(r.id for r in changes.keep_newer(rows, "at", "2023-01-01").collect()) == [1, 3]
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    new = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (1, None, 3)], "id int, s string, nth int")
+    assert sorted(tuple(r) for r in changes.patch(old, new.where("nth < 3"), "id", "nth").collect()) == [(1, "x"), (2, "b")]
+    assert sorted(tuple(r) for r in changes.overwrite(old, new, "id", "nth").collect()) == [(1, None), (2, "b")]
+
+
+def test_places_of_telephone_numbers(spark):
+    text = "A 9876543210 then 12 x 9876543210"
+    assert [tuple(x) for x in one(spark, "string", text, labels.phones_at)] == [("9876543210", 2), ("9876543210", 23)]
+    assert one(spark, "string", None, labels.phones_at) is None and one(spark, "string", "", labels.phones_at) == []
+
+
+def test_empty_tables_give_empty_answers(spark):
+    pages = spark.createDataFrame([], "doc long, page int, text string")
+    assert choices.best_page(pages).count() == choices.longest_page(pages).count() == 0
+    logins = spark.createDataFrame([], "username string, id long, at timestamp_ntz, ok boolean")
+    assert accounts.locked(logins).count() == 0 and one(spark, "string", None, choices.known_word_hits) == 0
+    assert one(spark, "string", "nothing", choices.parsed_list) == [] and one(spark, "string", None, choices.usable) is None
