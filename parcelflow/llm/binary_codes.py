@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, kept
 
 BITS = 64
 #: Segments at least and at most, and the widest one whose values are listed.
@@ -113,19 +113,19 @@ def nearest_codes(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame
         for r in index.select("key").distinct().collect():  # at most segments * 2 ** width values
             listed[r.key & 15][r.key >> 4] = True
     queries = every_row.where(F.col("id") % every == 0)
-    asked = cut(queries.select(F.col("code").alias("q")).distinct())
-    done, best, best_schema = [], None, "q long, id long, distance int"
+    asked = kept(queries.select(F.col("code").alias("q")).distinct())
+    done, best = [], None
     for radius in range(max(width for _, width in cuts) + 1):
         probed = asked.repartition("q").mapInArrow(lambda b, radius=radius: _joined(_probe_batches(cuts, radius, listed)(b)), "q long, key long")
-        found = index.join(probed, "key").where(_first_shown(cuts, radius)).select("q", "id", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        found = index.hint("merge").join(probed, "key").where(_first_shown(cuts, radius)).select("q", "id", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
         both = found if best is None else best.select("q", "id", "distance").union(found)
         ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("rank") <= need)
-        last, best = best, cut(ranked)
+        last, best = best, kept(ranked)
         far = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         covered = far.where((F.col("n") >= need) & (F.col("far") <= len(cuts) * (radius + 1) - 1)).select("q")
-        done.append(cut(best.join(covered, "q", "left_semi").select("q", "id", "distance")))
-        before, asked = asked, cut(asked.join(covered, "q", "left_anti"))
-        rest = cut(best.join(asked, "q", "left_semi"))
+        done.append(kept(best.hint("merge").join(covered, "q", "left_semi").select("q", "id", "distance")))
+        before, asked = asked, kept(asked.hint("merge").join(covered, "q", "left_anti"))
+        rest = kept(best.hint("merge").join(asked, "q", "left_semi"))
         forget(before, best, *([last] if last is not None else []))
         best = rest
         if asked.isEmpty():
@@ -135,7 +135,7 @@ def nearest_codes(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame
         nearest = nearest.union(more)
     nearest = nearest.union(best.select("q", "id", "distance"))  # those of tables without enough rows
     own = nearest.select("q", F.col("id").alias("vec_id"), F.col("distance").cast("long").alias("distance"))
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(own, "q").where("query_id <> vec_id")
+    pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).hint("merge").join(own, "q").where("query_id <> vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 

@@ -28,21 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     Where the session names none, a local session (as in tests) gets a temporary folder; a cluster gets an error, as its
     machines have no folder in common. The folder can be deleted when the application's results have been written.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{named or _local_dir()}/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder, so that losing an executor loses nothing."""
+    """df, computed once and kept in the shared folder, so that losing an executor loses nothing.
+
+    Its size isn't known to the planner, so joins with it are shuffled, and broadcast only where the shuffle shows it small.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """As cut, for loops: a table, whose plan carries nothing of the rounds before and which forget can delete."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that cut has written and nothing reads any more."""
+    """Delete tables that kept has written and nothing reads any more."""
     for t in tables:
         sc = t.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:

@@ -7,22 +7,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import forget, kept
 
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(id, up) of each row of parents(id, up), with up the root of its tree; parents is forgotten.
 
-    Each pass takes four steps at once, so a tree of depth d needs log4(d) passes.
+    The first pass takes one step, which is enough for flat trees; each pass after it takes three at once, so a tree of
+    depth d needs about log4(d) passes.
     """
+    steps = 1
     while True:
-        hop = lambda k: parents.select(F.col("id").alias(f"id{k}"), F.col("up").alias(f"up{k}"))
-        far = parents.join(hop(1), F.col("up") == F.col("id1")).join(hop(2), F.col("up1") == F.col("id2")).join(hop(3), F.col("up2") == F.col("id3"))
-        jumped = cut(far.select("id", F.col("up3").alias("up"), (F.col("up2") != F.col("up3")).alias("moving")))
+        far, up = parents, "up"
+        for k in range(1, steps + 1):
+            hop = parents.select(F.col("id").alias(f"id{k}"), F.col("up").alias(f"up{k}"))
+            far, before, up = far.join(hop, F.col(up) == F.col(f"id{k}")), up, f"up{k}"
+        jumped = kept(far.select("id", F.col(up).alias("up"), (F.col(before) != F.col(up)).alias("moving")))
         forget(parents)
         if jumped.where("moving").isEmpty():
             return jumped
-        parents = jumped
+        parents, steps = jumped, 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,20 +38,20 @@ def components(edges: DataFrame) -> DataFrame:
     chain in order of its ids takes one round. Labels and edges stay distributed; each round is kept in the shared
     folder and the one before deleted.
     """
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while labels is None or not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        roots = _roots(cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("up"))))
+        roots = _roots(kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("up"))))
         if labels is None:
-            labels = cut(roots.select("id", F.col("up").alias("component")))
+            labels = kept(roots.select("id", F.col("up").alias("component")))
         else:
             old, at = labels, roots.select(F.col("id").alias("at"), "up")
-            labels = cut(old.join(at, F.col("component") == F.col("at"), "left").select("id", F.coalesce("up", "component").alias("component")))
+            labels = kept(old.join(at, F.col("component") == F.col("at"), "left").select("id", F.coalesce("up", "component").alias("component")))
             forget(old)
         a, b = (roots.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in ("a", "b"))
         moved, old = edges.join(a, "a").join(b, "b").where("a_up <> b_up"), edges
-        edges = cut(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+        edges = kept(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
         forget(old, roots)
     forget(edges)
     return labels

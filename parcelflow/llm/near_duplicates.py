@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, forget
+from .common import WORD_PATTERN, cut
 from .components import components, grouped
 from .token_files import slices
 
@@ -45,9 +45,9 @@ HASHES = 64
 #: The share of links at the similarity asked for that signatures may lose; and the least similarity in percent.
 LOST, LEAST_PERCENT = 1e-5, 80
 #: Keys with up to so many members give all their pairs; members of larger ones are held against so many pivots first.
-SMALL_KEY, PIVOTS = 16, 4
+SMALL_KEY, PIVOTS = 8, 2
 #: Members of a key that hang apart are compared in blocks of so many, first by so many bits of each minimum.
-KEY_BLOCK, PLANES = 4096, 6
+KEY_BLOCK, PLANES = 2048, 6
 #: Classes of a large cluster are held against others of a difference so many times.
 STAR_TURNS = 3
 #: Clusters of up to so many classes, with so many shingles in all, meet whole.
@@ -341,36 +341,38 @@ def _compared(apart: DataFrame, marks: DataFrame, radius: int, percent: int) ->
     rows = apart.join(marks, "id").withColumn("band", F.floor(F.log("size") / math.log(100 / percent) - 1e-9) if percent < 100 else F.col("size"))
     most = apart.groupBy("key", "label").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("most"))
     rest = rows.join(most, "key").where("label <> most").drop("most").withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)")))
-    sizes = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks"))
-    rests = rest.groupBy("key", "band").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("rest_blocks"))
-    both = cut(sizes.join(rests, ["key", "band"]))
+    return _in_blocks(rest, rows, ["key", "band"], ["id", "label", "signature"], _across(radius), _NEAR)
+
+
+def _in_blocks(rest: DataFrame, rows: DataFrame, keys: list[str], columns: list[str], meet, schema: str) -> DataFrame:
+    """What meet gives for the rest and all rows of each key, dealt to blocks of KEY_BLOCK on both sides."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks"))
+    rests = rest.groupBy(*keys).agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("rest_blocks"))
+    both = cut(sizes.join(rests, keys))
     deal = lambda n: F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
     each_of = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    keys, columns = ["key", "band", "block", "rest_block"], ["id", "label", "signature"]
-    left = rest.join(both, ["key", "band"]).withColumn("rest_block", deal("rest_blocks")).withColumn("block", each_of("blocks")).select(*keys, *columns)
-    right = rows.join(both, ["key", "band"]).withColumn("block", deal("blocks")).withColumn("rest_block", each_of("rest_blocks")).select(*(F.col(c).alias(c) for c in keys + columns))
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_across(radius), _NEAR)
+    at = [*keys, "block", "rest_block"]
+    left = rest.join(both, keys).withColumn("rest_block", deal("rest_blocks")).withColumn("block", each_of("blocks")).select(*at, *columns)
+    right = rows.join(both, keys).withColumn("block", deal("blocks")).withColumn("rest_block", each_of("rest_blocks")).select(*(F.col(c).alias(c) for c in at + columns))
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(meet, schema)
 
 
-def signature_links(classes: DataFrame, chunks: int, percent: int) -> DataFrame:
-    """a, b, apart: edges whose components are those of all pairs of classes(id, signature, size) within the radius."""
+def signature_clusters(classes: DataFrame, chunks: int, percent: int) -> DataFrame:
+    """id and component of the classes(id, signature, size) that pairs within the radius join."""
     radius, marks = 2 * chunks - 1, classes.select("id", "signature")
     keyed = marks.mapInArrow(_key_batches(chunks), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1 and a < b"))
     many = cut(keyed.join(shared.where("n > 2").select("key", "n"), "key").select("key", "n", "id"))
     near = cut(_near(shared.where("n = 2").select("a", "b").union(_paired(many)), marks, radius))
-    if many.where(F.col("n") > SMALL_KEY).isEmpty():
-        return near
     labels = components(near)
     apart = cut(_hanging_apart(many, labels).select("id").distinct())
-    if not apart.isEmpty():
-        rare = _rarest_minima(marks.join(apart, "id", "left_semi"), radius)
-        near = cut(near.union(_near(_paired(rare), marks, radius)))
-        labels = components(near)
-        left = cut(_hanging_apart(rare, labels))
-        if not left.isEmpty():
-            near = near.union(_compared(left, classes, radius, percent))
-    return near
+    if apart.isEmpty():
+        return labels
+    rare = _rarest_minima(marks.join(apart, "id", "left_semi"), radius)
+    near = cut(near.union(_near(_paired(rare), marks, radius)))
+    labels = components(near)
+    left = cut(_hanging_apart(rare, labels))
+    return labels if left.isEmpty() else components(near.union(_compared(left, classes, radius, percent)))
 
 
 def _linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
@@ -379,14 +381,14 @@ def _linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _set_batches(batches):
-    """The shingles of rows(cluster, id, set_print, text) whose text has the class's set, by the second hash."""
+    """The shingles of rows(cluster, id, large, set_print, text) whose text has the class's set, by the second hash."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            for a, b in slices(batch.column(3)):
-                texts, prints = (batch.column(k).slice(a, b - a).to_pylist() for k in (3, 2))
+            for a, b in slices(batch.column(4)):
+                texts, prints = (batch.column(k).slice(a, b - a).to_pylist() for k in (4, 3))
                 own = pa.array([_print(s) == p for s, p in zip(shingle_sets(texts), prints, strict=True)], pa.bool_())
                 sets = pa.array([s.tobytes() for s in shingle_sets(texts, seed=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([x.filter(own) for x in (batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), sets)], names=["cluster", "id", "shingles"])
+                yield pa.RecordBatch.from_arrays([x.filter(own) for x in (*(batch.column(k).slice(a, b - a) for k in (0, 1, 2)), sets)], names=["cluster", "id", "large", "shingles"])
 
 
 def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -474,6 +476,42 @@ def _checked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "apart_a", "apart_b", (F.col("weight_a") + F.col("weight_b")).alias("need")).mapInArrow(run, "a long, b long")
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    held = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (x, y)]
+    both = np.intersect1d(*held)
+    sides = []
+    for sets, flat in zip((x, y), held, strict=True):
+        owner, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(both, flat)
+        use = (column < len(both)) & (both[np.minimum(column, len(both) - 1)] == flat) if len(both) else np.zeros(len(flat), bool)
+        sides.append((owner[use], column[use]))
+    for first in range(0, len(both), columns):
+        parts = []
+        for (owner, column), sets in zip(sides, (x, y), strict=True):
+            use = (column >= first) & (column < first + columns)
+            part = np.zeros((len(sets), columns), np.float32)
+            part[owner[use], column[use] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return np.rint(out)
+
+
+def _linked_across(percent: int):
+    def run(rest: pa.Table, every: pa.Table) -> pa.Table:
+        """Links of rest and every row, enough of them to join all labels that such links join; see _large_links."""
+        found = []
+        if len(rest) and len(every):
+            (ids, labels, weights, sets), (all_ids, all_labels, all_weights, all_sets) = ((*(t.column(c).to_numpy() for c in ("id", "label", "weight")), [np.frombuffer(x, np.uint64) for x in t.column("apart").to_pylist()]) for t in (rest, every))
+            linked = (2 * (100 + percent) * _shared(sets, all_sets) >= weights[:, None] + all_weights) & (labels[:, None] != all_labels)
+            names, joint = np.unique(np.concatenate([labels, all_labels]), return_inverse=True)
+            forest, of, all_of = _Forest(len(names)), joint[: len(ids)].tolist(), joint[len(ids) :].tolist()
+            found = [(ids[i], all_ids[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True) if forest.join(of[i], all_of[j])]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """rows(id, ...) with the label of what links join."""
     return rows.join(components(links).withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -514,37 +552,30 @@ def _large_links(sets: DataFrame, percent: int) -> DataFrame:
         shared = labelled.join(pivots, ["cluster", "token"]).where("label <> pivot.label").groupBy("id", F.col("pivot.id").alias("pivot")).agg(F.count("*").alias("keys"))
         near = shared.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("keys"), "pivot"))).where(F.col("place") <= PIVOTS)
         found = cut(_checked(near.select(*_ordered("id", "pivot")), rows, percent))
-        forget(labelled)
         if found.isEmpty():
             break
         links = cut(links.union(found))
     labelled = cut(_labelled(rare, links))
     most = labelled.groupBy("cluster", "token", "label").agg(F.count("*").alias("n")).groupBy("cluster", "token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("cluster", "token", "most")
-    apart = cut(labelled.join(most, ["cluster", "token"]).withColumn("other", F.col("label") != F.col("most")))
-    side = lambda c: apart.select("cluster", "token", *(F.col(x).alias(f"{x}_{c}") for x in ("id", "label", "rest", "other")))
-    fits = (F.col("label_a") != F.col("label_b")) & (F.col("rest_a") | F.col("rest_b")) & (~F.col("other_b") | (F.col("id_a") < F.col("id_b")))
-    pairs = side("a").where("other_a").join(side("b"), ["cluster", "token"]).where(fits)
-    return links.union(_checked(pairs.select(*_ordered("id_a", "id_b")), rows, percent))
+    apart = cut(labelled.join(most, ["cluster", "token"]).join(rows.select("id", "weight", "apart"), "id").withColumn("other", F.col("label") != F.col("most")))
+    if apart.isEmpty():
+        return links
+    return links.union(_in_blocks(apart.where("other"), apart, ["cluster", "token"], ["id", "label", "weight", "apart"], _linked_across(percent), "a long, b long"))
 
 
-def set_links(near: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between classes that hang together by near(a, b, apart)."""
-    clusters = components(near).select("id", F.col("component").alias("cluster"))
+def set_links(labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between classes of one component of labels."""
+    clusters = labels.select("id", F.col("component").alias("cluster"))
     sized = clusters.join(classes.select("id", "size", "set_print", "source"), "id")
     large = sized.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("held")).withColumn("large", (F.col("members") > CLUSTER_CLASSES) | (F.col("held") > CLUSTER_SHINGLES) & (F.col("members") > 2))
     of = cut(sized.join(large.select("cluster", "large"), "cluster"))
 
-    def sets(part: DataFrame) -> DataFrame:
-        wanted = part.select("cluster", "id", "set_print", F.col("source.doc_id").alias("of_doc"), F.col("source.text_hash").alias("of_text"))
-        texts = _texts(docs)
-        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")))
-        return found.select("cluster", "id", "set_print", "text").mapInArrow(_set_batches, "cluster long, id long, shingles binary")
-
-    links = sets(of.where("not large")).repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_cluster_links(percent), "a long, b long")
-    if of.where("large").isEmpty():
-        return links
-    rows = cut(sets(of.where("large")).dropDuplicates(["id"]))
-    return cut(links).union(_large_links(rows, percent))
+    wanted = of.select("cluster", "id", "large", "set_print", F.col("source.doc_id").alias("of_doc"), F.col("source.text_hash").alias("of_text"))
+    found = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")))
+    sets = cut(found.select("cluster", "id", "large", "set_print", "text").mapInArrow(_set_batches, "cluster long, id long, large boolean, shingles binary"))
+    links = sets.where("not large").select("cluster", "id", "shingles").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_cluster_links(percent), "a long, b long")
+    large = sets.where("large").select("cluster", "id", "shingles").dropDuplicates(["id"])
+    return links if large.isEmpty() else cut(links).union(_large_links(cut(large), percent))
 
 
 def joined_classes(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -555,8 +586,7 @@ def joined_classes(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     # Nulls last: a row without doc_id stands for its class only where no other does.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = cut(known.groupBy("set_print").agg(F.min(row).alias("source"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")).withColumn("id", F.monotonically_increasing_id()))
-    near = cut(signature_links(classes, chunks_for(percent), percent))
-    links = set_links(near, classes, docs, percent)
+    links = set_links(signature_clusters(classes, chunks_for(percent), percent), classes, docs, percent)
     repeated = cut(known.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_print").alias("low"), F.max("set_print").alias("high")).where("low < high").select("doc_id", "low"))
     if not repeated.isEmpty():  # a document with several texts joins their classes
         numbers = lambda c, at: classes.select(F.col("set_print").alias(c), F.col("id").alias(at))

@@ -24,8 +24,8 @@ def roots(edges):
 
 
 def test_components_take_few_rounds_whatever_the_shape(spark, monkeypatch):
-    rng, written, cut = random.Random(1), [], common.cut
-    monkeypatch.setattr(components, "cut", lambda df: written.append(1) or cut(df))
+    rng, written, kept = random.Random(1), [], common.kept
+    monkeypatch.setattr(components, "kept", lambda df: written.append(1) or kept(df))
     shuffled = rng.sample(range(3000), 3000)
     shapes = {
         "chain": [(k, k + 1) for k in range(3000)],
