@@ -94,7 +94,9 @@ def header_scores(found: DataFrame) -> DataFrame:
     tokens = F.transform(F.regexp_extract_all(F.lower("header"), F.lit(_TOKEN), 0), lambda w: F.regexp_replace(w, r"\.0$", ""))
     split = found.groupBy("print", "whole").agg(F.min("header").alias("header")).select("print", "whole", tokens.alias("words"))
     own = F.array_join(F.array_sort(F.array_intersect("words", F.array(*map(F.lit, DISTINGUISHING)))), " ")
-    terms = split.select("print", "whole", own.alias("own"), F.explode("words").alias("word")).groupBy("print", "whole", "own", "word").agg(F.count("*").alias("n"))
+    # Kept before it is unfolded, so that no row carries a whole header along.
+    told = cut(split.select("print", "whole", own.alias("own"), "words"))
+    terms = told.select("print", "whole", "own", F.explode("words").alias("word")).groupBy("print", "whole", "own", "word").agg(F.count("*").alias("n"))
     weighed = cut(terms.join(F.broadcast(words), "word", "left").select("print", "whole", "own", "word", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("w")))
     norms = weighed.groupBy("print", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(unit), ["word", "whole"]).where("whole or own = marks").groupBy("print", "whole", "license", "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
@@ -166,7 +168,7 @@ found AS (
   SELECT DISTINCT key, path, false AS whole, header FROM sentences WHERE regexp_matches(header, '{CUE}')
   UNION SELECT key, path, true, text FROM keyed WHERE regexp_matches(path, '{LICENCE_FILE}') AND regexp_matches(text, '{CUE}')),
 split AS (
-  SELECT whole, header, list_transform(regexp_extract_all(lower(header), '{_TOKEN}'), lambda w: regexp_replace(w, '\.0$', '')) AS words
+  SELECT whole, header, list_transform(regexp_extract_all(lower(header), '{_TOKEN}'), lambda w: regexp_replace(w, '\\.0$', '')) AS words
   FROM (SELECT DISTINCT whole, header FROM found)),
 terms AS (
   SELECT whole, header, own, word, count(*) AS n

@@ -324,8 +324,10 @@ def _probes_needed(rows: DataFrame, queries: DataFrame, k: int, shape: tuple[int
         return 1
     of = np.searchsorted(np.sort(q_ids), [r.query_id for r in true])
     order, cell = probes(q[np.argsort(q_ids)], shape, PROBES), cells(np.array([r.vector for r in true]), shape)
-    hit = order[of] == cell[:, :, None]
-    rank = np.where(hit.any(2), hit.argmax(2), PROBES - 1).min(1)
+    rank = np.full(len(true), PROBES - 1)
+    for t in range(shape[0]):  # table by table, so that little is held
+        hit = order[of, t] == cell[:, t, None]
+        rank = np.minimum(rank, np.where(hit.any(1), hit.argmax(1), PROBES - 1))
     rank[[r.band in small for r in true]] = 0
     return int(np.quantile(rank, AIM, method="higher")) + 1
 
