@@ -15,6 +15,7 @@ from .neighbours import nearest
 from .pieces import piece_digest
 from .quality import quality_report
 from .token_files import token_file_digest
+from .vector_codes import compressed, compressed_sql
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_nearest_neighbours, op4_source_mix, op5_exact_topk, op6_language, op7_chat_perspectives, op8_licenses, op9_quality, op10_pieces)}
+    return {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_nearest_neighbours, op4_source_mix, op5_exact_topk, op6_language, op7_chat_perspectives, op8_licenses, op9_quality, op10_pieces, op11_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,4 +72,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_topk": binary_codes.nearest_codes_sql(),
         "op7_chat_perspectives": chats.rotated_sql(),
         "op8_licenses": licenses.scan_pages_sql(),
+        "op11_vector_codes": compressed_sql(),
     }
