@@ -16,6 +16,7 @@ from .pieces import piece_digest
 from .quality import quality_report
 from .token_files import token_file_digest
 from .vector_codes import compressed, compressed_sql
+from .vector_groups import vector_groups, vector_groups_sql
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +63,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_nearest_neighbours, op4_source_mix, op5_exact_topk, op6_language, op7_chat_perspectives, op8_licenses, op9_quality, op10_pieces, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_nearest_neighbours, op4_source_mix, op5_exact_topk, op6_language, op7_chat_perspectives, op8_licenses, op9_quality, op10_pieces, op11_vector_codes, op12_vector_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -73,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_perspectives": chats.rotated_sql(),
         "op8_licenses": licenses.scan_pages_sql(),
         "op11_vector_codes": compressed_sql(),
+        "op12_vector_groups": vector_groups_sql(),
     }
