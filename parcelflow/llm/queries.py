@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import binary_codes, chats, licenses, mixing
 from .common import table
 from .language_id import language_report
+from .lexical import ranked, ranked_sql
 from .near_duplicates import near_duplicates
 from .neighbours import nearest
 from .pieces import piece_digest
@@ -67,8 +68,12 @@ def op12_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_nearest_neighbours, op4_source_mix, op5_exact_topk, op6_language, op7_chat_perspectives, op8_licenses, op9_quality, op10_pieces, op11_vector_codes, op12_vector_groups)}
+    return {f.__name__: f for f in (op1_token_files, op2_near_duplicates, op3_nearest_neighbours, op4_source_mix, op5_exact_topk, op6_language, op7_chat_perspectives, op8_licenses, op9_quality, op10_pieces, op11_vector_codes, op12_vector_groups, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -79,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_licenses": licenses.scan_pages_sql(),
         "op11_vector_codes": compressed_sql(),
         "op12_vector_groups": vector_groups_sql(),
+        "op13_ranked_search": ranked_sql(),
     }
