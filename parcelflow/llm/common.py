@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, in the operators' contracts: a run of anything but space, tab, LF, VT, FF and CR.
@@ -63,3 +63,37 @@ def forget(*tables: DataFrame) -> None:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def fields(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
+
+
+#: Draws are whole numbers below this.
+DRAWS = 1 << 62
+
+
+def draw(*of: Column | str) -> Column:
+    """A number of a row for bounded samples, evenly spread over values of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*of), 2)
+
+
+def last_draws(rows: DataFrame, group: str, sizes: dict, many: int) -> dict:
+    """The many-th least draw of each group of rows(group, draw), or the greatest of fewer, for groups of known sizes.
+
+    Rows that can't be among them are passed over by their draw; a group of which that leaves nothing, as its rows are
+    equal, is looked at whole. Each task passes on many rows of a group at most.
+    """
+
+    def lasts(some: DataFrame) -> dict:
+        place = F.row_number().over(Window.partitionBy(group).orderBy("draw"))
+        least = some.select(group, "draw").withColumn("place", place).where(F.col("place") <= many)
+        return {r[group]: r["last"] for r in least.groupBy(group).agg(F.max("draw").alias("last")).collect()}  # a row for each group
+
+    if not sizes:
+        return {}
+    bound = F.element_at(F.create_map(*(F.lit(x) for g, n in sorted(sizes.items()) for x in (g, int(DRAWS * min(1.0, 4 * many / n))))), F.col(group))
+    found = lasts(rows.where(F.col("draw") < bound))
+    rest = [g for g in sizes if g not in found]
+    return found | (lasts(rows.where(F.col(group).isin(rest))) if rest else {})

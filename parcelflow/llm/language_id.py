@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import draw, last_draws
 from .token_files import slices
 
 DIMS = 1 << 13
@@ -165,14 +166,16 @@ def _clusters(x: np.ndarray, many: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Centroids:
-    """A classifier from labelled(doc_id, text, lang): about sample rows of each language, however many there are."""
-    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("draw")).where("lang is not null and text is not null")
+    """A classifier from labelled(doc_id, text, lang): sample rows of each language, those with the least hashes of id and
+    text; of equal ones one. Fewer where there are so many languages that MOST_SAMPLED rows in all are reached."""
+    text = F.col("text").cast("string")
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), text.alias("text"), draw("doc_id", text).alias("draw")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not sizes:
         return Centroids(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros((0, len(BANDS) + 1)))
-    sample = min(sample, MOST_SAMPLED // len(sizes))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n)))), F.col("lang"))
-    drawn = rows.where((F.pmod("draw", F.lit(1 << 20)) + 0.5) / float(1 << 20) < share)
+    last = last_draws(rows, "lang", sizes, max(1, min(sample, MOST_SAMPLED // len(sizes))))
+    limit = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(last.items()) for x in (lang, n))), F.col("lang"))
+    drawn = rows.where(F.col("draw") <= limit).dropDuplicates(["lang", "draw"])  # equal rows teach once, so the bound holds
     vectors = drawn.select("lang", "text").mapInArrow(_vector_batches, "lang string, cut boolean, n long, at binary, logs binary").where("n > 0").toPandas().sort_values(["lang", "n", "at", "logs"])
     taught = vectors[~vectors["cut"].astype(bool)]
     if not len(taught):

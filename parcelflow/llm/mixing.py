@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import fields, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -55,12 +55,18 @@ def _offset(seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(2**32)
 
 
-def mixed(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+def _hash(docs: DataFrame, carried: list[Column]) -> Column:
+    """Of a row's carried columns but the text; what holds a map is hashed as JSON."""
+    plain = [c if "map<" not in kind else F.to_json(F.struct(c)) for c, (name, kind) in zip(carried, docs.select(*carried).dtypes, strict=True) if name != "text"]
+    return F.xxhash64(*plain) if plain else F.lit(0)
+
+
+def mixed(docs: DataFrame, carried: list[Column], weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The carried columns of each row of docs as the struct row, with size, source_size, target and copies."""
-    source = F.col("source").cast("string")
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*carried).alias("row"), source.isNull().cast("int").alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), word_count(text).alias("size"), order.alias("order"), F.xxhash64(text).alias("tie")).withColumn("digits", F.substring("order", 1, 2))
+    source = docs["source"].cast("string")
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))))
+    text = docs["text"].cast("string")
+    rows = docs.select(F.struct(*carried).alias("row"), docs["source"].isNull().cast("int").alias("no_source"), F.coalesce(source, F.lit("")).alias("source"), word_count(text).alias("size"), order.alias("order"), F.xxhash64(text).alias("tie"), _hash(docs, carried).alias("rest")).withColumn("digits", F.substring("order", 1, 2))
     counted = rows.groupBy(*_BIN).agg(F.count("*").alias("held"))
     of_size = counted.groupBy(*_KEY, "size").agg(F.sum("held").alias("of_size"))
     of_source = of_size.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("of_size")).alias("source_size"))
@@ -69,7 +75,7 @@ def mixed(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHT
     sizes = of_size.withColumn("smaller", smaller).drop("of_size").join(targets(of_source, weights, most), _KEY)
     earlier = F.coalesce(F.sum("held").over(upto(Window.partitionBy(*_KEY, "size").orderBy("digits"))), F.lit(0))
     begun = counted.withColumn("earlier", earlier).drop("held").join(sizes, [*_KEY, "size"]).withColumn("begin", F.col("smaller") + F.col("earlier"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*_BIN).orderBy("order", "tie")))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*_BIN).orderBy("order", "tie", "rest")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     here = F.col("begin") + F.col("place")
     crossed = lambda n: F.floor(n.cast("double") * F.col("rate") + F.col("offset"))
@@ -79,13 +85,13 @@ def mixed(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHT
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies of each row of docs."""
-    found = mixed(docs, ["doc_id"], weights, most, seed)
+    found = mixed(docs, [docs["doc_id"]], weights, most, seed)
     return found.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with their columns."""
-    taken = mixed(docs, docs.columns, weights, most, seed).where("copies > 0")
+    taken = mixed(docs, fields(docs), weights, most, seed).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 

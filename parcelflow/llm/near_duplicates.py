@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut
+from .common import WORD_PATTERN, cut, fields
 from .components import components, grouped
 from .token_files import slices
 
@@ -186,6 +186,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 @cache
 def chunks_for(percent: int) -> int:
     """The least number of chunks whose radius loses LOST of the pairs at the similarity of percent, or fewer."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"chunks are for a similarity of {LEAST_PERCENT} to 100 percent")
     wrong = 1 - percent / 100
     beyond = lambda least: sum(math.comb(HASHES, k) * wrong**k * (1 - wrong) ** (HASHES - k) for k in range(least, HASHES + 1))
     return next(n for n in range(1, HASHES // 2 + 1) if beyond(2 * n) <= LOST)
@@ -580,8 +582,6 @@ def set_links(labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
 
 def joined_classes(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """set_print of each class of the sketches found of docs, and its component's first row (doc_id, text_hash)."""
-    if not LEAST_PERCENT <= percent <= 100:
-        raise ValueError(f"chunks are for a similarity of {LEAST_PERCENT} to 100 percent")
     known = found.where("set_print is not null")
     # Nulls last: a row without doc_id stands for its class only where no other does.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -599,6 +599,7 @@ def joined_classes(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
+    chunks_for(percent)  # refuses what it has no chunks for before any work is done
     found = cut(sketches(docs))
     classes = joined_classes(found, docs, percent)
     component = F.coalesce("component", "doc_id")
@@ -613,19 +614,20 @@ def keep_one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     The row is one with the least doc_id of its group (a null one only where no other is), and the least text hash there;
     of rows that are equal in both, the one with the least hash of all columns.
     """
+    chunks_for(percent)
     found = cut(sketches(docs))
     first = joined_classes(found, docs, percent).select("first.doc_id", "first.text_hash").distinct()
     of = lambda c: F.col(c).alias(f"kept_{c}")
     rows = found.where("set_print is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
     kept = cut(rows.select(of("doc_id"), of("text_hash"), "copies").join(first, F.col("kept_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_text_hash") == F.col("text_hash")), "left_semi"))
-    own = F.struct(docs["doc_id"].cast("long").alias("i"), F.xxhash64(docs["text"].cast("string")).alias("t"))
-    with_own = lambda k: docs.join(k, own["i"].eqNullSafe(k["kept_doc_id"]) & (own["t"] == k["kept_text_hash"]), "left_semi")
-    wordless = docs.where(~F.coalesce(docs["text"].cast("string").rlike(WORD_PATTERN), F.lit(False)))
+    text = docs["text"].cast("string")
+    packed = docs.select(F.struct(*fields(docs)).alias("row"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(text).alias("own_hash"), F.coalesce(text.rlike(WORD_PATTERN), F.lit(False)).alias("worded"))
+    with_own = lambda k: packed.join(k, F.col("own_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("own_hash") == F.col("kept_text_hash")), "left_semi")
     single, several = kept.where("copies = 1"), kept.where("copies > 1")
-    out = wordless.union(with_own(single))
+    out = packed.where("not worded").union(with_own(single)).select("row.*")
     if not several.isEmpty():
-        rows = with_own(several).select("*", own.alias("own row"), F.xxhash64(*(F.to_json(F.struct(c)) for c in docs.columns)).alias("row hash"))
-        least = rows.groupBy("own row").agg(F.min("row hash").alias("least"))
-        one = rows.join(least.withColumnRenamed("own row", "of"), F.col("own row").eqNullSafe(F.col("of")) & (F.col("row hash") == F.col("least")), "left_semi")
-        out = out.union(one.select(*docs.columns).dropDuplicates())
+        rows = with_own(several).withColumn("all_hash", F.xxhash64(F.to_json("row")))
+        least = rows.groupBy(F.col("own_id").alias("of_id"), F.col("own_hash").alias("of_hash")).agg(F.min("all_hash").alias("least"))
+        one = rows.join(least, F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_hash") == F.col("of_hash")) & (F.col("all_hash") == F.col("least")), "left_semi")
+        out = out.union(one.dropDuplicates(["own_id", "own_hash"]).select("row.*"))
     return out

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_duplicates import word_hashes
+from .common import draw, forget, kept, last_draws
 from .token_files import slices
 
 LABELLERS, SEEN = 9, 11
@@ -214,31 +215,38 @@ def _train(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weight
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The scorer's weights, from docs(doc_id, text): patterns of all rows, features of about sample rows."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.length("text")).alias("draw"))
-    seen = rows.mapInArrow(_vote_batches, "pattern long, words long, draw long").where("words > 0")
-    counts = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # 2 ** LABELLERS rows at most
-    posterior = estimate(counts)
-    total = {side: sum(n for p, n in counts.items() if (posterior[p] < 0.5) == side) for side in (True, False)}
+    """The scorer's weights, from docs(doc_id, text): patterns of all rows, features of sample rows at most, half of each
+    side, those with the least hashes of id and text; of equal ones one."""
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), draw("doc_id", text).alias("draw"))
+    seen = kept(rows.mapInArrow(_vote_batches, "pattern long, words long, draw long").where("words > 0"))
+    counts = {r["pattern"]: r["n"] for r in seen.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # 3 ** LABELLERS rows at most
     if not counts:
+        forget(seen)
         return np.zeros(DIMS)
-    # Which patterns count as junk is known before a text is read again; the share drawn is by side.
+    posterior = estimate(counts)
+    junk_patterns = sorted(p for p in counts if posterior[p] < 0.5)
+    total = {side: sum(n for p, n in counts.items() if (posterior[p] < 0.5) == side) for side in (True, False)}
+    sides = seen.withColumn("junk", F.col("pattern").isin(junk_patterns) if junk_patterns else F.lit(False))
+    last = last_draws(sides, "junk", {side: n for side, n in total.items() if n}, max(1, sample // 2))
+    forget(seen)
     share = {p: min(1.0, sample / 2 / total[posterior[p] < 0.5]) for p in counts}
-    at_most = max(share.values())
-    drawn = rows.where((F.pmod("draw", F.lit(1 << 20)) + 0.5) / float(1 << 20) < at_most)
+    limit = {p: last[posterior[p] < 0.5] for p in counts}
+    drawn = rows.where(F.col("draw") <= F.lit(max(last.values())))
 
     def picked(batches):
         for batch in batches:
             for a, b in slices(batch.column(0), 1_000_000, AT_ONCE):
-                texts, draw = batch.column(0).slice(a, b - a).to_pylist(), (batch.column(1).slice(a, b - a).to_numpy() % (1 << 20) + 0.5) / float(1 << 20)
+                texts, draws = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
                 sums, features = measures(texts)
                 patterns = pattern_of(votes(sums)).tolist()
-                use = [i for i, (p, u) in enumerate(zip(patterns, draw.tolist(), strict=True)) if sums[i, 0] > 0 and u < share.get(p, 0.0)]
+                use = [i for i, (p, u) in enumerate(zip(patterns, draws, strict=True)) if sums[i, 0] > 0 and u <= limit.get(p, -1)]
                 shares = _shares(features[use]).astype(np.float32)
                 held = [np.flatnonzero(x) for x in shares]
-                yield pa.RecordBatch.from_arrays([pa.array([patterns[i] for i in use], pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary()), pa.array([x[h].tobytes() for x, h in zip(shares, held, strict=True)], pa.binary())], names=["pattern", "at", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array([patterns[i] for i in use], pa.int64()), pa.array([h.astype(np.int32).tobytes() for h in held], pa.binary()), pa.array([x[h].tobytes() for x, h in zip(shares, held, strict=True)], pa.binary()), pa.array([draws[i] for i in use], pa.int64())], names=["pattern", "at", "values", "draw"])
 
-    taught = drawn.mapInArrow(picked, "pattern long, at binary, values binary").toPandas().sort_values(["pattern", "at", "values"])
+    found = drawn.mapInArrow(picked, "pattern long, at binary, values binary, draw long").dropDuplicates(["draw"])  # equal rows teach once, so the bound holds
+    taught = found.drop("draw").toPandas().sort_values(["pattern", "at", "values"])
     y = np.array([posterior[p] for p in taught["pattern"].tolist()])
     weight = np.array([1 / share[p] for p in taught["pattern"].tolist()])
     # A rare side isn't lost: it weighs a quarter of the other at least.
