@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import kept_table
+
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
     """old and those of new whose key isn't there yet; the first of equal new keys goes in. A key with a null is never equal."""
@@ -16,6 +18,42 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], order: str) ->
     return old.unionByName(keyed.select(*old.columns)).unionByName(new.where(~whole).select(*old.columns))
 
 
+def numbered(rows: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
+    """rows with whole numbers from start + 1 on, without gaps, in their order; ties in any.
+
+    A range partitioning puts the rows in order; each partition counts its own, and what precedes it is a sum of counts,
+    one for each partition. The sorted rows are a table first, so that a repeated task gives the same numbers.
+    """
+    spark = rows.sparkSession
+    placed = kept_table(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes, before, offsets = sorted((r.part, r.n) for r in placed.groupBy(part).agg(F.count("*").alias("n")).collect()), start, []  # a row for each partition
+    for k, n in sizes:
+        offsets.append((k, before))
+        before += n
+    known = F.broadcast(spark.createDataFrame(offsets, "part long, before long"))
+    return placed.withColumn("part", F.shiftright("at", 33)).join(known, "part").select((F.col("before") + within + 1).alias(name), *rows.columns)
+
+
+def append_import(spark: SparkSession, path: str, rows: DataFrame, batch: str, order: list[str], key: str = "id") -> DataFrame:
+    """The table at path after rows have been added under new ids, in order, as one batch.
+
+    A batch is a folder of its own, which is written whole or not at all; a batch that is there already is not added
+    again, so an import that is run twice, or was cut off, gives its rows once. Ids go on from the greatest.
+    """
+    folder = f"{path}/batch={batch}"
+    if not _exists(spark, f"{folder}/_SUCCESS"):
+        others = spark.read.parquet(path).where(F.col("batch") != batch) if _exists(spark, path) else None
+        start = others.agg(F.coalesce(F.max(key), F.lit(0))).first()[0] if others is not None else 0
+        numbered(rows, order, start, key).write.mode("overwrite").parquet(folder)
+    return spark.read.option("basePath", path).parquet(path).drop("batch")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The last of new by order for each key, else the old row."""
     columns = [c for c in old.columns if c != key]

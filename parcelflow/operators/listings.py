@@ -25,6 +25,24 @@ def search(df: DataFrame, text: str, columns: tuple[str, ...] = SEARCHED) -> Dat
     return df.where(reduce(or_, (F.col(c).ilike(f"%{text}%") for c in columns)))
 
 
+#: Values of a list that stand in the query itself; more are joined.
+LISTED = 1000
+
+
+def in_list(df: DataFrame, column: str, wanted: list | DataFrame, listed: int = LISTED) -> DataFrame:
+    """Rows whose column is among the wanted values: a list, or a table of one column.
+
+    A short list is a literal IN, which reaches the scan as a filter. A longer one, or a table of any size, is a semi
+    join, which Spark broadcasts only where the values are known to be few. Nulls are among nothing.
+    """
+    if not isinstance(wanted, DataFrame):
+        if len(wanted) <= listed:
+            return df.where(F.col(column).isin(wanted))
+        wanted = df.sparkSession.createDataFrame([(v,) for v in wanted], f"`{column}` {df.schema[column].dataType.simpleString()}")
+    keys = wanted.select(F.col(f"`{wanted.columns[0]}`").alias(column)).where(F.col(f"`{column}`").isNotNull())
+    return df.join(keys, column, "left_semi").select(*(df[f"`{c}`"] for c in df.columns))
+
+
 def filtered(df: DataFrame, **wanted: str | None) -> DataFrame:
     """Equality on the columns that are asked for; date_from and date_to compare ship_date as text."""
     tests = {"date_from": lambda v: F.col("ship_date") >= v, "date_to": lambda v: F.col("ship_date") <= v}

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import work_dir
 from ..functions import validation, values
-from ..operators import waybills
-from ..sources import exports, uploads
+from ..operators import changes, listings, waybills
+from ..sources import exports, uploads, xlsx
 from ..streaming import pushes
 from . import views
 from .registry import query
@@ -29,27 +30,52 @@ _READ = ("reference_number", "carrier", "carrier_tracking_number", "actual_weigh
 @query(over("shipments", sql=_SHEET_SQL))
 def src_csv(spark: SparkSession, d: str) -> DataFrame:
     """Round trip: written as CSV, and read with every alias of the headers."""
-    path = f"{pushes.work_dir(spark)}/sheet"
+    path = f"{work_dir(spark)}/sheet"
     uploads.write_csv(_sheet(spark, d), path)
     return uploads.normalised(uploads.read_csv(spark, path)).select(*_READ)
 
 
-@query(over("shipments", sql=_SHEET_SQL + " WHERE id <= 8000"))
+@query(over("shipments", sql=_SHEET_SQL))
 def src_excel(spark: SparkSession, d: str) -> DataFrame:
-    """Round trip: made into workbooks, opened, and their cells read by header."""
-    books = exports.workbooks({"First": _sheet(spark, d).where("cast(Ref as long) <= 8000"), "sheet10": views.users(spark, d)}, files=3)
-    cells = uploads.xlsx_rows(books.select(col("file").cast("string").alias("path"), "content")).select("cells")
-    wide = cells.select(*(col("cells")[c].alias(c) for c in ("Ref", " Courier ", "AWB", "Weight", "Destination  City", "ATTN", "Pkg Length")))
-    return uploads.normalised(wide).select(*_READ)
+    """Round trip: written as workbooks of 20,000 rows, and read in parts of a megabyte, with every alias of the headers."""
+    path = f"{work_dir(spark)}/books"
+    xlsx.register(spark)
+    _sheet(spark, d).write.format("xlsx").option("rows", 20_000).mode("append").save(path)
+    return uploads.normalised(spark.read.format("xlsx").option("bytes", 1 << 20).load(path)).select(*_READ)
+
+
+_MEMBERS = "CASE id % 9 WHEN 0 THEN 'in/scan ' || id || '.pdf' WHEN 1 THEN 'a' || id || '.TIFF' WHEN 2 THEN 'deep/er/b&' || id || '.webp' WHEN 3 THEN 'c' || id || '.txt' WHEN 4 THEN 'd(' || id || ').jpeg' WHEN 5 THEN 'e' || id || '.png' WHEN 6 THEN 'folder' || id || '.pdf/' WHEN 7 THEN 'f' || chr(92) || 'g' || id || '.jpg' ELSE 'no ending' || id END"
 
 
-@query("SELECT archive, name FROM (SELECT range AS archive FROM range(3)), (VALUES ('sheet1.xml'), ('sheet2.xml'), ('workbook.xml'), ('[Content_Types].xml')) AS names(name)")
+@query(over("shipments", sql=f"""SELECT CAST(id // 500 AS STRING) AS archive, regexp_replace(regexp_extract(replace(name, chr(92), '/'), '[^/]*$'), '[^a-zA-Z0-9._-]', '_', 'g') AS name, to_city AS content
+FROM (SELECT id, to_city, {_MEMBERS} AS name FROM shipments) WHERE id % 9 NOT IN (3, 6, 8)"""))
 def src_zip(spark: SparkSession, d: str) -> DataFrame:
-    """The members of workbooks, which are zip files, with one ending."""
-    users = views.users(spark, d)
-    books = exports.workbooks({"a": users, "b": users.where("id < 5")}, files=3)
-    found = uploads.members(books.select(col("file").cast("string").alias("path"), "content"), (".xml",))
-    return found.where(F.length("content") > 0).select(col("archive").cast("long").alias("archive"), "name")
+    """Round trip: 500 shipments' files to a zip archive, and its pictures and documents read again by tidy names."""
+    rows = views.shipments(spark, d, "id", "to_city")
+    files = rows.select(F.floor(col("id") / 500).cast("string").alias("archive"), F.expr(_MEMBERS).alias("name"), F.encode("to_city", "utf-8").alias("content"))
+    found = uploads.members(exports.zipped(files).select(col("archive").alias("path"), "content"))
+    return found.select("archive", "name", F.decode("content", "utf-8").alias("content"))
+
+
+@query(over("shipments", sql="""SELECT row_number() OVER (ORDER BY nth, o) AS id, reference, nth FROM (
+SELECT 1 AS nth, id AS o, 'R' || id AS reference FROM shipments WHERE id % 3 > 0 UNION ALL SELECT 2, id, 'R' || id FROM shipments WHERE id % 3 = 0)"""))
+def snk_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Two imports, each run twice: every row once, under ids without gaps that follow the table's greatest."""
+    path, rows = f"{work_dir(spark)}/shipments", views.shipments(spark, d, "id")
+    sheet = lambda k, test: rows.where(test).select(col("id").alias("o"), F.concat(F.lit("R"), col("id").cast("string")).alias("reference"), F.lit(k).alias("nth"))
+    for k, test in ((1, "id % 3 > 0"), (2, "id % 3 = 0"), (1, "id % 3 > 0"), (2, "id % 3 = 0")):
+        table = changes.append_import(spark, path, sheet(k, test), f"import-{k}", ["o"])
+    return table.select("id", "reference", "nth")
+
+
+@query(over("shipments", sql="SELECT id, status, 'short' AS kind FROM shipments WHERE id IN (1, 2, 33, 34, 1000) UNION ALL SELECT id, status, 'long' FROM shipments WHERE id % 2 = 0 AND id < 6000 UNION ALL SELECT id, status, 'table' FROM shipments WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)"))
+def src_in_list(spark: SparkSession, d: str) -> DataFrame:
+    """A short list in the query, a longer one joined, and a table of values."""
+    rows = views.shipments(spark, d, "id", "status")
+    values = views.read(spark, d, "lineitem").where("l_quantity > 48").select("l_orderkey")
+    lists = {"short": [1, 2, 33, 34, 1000, None], "long": list(range(0, 6000, 2)), "table": values}
+    found = [listings.in_list(rows, "id", v).withColumn("kind", F.lit(k)) for k, v in lists.items()]
+    return found[0].union(found[1]).union(found[2])
 
 
 @query(over("shipments", sql="SELECT id, CASE id % 7 WHEN 0 THEN 'csv' WHEN 1 THEN 'excel' WHEN 2 THEN 'excel' WHEN 3 THEN 'zip' WHEN 4 THEN 'pdf' ELSE 'unknown' END AS kind FROM shipments"))
@@ -62,7 +88,7 @@ def src_file_filter(spark: SparkSession, d: str) -> DataFrame:
 LEFT JOIN (SELECT ge_tracking_number AS g, count(*) AS n FROM tracking_events GROUP BY 1) ON g = s.ge_tracking_number WHERE delivered_at IS NOT NULL"""))
 def snk_json_backup(spark: SparkSession, d: str) -> DataFrame:
     """Round trip: backed up as JSON in a folder for each month, and read again."""
-    path = f"{pushes.work_dir(spark)}/backup"
+    path = f"{work_dir(spark)}/backup"
     uploads.write_backup(views.shipments(spark, d, "ge_tracking_number", "created_at", "delivered_at").where("delivered_at is not null"), views.tracking_events(spark, d), "created_at", path)
     held = spark.read.schema("ge_tracking_number string, tracking_events array<struct<id: long>>, month string").json(path)
     return held.select("ge_tracking_number", "month", F.coalesce(F.size("tracking_events"), F.lit(0)).cast("long").alias("events"))

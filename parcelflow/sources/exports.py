@@ -1,19 +1,19 @@
-"""Exports: lines of CSV and text, and xlsx workbooks of bounded size."""
+"""Exports: lines of CSV and text, and xlsx workbooks and zip files of bounded size."""
 
 from __future__ import annotations
 
 import io
 import zipfile
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import listings
+from .xlsx import SHEET_ROWS, register, write_workbook
+
 # The columns of an audit export, and the most rows and lines of it.
 AUDIT = ("id", "created_at", "username", "role", "action", "entity", "entity_id", "ip_address", "device", "status", "old_value", "new_value", "details")
 MOST_AUDIT, MOST_LINES = 5000, 500
-#: Rows of a workbook; the format allows 1,048,576.
-SHEET_ROWS = 1_000_000
 
 
 def _text(c: Column | str) -> Column:
@@ -44,31 +44,10 @@ def skipped_csv(skipped: DataFrame) -> DataFrame:
     return skipped.select("row", F.concat_ws(",", F.col("row").cast("string"), quoted("tracking_number"), quoted("reason")).alias("line"))
 
 
-_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
-_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-
-
 def workbook(sheets: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
     """An xlsx file of sheets: a header and rows each, every cell a text; an empty sheet says so."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        parts, relations, types = [], [], []
-        for k, (name, (columns, rows)) in enumerate(sheets.items(), 1):
-            with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
-                f.write(f"<worksheet {_NS}><sheetData>".encode())
-                for row in [columns, *rows] if rows else [["note"], ["No rows"]]:
-                    cells = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for v in row)
-                    f.write(f"<row>{cells}</row>".encode("utf-8", "replace"))
-                f.write(b"</sheetData></worksheet>")
-            parts.append(f'<sheet name="{escape(name[:31], {chr(34): "&quot;"})}" sheetId="{k}" r:id="r{k}"/>')
-            relations.append(f'<Relationship Id="r{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>')
-            types.append(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
-        z.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="{_OFFICE}"><sheets>{"".join(parts)}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}/relationships">{"".join(relations)}</Relationships>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r0" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        main = '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{main}{"".join(types)}</Types>')
+    write_workbook(out, [(name, columns, rows) for name, (columns, rows) in sheets.items()])
     return out.getvalue()
 
 
@@ -82,40 +61,38 @@ def visible_columns() -> list[Column]:
     return [F.col("ge_tracking_number").alias("GE Number"), *(filled(c, name) for c, name in texts.items()), filled(weight, "Weight (kg)"), pieces, filled("status", "Status"), day.alias("Date")]
 
 
-def workbooks(tables: dict[str, DataFrame], rows: int = SHEET_ROWS, files: int | None = None) -> DataFrame:
-    """file and content: so many workbooks (or as many as rows allow) with a sheet for each table, each made in one task.
+def export_listing(shipments: DataFrame, path: str, text: str | None = None, rows: int = SHEET_ROWS, **wanted: str | None) -> None:
+    """The shipments that a listing's search and filters leave, newest first, as workbooks: all columns but the raw text.
 
-    Rows are dealt to files by a hash; a table that has no rows in a file has a note there.
+    wanted: as listings.filtered. Without a match there is one workbook that says so.
     """
-    files = files or max(1, *(-(-df.count() // rows) for df in tables.values()))
-    listed = None
-    for k, (name, df) in enumerate(tables.items()):
-        row = df.select(F.lit(k).alias("sheet"), F.array(*(_text(c) for c in df.columns)).alias("cells"))
-        own = row.withColumn("file", F.expr(f"cast(pmod(xxhash64(cells), {files}) as int)"))
-        listed = own if listed is None else listed.union(own)
-    every = df.sparkSession.range(files).select(F.lit(-1).alias("sheet"), F.array().cast("array<string>").alias("cells"), F.col("id").cast("int").alias("file"))
-    names = [(name, list(df.columns)) for name, df in tables.items()]
+    found = listings.filtered(listings.search(shipments, text) if text else shipments, **wanted).drop("ocr_raw_text")
+    newest = found.orderBy(F.desc("created_at"), "id")
+    _saved(newest, path, "Shipments", rows, "No matching shipments")
 
-    def made(key: tuple, frame):
-        import pandas as pd
 
-        frame = frame.sort_values("sheet", kind="stable")
-        sheets = {name: (columns, [tuple(c) for c in frame["cells"][frame["sheet"] == k]]) for k, (name, columns) in enumerate(names)}
-        return pd.DataFrame({"file": [key[0]], "content": [workbook(sheets)]})
+def export_tables(tables: dict[str, DataFrame], path: str, rows: int = SHEET_ROWS) -> None:
+    """Each table as workbooks in a folder of its name, on a sheet of that name; an empty one has a note."""
+    for name, df in tables.items():
+        _saved(df, f"{path}/{name}", name, rows, "No rows")
+
 
-    return listed.union(every).groupBy("file").applyInPandas(made, "file int, content binary")
+def _saved(df: DataFrame, path: str, sheet: str, rows: int, note: str) -> None:
+    register(df.sparkSession)
+    texts = df.select(*(_text(df[f"`{c}`"]).alias(c) for c in df.columns))
+    texts.write.format("xlsx").option("sheet", sheet).option("rows", rows).option("note", note).mode("append").save(path)
 
 
-def opened(books: DataFrame) -> DataFrame:
-    """file, sheet, row_number and cells of the rows of workbooks(file, content), headers included."""
-    from .uploads import sheets_of
+def zipped(files: DataFrame) -> DataFrame:
+    """archive and content: a zip file of the members(archive, name, content) of each archive, made in one task."""
 
-    def run(frames):
+    def made(key: tuple, frame):
         import pandas as pd
 
-        for frame in frames:
-            for file, content in zip(frame["file"], frame["content"], strict=True):
-                found = [(file, name, k, row) for name, rows in sheets_of(bytes(content)).items() for k, row in enumerate(rows, 1)]
-                yield pd.DataFrame(found, columns=["file", "sheet", "row_number", "cells"])
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                z.writestr(name, bytes(content))
+        return pd.DataFrame({"archive": [key[0]], "content": [out.getvalue()]})
 
-    return books.mapInPandas(run, "file int, sheet string, row_number int, cells array<string>")
+    return files.groupBy("archive").applyInPandas(made, "archive string, content binary")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import xlsx
+
 # Header names that mean a field, in order.
 ALIASES = {
     "carrier": ("carrier", "courier"),
@@ -42,8 +44,8 @@ ALIASES = {
     "billing_type": ("billing_type", "billingtype", "payment_type"),
     "account_number": ("account_number", "accountnumber", "carrier_account"),
 }
-_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+# Endings of the members of a zip upload that are taken.
+MEMBERS = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".webp")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -62,33 +64,13 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.select(*(first(names).alias(field) for field, names in ALIASES.items()))
 
 
-def _cells(row, shared: list[str]) -> list[str]:
-    cells: list[str] = []
-    for cell in row.iter(f"{_SHEET}c"):
-        at = 0
-        for x in cell.get("r", ""):
-            at = at * 26 + ord(x) - 64 if x.isalpha() else at
-        cells += [""] * (max(at, len(cells) + 1) - len(cells))
-        value = cell.find(f"{_SHEET}v")
-        text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if cell.get("t") == "inlineStr" else (value.text or "" if value is not None else "")
-        cells[(at or len(cells)) - 1] = shared[int(text)] if cell.get("t") == "s" and text else text
-    return cells
-
-
 def sheets_of(content: bytes, only_first: bool = False) -> dict[str, list[list[str]]]:
     """The cells of an xlsx file's sheets by name, as strings, in the order of the workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        held, shared, found = set(z.namelist()), [], {}
-        if "xl/sharedStrings.xml" in held:
-            shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= held:
-            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-            listed = [(s.get("name"), targets.get(s.get(_RELATION), "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
-            files = [(n, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for n, t in listed]
-        else:  # without a workbook, by their numbers
-            files = [(n, n) for n in sorted((n for n in held if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))]
-        for name, file in files[:1] if only_first else files:
-            found[name] = [_cells(row, shared) for row in ElementTree.fromstring(z.read(file)).iter(f"{_SHEET}row")]
+        shared, found = xlsx.SharedTexts(z), {}
+        for name, file in list(xlsx.sheet_files(z).items())[: 1 if only_first else None]:
+            with z.open(file) as f:
+                found[name] = [xlsx.cells_of(row, shared) for _, row in xlsx.rows_between(f, 0, 1 << 62)]
         return found
 
 
@@ -116,12 +98,12 @@ def xlsx_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, row_number int, cells map<string,string>")
 
 
-def zip_members(spark: SparkSession, path: str, endings: tuple[str, ...] = (".pdf", ".png", ".jpg", ".jpeg")) -> DataFrame:
-    """archive, name (without folders) and content of the wanted members of zip files."""
+def zip_members(spark: SparkSession, path: str, endings: tuple[str, ...] = MEMBERS) -> DataFrame:
+    """archive, name (without folders, odd characters as _) and content of the wanted members of zip files."""
     return members(spark.read.format("binaryFile").load(path).select("path", "content"), endings)
 
 
-def members(files: DataFrame, endings: tuple[str, ...]) -> DataFrame:
+def members(files: DataFrame, endings: tuple[str, ...] = MEMBERS) -> DataFrame:
     """As zip_members, of files(path, content)."""
 
     def run(frames):
@@ -129,8 +111,8 @@ def members(files: DataFrame, endings: tuple[str, ...]) -> DataFrame:
             for file, content in zip(frame["path"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                     for member in z.infolist():
-                        name = posixpath.basename(member.filename.replace("\\", "/"))
-                        if name.lower().endswith(endings):
+                        name = re.sub(r"[^a-zA-Z0-9.\-_]", "_", posixpath.basename(member.filename.replace("\\", "/")))
+                        if not member.is_dir() and name.lower().endswith(endings):
                             yield pd.DataFrame([(file, name, z.read(member))], columns=["archive", "name", "content"])
 
     return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary")

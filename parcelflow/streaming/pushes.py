@@ -7,14 +7,13 @@ order counts, as in operators.events.fold.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import work_dir
 from ..functions.carriers import STATUSES_A, STATUSES_B, map_status
 from ..operators.events import RANKS
 
@@ -56,14 +55,6 @@ def states(events: DataFrame) -> DataFrame:
     return events.groupBy("number").applyInPandasWithState(_apply, _OUT, _STATE, "update", "NoTimeout")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one for a local session without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='stream-')}/{uuid.uuid4().hex}"
-
-
 def follow(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file or folder as a stream."""
     files = spark.read.parquet(path)
