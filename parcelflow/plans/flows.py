@@ -1,13 +1,13 @@
 """Uploads read back, streams run to their end, and records merged."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..folders import work_dir
 from ..functions import validation, values
 from ..operators import changes, listings, waybills
 from ..sources import exports, uploads, xlsx
-from ..streaming import pushes
+from ..streaming import pushes, tracking
 from . import views
 from .registry import query
 from .views import over
@@ -142,3 +142,34 @@ def tx_hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
     both = validation.merge_warnings(lacking, F.concat(F.when(col("id") % 5 == 0, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>")), lacking))
     loose = values.to_number_loose(F.concat(F.lit("about "), col("id").cast("string"), F.lit(".5 kg")))
     return waybills.fill_gaps(rows, other, "id", ("carrier", "from_city")).select("id", "carrier", "from_city", F.array_join(both, "; ").alias("warnings"), loose.alias("loose"))
+
+
+_RAW_A = "CASE status WHEN 'In Transit' THEN 'transit' WHEN 'Delivered' THEN 'delivered' WHEN 'Exception' THEN 'undelivered' WHEN 'Picked Up' THEN 'pickup' ELSE 'odd' END"
+_RAW_B = "CASE status WHEN 'In Transit' THEN 'InTransit' WHEN 'Delivered' THEN 'Delivered' WHEN 'Exception' THEN 'DeliveryFailure' WHEN 'Picked Up' THEN 'OutForDelivery' ELSE 'InfoReceived' END"
+_TOLD = "CASE status WHEN 'Picked Up' THEN 'Out for Delivery' WHEN 'Information Received' THEN CASE WHEN provider = 'B' THEN 'Information Received' ELSE 'odd' END ELSE status END"
+_RANKED = "CASE mapped WHEN 'Processing' THEN 0 WHEN 'In Transit' THEN 2 WHEN 'Out for Delivery' THEN 3 WHEN 'Delivered' THEN 4 WHEN 'Exception' THEN 4 END"
+
+
+@query(over("tracking_events", sql=f""",
+ timed AS (SELECT ge_tracking_number AS number, id, id % 3 AS wave, provider, status, strftime(event_timestamp, '%Y-%m-%d %H') AS ts, trim(coalesce(location, '')) AS location FROM tracking_events),
+ seen AS (SELECT number, count(*) AS n FROM (SELECT DISTINCT number, ts, status, location FROM (
+   SELECT a.number, a.id AS update, h.ts, h.status, h.location, row_number() OVER (PARTITION BY a.number, a.id ORDER BY h.id) AS nth FROM timed a JOIN timed h ON a.number = h.number AND (h.wave < a.wave OR h.wave = a.wave AND h.id <= a.id)) WHERE nth <= 20) GROUP BY 1),
+ updates AS (SELECT number, provider, id, wave, row_number() OVER (PARTITION BY number ORDER BY wave, id) AS nth, {_TOLD} AS current FROM timed),
+ steps AS (SELECT *, lag(current) OVER (PARTITION BY number ORDER BY nth) AS before, max({_RANKED}) OVER (PARTITION BY number ORDER BY nth ROWS UNBOUNDED PRECEDING) AS reached, {_RANKED} AS rank
+  FROM (SELECT *, CASE WHEN current = 'Information Received' THEN 'Processing' ELSE current END AS mapped FROM updates))
+SELECT number, arg_max(provider, nth) AS provider, arg_max(coalesce(current, '-'), nth) AS tracking_status, coalesce(arg_max(mapped, nth) FILTER (rank = greatest(reached, 0)), 'Processing') AS status, max(n) AS n_events, count(*) AS n_updates,
+ count(*) FILTER (current IS NOT NULL AND current IS DISTINCT FROM before) AS n_changes FROM steps JOIN seen USING (number) GROUP BY number"""))
+def src_pull_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of both vendors in three waves. Each tells a shipment's history so far again; a third of all events come late."""
+    rows = views.tracking_events(spark, d).withColumns({"wave": col("id") % 3, "ts": F.date_format("event_timestamp", "yyyy-MM-dd HH")})
+    event = F.struct("wave", "id", "ts", "status", "location")
+    so_far = F.collect_list(event).over(Window.partitionBy("ge_tracking_number").orderBy("wave", "id"))
+    by_id = F.reverse(F.array_sort(so_far, lambda a, b: (a["id"] - b["id"]).cast("int")))
+    history = F.transform(by_id, lambda e: F.struct(e["ts"].alias("t"), F.concat(F.lit(" "), e["status"]).alias("s"), e["location"].alias("l")))
+    told = rows.select("ge_tracking_number", "id", "wave", "provider", "status", history.alias("told"))
+    a = F.struct(F.struct(col("ge_tracking_number").alias("tracking_number"), F.expr(_RAW_A).alias("delivery_status"), F.struct(F.transform("told", lambda e: F.struct(e["t"].alias("checkpoint_date"), e["s"].alias("tracking_detail"), e["l"].alias("location"))).alias("trackinfo")).alias("origin_info")).alias("data"))
+    providers = F.array(F.struct(F.transform("told", lambda e: F.struct(e["t"].alias("time_iso"), e["s"].alias("description"), e["l"].alias("location"))).alias("events")))
+    b = F.struct(F.lit("TRACKING_UPDATED").alias("event"), F.struct(col("ge_tracking_number").alias("number"), F.struct(F.struct(F.expr(_RAW_B).alias("status")).alias("latest_status"), F.struct(providers.alias("providers")).alias("tracking")).alias("track_info")).alias("data"))
+    lines = told.select("provider", col("id").alias("arrival"), F.when(col("provider") == "A", F.to_json(a)).otherwise(F.to_json(b)).alias("value"), "wave")
+    found = tracking.waves(spark, lines, "wave", 3)
+    return found.withColumn("tracking_status", F.coalesce("tracking_status", F.lit("-")))

@@ -98,13 +98,14 @@ _B = (
 )
 
 
-def payloads(lines: DataFrame, vendor: str) -> DataFrame:
-    """number, current (canonical status) and events (oldest first, at most MOST) of vendor A's or B's JSON lines.
+def payloads(lines: DataFrame, vendor: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """number, carried columns, current (canonical status) and events (oldest first, at most MOST) of vendor A's or B's
+    JSON lines in the column value.
 
     Works on streams and tables. Lines without a number, and B's that aren't updates, go; events may be missing.
     """
     read = F.from_json("value", _A if vendor == "A" else _B)
-    pushed = lines.select(read.alias("p"))
+    pushed = lines.select(*carried, read.alias("p"))
     if vendor == "A":
         number, latest, told = F.col("p.data.tracking_number"), map_status(F.col("p.data.delivery_status"), STATUSES_A), F.col("p.data.origin_info.trackinfo")
         names = ("checkpoint_date", "tracking_detail", "location")
@@ -114,4 +115,4 @@ def payloads(lines: DataFrame, vendor: str) -> DataFrame:
         told, names = F.try_element_at("p.data.track_info.tracking.providers", F.lit(1))["events"], ("time_iso", "description", "location")
     event = lambda e: F.struct(e[names[0]].alias("ts"), F.trim(e[names[1]]).alias("status"), F.trim(F.coalesce(e[names[2]], F.lit(""))).alias("location"))
     events = F.slice(F.transform(F.reverse(F.coalesce(told, F.array())), event), 1, MOST)
-    return pushed.where(number != "").select(number.alias("number"), latest.alias("current"), events.alias("events"))
+    return pushed.where(number != "").select(number.alias("number"), *carried, latest.alias("current"), events.alias("events"))
