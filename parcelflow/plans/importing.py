@@ -1,10 +1,12 @@
 """Vendor sheets, pushes of vendors, glyphs to words, calls of an extractor, and texts that people read."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import messages
-from ..operators import batches, glyphs
+from ..operators import batches, glyphs, replies
 from ..sources import vendors
 from ..streaming import pushes
 from . import views
@@ -132,3 +134,28 @@ def tx_llm_batch(spark: SparkSession, d: str) -> DataFrame:
     """An extractor that fails on some texts: their calls go one by one, and only they have no reply."""
     text = F.when(col("id") % 6 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "to_name"))
     return batches.extracted(views.shipments(spark, d).select("id", text.alias("text")), _shout)
+
+
+def _replied(texts: list[str]) -> list[str]:
+    """An extractor's JSON in all its forms; it gives up on texts of one kind."""
+    found = []
+    for number, city in (t.split("|") for t in texts):
+        n = int(number)
+        if n % 6 == 5:
+            raise ValueError("refused")
+        record = {"to_name": f" R {city} ", "to_city": city if n % 4 else "N/A", "pieces": f"{n % 9} pcs" if n % 2 else n % 9 + 0.5, "actual_weight": f"1,{n % 900 + 100}.5 kg", "currency": None, "carrier_specific": {"dhl": {"n": n % 3}}}
+        whole = json.dumps(record)
+        found.append({0: f"```json\n{whole}\n```", 1: whole[:-9], 2: f"[{whole}, 5]", 3: '{"to_name": 7}', 4: '"nothing"'}[n % 6])
+    return found
+
+
+@query(over("shipments", sql="""SELECT id, id % 6 IN (0, 2, 3, 4) AS from_reply, CASE id % 6 WHEN 0 THEN 'R ' || to_city WHEN 2 THEN 'R ' || to_city WHEN 3 THEN '7' WHEN 4 THEN NULL ELSE to_name END AS to_name,
+ CASE WHEN id % 6 IN (0, 2) THEN CASE WHEN id % 4 > 0 THEN to_city END WHEN id % 6 IN (3, 4) THEN NULL ELSE 'P' END AS to_city,
+ CASE WHEN id % 6 IN (0, 2) THEN id % 9 + 1 ELSE 1 END AS pieces, CASE WHEN id % 6 IN (0, 2) THEN CAST('1' || CAST(id % 900 + 100 AS STRING) || '.5' AS DOUBLE) WHEN id % 6 IN (1, 5) THEN 2e0 END AS actual_weight,
+ CASE WHEN id % 6 IN (1, 5) THEN 'USD' ELSE 'INR' END AS currency, CASE WHEN id % 6 IN (0, 2) THEN '{"dhl":{"n":' || id % 3 || '}}' END AS carrier_specific FROM shipments"""))
+def tx_llm_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Replies that are fenced, broken, lists, short, no records or missing: fields of what can be read, else the patterns'."""
+    rows = views.shipments(spark, d, "id", "to_name", "to_city")
+    texts = rows.select("id", F.concat_ws("|", "id", "to_city").alias("text"))
+    read = rows.select("id", "to_name", F.lit("P").alias("to_city"), F.lit(1).alias("pieces"), F.lit(2.0).alias("actual_weight"), F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("carrier_specific"))
+    return replies.answered(read, batches.extracted(texts, _replied)).select("id", "from_reply", "to_name", "to_city", "pieces", "actual_weight", "currency", "carrier_specific")
