@@ -238,3 +238,31 @@ def fill_gaps(primary: DataFrame, fallback: DataFrame, key: str, columns: tuple[
     other = fallback.select(key, *(F.col(c).alias(f"{c}__other") for c in columns))
     filled = {c: F.coalesce(F.when(~is_blank(F.col(c).cast("string")), F.col(c)), F.col(f"{c}__other")) for c in columns}
     return primary.join(other, key, "left").withColumns(filled).drop(*(f"{c}__other" for c in columns))
+
+
+#: If a text layer gave none of these, the picture is read as well.
+CRITICAL = ("carrier_tracking_number", "actual_weight", "contents")
+
+
+def _lacks(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "null")
+
+
+def needs_second_reading(native: DataFrame) -> Column:
+    """Whether a record has none of the CRITICAL fields."""
+    needed = F.lit(True)
+    for c in CRITICAL:
+        needed &= _lacks(c)
+    return needed
+
+
+def with_second_reading(native: DataFrame, pictures: DataFrame, columns: tuple[str, ...], key: str = "id") -> DataFrame:
+    """native(key, columns) with the columns' gaps filled from the pictures' rows, in records that need it and no others;
+    engine says where a record comes from. Documents without a text layer are those of pictures alone."""
+    known = native.withColumns({"needed": needs_second_reading(native), "native": F.lit(True)})
+    other = pictures.select(key, *(F.col(c).alias(f"{c}__other") for c in columns), F.lit(True).alias("read"))
+    joined = known.join(other, key, "full")
+    use = F.coalesce("needed", F.lit(True)) & F.col("read").isNotNull()
+    filled = {c: F.when(use & _lacks(c), F.coalesce(F.col(f"{c}__other"), F.col(c))).otherwise(F.col(c)) for c in columns}
+    engine = F.when(F.col("native").isNull(), "ocr").when(use, "pdf_text_layer+ocr").otherwise("pdf_text_layer")
+    return joined.withColumns({**filled, "engine": engine}).select(key, *columns, "engine")

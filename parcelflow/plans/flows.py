@@ -173,3 +173,18 @@ def src_pull_refresh(spark: SparkSession, d: str) -> DataFrame:
     lines = told.select("provider", col("id").alias("arrival"), F.when(col("provider") == "A", F.to_json(a)).otherwise(F.to_json(b)).alias("value"), "wave")
     found = tracking.waves(spark, lines, "wave", 3)
     return found.withColumn("tracking_status", F.coalesce("tracking_status", F.lit("-")))
+
+
+_NATIVE = {"carrier_tracking_number": "CASE id % 4 WHEN 0 THEN 'N' || id WHEN 1 THEN 'null' ELSE '' END", "actual_weight": "CASE WHEN id % 8 = 3 THEN 2.5e0 END", "contents": "CAST(NULL AS STRING)", "to_city": "CASE WHEN id % 3 = 0 THEN to_city END"}
+_PICTURE = {"carrier_tracking_number": "'P' || id", "actual_weight": "9.5e0", "contents": "CASE WHEN id % 2 = 0 THEN 'THINGS' END", "to_city": "'Pune'"}
+
+
+@query(over("shipments", sql=f"""SELECT id, CASE WHEN id % 10 = 9 THEN 'ocr' WHEN need THEN 'pdf_text_layer+ocr' ELSE 'pdf_text_layer' END AS engine, CASE WHEN need OR id % 10 = 9 THEN pt ELSE ct END AS carrier_tracking_number,
+ CASE WHEN need OR id % 10 = 9 THEN pw ELSE cw END AS actual_weight, CASE WHEN need OR id % 10 = 9 THEN pc END AS contents, CASE WHEN id % 10 = 9 THEN 'Pune' WHEN need THEN coalesce(city, 'Pune') ELSE city END AS to_city
+FROM (SELECT id, id % 7 > 0 AND ({_NATIVE['carrier_tracking_number']}) IN ('', 'null') AND ({_NATIVE['actual_weight']}) IS NULL AS need, {_NATIVE['carrier_tracking_number']} AS ct, {_NATIVE['actual_weight']} AS cw, {_NATIVE['to_city']} AS city,
+ {_PICTURE['carrier_tracking_number']} AS pt, {_PICTURE['actual_weight']} AS pw, {_PICTURE['contents']} AS pc FROM shipments) WHERE id % 10 < 9 OR id % 7 > 0"""))
+def tx_second_reading(spark: SparkSession, d: str) -> DataFrame:
+    """Text layers without any critical field are filled from the pictures' reading; others stay, gaps and all."""
+    rows = views.shipments(spark, d, "id", "to_city")
+    of = lambda fields, test: rows.where(test).select("id", *(F.expr(e).alias(c) for c, e in fields.items()))
+    return waybills.with_second_reading(of(_NATIVE, "id % 10 < 9"), of(_PICTURE, "id % 7 > 0"), tuple(_NATIVE))

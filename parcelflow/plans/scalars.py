@@ -160,3 +160,24 @@ def ly_reading_order(spark: SparkSession, d: str) -> DataFrame:
     top = (F.floor(col("pos") / 10) * 20).cast("double")
     boxes = placed.select(col("doc_id").alias("doc"), F.lit(1).alias("page"), col("word").alias("text"), left.alias("x0"), top.alias("y0"), (left + 49).alias("x1"), (top + 10).alias("y1"))
     return layout.reading_order(boxes)
+
+
+#: 24 parts a page, in two columns of twelve rows or three of eight; half of the full pages have a long line below that
+#: runs over the gutters.
+_CELLS = """SELECT p_partkey // 24 AS doc, CAST(p_partkey % 24 AS INT) AS k, CASE WHEN (p_partkey // 24) % 2 = 0 THEN 12 ELSE 8 END AS n, replace(p_brand, ' ', '') || p_partkey AS word FROM part"""
+
+
+@query(f"""SELECT doc, 1 AS page, string_agg(word, chr(10) ORDER BY place) AS text FROM (SELECT doc, k AS place, word FROM ({_CELLS})
+ UNION ALL SELECT doc, CASE WHEN (doc % 2) = 0 THEN 11.5 ELSE 15.5 END, 'A LONG LINE OVER THE WHOLE WIDTH OF IT' FROM (SELECT doc, count(*) AS n FROM ({_CELLS}) GROUP BY doc) WHERE doc % 4 < 2 AND n = 24) GROUP BY doc""")
+def ly_split_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of two and three columns, with long lines over the gutters, read column by column."""
+    cells = views.read(spark, d, "part").selectExpr("p_partkey div 24 AS doc", "CAST(p_partkey % 24 AS INT) AS k", "CASE WHEN (p_partkey div 24) % 2 = 0 THEN 12 ELSE 8 END AS n", "replace(p_brand, ' ', '') || p_partkey AS word")
+    box = lambda text, x0, y0, x1: (col("doc"), F.lit(1).alias("page"), text.alias("text"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), (y0 + 10).cast("double").alias("y1"))
+    left = F.floor(col("k") / col("n")) * 300
+    words = cells.select(*box(col("word"), left, col("k") % col("n") * 20, left + 90))
+    whole = cells.groupBy("doc", "n").count().where("count = 24 and doc % 4 < 2")
+    line = F.split(F.lit("A LONG LINE OVER THE WHOLE WIDTH OF IT"), " ")
+    spread = whole.select("doc", "n", F.posexplode(line).alias("i", "text"))
+    step = F.when(col("n") == 12, 43).otherwise(76)
+    words = words.union(spread.select(*box(col("text"), col("i") * step, col("n") * 20, col("i") * step + step - 4)))
+    return layout.reading_order(words)
