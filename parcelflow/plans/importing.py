@@ -159,3 +159,36 @@ def tx_llm_fields(spark: SparkSession, d: str) -> DataFrame:
     texts = rows.select("id", F.concat_ws("|", "id", "to_city").alias("text"))
     read = rows.select("id", "to_name", F.lit("P").alias("to_city"), F.lit(1).alias("pieces"), F.lit(2.0).alias("actual_weight"), F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("carrier_specific"))
     return replies.answered(read, batches.extracted(texts, _replied)).select("id", "from_reply", "to_name", "to_city", "pieces", "actual_weight", "currency", "carrier_specific")
+
+
+@query(over("shipments", sql="""SELECT id, CASE id % 5 WHEN 0 THEN 'Your shipment ' || ge_tracking_number || ' has been delivered' WHEN 1 THEN 'Action needed: shipment ' || ge_tracking_number || ' has an exception'
+ WHEN 2 THEN 'Bulk upload complete — ' || id % 7 || ' imported, ' || pieces || ' skipped' WHEN 3 THEN 'Your Parcels password was reset' END AS subject,
+ CASE id % 5 WHEN 0 THEN 'Good news! Shipment ' || ge_tracking_number || ' was delivered on today.' WHEN 1 THEN 'An exception was reported for shipment ' || ge_tracking_number || ': held in ' || to_city
+ WHEN 2 THEN 'Your bulk upload job #' || id || ' finished. ' || id % 7 || ' shipment(s) were imported successfully, ' || pieces || ' were skipped (see the import queue for details).'
+ WHEN 3 THEN 'Your password was reset by an administrator. ' || CASE WHEN id % 2 = 0 THEN 'You will be asked to set a new password on next login.' ELSE '' END END AS body FROM shipments"""))
+def fn_template_all(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects and bodies of all four events, and of one that nobody is told."""
+    event = F.element_at(F.array(*map(F.lit, ("shipment_delivered", "exception_detected", "bulk_upload_completed", "password_reset", "other"))), (col("id") % 5 + 1).cast("int"))
+    context = {"number": col("ge_tracking_number"), "detail": F.concat(F.lit("held in "), "to_city"), "imported": col("id") % 7, "skipped": col("pieces"), "job": col("id"), "must_change": F.when(col("id") % 2 == 0, "1")}
+    told = messages.message(event, context, "Parcels")
+    return views.shipments(spark, d, "id", "ge_tracking_number", "to_city", "pieces").select("id", told["subject"].alias("subject"), told["body"].alias("body"))
+
+
+@query(over("shipments", sql="""SELECT id, CASE WHEN id % 3 = 0 THEN '—' WHEN id % 3 = 1 THEN id % 50 || '.5 lb' ELSE id % 50 || ' kg' END AS weight,
+ CASE WHEN id % 4 = 0 THEN '—' ELSE CASE WHEN id % 2 = 0 THEN 'USD' ELSE 'INR' END || ' 1,' || lpad(CAST(id % 1000 AS STRING), 3, '0') || CASE WHEN id % 4 = 1 THEN '.25' ELSE '' END END AS value FROM shipments"""))
+def fn_fmt_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Weights and values as a waybill shows them, with what stands for none."""
+    n = (col("id") % 50).cast("double")
+    weight = messages.weight_cell(F.when(col("id") % 3 == 1, n + 0.5), F.when(col("id") % 3 > 0, n), F.when(col("id") % 3 == 1, "lb").otherwise(" "))
+    value = F.when(col("id") % 4 > 0, 1000.0 + col("id") % 1000 + F.when(col("id") % 4 == 1, 0.25).otherwise(0.0))
+    return views.shipments(spark, d, "id").select("id", weight.alias("weight"), messages.value_cell(value, F.when(col("id") % 2 == 0, "USD")).alias("value"))
+
+
+@query(over("users", sql="""SELECT id, CASE id % 4 WHEN 0 THEN 'Must be at least 10 characters|Must contain an uppercase letter|Must contain a number|Must contain a symbol' WHEN 1 THEN 'Must contain a symbol' WHEN 2 THEN ''
+ ELSE 'Must be at least 10 characters|Must contain an uppercase letter|Must contain a lowercase letter|Must contain a number|Must contain a symbol' END AS errors, id % 5 > 2 AND id % 5 < 4 AS expired FROM users"""))
+def fn_password_policy(spark: SparkSession, d: str) -> DataFrame:
+    """What passwords lack, and which are older than 90 days."""
+    password = F.element_at(F.array(F.lit("abc"), F.concat(F.lit("Longenough"), "id"), F.concat(F.lit("Long-enough"), "id"), F.lit(None).cast("string")), (col("id") % 4 + 1).cast("int"))
+    changed = F.element_at(F.array(*(F.lit(t).cast("timestamp") for t in ("2024-04-01", "2024-03-01", "2024-01-02", "2024-01-01", None))), (col("id") % 5 + 1).cast("int"))
+    now = F.lit("2024-03-31 00:00:01").cast("timestamp")
+    return views.users(spark, d).select("id", F.array_join(messages.password_errors(password), "|").alias("errors"), messages.expired(changed, now).alias("expired"))

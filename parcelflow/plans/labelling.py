@@ -80,3 +80,22 @@ _LINES = "CASE id % 4 WHEN 0 THEN 'RECEIVER ' || to_city WHEN 1 THEN 'Dept/Floor
 def tx_caps_like(spark: SparkSession, d: str) -> DataFrame:
     ocr = (F.col("id") % 100).cast("double")
     return views.shipments(spark, d).select("id", labels.caps_like(F.expr(_LINES)).alias("caps"), labels.confidence(ocr, F.lit(50.0)).alias("confidence"))
+
+
+#: Texts of no known layout: hints of two carriers, numbers between asterisks and runs of 12 and 10 digits, a telephone
+#: number that is no tracking number, and weights and dates of which some are odd.
+_UNKNOWN = """CASE id % 5 WHEN 0 THEN 'Sent by dtdc' || n || '*7' || lpad(CAST(id AS STRING), 9, '0') || '* and *123*' WHEN 1 THEN 'BLUE DART label' || n || 'No: 5' || lpad(CAST(id AS STRING), 11, '0') || ' end'
+ WHEN 2 THEN 'call 9876543210 for' || n || 'parcel 5' || lpad(CAST(id AS STRING), 9, '0') || ' end' WHEN 3 THEN '' END
+ || CASE WHEN id % 5 < 3 THEN n || 'weighs ' || CAST(id % 3 * 1000 AS STRING) || '.50 KG' || n || 'DATE: 20' || CAST(26 + id % 2 * 60 AS STRING) || '-03-01' || n || 'box 2 OF 3' || n || 'DECLARED VALUE: 0.00 EUR' ELSE '' END"""
+
+
+@query(over("shipments", sql="""SELECT id, CASE id % 5 WHEN 0 THEN 'DTDC' WHEN 1 THEN 'BlueDart' END AS carrier, CASE id % 5 WHEN 0 THEN '7' || lpad(CAST(id AS STRING), 9, '0') WHEN 1 THEN '5' || lpad(CAST(id AS STRING), 11, '0') WHEN 2 THEN '5' || lpad(CAST(id AS STRING), 9, '0') END AS carrier_tracking_number,
+ CASE WHEN id % 5 < 3 THEN id % 3 * 1000 + 0.5e0 END AS actual_weight, CASE WHEN id % 5 < 3 THEN 3 ELSE 1 END AS pieces, CASE WHEN id % 5 < 3 THEN 'EUR' ELSE 'INR' END AS currency,
+ concat_ws(';', CASE WHEN id % 5 < 3 AND id % 3 > 0 THEN 'actual_weight:flag' END, CASE WHEN id % 5 < 3 THEN 'declared_value:flag' END, CASE WHEN id % 5 < 3 AND id % 2 = 1 THEN 'ship_date:warn' END) AS sanity,
+ CASE WHEN id % 5 < 3 THEN 2 ELSE 3 END AS n_warnings, round(100.0e0 * CASE id % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END / 14, 1) AS field_score FROM shipments"""))
+def tx_generic(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without a layout as whole records with their score, what they lack, and what looks wrong as of a day."""
+    rows = views.shipments(spark, d, "id").withColumn("n", F.lit("\n")).select("id", F.expr(_UNKNOWN).alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
+    found = waybills.records(rows, as_of=F.lit("2026-03-15").cast("date"))
+    sanity = F.array_join(F.transform("sanity_warnings", lambda w: F.concat_ws(":", w["field"], w["severity"])), ";")
+    return found.select("id", "carrier", "carrier_tracking_number", "actual_weight", "pieces", "currency", sanity.alias("sanity"), F.size("warnings").alias("n_warnings"), "field_score")
