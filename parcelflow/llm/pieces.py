@@ -178,10 +178,9 @@ def _ends(encoder: PieceEncoder) -> tuple[bytes, bytes]:
     return tuple(np.array([i], dtype="<u4").tobytes() for i in (encoder.begin, encoder.end))
 
 
-def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and ids (with begin and end) of each whole text."""
-
+def _encoded(model: str):
     def run(batches):
+        """doc_id and ids of each text, in batches of a bounded number of characters."""
         encoder = piece_encoder(model)
         begin, end = _ends(encoder)
         for batch in batches:
@@ -191,19 +190,34 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids and the text that ids stand for."""
-
+def _decoded(model: str):
     def run(batches):
+        """doc_id, ids and text; one row's ids at a time become Python's numbers."""
         library = piece_encoder(model).library
         for batch in batches:
-            texts = [library.decode(x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.encode("utf-8", "surrogatepass") for t in texts]).cast(pa.string())], names=["doc_id", "ids", "text"])
+            lists = batch.column(1)
+            values, at = np.asarray(lists.values), np.asarray(lists.offsets).tolist()
+            texts = [library.decode(values[a:b].tolist()).encode("utf-8", "surrogatepass") for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts).cast(pa.string())], names=["doc_id", "ids", "text"])
+
+    return run
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
+def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id and ids (with begin and end) of each whole text."""
+    return _texts(docs).mapInArrow(_encoded(model), "doc_id long, ids array<int>")
+
+
+def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids and the text that ids stand for."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(model), "doc_id long, ids array<int>, text string")
 
 
 def _digest_batches(batches):
@@ -218,6 +232,10 @@ def _digest_batches(batches):
 
 
 def piece_digest(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each whole text, encoded and decoded again."""
-    coded = decode_pieces(encode_pieces(docs, model), model)
-    return coded.mapInArrow(_digest_batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each whole text, encoded and decoded again.
+
+    The three steps run one after the other in one pass, so a task has one Python worker.
+    """
+    encoded, decoded = _encoded(model), _decoded(model)
+    steps = lambda batches: _digest_batches(decoded(encoded(batches)))
+    return _texts(docs).mapInArrow(steps, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
