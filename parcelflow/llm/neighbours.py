@@ -2,8 +2,8 @@
 
 1. A unit vector is padded to a power of two and turned by fast pseudo-rotations (three rounds of random signs and a
    Hadamard transform); each assigns it to the nearest signed axis. In each of some tables the axes of a few rotations
-   together are its bucket. Larger tables have more of both: 16 to 64 tables, two axes, and one more for each factor of
-   STEP rows.
+   together are its bucket: TABLES tables whatever the number of rows, so the index grows with them alone; two axes, and
+   one more for each factor of STEP rows.
 2. A query looks into the buckets of each table in the order of how much farther their axes are than its own. How many
    is set so that a bounded sample of SAMPLE queries, held against every row, finds AIM of its true neighbours: the
    larger the table, the nearer they are and the smaller the share of it that is looked at. Every row is in the index.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-STEP = 1 << 24
+TABLES, STEP = 32, 1 << 24
 #: Queries of the sample, the share of their neighbours that must be found there, and probes of a table at most.
 SAMPLE, AIM, PROBES = 64, 0.94, 1024
 SMALL = 256
@@ -44,7 +44,7 @@ BLOCK, QUERY_BLOCK, SOME = 32_768, 2048, 8
 
 def shape_for(rows: int) -> tuple[int, int]:
     """How many tables so many rows have, and how many axes a bucket."""
-    return round(16 * min(4.0, max(1.0, (rows / 10_000) ** 0.85))), 2 + int(np.log(max(1, rows)) // np.log(STEP))
+    return TABLES, 2 + int(np.log(max(1, rows)) // np.log(STEP))
 
 
 @cache
