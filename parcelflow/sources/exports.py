@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +87,11 @@ def _saved(df: DataFrame, path: str, sheet: str, rows: int, note: str) -> None:
 def zipped(files: DataFrame) -> DataFrame:
     """archive and content: a zip file of the members(archive, name, content) of each archive, made in one task."""
 
-    def made(key: tuple, frame):
-        import pandas as pd
-
+    def made(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in zip(frame["name"], frame["content"], strict=True):
-                z.writestr(name, bytes(content))
-        return pd.DataFrame({"archive": [key[0]], "content": [out.getvalue()]})
+            for name, content in zip(rows["name"].to_pylist(), rows["content"].to_pylist(), strict=True):
+                z.writestr(name, content)
+        return pa.table({"archive": pa.array([key[0].as_py()], pa.string()), "content": pa.array([out.getvalue()], pa.binary())})
 
-    return files.groupBy("archive").applyInPandas(made, "archive string, content binary")
+    return files.groupBy("archive").applyInArrow(made, "archive string, content binary")

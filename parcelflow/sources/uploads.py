@@ -6,8 +6,10 @@ import io
 import posixpath
 import re
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ ALIASES = {
 }
 # Endings of the members of a zip upload that are taken.
 MEMBERS = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".webp")
+#: Members of zip files that are passed on at once, and bytes of their content.
+MANY, BYTES = 4096, 16 << 20
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -104,18 +108,35 @@ def zip_members(spark: SparkSession, path: str, endings: tuple[str, ...] = MEMBE
 
 
 def members(files: DataFrame, endings: tuple[str, ...] = MEMBERS) -> DataFrame:
-    """As zip_members, of files(path, content)."""
+    """As zip_members, of files(path, content). Members are passed on together, up to MANY of them or BYTES of content."""
 
-    def run(frames):
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes]]:
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
                     for member in z.infolist():
                         name = re.sub(r"[^a-zA-Z0-9.\-_]", "_", posixpath.basename(member.filename.replace("\\", "/")))
                         if not member.is_dir() and name.lower().endswith(endings):
-                            yield pd.DataFrame([(file, name, z.read(member))], columns=["archive", "name", "content"])
-
-    return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary")
+                            yield file.as_py(), name, z.read(member)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str, bytes]] = []
+        size = 0
+        for one in found(batches):
+            held.append(one)
+            size += len(one[2])
+            if len(held) >= MANY or size >= BYTES:
+                yield _members_batch(held)
+                held, size = [], 0
+        if held:
+            yield _members_batch(held)
+
+    return files.select("path", "content").mapInArrow(run, "archive string, name string, content binary")
+
+
+def _members_batch(held: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    archive, name, content = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(archive, pa.string()), pa.array(name, pa.string()), pa.array(content, pa.binary())], names=["archive", "name", "content"])
 
 
 def file_kind(path) -> F.Column:

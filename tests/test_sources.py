@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,40 @@ def test_a_failed_export_leaves_nothing_and_an_empty_one_a_note(spark, tmp_path)
     assert len(os.listdir(tmp_path / "equal")) == 3 and spark.read.format("xlsx").load(str(tmp_path / "equal")).count() == 50
 
 
+def test_members_of_zip_files_are_passed_on_together(spark, monkeypatch):
+    import io
+    import zipfile
+
+    def archive(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k in range(n):
+                z.writestr(f"in/scan {k}.pdf", b"x" * (k % 50))
+            z.writestr("notes.txt", b"no")
+        return out.getvalue()
+
+    seen = []
+    made = uploads._members_batch
+    monkeypatch.setattr(uploads, "_members_batch", lambda held: (seen.append((len(held), sum(len(c) for _, _, c in held))), made(held))[1])
+    monkeypatch.setattr(uploads, "MANY", 100)
+    monkeypatch.setattr(uploads, "BYTES", 1000)
+    files = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([archive(300), archive(0), archive(7)], pa.binary())], names=["path", "content"])
+
+    class Files:  # what members asks of a table, run here
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([files])))
+
+    batches = uploads.members(Files())
+    assert len(batches) == len(seen) < 20 and all(n <= 100 and size < 1050 for n, size in seen)
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert len(rows) == 307 and rows[0] == {"archive": "a", "name": "scan_0.pdf", "content": b""} and [r["archive"] for r in rows[300:]] == ["c"] * 7
+    table = spark.createDataFrame([("a", bytearray(archive(300))), ("b", bytearray(archive(0)))], "path string, content binary")
+    assert uploads.members(table).count() == 300
+
+
 def test_imports_that_were_cut_off_or_run_again(spark, tmp_path):
     path = str(tmp_path / "table")
     rows = spark.range(0, 1000, 1, 5).select((F.col("id") * 7 % 1000).alias("o"))
