@@ -27,7 +27,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StringType, StructField, StructType
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -39,6 +39,9 @@ SHEET_ROWS, PART_BYTES, BATCH, NAME = 1_000_000, 32 << 20, 4096, 31
 _ROW = re.compile(rb"<(?:\w+:)?row(?=[\s/>])")
 _END = re.compile(rb"</(?:\w+:)?sheetData\s*>")
 _CHUNK = 1 << 20
+#: How sheets and cells are written here; rows of just that form are read without the parser.
+_HEAD = f'<worksheet xmlns="{MAIN}"><sheetData>'.encode()
+_CELL, _CELL_END = '<c t="inlineStr"><is><t xml:space="preserve">', "</t></is></c>"
 
 
 def register(spark: SparkSession) -> None:
@@ -55,17 +58,17 @@ def write_workbook(out, sheets: Iterable[tuple[str, list[str], Iterable]], note:
         for k, (name, columns, rows) in enumerate(sheets, 1):
             names.append(name)
             with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
-                f.write(f'<worksheet xmlns="{MAIN}"><sheetData>'.encode())
-                held, empty = [_xml(columns)], True
+                f.write(_HEAD)
+                held, empty = [columns], True
                 for row in rows:
                     empty = False
-                    held.append(_xml(row))
+                    held.append(row)
                     if len(held) >= BATCH:
-                        f.write("".join(held).encode("utf-8", "replace"))
+                        f.write(_rows_xml(held).encode("utf-8", "replace"))
                         held = []
                 if empty:
-                    held = [_xml(["note"]), _xml([note])]
-                f.write("".join(held).encode("utf-8", "replace") + b"</sheetData></worksheet>")
+                    held = [["note"], [note]]
+                f.write(_rows_xml(held).encode("utf-8", "replace") + b"</sheetData></worksheet>")
         ids = range(1, len(names) + 1)
         parts = "".join(f'<sheet name="{escape(n[:NAME], {chr(34): "&quot;"})}" sheetId="{k}" r:id="r{k}"/>' for k, n in zip(ids, names, strict=True))
         relations = "".join(f'<Relationship Id="r{k}" Type="{OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in ids)
@@ -78,12 +81,46 @@ def write_workbook(out, sheets: Iterable[tuple[str, list[str], Iterable]], note:
 
 
 _UNFIT = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+_UNFIT_BESIDES = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1d￾￿]")
 
 
 def _xml(row: Iterable) -> str:
     """A row of text cells; characters that XML can't hold become U+FFFD, and a carriage return keeps its code."""
     text = lambda v: _UNFIT.sub("�", escape("" if v is None else str(v), {"\r": "&#13;"}))
-    return "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{text(v)}</t></is></c>' for v in row) + "</row>"
+    return "<row>" + "".join(f"{_CELL}{text(v)}{_CELL_END}" for v in row) + "</row>"
+
+
+def _rows_xml(rows: list) -> str:
+    """As _xml of each row, for many rows at once: cells are joined by two characters that no cell may hold."""
+    texts = [["" if v is None else str(v) for v in row] for row in rows]
+    joined = "\x1e".join(map("\x1f".join, texts))
+    if not all(texts) or joined.count("\x1f") + joined.count("\x1e") != sum(map(len, texts)) - 1:
+        return "".join(map(_xml, rows))
+    joined = escape(_UNFIT_BESIDES.sub("�", joined), {"\r": "&#13;"})
+    return f"<row>{_CELL}" + joined.replace("\x1f", _CELL_END + _CELL).replace("\x1e", f"{_CELL_END}</row><row>{_CELL}") + f"{_CELL_END}</row>"
+
+
+def _plain_rows(data: bytes) -> list[list[str]] | None:
+    """The cells of whole rows that are written as here; None if anything else is among them, which is for the parser.
+
+    The number of tags tells that there are no others: two a row and six a cell.
+    """
+    try:
+        text = data.decode()
+    except UnicodeDecodeError:
+        return None
+    rows = text.split("</row>")
+    begin, end = f"<row>{_CELL}", _CELL_END
+    if rows.pop() or "\r" in text or _UNFIT.search(text) or text.count("&") != sum(map(text.count, ("&lt;", "&gt;", "&#13;", "&amp;"))):
+        return None
+    if not all(r.startswith(begin) and r.endswith(end) for r in rows):
+        return None
+    cells = [r[len(begin) : -len(end)].split(end + _CELL) for r in rows]
+    if text.count("<") != 2 * len(rows) + 6 * sum(map(len, cells)):
+        return None
+    if "&" in text:
+        cells = [[c.replace("&lt;", "<").replace("&gt;", ">").replace("&#13;", "\r").replace("&amp;", "&") if "&" in c else c for c in row] for row in cells]
+    return cells
 
 
 @dataclass
@@ -91,13 +128,13 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
-class XlsxWriter(DataSourceWriter):
+class XlsxWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, overwrite: bool, rows: int, sheet: str, note: str):
         self.path, self.names, self.overwrite, self.rows, self.sheet, self.note = path, schema.names, overwrite, rows, sheet, note
         self.beside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator) -> Written:
-        files, rows = [], iter(iterator)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        files, rows = [], (row for batch in iterator for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         row = next(rows, None)
         while row is not None:
             store, folder = opened(self.beside)
@@ -190,8 +227,10 @@ class SharedTexts:
         return self.texts[k]
 
 
-def cells_of(row: ElementTree.Element, shared) -> list[str]:
+def cells_of(row: ElementTree.Element | list[str], shared) -> list[str]:
     """A row's cells as texts, each at its own column."""
+    if isinstance(row, list):
+        return row
     cells: list[str] = []
     for cell in row.iter(f"{{{MAIN}}}c"):
         at = 0
@@ -204,14 +243,14 @@ def cells_of(row: ElementTree.Element, shared) -> list[str]:
     return cells
 
 
-def rows_between(f, first: int, last: int) -> Iterator[tuple[int, ElementTree.Element]]:
-    """Number (from 1) and element of the rows of a sheet's XML that begin within bytes first to last (exclusive).
+def rows_between(f, first: int, last: int) -> Iterator[tuple[int, ElementTree.Element | list[str]]]:
+    """Number (from 1) and element (or cells, if they are written as here) of the rows of a sheet's XML that begin within bytes first to last (exclusive).
 
     Bytes before the first are searched for beginnings of rows only. What is parsed is the sheet's own head, which names
     its namespaces, and then the rows.
     """
     parser, head, seen, at, tail, inside = ElementTree.XMLPullParser(["start", "end"]), b"", 0, 0, b"", False
-    parent, number = None, 0
+    parent, number, quick, rest = None, 0, False, b""
     while True:
         chunk = f.read(_CHUNK)
         if not chunk and not tail:
@@ -237,7 +276,9 @@ def rows_between(f, first: int, last: int) -> Iterator[tuple[int, ElementTree.El
                 if end or _END.search(part):
                     return
             elif head or at == 0:
-                parser.feed(head)
+                quick = head == _HEAD
+                if not quick:
+                    parser.feed(head)
         else:
             feed = part
         if inside and feed:
@@ -245,7 +286,20 @@ def rows_between(f, first: int, last: int) -> Iterator[tuple[int, ElementTree.El
             stop = _END.search(feed)
             over = next((m.start() for m in _ROW.finditer(feed) if begin + m.start() >= last), None)
             limit = min(x for x in (stop.start() if stop else None, over, len(feed)) if x is not None)
-            parser.feed(feed[:limit])
+            data = rest + feed[:limit]
+            if quick:
+                whole = data.rfind(b"</row>") + 6 if b"</row>" in data else 0
+                rows = _plain_rows(data[:whole])
+                if rows is None:
+                    quick, rest = False, b""
+                    parser.feed(head)
+                else:
+                    rest = data[whole:]
+                    for cells in rows:
+                        number += 1
+                        yield number, cells
+            if not quick:
+                parser.feed(data)
             for event, e in parser.read_events():
                 if event == "start":
                     parent = e if e.tag == f"{{{MAIN}}}sheetData" else parent

@@ -39,6 +39,25 @@ def test_a_sheet_is_read_in_parts(spark, tmp_path):
         spark.read.format("xlsx").schema("n int").load(out).collect()
 
 
+def test_rows_as_written_here_are_read_without_the_parser_and_others_with_it(monkeypatch):
+    import io
+
+    odd = [["a<b>&amp;\r\n\"'", None, "é😀"], ["\x01\x1e", "\x1f", "\ufffe"], [], [5, "", "]]>"], ["&#13;", "&lt;", "&#65;"]]
+    for rows in ([[r] for r in odd] + [odd]):
+        assert xlsx._rows_xml(rows) == "".join(map(xlsx._xml, rows))
+    parsed = []
+    pull = xlsx.ElementTree.XMLPullParser
+    monkeypatch.setattr(xlsx.ElementTree, "XMLPullParser", lambda events: type("P", (), {"p": pull(events), "feed": lambda self, d: (parsed.append(len(d)), self.p.feed(d))[1], "read_events": lambda self: self.p.read_events()})())
+    rows = [[f"r{k} <&>", "x\ry" if k % 5 == 0 else "é", ""] for k in range(4000)]
+    sheet = xlsx._HEAD + xlsx._rows_xml(rows).encode() + b"</sheetData></worksheet>"
+    read = lambda content, size, step: [(n, xlsx.cells_of(r, None)) for a in range(0, size, step) for n, r in xlsx.rows_between(io.BytesIO(content), a, a + step)]
+    monkeypatch.setattr(xlsx, "_CHUNK", 5000)
+    for step in (len(sheet), 70_001, 100_000):
+        assert read(sheet, len(sheet), step) == list(enumerate(rows, 1)) and not parsed
+    foreign = sheet.replace(b"<row><c t=\"inlineStr\"><is><t xml:space=\"preserve\">r2000 ", b"<row><c t=\"inlineStr\"><is><t>r2000 ")
+    assert read(foreign, len(foreign), len(foreign)) == list(enumerate(rows, 1)) and parsed
+
+
 def test_namespaces_gaps_and_shared_texts(spark, tmp_path):
     xlsx.register(spark)
     with_names(str(tmp_path / "p.xlsx"), PREFIXED)
