@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,18 +60,28 @@ TITLE, PERSON = r"(?i)^(?:Mr\.|Ms\.|Mrs\.|DR\.)\s*", r"(?i)^(?:Mr|Ms|Mrs|Miss|Dr
 ENDING_PHONE = r"[\s\-()]*\+?\d[\d\s\-()]{6,}\d\s*$"
 NUMBERS_ONLY = r"^[\d+\-\s().]+$"
 
-_LOCALITY = "|".join(["(?i:" + "|".join(COUNTRY_PATTERNS) + ")", CITY_STATE_POSTAL, *(p for p, _ in POSTAL_CODES)])
+_LOCALITY = "|".join([CITY_STATE_POSTAL, *(p for p, _ in POSTAL_CODES)])
+#: The longest word of each country's pattern: what lacks it in capitals can't match.
+_COUNTRY_WORDS = {p: max(re.findall("[A-Z]+", re.sub(r"\\[bs]", " ", p)), key=len) for p in COUNTRY_PATTERNS}
+_BLANKS = " \t\n\x0b\f\r"
 _LONG_STATE = r"(?i)\s+(" + "|".join(sorted(LONG_STATES, key=len, reverse=True)) + ")$"
 _COUNTRY_NAMES = [c.upper() for c in dict.fromkeys(COUNTRY_PATTERNS.values())]
 
 
+def let(value: Column, f) -> Column:
+    """f of value, which is computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def title(c: Column) -> Column:
     """Every run of letters with a capital at its start only (initcap looks at blanks alone)."""
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
+    plain = lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, 1 << 30)))
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[A-Za-z]+$"), plain(x)).otherwise(F.initcap(x))), "")
 
 
 def first(lines: Column) -> Column:
@@ -99,7 +111,8 @@ def lines_of(block: Column, most: Column) -> Column:
 
 def country(block: Column) -> Column:
     """By the order of the patterns, not of the text."""
-    return F.coalesce(*(F.when(block.rlike("(?i)" + p), name) for p, name in COUNTRY_PATTERNS.items()))
+    hit = lambda upper, p: F.contains(upper, F.lit(_COUNTRY_WORDS[p])) & block.rlike("(?i)" + p)
+    return let(F.upper(block), lambda upper: F.coalesce(*(F.when(hit(upper, p), name) for p, name in COUNTRY_PATTERNS.items())))
 
 
 def coded_country(lines: Column) -> Column:
@@ -109,7 +122,7 @@ def coded_country(lines: Column) -> Column:
 
 
 def is_locality(line: Column) -> Column:
-    return line.rlike(_LOCALITY)
+    return line.rlike(_LOCALITY) | country(line).isNotNull()
 
 
 def person_or_company(line: Column) -> Column:

@@ -64,11 +64,6 @@ _SERVICE = r"(?i)^\s*(EXP|STD|PPX|DOM)(\s+(EXP|STD|PPX|DOM))?\s*$"
 _ENDING_STATE = r"(?i)\s+(" + "|".join(sorted(ENDING_STATES, key=len, reverse=True)) + ")$"
 
 
-def _let(value: Column, f) -> Column:
-    """f of value, which is computed once however often f names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _at(lines: Column, n: Column | int) -> Column:
     """The nth line, from 1; null where there is none."""
     if isinstance(n, int):
@@ -77,7 +72,7 @@ def _at(lines: Column, n: Column | int) -> Column:
 
 
 def _country(text: Column) -> Column:
-    return _let(text, a.country)
+    return a.let(text, a.country)  # text may be dear, and country names it often
 
 
 def _first(lines: Column, pattern: str) -> Column:
@@ -120,7 +115,7 @@ def matches_at(text: Column, pattern: str, group: int = 1) -> Column:
 def town_and_state(line: Column) -> tuple[Column, Column]:
     """A line's town and the state that ends it: one of the known names, else the last word."""
     state = F.nullif(F.regexp_extract(line, _ENDING_STATE, 1), F.lit(""))
-    named = _let(F.lower(state), lambda x: F.coalesce(*(F.when(x == s.lower(), s) for s in ENDING_STATES)))
+    named = a.let(F.lower(state), lambda x: F.coalesce(*(F.when(x == s.lower(), s) for s in ENDING_STATES)))
     last = F.nullif(F.regexp_extract(line, r"^(?s)(.*) (\S+)$", 2), F.lit(""))
     town = F.when(state.isNotNull(), F.regexp_replace(line, _ENDING_STATE, "")).when(last.isNotNull(), F.regexp_extract(line, r"^(?s)(.*) (\S+)$", 1)).otherwise(line)
     return a.strip(town), F.coalesce(named, last)
@@ -141,7 +136,7 @@ def contents(body: Column, at: Column) -> Column:
     """What follows the label, if it is no other label; else the line nearest to the value, above before below; else the
     nearest of three lines above the service codes. at: goods_places."""
     labelled = [a.strip(F.regexp_extract(body, p, 1)) for p in (r"(?i)Description\s+of\s+Goods[^:]*:\s*([^\n]{3,80})", r"(?i)(?<!COST OF )(?:GOODS|COMMODITY|CONTENT)[:\s]+([A-Z][^\n]{3,80})")]
-    labelled = [_let(x, lambda y: F.when((y != "") & (F.upper(y) != "N/A") & ~y.rlike(NOT_CONTENTS), y)) for x in labelled]
+    labelled = [a.let(x, lambda y: F.when((y != "") & (F.upper(y) != "N/A") & ~y.rlike(NOT_CONTENTS), y)) for x in labelled]
     lines, value, codes = at["lines"], at["value"], at["codes"]
     around = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda d: F.array(_at(lines, value - d), _at(lines, value + d))))
     near = F.filter(around, lambda x: x.isNotNull() & _is_contents(x) & ~x.rlike(r"^\+?\d[\d\s\-]{6,}$"))
@@ -151,23 +146,26 @@ def contents(body: Column, at: Column) -> Column:
 
 def stations(text: Column) -> Column:
     """origin and destination: of the first line with two codes of stations and no third code, else of the labels."""
-    pairs = F.transform(F.split(text, "\n"), lambda x: F.regexp_extract_all(x, F.lit(r"\b([A-Z]{3})\b"), F.lit(1)))
-    pair = a.first(F.filter(pairs, lambda p: (F.size(p) == 2) & p[0].isin(*STATIONS) & p[1].isin(*STATIONS)))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[A-Z]{3}[^A-Z](?:.*[^A-Z])?[A-Z]{3}"))
+    pairs = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"(?=[A-Z]{3})\b([A-Z]{3})\b"), F.lit(1)))
+    first = a.first(F.filter(pairs, lambda p: (F.size(p) == 2) & p[0].isin(*STATIONS) & p[1].isin(*STATIONS)))
     label = lambda word: F.upper(found(text, rf"(?i)\b{word}\.?\s*STN\s+([A-Z]{{3}})\b"))
-    known = lambda c: F.when(c.isin(*STATIONS), c)
-    return F.struct(F.coalesce(pair[0], known(label("ORG"))).alias("origin"), F.coalesce(pair[1], F.when(pair.isNull(), known(label("DEST")))).alias("destination"))
+    known = lambda c: a.let(c, lambda x: F.when(x.isin(*STATIONS), x))
+    of = lambda pair: F.struct(F.coalesce(pair[0], known(label("ORG"))).alias("origin"), F.coalesce(pair[1], F.when(pair.isNull(), known(label("DEST")))).alias("destination"))
+    return a.let(first, of)
 
 
 def common(text: Column, body: Column, phones: Column, goods: Column) -> Column:
     """What patterns give in any Aramex text; body is the text before its legal part, goods its goods_places."""
-    run = F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{11})\b"), F.lit(1)), lambda x: ~F.array_contains(phones, x)), F.lit(1))
-    weight = found(body, r"(?i)(\d+\.\d+)\s*KG").try_cast("double")
+    run = a.let(phones, lambda known: F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(r"(?=\d)\b(\d{11})\b"), F.lit(1)), lambda x: ~F.array_contains(known, x)), F.lit(1)))
+    weight = found(body, r"(?i)(?=\d)(\d+\.\d+)\s*KG").try_cast("double")
     whole = body.rlike(VALUE)
     amount = F.when(whole, F.regexp_extract(body, VALUE, 1)).otherwise(found(body, r"\b(\d+\.\d{2})\b"))
     currency = F.when(whole, F.regexp_extract(body, VALUE, 2)).otherwise(found(body, r"(?i)\b(INR|USD|GBP|EUR|AED|OMR|QAR|SAR|SGD|AUD|CAD)\b"))
     date = F.coalesce(found(body, r"\b(\d{2}/\d{2}/\d{4})\b"), found(text, r"(?i)(?:SHIP\s*DATE|DATE)[:\s]+(\d{1,2}\s*[A-Z]{3}\s*\d{2,4})"))
-    upper = F.upper(text)
-    made = {
+    word = lambda upper, w: (F.contains(upper, F.lit(w)) & upper.rlike(rf"\b{w}\b")).alias(w.lower())
+    words = a.let(F.upper(text), lambda upper: F.struct(word(upper, "EXP"), word(upper, "PPX")))
+    made = lambda has: {
         "carrier_tracking_number": F.coalesce(barcode(text), run),
         "actual_weight": weight,
         "billing_weight": weight,
@@ -175,14 +173,14 @@ def common(text: Column, body: Column, phones: Column, goods: Column) -> Column:
         "contents": contents(body, goods),
         "declared_value": amount.try_cast("double"),
         "currency": F.upper(currency),
-        "service_type": F.when(upper.rlike(r"\bEXP\b"), "Express"),
-        "billing_type": F.when(upper.rlike(r"\bPPX\b"), "Prepaid"),
+        "service_type": F.when(has["exp"], "Express"),
+        "billing_type": F.when(has["ppx"], "Prepaid"),
         "pieces": F.coalesce(found(text, r"(?i)No\.\s*of\s*Pieces\s+(\d+)"), found(text, r"(?i)(\d+)\s*OF\s*(\d+)", 2)).try_cast("int"),
         "stations": stations(text),
-        "exp": upper.rlike(r"\bEXP\b"),
-        "ppx": upper.rlike(r"\bPPX\b"),
+        "exp": has["exp"],
+        "ppx": has["ppx"],
     }
-    return F.struct(*(c.alias(n) for n, c in made.items()))
+    return a.let(words, lambda has: F.struct(*(c.alias(n) for n, c in made(has).items())))
 
 
 def barcode_at(lines: Column) -> Column:
@@ -372,7 +370,7 @@ def countries_below(text: Column) -> Column:
 
 
 def gulf(code: Column, names: dict[str, str]) -> Column:
-    return _let(F.upper(code), lambda x: F.coalesce(*(F.when(x == c, n) for c, n in names.items())))
+    return a.let(F.upper(code), lambda x: F.coalesce(*(F.when(x == c, n) for c, n in names.items())))
 
 
 def specific(ppx: Column, exp: Column, origin: Column, destination: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import let
+
 # Carriers in the order of detection, with words (upper case) and a pattern; any of them decides.
 LAYOUTS = (
     ("FedEx", ("FEDEX", "FED EX", "FEDERAL EXPRESS", "TRK#", "ACTWGT", "ACTWG T"), None),
@@ -12,9 +14,9 @@ LAYOUTS = (
     ("UPS", ("UPS SAVER", "UPS WORLDWIDE", "UPS EXPRESS", "SHP WT:", "SHP#:"), r"(?i)TRACKING\s*#[:\s]+1Z"),
     ("Aramex", ("ARAMEX",), r"(?is)^(?=.*\*\d{8,14}\*)(?=.*(?:PPX|EXP|FORWARDER AIRWAYBILL|FORWARD AIR))"),
 )
-# Telephone numbers, currencies, services and hints of carriers without a layout of their own.
+# Telephone numbers (what they begin with is looked at first, as it is cheap), currencies, services and hints of carriers without a layout of their own.
 PHONE = (
-    r"(?<!\d)(\+?(?:91|971|968|966|974|973|965)[-\s]?\d{8,10}|\+?1[-\s]?[2-9]\d{9}|[6-9]\d{9}|\+?[0-9]{2,4}[-\s]\d{6,12}|\(\d{3}\)\s*\d{3}[-\s]\d{4})(?!\d)"
+    r"(?=[+(\d])(?<!\d)(\+?(?:91|971|968|966|974|973|965)[-\s]?\d{8,10}|\+?1[-\s]?[2-9]\d{9}|[6-9]\d{9}|\+?[0-9]{2,4}[-\s]\d{6,12}|\(\d{3}\)\s*\d{3}[-\s]\d{4})(?!\d)"
 )
 VALUES = (r"(?i)Custom\s*Val\s*:?\s*([0-9,]+\.?[0-9]*)\s*(INR|USD|GBP|EUR|AUD|CAD|SGD|AED)?", r"(?i)(?:CUSTOMS\s*VALUE|DECLARED\s*VALUE)[:\s=]+([0-9,.]+)\s*(INR|USD|GBP|EUR|AUD|CAD|SGD)?")
 SERVICES = {
@@ -27,13 +29,16 @@ NEXT_LABEL = r"(?i)^(Shipper|Receiver|WAYBILL|Ref\d?\s*:|Custom|Payment|Product|
 
 
 def layout(text: Column) -> Column:
-    out = F.lit("Generic")
-    for name, words, pattern in reversed(LAYOUTS):
-        hit = F.lit(False)
-        for w in words:
-            hit |= F.contains(F.upper(text), F.lit(w))
-        out = F.when(hit | text.rlike(pattern) if pattern else hit, name).otherwise(out)
-    return out
+    def of(upper: Column) -> Column:
+        out = F.lit("Generic")
+        for name, words, pattern in reversed(LAYOUTS):
+            hit = F.lit(False)
+            for w in words:
+                hit |= F.contains(upper, F.lit(w))
+            out = F.when(hit | text.rlike(pattern) if pattern else hit, name).otherwise(out)
+        return out
+
+    return let(F.upper(text), of)
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -105,11 +110,13 @@ def contents(text: Column, layout: Column) -> Column:
 
 
 def service(text: Column, layout: Column) -> Column:
-    upper = F.upper(text)
-    named = lambda words: F.coalesce(*(F.when(F.contains(upper, F.lit(w)), name) for w, name in words.items()))
-    kind = F.when(F.contains(upper, F.lit("DOX")), " (DOX)").when(F.contains(upper, F.lit("WPX")), " (WPX)").otherwise("")
-    dhl = F.when(F.contains(upper, F.lit("EXPRESS WORLDWIDE")), F.concat(F.lit("Express Worldwide"), kind))
-    return F.when(layout == "FedEx", named(SERVICES["FedEx"])).when(layout == "UPS", named(SERVICES["UPS"])).when(layout == "DHL", dhl)
+    def of(upper: Column) -> Column:
+        named = lambda words: F.coalesce(*(F.when(F.contains(upper, F.lit(w)), name) for w, name in words.items()))
+        kind = F.when(F.contains(upper, F.lit("DOX")), " (DOX)").when(F.contains(upper, F.lit("WPX")), " (WPX)").otherwise("")
+        dhl = F.when(F.contains(upper, F.lit("EXPRESS WORLDWIDE")), F.concat(F.lit("Express Worldwide"), kind))
+        return F.when(layout == "FedEx", named(SERVICES["FedEx"])).when(layout == "UPS", named(SERVICES["UPS"])).when(layout == "DHL", dhl)
+
+    return F.when(layout.isin("FedEx", "UPS", "DHL"), let(F.upper(text), of))
 
 
 def ship_date(text: Column, layout: Column) -> Column:

@@ -141,17 +141,19 @@ def _aramex(df: DataFrame, text: Column) -> DataFrame:
     """What an Aramex text gives (null for others): ax_common, then ax_thermal or ax_classic if it is of that kind, else
     the lines of both sides with their companies."""
     c, own = F.col, F.col("layout") == "Aramex"
-    df = df.withColumns({"ax_lines": F.when(own, aramex.lines_of(text)), "ax_quiet": F.when(own, aramex.quiet_lines(text)), "ax_top": F.when(own, aramex.lines_of(c("body")))})
-    df = df.withColumns({"ax_goods": F.when(own, aramex.goods_places(c("body"))), "ax_places": F.when(own & text.rlike(aramex.FOOTER), aramex.thermal_places(c("ax_quiet")))})
+    df = df.withColumns({"ax_quiet": F.when(own & text.rlike(aramex.FOOTER), aramex.quiet_lines(text))})
+    df = df.withColumns({"ax_goods": F.when(own, aramex.goods_places(c("body"))), "ax_places": F.when(c("ax_quiet").isNotNull(), aramex.thermal_places(c("ax_quiet")))})
     labelled = lambda made: F.when(c("ax_places").isNotNull(), made)
     df = df.withColumn("ax_names", labelled(aramex.thermal_names(c("ax_quiet"), c("ax_places"))))
     df = df.withColumn("ax_follow", labelled(aramex.thermal_below(c("ax_quiet"), c("ax_names"))))
     read = labelled(aramex.thermal(text, c("ax_quiet"), c("ax_places"), c("ax_names"), c("ax_follow")))
     df = df.withColumns({"ax_common": F.when(own, aramex.common(text, c("body"), labels.phones(text), c("ax_goods"))), "ax_thermal": read})
-    df = df.withColumn("ax_thermal", F.when(aramex.is_thermal(c("ax_thermal")), c("ax_thermal"))).withColumn("ax_code", F.when(own, aramex.barcode_at(c("ax_lines"))))
-    df = df.withColumn("ax_classic", F.when(own & c("ax_thermal").isNull(), aramex.classic(c("ax_lines"), c("ax_code"), c("ax_top"), c("ax_common.contents"))))
+    df = df.withColumn("ax_thermal", F.when(aramex.is_thermal(c("ax_thermal")), c("ax_thermal"))).withColumn("ax_other", own & c("ax_thermal").isNull())
+    df = df.withColumns({"ax_lines": F.when(c("ax_other"), aramex.lines_of(text)), "ax_top": F.when(c("ax_other"), aramex.lines_of(c("body")))})
+    df = df.withColumn("ax_code", aramex.barcode_at(c("ax_lines")))
+    df = df.withColumn("ax_classic", F.when(c("ax_other"), aramex.classic(c("ax_lines"), c("ax_code"), c("ax_top"), c("ax_common.contents"))))
     df = df.withColumn("ax_classic", F.when(aramex.is_classic(c("ax_classic")), c("ax_classic")))
-    plain = own & c("ax_thermal").isNull() & c("ax_classic").isNull()
+    plain = c("ax_other") & c("ax_classic").isNull()
     df = df.withColumn("ax_plain", plain).withColumn("ax_anchor", F.when(c("ax_plain"), aramex.anchor(c("body"))))
     for side in ("from", "to"):
         df = df.withColumn(f"ax_{side}", F.when(c("ax_plain"), aramex.side_lines(text, c("body"), side)))
@@ -229,7 +231,7 @@ def records(documents: DataFrame, text: str = "text", as_of: Column | None = Non
     lacking = missing_fields(F.col("carrier_tracking_number"), F.col("to_name"), F.col("to_country"))
     checked = {"sanity_warnings": sanity(as_of, {c: F.col(c) for c in FIELDS})} if as_of is not None else {}
     df = df.withColumns({"field_score": field_score([F.col(c) for c in SCORED]), "warnings": lacking, **checked})
-    own = [f"ax_{c}" for c in ("lines", "quiet", "top", "goods", "places", "names", "follow", "code", "common", "thermal", "classic", "plain", "anchor", "from", "from_at", "to", "to_at", "scattered", "phones", "below")]
+    own = [f"ax_{c}" for c in ("lines", "quiet", "top", "other", "goods", "places", "names", "follow", "code", "common", "thermal", "classic", "plain", "anchor", "from", "from_at", "to", "to_at", "scattered", "phones", "below")]
     return df.drop("body", "layout", "phones", *own, *(f"{s}_{c}" for s in ("from", "to") for c in _STEPS))
 
 
