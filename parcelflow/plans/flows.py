@@ -162,9 +162,8 @@ SELECT number, arg_max(provider, nth) AS provider, arg_max(coalesce(current, '-'
 def src_pull_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Lines of both vendors in three waves. Each tells a shipment's history so far again; a third of all events come late."""
     rows = views.tracking_events(spark, d).withColumns({"wave": col("id") % 3, "ts": F.date_format("event_timestamp", "yyyy-MM-dd HH")})
-    event = F.struct("wave", "id", "ts", "status", "location")
-    so_far = F.collect_list(event).over(Window.partitionBy("ge_tracking_number").orderBy("wave", "id"))
-    by_id = F.reverse(F.array_sort(so_far, lambda a, b: (a["id"] - b["id"]).cast("int")))
+    so_far = F.collect_list(F.struct("id", "ts", "status", "location")).over(Window.partitionBy("ge_tracking_number").orderBy("wave", "id"))
+    by_id = F.sort_array(so_far, asc=False)
     history = F.transform(by_id, lambda e: F.struct(e["ts"].alias("t"), F.concat(F.lit(" "), e["status"]).alias("s"), e["location"].alias("l")))
     told = rows.select("ge_tracking_number", "id", "wave", "provider", "status", history.alias("told"))
     a = F.struct(F.struct(col("ge_tracking_number").alias("tracking_number"), F.expr(_RAW_A).alias("delivery_status"), F.struct(F.transform("told", lambda e: F.struct(e["t"].alias("checkpoint_date"), e["s"].alias("tracking_detail"), e["l"].alias("location"))).alias("trackinfo")).alias("origin_info")).alias("data"))

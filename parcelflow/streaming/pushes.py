@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import work_dir
@@ -98,21 +98,37 @@ _B = (
 )
 
 
+def _of(p: Column, vendor: str) -> tuple[Column, Column, Column]:
+    """Number (null where the line is no update), current status and events of a parsed payload."""
+    data = p["data"]
+    if vendor == "A":
+        number, latest, told = data["tracking_number"], map_status(data["delivery_status"], STATUSES_A), data["origin_info"]["trackinfo"]
+        names = ("checkpoint_date", "tracking_detail", "location")
+    else:
+        info = data["track_info"]
+        number, latest = F.when(p["event"] == "TRACKING_UPDATED", data["number"]), map_status(info["latest_status"]["status"], STATUSES_B)
+        told, names = F.try_element_at(info["tracking"]["providers"], F.lit(1))["events"], ("time_iso", "description", "location")
+    event = lambda e: F.struct(e[names[0]].alias("ts"), F.trim(e[names[1]]).alias("status"), F.trim(F.coalesce(e[names[2]], F.lit(""))).alias("location"))
+    return number, latest, F.transform(F.slice(F.reverse(F.coalesce(told, F.array())), 1, MOST), event)
+
+
 def payloads(lines: DataFrame, vendor: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """number, carried columns, current (canonical status) and events (oldest first, at most MOST) of vendor A's or B's
     JSON lines in the column value.
 
     Works on streams and tables. Lines without a number, and B's that aren't updates, go; events may be missing.
     """
-    read = F.from_json("value", _A if vendor == "A" else _B)
-    pushed = lines.select(*carried, read.alias("p"))
-    if vendor == "A":
-        number, latest, told = F.col("p.data.tracking_number"), map_status(F.col("p.data.delivery_status"), STATUSES_A), F.col("p.data.origin_info.trackinfo")
-        names = ("checkpoint_date", "tracking_detail", "location")
-    else:
-        pushed = pushed.where("p.event = 'TRACKING_UPDATED'")
-        number, latest = F.col("p.data.number"), map_status(F.col("p.data.track_info.latest_status.status"), STATUSES_B)
-        told, names = F.try_element_at("p.data.track_info.tracking.providers", F.lit(1))["events"], ("time_iso", "description", "location")
-    event = lambda e: F.struct(e[names[0]].alias("ts"), F.trim(e[names[1]]).alias("status"), F.trim(F.coalesce(e[names[2]], F.lit(""))).alias("location"))
-    events = F.slice(F.transform(F.reverse(F.coalesce(told, F.array())), event), 1, MOST)
+    # A row of its own for what was parsed, so that a line is parsed once and not for each use of its fields.
+    pushed = lines.select(*carried, F.explode(F.array(F.from_json("value", _A if vendor == "A" else _B))).alias("p"))
+    number, latest, events = _of(F.col("p"), vendor)
     return pushed.where(number != "").select(number.alias("number"), *carried, latest.alias("current"), events.alias("events"))
+
+
+def payloads_of_both(lines: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """As payloads, of lines(provider, value, ...) of both vendors in one pass; those of other providers go."""
+    is_a = F.col("provider") == "A"
+    read = F.struct(F.when(is_a, F.from_json("value", _A)).alias("a"), F.when(~is_a, F.from_json("value", _B)).alias("b"))
+    pushed = lines.where(F.col("provider").isin("A", "B")).select("provider", *carried, F.explode(F.array(read)).alias("p"))
+    a, b = _of(F.col("p.a"), "A"), _of(F.col("p.b"), "B")
+    number, latest, events = (F.when(is_a, x).otherwise(y) for x, y in zip(a, b, strict=True))
+    return pushed.where(number != "").select(number.alias("number"), "provider", *carried, latest.alias("current"), events.alias("events"))

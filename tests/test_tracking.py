@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import Row
+
 from parcelflow.streaming import tracking
 
 
@@ -23,3 +25,68 @@ def test_each_event_counts_once_whoever_tells_it_and_whenever(spark):
     ]
     found = tracking.waves(spark, spark.createDataFrame(lines, "provider string, arrival long, value string, wave int"), "wave", 3)
     assert {tuple(r) for r in found.collect()} == {("N1", "A", "In Transit", "Delivered", 3, 4, 3), ("N2", "B", "Information Received", "Processing", 0, 1, 1)}
+
+
+class _Store:
+    """A value, a list and timers of one shipment, and how often they are called."""
+
+    def __init__(self):
+        self.calls, self.held, self.entries, self.timers = 0, None, [], []
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return _Entries(self)
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, row):
+        self.calls, self.held = self.calls + 1, row
+
+    def clear(self):
+        self.held = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class _Entries:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return iter(list(self.store.entries))
+
+    def appendList(self, rows):
+        self.store.calls += 1
+        self.store.entries += rows
+
+    def clear(self):
+        self.store.entries = []
+
+
+class _Clock(int):
+    def getCurrentProcessingTimeInMs(self):
+        return int(self)
+
+
+def test_an_update_calls_the_store_a_few_times_however_many_events_it_tells():
+    store, day, end = _Store(), tracking.REFRESH, tracking.EXPIRES
+    shipment = tracking.Tracking()
+    shipment.init(store)
+    update = lambda at, events: list(shipment.handleInputRows(("N1",), iter([Row(number="N1", provider="A", arrival=at, current="In Transit", marks=[f"m{k}" for k in events])]), _Clock(at)))[0]
+    assert update(0, range(500)).n_events == 500 and store.calls <= 6
+    assert update(1, range(490, 510)).n_events == 510 and store.calls <= 12 and len(store.entries) == 510
+    # Told again after a day, entries are written again, so that they live on; no event counts twice.
+    assert update(day, range(3)).n_events == 510 and len(store.entries) == 513
+    assert update(day + 1, range(3)).n_events == 510 and len(store.entries) == 513
+    assert store.timers == [end]
+    list(shipment.handleExpiredTimer(("N1",), _Clock(end), None))
+    assert store.timers == [end, day + 1 + end] and store.held and store.entries
+    list(shipment.handleExpiredTimer(("N1",), _Clock(day + 1 + end), None))
+    assert store.held is None and not store.entries
