@@ -112,37 +112,39 @@ def boxes_of_shares(words: DataFrame) -> DataFrame:
     return words.where(text != "").select("doc", "page", text.alias("text"), *scaled)
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, page and text of each page of words sorted by page; a page that a batch's end cuts waits for the next one."""
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by doc and page as tables of whole pages; a page that a batch's end cuts waits for the next one."""
     held: list[pa.RecordBatch] = []
-
-    def read(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows).combine_chunks()
-        doc, page = table["doc"].combine_chunks(), table["page"].combine_chunks()
-        x0, y0, x1, y1 = (table[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
-        words, starts = table["text"].to_pylist(), _page_starts(doc, page)
-        texts = [page_text(words[a:z], x0[a:z], y0[a:z], x1[a:z], y1[a:z]) for a, z in zip(starts, [*starts[1:], len(words)], strict=True)]
-        yield pa.RecordBatch.from_arrays([doc.take(pa.array(starts)), page.take(pa.array(starts)), pa.array(texts, pa.string())], names=["doc", "page", "text"])
-
+    table = lambda rows: pa.Table.from_batches(rows).combine_chunks()
     for batch in batches:
         if not batch.num_rows:
             continue
-        last = _page_starts(batch["doc"], batch["page"])[-1]
+        last = page_starts(batch["doc"], batch["page"])[-1]
         if held and last == 0 and _one_page(held[-1], batch):
             held.append(batch)
             continue
         if last == 0:  # the batch is one page, and another than what is held
-            yield from read(held)
+            if held:
+                yield table(held)
             held = [batch]
             continue
-        yield from read([*held, batch.slice(0, last)])
+        yield table([*held, batch.slice(0, last)])
         held = [batch.slice(last)]
-    yield from read(held)
+    if held:
+        yield table(held)
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, page and text of each page of words sorted by page."""
+    for table in whole_pages(batches):
+        doc, page = table["doc"].combine_chunks(), table["page"].combine_chunks()
+        x0, y0, x1, y1 = (table[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
+        words, starts = table["text"].to_pylist(), page_starts(doc, page)
+        texts = [page_text(words[a:z], x0[a:z], y0[a:z], x1[a:z], y1[a:z]) for a, z in zip(starts, [*starts[1:], len(words)], strict=True)]
+        yield pa.RecordBatch.from_arrays([doc.take(pa.array(starts)), page.take(pa.array(starts)), pa.array(texts, pa.string())], names=["doc", "page", "text"])
 
 
-def _page_starts(doc: pa.Array, page: pa.Array) -> list[int]:
+def page_starts(doc: pa.Array, page: pa.Array) -> list[int]:
     """Where pages begin among rows sorted by page; a null number is one of its own."""
     new = np.zeros(len(doc), bool)
     new[0] = True

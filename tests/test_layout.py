@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from parcelflow.operators import layout
+from parcelflow.operators import glyphs, layout
 
 
 def page(*columns, rows=10):
@@ -64,3 +64,19 @@ def test_bands_beyond_one_table_of_bins_count_alike():
     x0, x1, band = page((0, 40), (60, 100), rows=many)
     long = range(0, many, 4)  # a quarter of the rows runs over the gutter
     assert layout.gutters(np.append(x0, np.zeros(len(long))), np.append(x1, np.full(len(long), 100.0)), np.append(band, np.array(long)), 100.0) == []
+
+
+def test_glyphs_are_dealt_and_sorted_once_and_words_are_those_of_their_gaps(spark):
+    rows = [
+        # Twice drawn, a gap, a blank, and a line that begins within the tolerance of 3 of the line's first glyph.
+        (1, 1, 1, "a", 0.0, 0.0, 5.0, 10.0), (1, 1, 2, "a", 0.01, 0.01, 5.0, 10.0), (1, 1, 3, "b", 5.0, 2.0, 10.0, 12.0), (1, 1, 4, "c", 14.0, 0.0, 19.0, 10.0), (1, 1, 5, " ", 19.0, 0.0, 20.0, 10.0),
+        (1, 1, 6, "d", 20.0, 2.9, 25.0, 12.9), (1, 1, 7, "e", 0.0, 4.0, 5.0, 14.0), (1, 2, 1, "f", 0.0, 0.0, 5.0, 0.0), (1, 2, 2, "g", 0.0, 2.5, 5.0, 2.5), (2, 1, 2, "i", 5.0, 0.0, 9.0, 10.0), (2, 1, 1, "h", 0.0, 0.0, 5.0, 10.0), (3, 1, 1, " ", 0.0, 0.0, 5.0, 10.0),
+    ]
+    table = spark.createDataFrame(rows, "doc long, page int, seq int, text string, x0 double, top double, x1 double, bottom double")
+    found = glyphs.words(table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, 1, "ab", 0.0, 0.0, 10.0, 12.0), (1, 1, "c", 14.0, 0.0, 19.0, 10.0), (1, 1, "d", 20.0, 2.9, 25.0, 12.9), (1, 1, "e", 0.0, 4.0, 5.0, 14.0),
+        (1, 2, "f", 0.0, 0.0, 5.0, 0.0), (1, 2, "g", 0.0, 2.5, 5.0, 2.5), (2, 1, "hi", 0.0, 0.0, 9.0, 10.0),
+    ]
