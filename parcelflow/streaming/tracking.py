@@ -11,6 +11,7 @@ bounded by what is alive. Repeats after that count anew.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -36,7 +37,7 @@ _STORE = {
 
 
 class Tracking(StatefulProcessor):
-    """Rows (number, provider, arrival, current, marks: of its events) of a shipment to its new state.
+    """Rows (number, provider, arrival, current, marks: of its events, as JSON) of a shipment to its new state.
 
     The last status told counts as tracking_status, a missing one too; status moves only to a rank that isn't less.
     """
@@ -51,7 +52,7 @@ class Tracking(StatefulProcessor):
         now, old = timerValues.getCurrentProcessingTimeInMs(), self.summary.get()
         tracking, status, n, updates, changes = old[:5] if old else (None, "Processing", 0, 0, 0)
         # Within a micro-batch an event counts once, however often it is told; of the list only its own entries are held.
-        marks = dict.fromkeys(mark for r in told for mark in r.marks)
+        marks = dict.fromkeys(mark for r in told for mark in json.loads(r.marks))
         for mark, at in self.seen.get() if old and marks else ():
             if mark in marks:
                 marks[mark] = max(at, marks[mark] or at)
@@ -105,11 +106,11 @@ def _rocksdb(spark: SparkSession):
 def states(told: DataFrame) -> DataFrame:
     """The new state of each shipment that a micro-batch of updates touches (update mode; needs the RocksDB store).
 
-    Events go to the Python workers as strings, each once for a line: fields of records cost far more there.
+    A line's events go to the Python workers as one string, each event once: items and fields cost far more there.
     """
     mark = lambda e: F.concat_ws("|", *(F.coalesce(e[c], F.lit("")) for c in ("ts", "status", "location")))
     marks = F.array_distinct(F.transform(F.coalesce("events", F.array()), mark))
-    return told.select("number", "provider", "arrival", "current", marks.alias("marks")).groupBy("number").transformWithState(statefulProcessor=Tracking(), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
+    return told.select("number", "provider", "arrival", "current", F.to_json(marks).alias("marks")).groupBy("number").transformWithState(statefulProcessor=Tracking(), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
 
 
 def follow(spark: SparkSession, path: str, out: str, form: str = "json") -> None:

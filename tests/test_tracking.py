@@ -79,7 +79,7 @@ def test_an_update_calls_the_store_a_few_times_however_many_events_it_tells():
     store, day, end = _Store(), tracking.REFRESH, tracking.EXPIRES
     shipment = tracking.Tracking()
     shipment.init(store)
-    update = lambda at, events: list(shipment.handleInputRows(("N1",), iter([Row(number="N1", provider="A", arrival=at, current="In Transit", marks=[f"m{k}" for k in events])]), _Clock(at)))[0]
+    update = lambda at, events: list(shipment.handleInputRows(("N1",), iter([Row(number="N1", provider="A", arrival=at, current="In Transit", marks=json.dumps([f"m{k}" for k in events]))]), _Clock(at)))[0]
     assert update(0, range(500)).n_events == 500 and store.calls <= 6
     assert update(1, range(490, 510)).n_events == 510 and store.calls <= 12 and len(store.entries) == 510
     # Told again after a day, entries are written again, so that they live on; no event counts twice.
