@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -9,6 +10,39 @@ from pyspark.sql import functions as F
 
 from .common import forget, kept
 
+#: So many edges, at most, are joined by one task, as rounds over what is left of them would cost more than they do.
+FEW = 1 << 15
+
+
+class Forest:
+    """Which of n things hang together; a root is the least of its tree."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _few_roots(batches):
+    """id and up, the least id that can be reached, of the ends of all edges(a, b) together."""
+    tables = [pa.Table.from_batches([batch]) for batch in batches if len(batch)]
+    if tables:
+        ends = [pa.concat_tables(tables).column(c).to_numpy() for c in ("a", "b")]
+        ids, place = np.unique(np.concatenate(ends), return_inverse=True)
+        forest = Forest(len(ids))
+        for x, y in zip(place[: len(ends[0])].tolist(), place[len(ends[0]) :].tolist(), strict=True):
+            forest.join(x, y)
+        up = ids[[forest.root(x) for x in range(len(ids))]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(up)], names=["id", "up"])
+
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(id, up) of each row of parents(id, up), with up the root of its tree; parents is forgotten.
@@ -36,27 +70,45 @@ def components(edges: DataFrame) -> DataFrame:
     the edges to roots. Every id that is no root then is gone. A root that got no child has a neighbour that went under
     a smaller id, so it goes itself in the round after: two rounds halve the ids at least, whatever the shape, and a
     chain in order of its ids takes one round. Labels and edges stay distributed; each round is kept in the shared
-    folder and the one before deleted.
+    folder and the one before deleted. Once no more than FEW edges are left, one task joins them: a bound that doesn't
+    grow with the input.
     """
-    edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while labels is None or not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        roots = _roots(kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("up"))))
+    edges, labels = kept(edges.where("a <> b").select("a", "b")), None
+    while (many := edges.count()) or labels is None:
+        if many <= FEW:
+            roots = kept(edges.coalesce(1).mapInArrow(_few_roots, "id long, up long"))
+        else:
+            both = edges.select("a", "b").union(edges.select("b", "a"))
+            roots = _roots(kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("up"))))
         if labels is None:
             labels = kept(roots.select("id", F.col("up").alias("component")))
         else:
             old, at = labels, roots.select(F.col("id").alias("at"), "up")
             labels = kept(old.join(at, F.col("component") == F.col("at"), "left").select("id", F.coalesce("up", "component").alias("component")))
             forget(old)
+        if many <= FEW:
+            forget(roots)
+            break
         a, b = (roots.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in ("a", "b"))
         moved, old = edges.join(a, "a").join(b, "b").where("a_up <> b_up"), edges
-        edges = kept(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct())
+        edges = kept(moved.select(F.col("a_up").alias("a"), F.col("b_up").alias("b")))
         forget(old, roots)
     forget(edges)
     return labels
 
 
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels(id, component), as components gives them, after edges(a, b) more; only what these join is looked at."""
+    at = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_at"))
+    moved = edges.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    more = components(moved.select(F.coalesce("a_at", "a").alias("a"), F.coalesce("b_at", "b").alias("b")))
+    ups = more.select(F.col("id").alias("at"), F.col("component").alias("up"))
+    # Ends that had no label come with more, those that had one by their component.
+    out = kept(labels.join(ups, F.col("component") == F.col("at"), "full").select(F.coalesce("id", "at").alias("id"), F.coalesce("up", "component").alias("component")))
+    forget(more)
+    return out
+
+
 def grouped(batches, keys: list[str]):
     """Tables of the rows with equal keys, from record batches in which such rows follow each other."""
     held: list[pa.Table] = []

@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, fields
-from .components import components, grouped
+from .common import WORD_PATTERN, fields, forget, kept
+from .components import Forest, components, extended, grouped
 from .token_files import slices
 
 HASHES = 64
@@ -279,13 +279,15 @@ def _minima_batches(batches):
 
 def _rarest_minima(marks: DataFrame, radius: int) -> DataFrame:
     """key, n, id: each id's radius + 1 rarest minima that others of marks(id, signature) have among theirs as well."""
-    minima = cut(marks.select("id", "signature").mapInArrow(_minima_batches, "id long, minima array<long>").select("id", F.explode("minima").alias("key")))
+    minima = kept(marks.select("id", "signature").mapInArrow(_minima_batches, "id long, minima array<long>").select("id", F.explode("minima").alias("key")))
     held = minima.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     # Minima that no other id has come first and find nothing, so they only count.
     lists = minima.join(held, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("minima"))
-    rarest = cut(lists.select("id", F.explode(F.slice("minima", F.lit(1), F.greatest(F.lit(0), F.size("minima") + (radius + 1 - HASHES)))).alias("x")).select("id", "x.key"))
+    rarest = kept(lists.select("id", F.explode(F.slice("minima", F.lit(1), F.greatest(F.lit(0), F.size("minima") + (radius + 1 - HASHES)))).alias("x")).select("id", "x.key"))
     shared = rarest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return cut(rarest.join(shared, "key").select("key", "n", "id"))
+    found = kept(rarest.join(shared, "key").select("key", "n", "id"))
+    forget(minima, rarest)
+    return found
 
 
 def _planes(marks: np.ndarray) -> list[np.ndarray]:
@@ -300,7 +302,7 @@ def _across(radius: int):
         if len(rest) and len(every):
             (ids, labels, marks), (all_ids, all_labels, all_marks) = ((t.column("id").to_numpy(), t.column("label").to_numpy(), _matrix(t.column("signature").combine_chunks())) for t in (rest, every))
             names, joint = np.unique(np.concatenate([labels, all_labels]), return_inverse=True)
-            of, all_of, forest = joint[: len(ids)], joint[len(ids) :], _Forest(len(names))
+            of, all_of, forest = joint[: len(ids)], joint[len(ids) :], Forest(len(names))
             planes, all_planes = _planes(marks), _planes(all_marks)
             for first in range(0, len(ids), 64):
                 part = slice(first, first + 64)
@@ -317,23 +319,6 @@ def _across(radius: int):
     return run
 
 
-class _Forest:
-    """Which rows hang together."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _compared(apart: DataFrame, marks: DataFrame, radius: int, percent: int) -> DataFrame:
     """Near pairs of apart(key, id, label) with different labels, of sizes that allow a link; in blocks.
 
@@ -350,7 +335,7 @@ def _in_blocks(rest: DataFrame, rows: DataFrame, keys: list[str], columns: list[
     """What meet gives for the rest and all rows of each key, dealt to blocks of KEY_BLOCK on both sides."""
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks"))
     rests = rest.groupBy(*keys).agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("rest_blocks"))
-    both = cut(sizes.join(rests, keys))
+    both = kept(sizes.join(rests, keys))
     deal = lambda n: F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
     each_of = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     at = [*keys, "block", "rest_block"]
@@ -363,18 +348,17 @@ def signature_clusters(classes: DataFrame, chunks: int, percent: int) -> DataFra
     """id and component of the classes(id, signature, size) that pairs within the radius join."""
     radius, marks = 2 * chunks - 1, classes.select("id", "signature")
     keyed = marks.mapInArrow(_key_batches(chunks), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1 and a < b"))
-    many = cut(keyed.join(shared.where("n > 2").select("key", "n"), "key").select("key", "n", "id"))
-    near = cut(_near(shared.where("n = 2").select("a", "b").union(_paired(many)), marks, radius))
-    labels = components(near)
-    apart = cut(_hanging_apart(many, labels).select("id").distinct())
+    shared = kept(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1 and a < b"))
+    many = kept(keyed.join(shared.where("n > 2").select("key", "n"), "key").select("key", "n", "id"))
+    labels = components(_near(shared.where("n = 2").select("a", "b").union(_paired(many)), marks, radius))
+    apart = kept(_hanging_apart(many, labels).select("id").distinct())
+    forget(shared, many)
     if apart.isEmpty():
         return labels
     rare = _rarest_minima(marks.join(apart, "id", "left_semi"), radius)
-    near = cut(near.union(_near(_paired(rare), marks, radius)))
-    labels = components(near)
-    left = cut(_hanging_apart(rare, labels))
-    return labels if left.isEmpty() else components(near.union(_compared(left, classes, radius, percent)))
+    labels = extended(labels, _near(_paired(rare), marks, radius))
+    left = kept(_hanging_apart(rare, labels))
+    return labels if left.isEmpty() else extended(labels, _compared(left, classes, radius, percent))
 
 
 def _linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
@@ -420,7 +404,7 @@ def _cluster_links(percent: int):
         shared = np.rint(_overlaps(sets)).astype(np.int64)
         sizes = np.array([len(s) for s in sets])
         linked = np.triu(100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared), 1)
-        forest = _Forest(len(ids))
+        forest = Forest(len(ids))
         return [(ids[i], ids[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True) if forest.join(i, j)]
 
     def run(batches):
@@ -507,16 +491,16 @@ def _linked_across(percent: int):
             (ids, labels, weights, sets), (all_ids, all_labels, all_weights, all_sets) = ((*(t.column(c).to_numpy() for c in ("id", "label", "weight")), [np.frombuffer(x, np.uint64) for x in t.column("apart").to_pylist()]) for t in (rest, every))
             linked = (2 * (100 + percent) * _shared(sets, all_sets) >= weights[:, None] + all_weights) & (labels[:, None] != all_labels)
             names, joint = np.unique(np.concatenate([labels, all_labels]), return_inverse=True)
-            forest, of, all_of = _Forest(len(names)), joint[: len(ids)].tolist(), joint[len(ids) :].tolist()
+            forest, of, all_of = Forest(len(names)), joint[: len(ids)].tolist(), joint[len(ids) :].tolist()
             found = [(ids[i], all_ids[j]) for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True) if forest.join(of[i], all_of[j])]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows(id, ...) with the label of what links join."""
-    return rows.join(components(links).withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows(id, ...) with their label of labels(id, component)."""
+    return rows.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def _large_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -535,31 +519,33 @@ def _large_links(sets: DataFrame, percent: int) -> DataFrame:
     common = tokens.groupBy("cluster", "token").agg(F.count("*").alias("held")).join(members, "cluster").where("2 * held > members")
     lists = common.select("cluster", "token").groupBy("cluster").applyInPandas(_joined_lists("token"), "cluster long, common binary")
     unlike = sets.join(lists, "cluster", "left").select("cluster", "id", "shingles", "common").mapInArrow(_difference_batches, "cluster long, id long, size long, d long, apart binary")
-    rows = cut(unlike.withColumn("weight", (100 + percent) * F.col("d") - (100 - percent) * F.col("size")))
+    rows = kept(unlike.withColumn("weight", (100 + percent) * F.col("d") - (100 - percent) * F.col("size")))
     least = rows.groupBy("cluster").agg(F.min(F.struct("weight", "id")).alias("least"))
     weighed = rows.select("cluster", "id", "d", "weight").join(least, "cluster").withColumn("rest", F.col("weight") + F.col("least.weight") > 0)
-    links = cut(weighed.where(~F.col("rest") & (F.col("id") != F.col("least.id"))).select(*_ordered("id", "least.id")))
+    links = kept(weighed.where(~F.col("rest") & (F.col("id") != F.col("least.id"))).select(*_ordered("id", "least.id")))
     open_ones = weighed.where("rest").groupBy("cluster").agg(F.min("weight").alias("least_rest"))
     needed = F.ceil((F.col("weight") + F.when(F.col("rest"), F.col("least.weight")).otherwise(F.col("least_rest"))) / (2.0 * (100 + percent)) - 1e-9)
-    wanted = cut(weighed.join(open_ones, "cluster").select("id", "rest", (F.col("d") - needed + 1).alias("first")))
+    wanted = kept(weighed.join(open_ones, "cluster").select("id", "rest", (F.col("d") - needed + 1).alias("first")))
     if wanted.isEmpty():
         return links
     differences = rows.join(wanted.select("id"), "id", "left_semi").select("cluster", "id", "apart").mapInArrow(_unpacked, "cluster long, id long, token long")
     held = differences.groupBy("cluster", "token").agg(F.count("*").alias("held"))
     ranked = differences.join(held, ["cluster", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("held", "token"))).where(F.col("held") > 1)
-    rare = cut(ranked.join(wanted, "id").where(F.col("rank") <= F.col("first")).select("cluster", "token", "id", "rest"))
+    rare = kept(ranked.join(wanted, "id").where(F.col("rank") <= F.col("first")).select("cluster", "token", "id", "rest"))
+    labels = components(links)
     for turn in range(STAR_TURNS):
-        labelled = cut(_labelled(rare, links))
+        labelled = kept(_labelled(rare, labels))
         pivots = labelled.groupBy("cluster", "token").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
         shared = labelled.join(pivots, ["cluster", "token"]).where("label <> pivot.label").groupBy("id", F.col("pivot.id").alias("pivot")).agg(F.count("*").alias("keys"))
         near = shared.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("keys"), "pivot"))).where(F.col("place") <= PIVOTS)
-        found = cut(_checked(near.select(*_ordered("id", "pivot")), rows, percent))
+        found = kept(_checked(near.select(*_ordered("id", "pivot")), rows, percent))
+        forget(labelled)
         if found.isEmpty():
             break
-        links = cut(links.union(found))
-    labelled = cut(_labelled(rare, links))
+        links, labels = links.union(found), extended(labels, found)
+    labelled = kept(_labelled(rare, labels))
     most = labelled.groupBy("cluster", "token", "label").agg(F.count("*").alias("n")).groupBy("cluster", "token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("cluster", "token", "most")
-    apart = cut(labelled.join(most, ["cluster", "token"]).join(rows.select("id", "weight", "apart"), "id").withColumn("other", F.col("label") != F.col("most")))
+    apart = kept(labelled.join(most, ["cluster", "token"]).join(rows.select("id", "weight", "apart"), "id").withColumn("other", F.col("label") != F.col("most")))
     if apart.isEmpty():
         return links
     return links.union(_in_blocks(apart.where("other"), apart, ["cluster", "token"], ["id", "label", "weight", "apart"], _linked_across(percent), "a long, b long"))
@@ -570,14 +556,14 @@ def set_links(labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     clusters = labels.select("id", F.col("component").alias("cluster"))
     sized = clusters.join(classes.select("id", "size", "set_print", "source"), "id")
     large = sized.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("held")).withColumn("large", (F.col("members") > CLUSTER_CLASSES) | (F.col("held") > CLUSTER_SHINGLES) & (F.col("members") > 2))
-    of = cut(sized.join(large.select("cluster", "large"), "cluster"))
+    of = kept(sized.join(large.select("cluster", "large"), "cluster"))
 
     wanted = of.select("cluster", "id", "large", "set_print", F.col("source.doc_id").alias("of_doc"), F.col("source.text_hash").alias("of_text"))
     found = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")))
-    sets = cut(found.select("cluster", "id", "large", "set_print", "text").mapInArrow(_set_batches, "cluster long, id long, large boolean, shingles binary"))
+    sets = kept(found.select("cluster", "id", "large", "set_print", "text").mapInArrow(_set_batches, "cluster long, id long, large boolean, shingles binary"))
     links = sets.where("not large").select("cluster", "id", "shingles").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_cluster_links(percent), "a long, b long")
     large = sets.where("large").select("cluster", "id", "shingles").dropDuplicates(["id"])
-    return links if large.isEmpty() else cut(links).union(_large_links(cut(large), percent))
+    return links if large.isEmpty() else kept(links).union(_large_links(kept(large), percent))
 
 
 def joined_classes(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -585,14 +571,14 @@ def joined_classes(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     known = found.where("set_print is not null")
     # Nulls last: a row without doc_id stands for its class only where no other does.
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    classes = cut(known.groupBy("set_print").agg(F.min(row).alias("source"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")).withColumn("id", F.monotonically_increasing_id()))
+    classes = kept(known.groupBy("set_print").agg(F.min(row).alias("source"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")).withColumn("id", F.monotonically_increasing_id()))
     links = set_links(signature_clusters(classes, chunks_for(percent), percent), classes, docs, percent)
-    repeated = cut(known.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_print").alias("low"), F.max("set_print").alias("high")).where("low < high").select("doc_id", "low"))
+    repeated = kept(known.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_print").alias("low"), F.max("set_print").alias("high")).where("low < high").select("doc_id", "low"))
     if not repeated.isEmpty():  # a document with several texts joins their classes
         numbers = lambda c, at: classes.select(F.col("set_print").alias(c), F.col("id").alias(at))
         twins = known.join(repeated, "doc_id").select("low", "set_print").distinct()
         links = links.union(twins.join(numbers("low", "a"), "low").join(numbers("set_print", "b"), "set_print").select("a", "b"))
-    joined = cut(components(links).join(classes.select("id", "source"), "id"))
+    joined = kept(components(links).join(classes.select("id", "source"), "id"))
     firsts = joined.join(joined.groupBy("component").agg(F.min("source").alias("first")), "component").select("id", "first")
     return classes.select("id", "set_print", "source").join(firsts, "id", "left").select("set_print", F.coalesce("first", "source").alias("first"))
 
@@ -600,7 +586,7 @@ def joined_classes(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     chunks_for(percent)  # refuses what it has no chunks for before any work is done
-    found = cut(sketches(docs))
+    found = kept(sketches(docs))
     classes = joined_classes(found, docs, percent)
     component = F.coalesce("component", "doc_id")
     of_doc = found.where("doc_id is not null and set_print is not null").select("doc_id", "set_print").join(classes.select("set_print", F.col("first.doc_id").alias("component")), "set_print").groupBy("doc_id").agg(F.min("component").alias("component"))
@@ -615,15 +601,15 @@ def keep_one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
     of rows that are equal in both, the one with the least hash of all columns.
     """
     chunks_for(percent)
-    found = cut(sketches(docs))
+    found = kept(sketches(docs))
     first = joined_classes(found, docs, percent).select("first.doc_id", "first.text_hash").distinct()
     of = lambda c: F.col(c).alias(f"kept_{c}")
     rows = found.where("set_print is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    kept = cut(rows.select(of("doc_id"), of("text_hash"), "copies").join(first, F.col("kept_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_text_hash") == F.col("text_hash")), "left_semi"))
+    chosen = kept(rows.select(of("doc_id"), of("text_hash"), "copies").join(first, F.col("kept_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept_text_hash") == F.col("text_hash")), "left_semi"))
     text = docs["text"].cast("string")
     packed = docs.select(F.struct(*fields(docs)).alias("row"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(text).alias("own_hash"), F.coalesce(text.rlike(WORD_PATTERN), F.lit(False)).alias("worded"))
     with_own = lambda k: packed.join(k, F.col("own_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("own_hash") == F.col("kept_text_hash")), "left_semi")
-    single, several = kept.where("copies = 1"), kept.where("copies > 1")
+    single, several = chosen.where("copies = 1"), chosen.where("copies > 1")
     out = packed.where("not worded").union(with_own(single)).select("row.*")
     if not several.isEmpty():
         rows = with_own(several).withColumn("all_hash", F.xxhash64(F.to_json("row")))

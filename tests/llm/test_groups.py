@@ -39,6 +39,23 @@ def test_components_take_few_rounds_whatever_the_shape(spark, monkeypatch):
         assert found == roots([e for e in edges if e[0] != e[1]]) and len(written) <= 40, (name, len(written))
 
 
+@pytest.mark.parametrize("few", [0, 50, components.FEW])
+def test_few_edges_take_one_task_and_more_edges_join_what_is_labelled(spark, monkeypatch, few):
+    rng, written, kept = random.Random(2), [], common.kept
+    monkeypatch.setattr(components, "kept", lambda df: written.append(1) or kept(df))
+    monkeypatch.setattr(components, "FEW", few)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1080)] * 2
+    more = [(rng.randrange(1100), rng.randrange(1300)) for _ in range(90)] + [(5, 5)]
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = components.components(df(edges))
+    assert few < len(edges) or len(written) <= 3  # the edges, their roots and the labels; rounds take six and more each
+    assert {r.id: r.component for r in labels.collect()} == roots([e for e in edges if e[0] != e[1]])
+    for rows in (more, [], [(1, 1)]):
+        found = components.extended(labels, df(rows)).collect()
+        assert {r.id: r.component for r in found} == roots([e for e in edges + rows if e[0] != e[1]]) and len({r.id for r in found}) == len(found)
+    assert components.components(df([])).count() == components.extended(components.components(df([])), df([])).count() == 0
+
+
 def crowd(seed, many):
     """Near copies of one text, texts that share a passage, almost equal ones among them, and others."""
     rng = random.Random(seed)
