@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, fields, forget, kept
+from .common import WORD_PATTERN, cut, fields, forget, kept
 from .components import Forest, components, extended, grouped
 from .token_files import slices
 
@@ -556,7 +556,8 @@ def set_links(labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     clusters = labels.select("id", F.col("component").alias("cluster"))
     sized = clusters.join(classes.select("id", "size", "set_print", "source"), "id")
     large = sized.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("held")).withColumn("large", (F.col("members") > CLUSTER_CLASSES) | (F.col("held") > CLUSTER_SHINGLES) & (F.col("members") > 2))
-    of = kept(sized.join(large.select("cluster", "large"), "cluster"))
+    # Of a size that the planner doesn't know, so that texts are dealt out alike at every size of the input.
+    of = cut(sized.join(large.select("cluster", "large"), "cluster"))
 
     wanted = of.select("cluster", "id", "large", "set_print", F.col("source.doc_id").alias("of_doc"), F.col("source.text_hash").alias("of_text"))
     found = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")))
