@@ -1,128 +1,20 @@
-"""Waybill text to records, in stages of built-in expressions: blocks, names and addresses, places, fields.
-
-A stage's arrays are used many times by the next one, so each stage is a projection of its own, and Catalyst keeps it so.
-"""
+"""Waybill text to records (a text's reading is `waybill_reader`), and records completed from others."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import addresses as a
-from ..functions import aramex, labels
+from ..functions import labels
 from ..functions.validation import missing_fields, sanity
 from ..functions.values import field_score, is_blank
+from . import waybill_reader
+from .waybill_reader import DEFAULTS, FIELDS  # noqa: F401
 
 SCORED = (
     "from_name", "from_address", "from_city", "from_country", "from_postal", "to_name", "to_address", "to_city", "to_country", "to_postal",
     "carrier", "carrier_tracking_number", "actual_weight", "contents",
 )
-# A record's fields with their types, in order; then those that a blank record has.
-FIELDS = {
-    "from_name": "string", "from_address": "string", "from_contact": "string", "from_city": "string", "from_state": "string", "from_country": "string", "from_postal": "string",
-    "to_name": "string", "to_address": "string", "to_contact": "string", "to_city": "string", "to_state": "string", "to_country": "string", "to_postal": "string",
-    "carrier": "string", "carrier_tracking_number": "string", "ship_date": "string", "pieces": "int", "actual_weight": "double", "billing_weight": "double", "weight_unit": "string",
-    "dimensions": "string", "contents": "string", "service_type": "string", "declared_value": "double", "currency": "string", "invoice_number": "string",
-    "sender_company": "string", "receiver_company": "string", "receiver_attention": "string", "reference_number": "string", "customs_value": "double", "carriage_value": "double",
-    "origin_code": "string", "destination_code": "string", "package_length": "double", "package_width": "double", "package_height": "double", "service_code": "string",
-    "route_code": "string", "billing_type": "string", "account_number": "string", "carrier_specific": "string",
-}
-DEFAULTS = {"pieces": 1, "weight_unit": "kg", "currency": "INR"}
-# The blocks of each layout as (start, end, most lines), in the order in which they are tried.
-_TO_END = r"ACTWGT|TRK#|DIMS\b|DESC\d|FROM\s|REF\s*:"
-_FROM = {
-    "ORIGIN": (r"(?i)ORIGIN\s*ID[:\s]*\S*\s*", r"SHIP\s*DATE|TO\s+[A-Z]|TRK#|REF\s*:", 7),
-    "From": (r"(?i)From\s*:\s*", r"(?:To|Receiver)\s*:", 8),
-    "Shipper": (r"(?i)Shipper\s*:\s*", r"Receiver\s*:", 8),
-}
-_TO = {
-    "TO": (r"(?i)(?:^|\n)TO\s+", _TO_END, 8),
-    "TO joined": (r"(?i)(?:^|\n)TO(?=[A-Z]{2,})", _TO_END, 8),
-    "To": (r"(?i)(?:^|\n)To\s*:\s*", r"Origin\s*:|HKGO|SINO|CVGH", 7),
-    "Receiver": (r"(?i)Receiver\s*:\s*", r"Shipper\s*:|WAYBILL|TRK#|TRACKING|SINO|HKGO|CVGH|Product\s*Details|Payer\s*Details|Shipment\s*Details", 9),
-    "SHIP TO": (r"(?i)SHIP\s*TO:\s*", r"BILLING|Reference\s*No|TRACKING\s*#", 8),
-}
-_STEPS = ("block", "lines", "own", "at", "skip", "form", "named", "local", "fixed", "hits", "parts", "found", "place", "kept")
-_SENDER_ENDS, _WEIGHT_LINE = r"(?i)SHIP\s*TO:", r"(?im)^\s*[0-9.]+\s*(KG|LB|OF).*$"
-_TRIED = {
-    "FedEx": (("ORIGIN",), ("TO", "TO joined")),
-    "DHL": (("From", "Shipper"), ("To", "Receiver")),
-    "UPS": (("top",), ("SHIP TO",)),
-    None: (("From", "Shipper", "ORIGIN", "top"), ("To", "Receiver", "TO", "TO joined", "SHIP TO")),
-}
-
-
-def _block(text: Column, kind: str) -> Column:
-    """block and most (lines) of a kind; null if there is none."""
-    if kind == "top":  # all above SHIP TO
-        block, most = F.when(text.rlike(_SENDER_ENDS), F.regexp_replace(F.split(text, _SENDER_ENDS, 2)[0], _WEIGHT_LINE, "")), 10
-    else:
-        start, end, most = (_FROM | _TO)[kind]
-        block = a.block_after(text, start, end)
-    if kind == "ORIGIN":  # an account number may come first
-        block = F.regexp_replace(block, r"^\s*\d{6,14}\s*\n", "")
-    wanted = F.length(a.strip(block)) > (5 if kind == "From" else 0)
-    return F.when(wanted, F.struct(block.alias("block"), F.lit(most).alias("most")))
-
-
-def _blocks(text: Column, layout: Column, side: int) -> Column:
-    tried = {name: F.coalesce(*(_block(text, k) for k in kinds[side])) for name, kinds in _TRIED.items()}
-    return F.when(layout == "FedEx", tried["FedEx"]).when(layout == "DHL", tried["DHL"]).when(layout == "UPS", tried["UPS"]).otherwise(tried[None])
-
-
-def _named(df: DataFrame, side: str) -> DataFrame:
-    """side_own (lines that count), side_name, side_skip (lines before the address) and, for the receiver, receiver_attention."""
-    df = df.withColumn(f"{side}_own", F.filter(f"{side}_lines", lambda x: (F.length(x) > 1) & ~x.rlike(r"(?i)^Contact\s*:")))
-    own, name = F.col(f"{side}_own"), F.col(f"{side}_name")
-    df = df.withColumn(f"{side}_at", F.array_position(F.transform(own, a.starts_block), F.lit(True)).cast("int"))
-    at = F.col(f"{side}_at")
-    df = df.withColumn(f"{side}_name", F.nullif(a.person_or_company(F.when(at > 0, F.try_element_at(own, at))), F.lit("")))
-    differs = F.array_position(F.transform(a.after(own, at), lambda x: F.upper(F.regexp_replace(x, a.TITLE, "")).eqNullSafe(F.upper(name))), F.lit(False)).cast("int")
-    df = df.withColumn(f"{side}_skip", F.when(differs == 0, F.size(own)).otherwise(at + differs - 1))
-    if side == "to":  # a person under the name
-        following = F.try_element_at(own, F.col("to_skip") + 1)
-        df = df.withColumn("receiver_attention", F.when(name.isNotNull() & following.rlike(a.PERSON), following))
-        df = df.withColumn("to_skip", F.col("to_skip") + F.when(F.col("receiver_attention").isNotNull(), 1).otherwise(0))
-    return df
-
-
-def _placed(df: DataFrame, side: str) -> DataFrame:
-    """side_country, side_postal, side_city, side_state and side_address."""
-    c = lambda name: F.col(f"{side}_{name}")
-    lines, own, block = c("lines"), c("own"), F.array_join(c("lines"), "\n")
-    coded = F.when(F.col("layout") == "FedEx", a.coded_country(lines))
-    df = df.withColumns({f"{side}_form": a.postal_format(own), f"{side}_named": a.country(block), f"{side}_local": F.transform(own, a.is_locality)})
-    df = df.withColumns({f"{side}_fixed": a.fixed_form(own), f"{side}_hits": a.postal_hits(own, c("form"))})
-    df = df.withColumn(f"{side}_parts", a.beside_postal(c("hits"), c("form"), own, c("local")))
-    df = df.withColumn(f"{side}_found", a.postal_candidates(c("parts")))
-    df = df.withColumn(f"{side}_place", F.coalesce(c("fixed"), a.surest(c("found"))))
-    place = c("place")
-    hong_kong = F.array_position(F.transform(own, lambda x: x.rlike(r"(?i)HONG\s*KONG")), F.lit(True)).cast("int")
-    above = F.when(c("named") == "Hong Kong", F.regexp_replace(F.when(hong_kong > 1, F.try_element_at(own, hong_kong - 1)), r"[\-\s]+$", ""))
-    df = df.withColumn(f"{side}_city", a.title(F.coalesce(F.nullif(place["city"], F.lit("")), F.when(~above.rlike(a.STREETS), F.nullif(above, F.lit(""))))))
-    ends = F.array_position(F.slice(c("local"), c("skip") + 1, F.lit(8)), F.lit(True)).cast("int")
-    kept = F.slice(own, c("skip") + 1, F.when(ends > 0, F.least(ends - 1, F.lit(5))).otherwise(5))
-    df = df.withColumn(f"{side}_kept", F.filter(kept, lambda x: ~F.coalesce(a.letters(x) == a.letters(c("city")), F.lit(False))))
-    return df.withColumns(
-        {
-            f"{side}_country": F.coalesce(c("named"), coded),
-            f"{side}_address": F.nullif(F.array_join(c("kept"), ", "), F.lit("")),
-            f"{side}_postal": F.when(place["postal"].rlike(r"^[A-Z]\d[A-Z]"), F.regexp_replace(place["postal"], r"\s+", "")).otherwise(place["postal"]),
-            f"{side}_state": F.coalesce(a.short_state(place["state"]), labels.found(block, a.STATES)),
-        }
-    )
-
-
-def _contacts(layout: Column) -> dict[str, Column]:
-    """Telephone numbers: those of a block where it has been found (FedEx), else in the order of the text."""
-    phones, nth = F.col("phones"), lambda k: F.try_element_at(F.col("phones"), F.lit(k))
-    own = lambda side: a.first(labels.phones(F.array_join(f"{side}_lines", "\n")))
-    shipper = F.regexp_replace(labels.found(F.col("body"), r"(?is)Shipper\s*:.*?Contact:\s*\n?\s*([+\d][\d\s\-]{7,15})"), r"[^\d+]", "")
-    fedex_to = F.when(F.col("to_lines").isNotNull(), own("to")).otherwise(F.try_element_at(phones, F.lit(-1)))
-    return {
-        "from_contact": F.when(layout == "FedEx", F.when(F.col("from_lines").isNotNull(), own("from")).otherwise(nth(1))).when((layout == "DHL") & (F.length(shipper) >= 8), shipper).otherwise(nth(1)),
-        "to_contact": F.when(layout == "FedEx", fedex_to).otherwise(nth(2)),
-    }
 
 
 def label_fields(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -132,107 +24,17 @@ def label_fields(documents: DataFrame, text: str = "text") -> DataFrame:
     return staged.withColumns(labels.fields(F.col("body"), F.col("layout"), F.col("phones"))).drop("body", "layout", "phones")
 
 
-def blank_record() -> dict[str, Column]:
-    """All fields of a record of which nothing is known."""
-    return {name: F.lit(DEFAULTS.get(name)).cast(kind) for name, kind in FIELDS.items()}
-
-
-def _aramex(df: DataFrame, text: Column) -> DataFrame:
-    """What an Aramex text gives (null for others): ax_common, then ax_thermal or ax_classic if it is of that kind, else
-    the lines of both sides with their companies."""
-    c, own = F.col, F.col("layout") == "Aramex"
-    df = df.withColumns({"ax_quiet": F.when(own & text.rlike(aramex.FOOTER), aramex.quiet_lines(text))})
-    df = df.withColumns({"ax_goods": F.when(own, aramex.goods_places(c("body"))), "ax_places": F.when(c("ax_quiet").isNotNull(), aramex.thermal_places(c("ax_quiet")))})
-    labelled = lambda made: F.when(c("ax_places").isNotNull(), made)
-    df = df.withColumn("ax_names", labelled(aramex.thermal_names(c("ax_quiet"), c("ax_places"))))
-    df = df.withColumn("ax_follow", labelled(aramex.thermal_below(c("ax_quiet"), c("ax_names"))))
-    read = labelled(aramex.thermal(text, c("ax_quiet"), c("ax_places"), c("ax_names"), c("ax_follow")))
-    df = df.withColumns({"ax_common": F.when(own, aramex.common(text, c("body"), labels.phones(text), c("ax_goods"))), "ax_thermal": read})
-    df = df.withColumn("ax_thermal", F.when(aramex.is_thermal(c("ax_thermal")), c("ax_thermal"))).withColumn("ax_other", own & c("ax_thermal").isNull())
-    df = df.withColumns({"ax_lines": F.when(c("ax_other"), aramex.lines_of(text)), "ax_top": F.when(c("ax_other"), aramex.lines_of(c("body")))})
-    df = df.withColumn("ax_code", aramex.barcode_at(c("ax_lines")))
-    df = df.withColumn("ax_classic", F.when(c("ax_other"), aramex.classic(c("ax_lines"), c("ax_code"), c("ax_top"), c("ax_common.contents"))))
-    df = df.withColumn("ax_classic", F.when(aramex.is_classic(c("ax_classic")), c("ax_classic")))
-    plain = c("ax_other") & c("ax_classic").isNull()
-    df = df.withColumn("ax_plain", plain).withColumn("ax_anchor", F.when(c("ax_plain"), aramex.anchor(c("body"))))
-    for side in ("from", "to"):
-        df = df.withColumn(f"ax_{side}", F.when(c("ax_plain"), aramex.side_lines(text, c("body"), side)))
-        df = df.withColumn(f"ax_{side}_at", aramex.company_at(c(f"ax_{side}")))
-    at_anchor = lambda f: F.when(c("ax_plain"), f(c("body"), c("ax_anchor")))
-    return df.withColumns({"ax_scattered": at_anchor(aramex.scattered), "ax_phones": at_anchor(aramex.side_phones), "ax_below": F.when(own, aramex.countries_below(text))})
-
-
-def _aramex_lines(side: str) -> Column:
-    lines, at = F.col(f"ax_{side}"), F.col(f"ax_{side}_at")
-    return F.when(at.isNull(), lines).otherwise(F.concat(F.slice(lines, F.lit(1), at - 1), a.after(lines, at)))
-
-
-def _aramex_fields(df: DataFrame) -> DataFrame:
-    """The record of Aramex texts: patterns first, then the kind's own reading, blocks, scattered labels, codes."""
-    c, own = F.col, F.col("layout") == "Aramex"
-    kind = lambda name, *kinds: F.coalesce(*(c(f"ax_{k}.{name}") for k in kinds))
-    either = lambda name: kind(name, "thermal", "classic")
-    common, spread = lambda name: c(f"ax_common.{name}"), lambda name: c(f"ax_scattered.{name}")
-    line = lambda side: F.try_element_at(c(f"ax_{side}"), c(f"ax_{side}_at"))
-    destination = F.coalesce(common("stations.destination"), either("destination_code"))
-    origin = F.coalesce(common("stations.origin"), either("origin_code"))
-    phone = lambda side: F.coalesce(a.first(labels.phones(F.array_join(f"{side}_lines", "\n"))), c(f"ax_phones.{side}"))
-    made = {
-        "carrier_tracking_number": common("carrier_tracking_number"),
-        "ship_date": F.coalesce(common("ship_date"), either("ship_date")),
-        "pieces": F.coalesce(either("pieces"), common("pieces"), F.lit(1)),
-        "actual_weight": F.coalesce(common("actual_weight"), either("actual_weight")),
-        "billing_weight": F.coalesce(common("billing_weight"), either("billing_weight")),
-        "weight_unit": F.lit("kg"),
-        "contents": F.coalesce(common("contents"), either("contents")),
-        "service_type": common("service_type"),
-        "declared_value": F.coalesce(kind("declared_value", "classic"), common("declared_value"), kind("declared_value", "thermal")),
-        "currency": F.coalesce(either("currency"), common("currency"), F.lit("INR")),
-        "origin_code": origin,
-        "destination_code": destination,
-        "account_number": either("account_number"),
-        "billing_type": common("billing_type"),
-        "carrier_specific": aramex.specific(common("ppx"), common("exp"), origin, destination),
-        "sender_company": F.coalesce(line("from"), spread("from_company")),
-        "receiver_company": F.coalesce(line("to"), spread("to_company")),
-        "from_name": F.coalesce(either("from_name"), c("from_name")),
-        "to_name": F.coalesce(either("to_name"), c("to_name")),
-        "from_address": F.coalesce(either("from_address"), c("from_address")),
-        "to_address": F.coalesce(either("to_address"), c("to_address")),
-        "from_city": F.coalesce(either("from_city"), c("from_city"), spread("from_city")),
-        "to_city": F.coalesce(either("to_city"), c("to_city"), spread("to_city"), aramex.gulf(destination, aramex.GULF_CITIES)),
-        "from_state": F.coalesce(kind("from_state", "classic"), c("from_state")),
-        "to_state": F.coalesce(kind("to_state", "classic"), c("to_state")),
-        "from_postal": F.coalesce(kind("from_postal", "classic"), c("from_postal")),
-        "to_postal": F.coalesce(kind("to_postal", "classic"), c("to_postal")),
-        "from_country": F.coalesce(either("from_country"), c("from_country"), spread("from_country"), c("ax_below.from")),
-        "to_country": F.coalesce(either("to_country"), c("to_country"), spread("to_country"), c("ax_below.to"), aramex.gulf(destination, aramex.GULF_COUNTRIES)),
-        "from_contact": F.coalesce(either("from_contact"), phone("from")),
-        "to_contact": F.coalesce(either("to_contact"), phone("to")),
-    }
-    return df.withColumns({name: F.when(own, made[name]).otherwise(c(name)) if name in df.columns else F.when(own, made[name]) for name in made})
-
-
 def records(documents: DataFrame, text: str = "text", as_of: Column | None = None) -> DataFrame:
     """documents with all FIELDS of their text, field_score and warnings; as_of, a date, adds sanity_warnings.
 
     A null or empty text gives the blank record.
     """
-    given = F.col(text)
-    df = documents.withColumn("body", F.coalesce(labels.before_legal(given), F.lit(""))).withColumn("layout", labels.layout(F.coalesce(given, F.lit(""))))
-    df = _aramex(df.withColumn("phones", labels.phones(F.col("body"))), given)
-    body, layout = F.col("body"), F.col("layout")
-    for k, side in enumerate(("from", "to")):
-        df = df.withColumn(f"{side}_block", F.when(layout != "Aramex", _blocks(body, layout, k)))
-        df = df.withColumn(f"{side}_lines", F.when(layout == "Aramex", _aramex_lines(side)).otherwise(a.lines_of(F.col(f"{side}_block.block"), F.col(f"{side}_block.most"))))
-        df = _placed(_named(df, side), side)
-    df = _aramex_fields(df.withColumns({**labels.fields(body, layout, F.col("phones")), **_contacts(layout)}))
-    df = df.withColumns({name: c for name, c in blank_record().items() if name not in df.columns})
+    read = F.arrow_udf(waybill_reader.read_all, waybill_reader.RECORD)
+    df = documents.withColumn("waybill__read", read(F.col(text).cast("string")))
+    df = df.withColumns({c: F.col("waybill__read")[c] for c in FIELDS}).drop("waybill__read")
     lacking = missing_fields(F.col("carrier_tracking_number"), F.col("to_name"), F.col("to_country"))
     checked = {"sanity_warnings": sanity(as_of, {c: F.col(c) for c in FIELDS})} if as_of is not None else {}
-    df = df.withColumns({"field_score": field_score([F.col(c) for c in SCORED]), "warnings": lacking, **checked})
-    own = [f"ax_{c}" for c in ("lines", "quiet", "top", "other", "goods", "places", "names", "follow", "code", "common", "thermal", "classic", "plain", "anchor", "from", "from_at", "to", "to_at", "scattered", "phones", "below")]
-    return df.drop("body", "layout", "phones", *own, *(f"{s}_{c}" for s in ("from", "to") for c in _STEPS))
+    return df.withColumns({"field_score": field_score([F.col(c) for c in SCORED]), "warnings": lacking, **checked})
 
 
 def fill_gaps(primary: DataFrame, fallback: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:

@@ -58,9 +58,9 @@ _GENERIC = f"CASE id % 3 WHEN 0 THEN {_GRID} WHEN 1 THEN {_FLAT} ELSE {_SCATTERE
 
 
 def _texts(spark: SparkSession, d: str, text: str) -> DataFrame:
-    """Dealt to tasks by their number: a row takes some milliseconds, however few bytes it has."""
-    rows = views.shipments(spark, d, "id", "to_city").withColumn("n", F.lit("\n"))
-    return rows.select("id", F.expr(text).alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
+    """Rows are dealt to tasks by their number, however few bytes they have, before they become texts."""
+    rows = views.shipments(spark, d, "id", "to_city").repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.withColumn("n", F.lit("\n")).select("id", F.expr(text).alias("text"))
 
 
 def _sql(expected: dict[str, str]) -> str:

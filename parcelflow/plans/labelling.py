@@ -62,9 +62,9 @@ _EXPECTED = {
 
 
 def waybill_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Dealt to tasks by their number: a row takes some milliseconds, however few bytes it has."""
-    rows = views.shipments(spark, d, "id", "to_city", "ship_date").withColumn("n", F.lit("\n"))
-    return rows.select("id", F.expr(_TEXT).alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
+    """Rows are dealt to tasks by their number, however few bytes they have, before they become texts."""
+    rows = views.shipments(spark, d, "id", "to_city", "ship_date").repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.withColumn("n", F.lit("\n")).select("id", F.expr(_TEXT).alias("text"))
 
 
 @query(over("shipments", sql="SELECT id, " + ", ".join(f"{e} AS {c}" for c, e in _EXPECTED.items()) + " FROM shipments"))
@@ -95,7 +95,7 @@ _UNKNOWN = """CASE id % 5 WHEN 0 THEN 'Sent by dtdc' || n || '*7' || lpad(CAST(i
  CASE WHEN id % 5 < 3 THEN 2 ELSE 3 END AS n_warnings, round(100.0e0 * CASE id % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END / 14, 1) AS field_score FROM shipments"""))
 def tx_generic(spark: SparkSession, d: str) -> DataFrame:
     """Texts without a layout as whole records with their score, what they lack, and what looks wrong as of a day."""
-    rows = views.shipments(spark, d, "id").withColumn("n", F.lit("\n")).select("id", F.expr(_UNKNOWN).alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = views.shipments(spark, d, "id").repartition(4 * spark.sparkContext.defaultParallelism).withColumn("n", F.lit("\n")).select("id", F.expr(_UNKNOWN).alias("text"))
     found = waybills.records(rows, as_of=F.lit("2026-03-15").cast("date"))
     sanity = F.array_join(F.transform("sanity_warnings", lambda w: F.concat_ws(":", w["field"], w["severity"])), ";")
     return found.select("id", "carrier", "carrier_tracking_number", "actual_weight", "pieces", "currency", sanity.alias("sanity"), F.size("warnings").alias("n_warnings"), "field_score")
