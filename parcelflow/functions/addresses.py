@@ -1,4 +1,4 @@
-"""Address blocks of waybill text as arrays of lines: where a block lies, and its name, address, country, postal code, city and state."""
+"""Words and patterns of address blocks, and countries and titles as expressions."""
 
 from __future__ import annotations
 
@@ -60,12 +60,11 @@ TITLE, PERSON = r"(?i)^(?:Mr\.|Ms\.|Mrs\.|DR\.)\s*", r"(?i)^(?:Mr|Ms|Mrs|Miss|Dr
 ENDING_PHONE = r"[\s\-()]*\+?\d[\d\s\-()]{6,}\d\s*$"
 NUMBERS_ONLY = r"^[\d+\-\s().]+$"
 
-_LOCALITY = "|".join([CITY_STATE_POSTAL, *(p for p, _ in POSTAL_CODES)])
 #: The longest word of each country's pattern: what lacks it in capitals can't match.
-_COUNTRY_WORDS = {p: max(re.findall("[A-Z]+", re.sub(r"\\[bs]", " ", p)), key=len) for p in COUNTRY_PATTERNS}
-_BLANKS = " \t\n\x0b\f\r"
-_LONG_STATE = r"(?i)\s+(" + "|".join(sorted(LONG_STATES, key=len, reverse=True)) + ")$"
-_COUNTRY_NAMES = [c.upper() for c in dict.fromkeys(COUNTRY_PATTERNS.values())]
+COUNTRY_WORDS = {p: max(re.findall("[A-Z]+", re.sub(r"\\[bs]", " ", p)), key=len) for p in COUNTRY_PATTERNS}
+BLANKS = " \t\n\x0b\f\r"
+LONG_STATE = r"(?i)\s+(" + "|".join(sorted(LONG_STATES, key=len, reverse=True)) + ")$"
+COUNTRY_NAMES = [c.upper() for c in dict.fromkeys(COUNTRY_PATTERNS.values())]
 
 
 def let(value: Column, f) -> Column:
@@ -74,7 +73,7 @@ def let(value: Column, f) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_BLANKS))
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def title(c: Column) -> Column:
@@ -84,132 +83,7 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[A-Za-z]+$"), plain(x)).otherwise(F.initcap(x))), "")
 
 
-def first(lines: Column) -> Column:
-    return F.try_element_at(lines, F.lit(1))
-
-
-def after(lines: Column, n: Column) -> Column:
-    """The lines that follow the first n."""
-    return F.slice(lines, n.cast("int") + 1, F.greatest(F.size(lines) - n.cast("int"), F.lit(0)))
-
-
-def block_after(text: Column, start: str, end: str) -> Column:
-    """The text from the first match of start to the first line that matches end; null if it is blank.
-
-    Blank lines don't end a block: extracted text has them between any two rows.
-    """
-    tail = F.try_element_at(F.split(text, start, 2), F.lit(2))
-    block = F.split(tail, rf"(?im)^\s*(?:{end})", 2)[0]
-    return F.when(block.rlike(r"\S"), block)
-
-
-def lines_of(block: Column, most: Column) -> Column:
-    """The first lines of a block that aren't blank, cut at label words."""
-    tidy = strip(F.regexp_replace(F.regexp_replace(block, METADATA, ""), r"\s*\n\s*", "\n"))
-    return F.when(tidy != "", F.slice(F.split(tidy, "\n"), F.lit(1), most))
-
-
 def country(block: Column) -> Column:
     """By the order of the patterns, not of the text."""
-    hit = lambda upper, p: F.contains(upper, F.lit(_COUNTRY_WORDS[p])) & block.rlike("(?i)" + p)
+    hit = lambda upper, p: F.contains(upper, F.lit(COUNTRY_WORDS[p])) & block.rlike("(?i)" + p)
     return let(F.upper(block), lambda upper: F.coalesce(*(F.when(hit(upper, p), name) for p, name in COUNTRY_PATTERNS.items())))
-
-
-def coded_country(lines: Column) -> Column:
-    """The country whose code of two letters is all of the last line."""
-    code = F.upper(F.regexp_replace(F.try_element_at(lines, F.lit(-1)), r"^[() ]+|[() ]+$", ""))
-    return F.coalesce(*(F.when(code == c, name) for c, name in COUNTRY_CODES.items()))
-
-
-def is_locality(line: Column) -> Column:
-    return line.rlike(_LOCALITY) | country(line).isNotNull()
-
-
-def person_or_company(line: Column) -> Column:
-    """A name without title, label words and a telephone number at its end."""
-    bare = F.regexp_replace(F.regexp_replace(line, TITLE, ""), NAME_METADATA, "")
-    return strip(F.regexp_replace(strip(bare), ENDING_PHONE, ""))
-
-
-def starts_block(line: Column) -> Column:
-    """Whether a line can be the name that an address begins with."""
-    return ~(line.rlike(NUMBERS_ONLY) | line.rlike(ADDRESS_START) | line.rlike(r"^\d"))
-
-
-def postal_format(block_lines: Column) -> Column:
-    """Position in POSTAL_CODES of the first pattern that any line matches; null if none does."""
-    any_line = lambda pattern: F.exists(block_lines, lambda x: x.rlike(pattern))
-    hits = [any_line(p) for p, _ in POSTAL_CODES]
-    return F.coalesce(*(F.when(hit, F.lit(k)) for k, hit in enumerate(hits)))
-
-
-def fixed_form(lines: Column) -> Column:
-    """postal, city and state of the first line of the form CITY-ST-POSTAL, else POSTAL CITY; null without one."""
-    dashed = first(F.filter(lines, lambda x: x.rlike(CITY_STATE_POSTAL)))
-    place = lambda x: F.regexp_extract(x, POSTAL_CITY, 2)
-    beside = first(F.filter(lines, lambda x: x.rlike(POSTAL_CITY) & ~place(x).rlike(STREETS) & ~place(x).rlike(FORM_LABELS)))
-    made = lambda p, c, s: F.struct(p.alias("postal"), title(strip(c)).alias("city"), s.alias("state"), F.lit(True).alias("sure"))
-    part = lambda k: F.regexp_extract(dashed, CITY_STATE_POSTAL, k)
-    return F.coalesce(F.when(dashed.isNotNull(), made(part(3), part(1), part(2))), F.when(beside.isNotNull(), made(F.regexp_extract(beside, POSTAL_CITY, 1), place(beside), F.lit(None).cast("string"))))
-
-
-def postal_hits(lines: Column, form: Column) -> Column:
-    """code, before and behind (what stands beside it) and i for each line that matches the postal format."""
-    pattern = F.coalesce(*(F.when(form == k, F.lit(p)) for k, (p, _) in enumerate(POSTAL_CODES)))
-    hit = lambda x, i: F.struct(F.regexp_substr(x, pattern).alias("code"), F.split(x, pattern, 2).alias("sides"), i.alias("i"))
-    return F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(x, pattern), hit(x, i))), lambda h: h.isNotNull())
-
-
-def beside_postal(hits: Column, form: Column, lines: Column, local: Column) -> Column:
-    """postal, words before the code, the text behind it, and the nearest line above that can be a city, of each hit.
-
-    local: whether each of the lines is a locality.
-    """
-    half = F.coalesce(*(F.when(form == k, F.lit(n)) for k, (_, n) in enumerate(POSTAL_CODES)))
-    city = F.transform(F.arrays_zip(lines.alias("line"), local.alias("local")), lambda z: F.when(~(z["local"] | z["line"].rlike(STREETS) | z["line"].rlike(NUMBERS_ONLY) | z["line"].rlike(FORM_LABELS)), z["line"]))
-
-    def parts(h: Column) -> Column:
-        bare = F.regexp_replace(h["code"], r"\s+", "")
-        code = F.when(half == 0, F.regexp_extract(bare, r"\d{4,6}", 0)).otherwise(F.concat_ws(" ", F.left(bare, F.length(bare) - half), F.right(bare, half)))
-        before = F.regexp_replace(h["sides"][0], r"^[ ,.]+|[ ,.]+$", "")
-        words = F.filter(F.split(before, r"[,\s]+"), lambda w: w != "")
-        above = F.when(~before.rlike(r"[^,\s][,\s]+[^,\s]"), F.try_element_at(F.array_compact(F.slice(city, F.lit(1), h["i"])), F.lit(-1)))
-        return F.struct(code.alias("postal"), words.alias("words"), F.regexp_replace(h["sides"][1], r"^[ ,.-]+|[ ,.-]+$", "").alias("behind"), above.alias("above"))
-
-    return F.transform(hits, parts)
-
-
-def postal_candidates(parts: Column) -> Column:
-    """postal, city, state and sure of each hit: sure if a state, country or city-state stands beside the code.
-
-    What stands before the code is city and state; a lone word there is the state, and the city a line above. A city may
-    also follow the code.
-    """
-    none = F.lit(None).cast("string")
-
-    def candidate(p: Column) -> Column:
-        n, head, last = F.size(p["words"]), F.upper(F.try_element_at(p["words"], F.lit(1))), F.try_element_at(p["words"], F.lit(-1))
-        city_behind = (n == 0) & p["behind"].rlike(r"^[A-Za-z][A-Za-z\s]{1,40}$") & ~p["behind"].rlike(STREETS) & ~p["behind"].rlike(FORM_LABELS)
-        long_state = F.nullif(F.initcap(F.regexp_extract(p["above"], _LONG_STATE, 1)), F.lit(""))
-        found = lambda city, state, sure: F.struct(p["postal"].alias("postal"), city.alias("city"), state.alias("state"), sure.alias("sure"))
-        return (
-            F.when(city_behind, found(title(p["behind"]), none, F.lit(True)))
-            .when((n >= 1) & head.isin(*CITY_STATES) & ((n > 1) | head.isin(_COUNTRY_NAMES)), found(F.try_element_at(p["words"], F.lit(1)), none, F.lit(True)))
-            .when(n >= 2, found(F.array_join(F.slice(p["words"], F.lit(1), n - 1), " "), last, F.upper(last).isin(*STATE_WORDS)))
-            .when(n == 1, found(F.regexp_replace(p["above"], _LONG_STATE, ""), F.coalesce(long_state, F.when(~head.isin(_COUNTRY_NAMES), last)), head.isin(_COUNTRY_NAMES)))
-            .otherwise(found(none, none, F.lit(False)))
-        )
-
-    return F.transform(parts, candidate)
-
-
-def surest(candidates: Column) -> Column:
-    return F.coalesce(first(F.filter(candidates, lambda x: x["sure"])), first(candidates))
-
-
-def short_state(state: Column) -> Column:
-    return F.coalesce(*(F.when(F.upper(state) == name, code) for name, code in STATE_NAMES.items()), state)
-
-
-def letters(c: Column) -> Column:
-    return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
